@@ -36,3 +36,377 @@ def agg_active_usage(spark, sf_dir):
     return lookup(usage, names, "tenant_id").select(
         "tenant_id", "tenant_name", "instances", "active_vcpus", "memory_mb", "local_gb",
         "total_hours", "total_vcpus_usage", "total_memory_mb_usage", "total_local_gb_usage")
+
+
+# --- table summary and usage ---------------------------------------------------------------
+
+@query("agg_summary_row", section=S, sql="""
+SELECT round(sum(l_quantity), 2) AS l_quantity_sum,
+       round(sum(l_extendedprice), 2) / count(l_extendedprice) AS l_extendedprice_average,
+       round(sum(l_discount), 2) AS l_discount_sum
+FROM lineitem
+""")
+def agg_summary_row(spark, sf_dir):
+    """Summary row over the raw, unfiltered column values (nulls ignored)."""
+    from cirrus.operators import aggregates as AG
+    from cirrus.operators.table import summary_row
+    AG.register_summary("sum2", lambda c: F.round(F.sum(c), 2))
+    AG.register_summary("average2", lambda c: F.round(F.sum(c), 2) / F.count(c))
+    li = Tables(spark, sf_dir).lineitem
+    out = summary_row(li, {"l_quantity": "sum2", "l_extendedprice": "average2", "l_discount": "sum2"})
+    return out.select(F.col("l_quantity_sum2").alias("l_quantity_sum"),
+                      F.col("l_extendedprice_average2").alias("l_extendedprice_average"),
+                      F.col("l_discount_sum2").alias("l_discount_sum"))
+
+
+@query("agg_usage_summary", section=S, sql=f"""
+WITH s AS ({V.SERVERS_SQL}),
+u AS (SELECT tenant_id,
+        count(*) FILTER (WHERE ended_at IS NULL) AS instances,
+        coalesce(sum(memory_mb) FILTER (WHERE ended_at IS NULL), 0) AS memory_mb,
+        coalesce(sum(local_gb) FILTER (WHERE ended_at IS NULL), 0) AS local_gb,
+        round(sum(hours), 2) AS total_hours, round(sum(vcpus * hours), 2) AS total_vcpus_usage,
+        round(sum(local_gb * hours), 2) AS total_local_gb_usage
+      FROM s GROUP BY tenant_id)
+SELECT CAST(sum(instances) AS BIGINT) AS instances, CAST(sum(memory_mb) AS BIGINT) AS memory_mb,
+       round(sum(total_vcpus_usage), 2) AS vcpus, round(sum(total_hours), 2) AS vcpu_hours,
+       CAST(sum(local_gb) AS BIGINT) AS local_gb, round(sum(total_local_gb_usage), 2) AS disk_gb_hours
+FROM u
+""")
+def agg_usage_summary(spark, sf_dir):
+    """Every tenant summary added up; ``vcpus`` is total vcpu usage."""
+    return U.usage_summary(U.tenant_usage(V.servers(Tables(spark, sf_dir).orders)))
+
+
+@query("agg_flatten_usage", section=S, sql="""
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+""")
+def agg_flatten_usage(spark, sf_dir):
+    """Per-owner arrays of usage structs flattened back to rows (``inline``)."""
+    li = Tables(spark, sf_dir).lineitem
+    nested = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))
+                                          .alias("server_usages"))
+    return U.flatten_usage(nested, "server_usages", ["l_orderkey"])
+
+
+# --- metering statistics ------------------------------------------------------------------
+
+SAMPLES_SQL = "SELECT ts, event_type AS meter, user_id AS resource, value AS volume, event_id, props FROM events"
+
+
+def samples(t: Tables):
+    return t.events.select("ts", F.col("event_type").alias("meter"), F.col("user_id").alias("resource"),
+                           F.col("value").alias("volume"), "event_id", "props")
+
+
+STATS_SQL = ("count(*) AS count, min(volume) AS min, max(volume) AS max, round(sum(volume), 2) AS sum, "
+             "round(sum(volume), 2) / count(*) AS avg, min(ts) AS duration_start, max(ts) AS duration_end")
+
+
+@query("stat_whole_range", section=S, sql=f"""
+SELECT resource, meter, {STATS_SQL} FROM ({SAMPLES_SQL}) GROUP BY resource, meter
+""")
+def stat_whole_range(spark, sf_dir):
+    from cirrus.operators import metering as M
+    return M.stats_whole_range(samples(Tables(spark, sf_dir)), ["resource", "meter"])
+
+
+PERIOD_ORIGIN = "2024-01-01 00:00:00"
+
+
+@query("stat_by_period", section=S, sql=f"""
+WITH b AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '{PERIOD_ORIGIN}')) // 86400000000 AS bucket
+           FROM ({SAMPLES_SQL}))
+SELECT resource, meter, TIMESTAMP '{PERIOD_ORIGIN}' + to_seconds(bucket * 86400) AS period_start,
+       TIMESTAMP '{PERIOD_ORIGIN}' + to_seconds(bucket * 86400 + 86400) AS period_end,
+       CAST(86400 AS BIGINT) AS period, {STATS_SQL}
+FROM b GROUP BY resource, meter, bucket
+""")
+def stat_by_period(spark, sf_dir):
+    """Statistics per day counted from the query's lower bound; empty days absent."""
+    import datetime as dt
+    from cirrus.operators import metering as M
+    return M.stats_by_period(samples(Tables(spark, sf_dir)), ["resource", "meter"], 86400,
+                             dt.datetime(2024, 1, 1))
+
+
+@query("stat_selected_attr", section=S, sql=f"""
+SELECT resource, meter, round(sum(volume), 2) / count(*) AS avg FROM ({SAMPLES_SQL}) GROUP BY resource, meter
+""")
+def stat_selected_attr(spark, sf_dir):
+    from cirrus.operators import metering as M
+    st = M.stats_whole_range(samples(Tables(spark, sf_dir)), ["resource", "meter"])
+    return M.select_attr(st, ["resource", "meter"], "avg")
+
+
+@query("stat_meters_wide", section=S, sql=f"""
+SELECT resource,
+       round(sum(volume) FILTER (WHERE meter = 'event.click'), 2) / count(*) FILTER (WHERE meter = 'event.click') AS event_click,
+       round(sum(volume) FILTER (WHERE meter = 'event.error'), 2) / count(*) FILTER (WHERE meter = 'event.error') AS event_error,
+       round(sum(volume) FILTER (WHERE meter = 'event.purchase'), 2) / count(*) FILTER (WHERE meter = 'event.purchase') AS event_purchase,
+       round(sum(volume) FILTER (WHERE meter = 'event.signup'), 2) / count(*) FILTER (WHERE meter = 'event.signup') AS event_signup,
+       round(sum(volume) FILTER (WHERE meter = 'event.view'), 2) / count(*) FILTER (WHERE meter = 'event.view') AS event_view
+FROM (SELECT user_id AS resource, 'event.' || event_type AS meter, value AS volume FROM events)
+GROUP BY resource
+""")
+def stat_meters_wide(spark, sf_dir):
+    """One column per meter (average volume); '.' in meter names becomes '_'.
+    The pivot list is read from the data with a bounded distinct (meters are a
+    small catalogue; more than 1000 is refused rather than pivoted)."""
+    from cirrus.operators import metering as M
+    s = samples(Tables(spark, sf_dir)).withColumn("meter", F.concat(F.lit("event."), "meter"))
+    names = [r[0] for r in s.select("meter").distinct().limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("too many meters to pivot into columns")
+    return M.meters_wide(s, "resource", "meter", sorted(names))
+
+
+@query("stat_named_groups", section=S, sql=f"""
+SELECT c.c_mktsegment AS group_name, s.meter, {STATS_SQL}
+FROM ({SAMPLES_SQL}) s JOIN customer c ON c.c_custkey = s.resource
+GROUP BY c.c_mktsegment, s.meter
+""")
+def stat_named_groups(spark, sf_dir):
+    """Statistics for each named group of resources (customers by market segment)."""
+    from cirrus.operators import metering as M
+    from cirrus.operators.joins import lookup
+    t = Tables(spark, sf_dir)
+    groups = t.customer.select(F.col("c_custkey").alias("resource"), F.col("c_mktsegment").alias("group_name"))
+    return M.stats_whole_range(lookup(samples(t), groups, "resource", how="inner"), ["group_name", "meter"])
+
+
+# --- quota and limits ------------------------------------------------------------------------
+
+QUOTA_SQL = f"""
+WITH q AS ({V.TENANT_QUOTA_SQL}),
+s AS ({V.SERVERS_SQL}),
+t AS (SELECT q.tenant_id,
+             coalesce(count(s.server_id) FILTER (WHERE s.state = 'active'), 0) AS inst,
+             coalesce(sum(s.vcpus) FILTER (WHERE s.state = 'active'), 0) AS cores,
+             coalesce(sum(s.memory_mb) FILTER (WHERE s.state = 'active'), 0) AS ram
+      FROM q LEFT JOIN s ON s.tenant_id = q.tenant_id GROUP BY q.tenant_id),
+ql AS (SELECT tenant_id, 'instances' AS name, instances_limit AS lim FROM q
+       UNION ALL SELECT tenant_id, 'cores', CASE WHEN instances_limit IS NULL THEN -1 ELSE 4 * instances_limit END FROM q
+       UNION ALL SELECT tenant_id, 'ram', CASE WHEN instances_limit IS NULL THEN -1 ELSE 4096 * instances_limit END FROM q
+       UNION ALL SELECT tenant_id, 'security_groups', 10 FROM q),
+tl AS (SELECT tenant_id, 'instances' AS name, inst AS used FROM t
+       UNION ALL SELECT tenant_id, 'cores', cores FROM t
+       UNION ALL SELECT tenant_id, 'ram', ram FROM t),
+j AS (SELECT ql.tenant_id, ql.name,
+             CASE WHEN ql.lim IS NULL OR ql.lim = -1 THEN 'inf'::DOUBLE ELSE ql.lim::DOUBLE END AS quota,
+             CAST(tl.used AS BIGINT) AS used
+      FROM ql LEFT JOIN tl ON tl.tenant_id = ql.tenant_id AND tl.name = ql.name)
+SELECT tenant_id, name, quota, used,
+       CASE WHEN quota = 'inf'::DOUBLE THEN 'inf'::DOUBLE WHEN used IS NULL THEN NULL
+            ELSE greatest(quota - used, 0.0) END AS available
+FROM j"""
+
+
+def quota_usage_df(t: Tables):
+    from cirrus.operators import quota as QU
+    q = V.tenant_quota(t.customer)
+    s = V.servers(t.orders)
+    active = F.col("state") == "active"
+    per_tenant = s.groupBy("tenant_id").agg(F.count_if(active).alias("inst"),
+                                            F.sum(F.when(active, F.col("vcpus"))).alias("cores"),
+                                            F.sum(F.when(active, F.col("memory_mb"))).alias("ram"))
+    # every tenant gets a tally (0 when it runs nothing), as the usage tally does
+    tal = q.select("tenant_id").join(per_tenant, "tenant_id", "left")
+    tallies = tal.selectExpr("tenant_id AS owner",
+                             "stack(3, 'instances', coalesce(inst, 0), 'cores', coalesce(cores, 0), "
+                             "'ram', coalesce(ram, 0)) AS (name, value)")
+    lim = F.col("instances_limit")
+    quotas = q.select(F.col("tenant_id").alias("owner"),
+                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim).alias("i"),
+                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim * 4).alias("c"),
+                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim * 4096).alias("r"),
+                      ).selectExpr("owner", "stack(4, 'instances', i, 'cores', c, 'ram', r, "
+                                            "'security_groups', CAST(10 AS BIGINT)) AS (name, limit)")
+    return QU.quota_usage(quotas, tallies).withColumnRenamed("owner", "tenant_id")
+
+
+@query("quota_usage", section=S, sql=QUOTA_SQL)
+def quota_usage(spark, sf_dir):
+    """Per tenant and quota name: quota (inf = unlimited), used, available (>= 0);
+    'security_groups' is never tallied, so it keeps no used/available."""
+    return quota_usage_df(Tables(spark, sf_dir))
+
+
+# Which service each quota name belongs to.
+QUOTA_SERVICES = {"instances": "compute", "cores": "compute", "ram": "compute",
+                  "security_groups": "network", "floating_ips": "network",
+                  "volumes": "volume", "gigabytes": "volume", "snapshots": "volume"}
+
+
+@query("quota_disable_by_service", section=S, sql=f"""
+SELECT * FROM ({QUOTA_SQL}) WHERE name NOT IN ('security_groups', 'floating_ips')
+""")
+def quota_disable_by_service(spark, sf_dir):
+    """Quota rows without the names of a disabled service (network off)."""
+    from cirrus.operators import quota as QU
+    ns = spark.createDataFrame(list(QUOTA_SERVICES.items()), "name string, service string")
+    disabled = spark.createDataFrame([("network",)], "service string")
+    return QU.disable_by_service(quota_usage_df(Tables(spark, sf_dir)), ns, disabled)
+
+
+@query("limits_usage", section=S, sql="""
+SELECT l_suppkey AS tenant_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS gigabytesUsed,
+       count(*) AS volumesUsed, count(DISTINCT l_orderkey) AS floatingIpsUsed,
+       count(DISTINCT l_partkey) AS securityGroupsUsed
+FROM lineitem GROUP BY l_suppkey
+""")
+def limits_usage(spark, sf_dir):
+    """Usage added to limits per tenant (supplier): gigabytes and volumes used,
+    addresses and groups used (distinct counts)."""
+    from cirrus.operators import quota as QU
+    li = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("tenant_id"),
+                                               F.col("l_quantity").cast("bigint").alias("size"),
+                                               "l_orderkey", "l_partkey")
+    base = QU.limits_usage(li, "tenant_id", "size")
+    distinct = li.groupBy("tenant_id").agg(F.count_distinct("l_orderkey").alias("floatingIpsUsed"),
+                                           F.count_distinct("l_partkey").alias("securityGroupsUsed"))
+    return base.join(distinct, "tenant_id")
+
+
+@query("limits_normalise", section=S, sql="""
+SELECT p_brand, 'max_' || lower(p_type) AS name,
+       max(CASE WHEN p_size > 45 THEN 'inf'::DOUBLE ELSE CAST(p_size AS DOUBLE) END) AS limit_value
+FROM part GROUP BY p_brand, 'max_' || lower(p_type)
+""")
+def limits_normalise(spark, sf_dir):
+    """Name/value limit rows, -1 (here: size above 45) normalised to +inf."""
+    from cirrus.operators import quota as QU
+    p = Tables(spark, sf_dir).part.select(
+        "p_brand", F.concat(F.lit("max_"), F.lower("p_type")).alias("name"),
+        F.when(F.col("p_size") > 45, F.lit(-1)).otherwise(F.col("p_size")).alias("value"))
+    return p.groupBy("p_brand", "name").agg(F.max(QU.normalise_limit(F.col("value"))).alias("limit_value"))
+
+
+@query("quota_fraction", section=S, sql=f"""
+WITH u AS (SELECT tenant_id, name, quota, used FROM ({QUOTA_SQL}) WHERE name = 'cores')
+SELECT tenant_id, used, quota,
+       CASE WHEN quota > 0 AND quota <> 'inf'::DOUBLE THEN round(100.0 * used / quota, 2) END AS pct_used,
+       CASE WHEN quota > 0 AND quota <> 'inf'::DOUBLE THEN round(100.0 * (used + 2 * 4) / quota, 2) END AS pct_after
+FROM u
+""")
+def quota_fraction(spark, sf_dir):
+    """Percent of the cores quota used, and after adding 2 servers of 4 vcpus."""
+    from cirrus.operators import quota as QU
+    u = quota_usage_df(Tables(spark, sf_dir)).where(F.col("name") == "cores")
+    pct, after = QU.fraction_used(F.col("used"), F.col("quota"), 2, 4)
+    return u.select("tenant_id", "used", "quota", pct.alias("pct_used"), after.alias("pct_after"))
+
+
+# --- counts ---------------------------------------------------------------------------------
+
+@query("count_categories", section=S, sql="""
+SELECT category, count(*) AS n FROM (
+  SELECT unnest(list_filter([CASE WHEN lang = 'en' THEN 'english' END,
+             CASE WHEN n_chars > 5000 THEN 'long' END,
+             CASE WHEN contains(lower(text), 'licen') THEN 'licensed' END], lambda x: x IS NOT NULL)) AS category
+  FROM documents) GROUP BY category
+""")
+def count_categories(spark, sf_dir):
+    """Multi-label categories per row, counted per category."""
+    from cirrus.plans.q_filters import doc_categories
+    d = Tables(spark, sf_dir).documents
+    return d.select(F.explode(doc_categories()).alias("category")).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("count_rows_shown", section=S, sql="""
+SELECT count(*) AS n_rows FROM orders WHERE o_orderstatus = 'O'
+""")
+def count_rows_shown(spark, sf_dir):
+    return Tables(spark, sf_dir).orders.where(F.col("o_orderstatus") == "O").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("count_group_members", section=S, sql="""
+SELECT o_custkey AS group_id, count(*) AS instances,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS live, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs
+FROM orders GROUP BY o_custkey
+""")
+def count_group_members(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders
+    return o.groupBy(F.col("o_custkey").alias("group_id")).agg(
+        F.count(F.lit(1)).alias("instances"), F.count_if(F.col("o_orderstatus") == "O").alias("live"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("jobs"))
+
+
+@query("container_totals", section=S, sql="""
+SELECT source AS container, count(*) AS object_count, CAST(sum(n_chars) AS BIGINT) AS bytes_used
+FROM documents GROUP BY source
+""")
+def container_totals(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.groupBy(F.col("source").alias("container")).agg(
+        F.count(F.lit(1)).alias("object_count"), F.sum("n_chars").cast("bigint").alias("bytes_used"))
+
+
+HYPERVISORS_SQL = """SELECT s_suppkey, 16 + s_suppkey % 48 AS vcpus, 1024 * (32 + s_nationkey) AS memory_mb,
+  100 * (1 + s_suppkey % 10) AS local_gb, CAST(floor(abs(s_acctbal) / 100) AS INTEGER) AS running_vms FROM supplier"""
+
+
+@query("fleet_totals", section=S, sql=f"""
+SELECT count(*) AS count, CAST(sum(vcpus) AS BIGINT) AS vcpus, CAST(sum(memory_mb) AS BIGINT) AS memory_mb,
+       CAST(sum(local_gb) AS BIGINT) AS local_gb, CAST(sum(running_vms) AS BIGINT) AS running_vms
+FROM ({HYPERVISORS_SQL})
+""")
+def fleet_totals(spark, sf_dir):
+    """Totals over hypervisors (suppliers): count, vcpus, memory, disk, running."""
+    s = Tables(spark, sf_dir).supplier
+    h = s.select((16 + F.col("s_suppkey") % 48).alias("vcpus"), (1024 * (32 + F.col("s_nationkey"))).alias("memory_mb"),
+                 (100 * (1 + F.col("s_suppkey") % 10)).alias("local_gb"),
+                 (F.abs("s_acctbal") / 100).cast("int").alias("running_vms"))
+    return h.agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).cast("bigint").alias(c)
+                                                    for c in ("vcpus", "memory_mb", "local_gb", "running_vms")])
+
+
+@query("collect_distinct_ids", section=S, sql="""
+SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS group_ids
+FROM lineitem GROUP BY l_orderkey
+""")
+def collect_distinct_ids(spark, sf_dir):
+    """Distinct group ids over all ports of a server (parts over an order's lines)."""
+    li = Tables(spark, sf_dir).lineitem
+    return li.groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",")
+         .alias("group_ids"))
+
+
+LINE_SQL = ("'10.' || CAST(l_suppkey % 256 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) || '.' "
+            "|| CAST(l_linenumber AS VARCHAR) || ' node-' || CAST(l_linenumber AS VARCHAR)")
+
+
+@query("concat_lines", section=S, sql=f"""
+SELECT l_orderkey, string_agg({LINE_SQL}, chr(10) ORDER BY {LINE_SQL}) AS hosts
+FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey
+""")
+def concat_lines(spark, sf_dir):
+    """One hosts text per cluster (order): 'ip name' lines for members that have
+    an address (returned lines have none), sorted, newline separated. A
+    cluster's member list is bounded by the cluster size."""
+    li = Tables(spark, sf_dir).lineitem
+    ip = F.when(F.col("l_returnflag") != "R", F.concat(
+        F.lit("10."), (F.col("l_suppkey") % 256).cast("string"), F.lit("."), (F.col("l_partkey") % 256).cast("string"),
+        F.lit("."), F.col("l_linenumber").cast("string")))
+    line = F.concat(ip, F.lit(" node-"), F.col("l_linenumber").cast("string"))
+    members = li.select("l_orderkey", line.alias("line")).where(F.col("line").isNotNull())
+    return members.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("hosts"))
+
+
+@query("all_services_up", section=S, sql="""
+SELECT l_orderkey,
+       'host-' || CAST(l_orderkey AS VARCHAR) || ' ('
+       || CASE WHEN bool_and(l_linestatus = 'F' AND l_returnflag <> 'R') THEN 'Services Up' ELSE 'Services Down' END
+       || ')' AS host_status
+FROM lineitem GROUP BY l_orderkey
+""")
+def all_services_up(spark, sf_dir):
+    """A host is up only if every service on it is active and available."""
+    li = Tables(spark, sf_dir).lineitem
+    up = F.bool_and((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R"))
+    agg = li.groupBy("l_orderkey").agg(up.alias("up"))
+    return agg.select("l_orderkey", F.concat(F.lit("host-"), F.col("l_orderkey").cast("string"), F.lit(" ("),
+                                             F.when(F.col("up"), "Services Up").otherwise("Services Down"),
+                                             F.lit(")")).alias("host_status"))

@@ -22,10 +22,10 @@ SELECT o_orderkey AS server_id,
        CAST(512 * (1 + o_orderkey % 16) AS INTEGER) AS memory_mb,
        CAST(10 * (1 + o_orderkey % 10) AS INTEGER) AS local_gb,
        round(o_totalprice / 1000.0, 2) AS hours,
-       CAST(o_totalprice AS BIGINT) AS uptime,
+       CAST(floor(o_totalprice) AS BIGINT) AS uptime,
        o_orderdate AS started_at,
        CASE WHEN o_orderstatus = 'O' THEN NULL
-            ELSE o_orderdate + to_seconds(CAST(o_totalprice AS BIGINT)) END AS ended_at,
+            ELSE o_orderdate + to_seconds(CAST(floor(o_totalprice) AS BIGINT)) END AS ended_at,
        o_orderpriority AS priority
 FROM orders
 """
