@@ -410,3 +410,29 @@ def all_services_up(spark, sf_dir):
     return agg.select("l_orderkey", F.concat(F.lit("host-"), F.col("l_orderkey").cast("string"), F.lit(" ("),
                                              F.when(F.col("up"), "Services Up").otherwise("Services Down"),
                                              F.lit(")")).alias("host_status"))
+
+
+# --- batch text jobs ------------------------------------------------------------------------
+
+@query("word_count", section=S, sql="""
+SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents)
+WHERE word <> '' GROUP BY word
+""")
+def word_count(spark, sf_dir):
+    """Count of each token over the whole texts (tokenizer delimiters: space, tab, CR, LF, FF)."""
+    from cirrus.operators import jobs as J
+    return J.word_count(Tables(spark, sf_dir).documents, "text")
+
+
+@query("stream_map_reduce", section=S, sql="""
+SELECT word, count(*) AS count FROM (
+  SELECT unnest(regexp_split_to_array(text, '[ \t\n]+')) AS word FROM documents)
+WHERE word <> '' GROUP BY word
+""")
+def stream_map_reduce(spark, sf_dir):
+    """A user mapper (pandas, per Arrow batch) splits lines on blanks and emits
+    (word, 1); counts are combined per batch, then summed per word by Spark."""
+    from cirrus.operators import jobs as J
+    d = Tables(spark, sf_dir).documents.select("text")
+    return J.map_reduce(d, J.awk_word_mapper("text"), "word string, count long", "word", "count", "sum")

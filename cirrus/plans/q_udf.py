@@ -1 +1,71 @@
-"""Queries: q_udf."""
+"""Queries for SURVEY section 2.11: user-defined functions."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from cirrus.operators import aggregates as AG
+from cirrus.operators import udf as UD
+from cirrus.plans.registry import query
+from cirrus.sources.tables import Tables
+
+S = "2.11"
+
+
+@query("udf_column_transform", section=S, sql="""
+SELECT l_orderkey, l_linenumber,
+       upper(l_returnflag) || '-' || lower(l_linestatus) AS flags,
+       l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
+FROM lineitem
+""")
+def udf_column_transform(spark, sf_dir):
+    """A callable as a column and a chain of filter functions applied in order."""
+    li = Tables(spark, sf_dir).lineitem
+    flags = UD.chain(lambda c: F.concat(F.upper(c), F.lit("-"), F.lower(F.col("l_linestatus"))))
+    charge = UD.chain(lambda c: c * (1 - F.col("l_discount")), lambda c: c * (1 + F.col("l_tax")))
+    return li.select("l_orderkey", "l_linenumber", flags(F.col("l_returnflag")).alias("flags"),
+                     charge(F.col("l_extendedprice")).alias("charge"))
+
+
+@query("udf_filter_action", section=S, sql="""
+SELECT p_partkey, p_name, p_type FROM part WHERE p_type = 'PROMO' AND p_retailprice > 1000
+""")
+def udf_filter_action(spark, sf_dir):
+    """User filter methods per table type; the 'promo' type's method is applied."""
+    actions = {
+        "promo": lambda df: df.where((F.col("p_type") == "PROMO") & (F.col("p_retailprice") > 1000)),
+        "small": lambda df: df.where(F.col("p_size") < 5),
+    }
+    p = Tables(spark, sf_dir).part
+    return UD.apply_filter_action(p, actions, "promo").select("p_partkey", "p_name", "p_type")
+
+
+@query("udaf_summary_registry", section=S, sql="""
+SELECT l_returnflag, round(sum(l_quantity), 2) AS qty_sum, round(sum(l_quantity), 2) / count(l_quantity) AS qty_average,
+       max(l_quantity) - min(l_quantity) AS qty_spread, count(l_quantity) AS qty_count
+FROM lineitem GROUP BY l_returnflag
+""")
+def udaf_summary_registry(spark, sf_dir):
+    """Named summary methods, extended with user entries ('spread', 'count');
+    an unknown name raises ValueError."""
+    AG.register_summary("sum2", lambda c: F.round(F.sum(c), 2))
+    AG.register_summary("average2", lambda c: F.round(F.sum(c), 2) / F.count(c))
+    AG.register_summary("spread", lambda c: F.max(c) - F.min(c))
+    AG.register_summary("count", F.count)
+    li = Tables(spark, sf_dir).lineitem
+    q = F.col("l_quantity")
+    return li.groupBy("l_returnflag").agg(
+        AG.summary_expr("sum2", q).alias("qty_sum"), AG.summary_expr("average2", q).alias("qty_average"),
+        AG.summary_expr("spread", q).alias("qty_spread"), AG.summary_expr("count", q).alias("qty_count"))
+
+
+@query("udtf_external_program", section=S, sql="""
+SELECT lang AS key, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines FROM documents GROUP BY lang
+""")
+def udtf_external_program(spark, sf_dir):
+    """A user mapper program (pandas) over the documents emitting (language,
+    lines); its associative reducer (sum) runs as a combiner and then per key."""
+    d = Tables(spark, sf_dir).documents.select("lang", "text")
+    return UD.external_program(d, UD.line_stats_mapper("text", "lang"), "key string, n_lines long",
+                               "key", "n_lines", "sum")
