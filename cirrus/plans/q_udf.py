@@ -29,12 +29,12 @@ def udf_column_transform(spark, sf_dir):
 
 
 @query("udf_filter_action", section=S, sql="""
-SELECT p_partkey, p_name, p_type FROM part WHERE p_type = 'PROMO' AND p_retailprice > 1000
+SELECT p_partkey, p_name, p_type FROM part WHERE p_type = 'PROMO' AND p_retailprice > 950
 """)
 def udf_filter_action(spark, sf_dir):
     """User filter methods per table type; the 'promo' type's method is applied."""
     actions = {
-        "promo": lambda df: df.where((F.col("p_type") == "PROMO") & (F.col("p_retailprice") > 1000)),
+        "promo": lambda df: df.where((F.col("p_type") == "PROMO") & (F.col("p_retailprice") > 950)),
         "small": lambda df: df.where(F.col("p_size") < 5),
     }
     p = Tables(spark, sf_dir).part
