@@ -169,7 +169,7 @@ def rule_text(ethertype: Column, protocol: Column, from_port: Column, to_port: C
               direction: Column, remote_group: Column, remote_cidr: Column) -> Column:
     """'ALLOW IPv4 80-90/tcp from 10.0.0.0/8' style sentence."""
     proto = F.lower(protocol)
-    proto_num = F.try_cast(protocol, "int")
+    proto_num = protocol.try_cast("int")
     proto_port = (F.when(F.coalesce(from_port, F.lit(0)) != 0,
                          F.when(from_port == to_port, F.concat(from_port.cast("string"), F.lit("/"), proto))
                           .otherwise(F.concat(from_port.cast("string"), F.lit("-"), to_port.cast("string"),
