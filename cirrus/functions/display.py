@@ -63,7 +63,7 @@ def size_format(bytes_: Column, number: str = "float") -> Column:
     """Bytes as text with the largest unit below 1024 of the next: '512', '1.5 KB', ...
     Below 1024 there is no unit; null or non-numeric input gives '0 bytes'.
     Rounding is Spark's HALF_UP on the decimal value (see SURVEY Q12)."""
-    b = F.try_cast(bytes_.cast("string"), "double") if not isinstance(bytes_, Column) else bytes_.cast("double")
+    b = bytes_.try_cast("double")
     return (F.when(b.isNull(), F.lit("0 bytes"))
             .when(b < _KB, b.cast("bigint").cast("string"))
             .when(b < _MB, F.concat(_num(b / _KB, number), F.lit(" KB")))
