@@ -1 +1,82 @@
-"""Queries: q_streams."""
+"""Queries for SURVEY section 2.10: streaming. Each runs its Structured Streaming
+job available-now over the table's data and returns the sink as a DataFrame, so
+the oracle can compare it with the batch result the stream must converge to."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cirrus.plans.q_aggregates import PERIOD_ORIGIN
+from cirrus.plans.registry import query
+from cirrus.session import scratch_dir
+from cirrus.sources.tables import SCHEMAS, Tables
+from cirrus.streaming import jobs as SJ
+
+S = "2.10"
+
+QUEUE_SCHEMA = "job_id STRING, job_type STRING, conv_id BIGINT, turn BIGINT, text STRING"
+
+
+def _table_stream(spark, sf_dir: str, name: str, max_files: int = 1):
+    """A table's parquet file(s) as a file stream source."""
+    return (spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+
+
+@query("stream_job_queue", section=S, sql="""
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS job_id, role AS job_type, conv_id, turn, text
+FROM conversations
+""")
+def stream_job_queue(spark, sf_dir):
+    """Conversation turns queued as JSON job objects (several files), drained by
+    a checkpointed file stream that takes each file once and routes every job to
+    a folder per job type."""
+    queue = scratch_dir(spark, "queue")
+    c = Tables(spark, sf_dir).conversations
+    jobs = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("job_id"),
+                    F.col("role").alias("job_type"), "conv_id", "turn", "text")
+    jobs.repartition(4, "conv_id").write.mode("overwrite").json(queue)
+    routed = SJ.consume_job_queue(spark, queue, QUEUE_SCHEMA, route="job_type")
+    return routed.select("job_id", "job_type", "conv_id", "turn", "text")
+
+
+@query("stream_latest_rows", section=S, sql="""
+SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type,
+       arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY user_id
+""")
+def stream_latest_rows(spark, sf_dir):
+    """Keep the newest state per row id while samples stream in (update-mode
+    aggregate upserted into a versioned table)."""
+    stream = _table_stream(spark, sf_dir, "events")
+    return SJ.keep_latest(spark, stream, "user_id", ["ts", "event_id"], ["ts", "event_type", "value"]) \
+        .select("user_id", "ts", "event_type", "value")
+
+
+@query("stream_log_sync", section=S, sql="""
+SELECT unnest(string_split(text, chr(10))) AS value FROM documents
+""")
+def stream_log_sync(spark, sf_dir):
+    """Log files (documents written as text, one folder per source) copied line by
+    line as they appear; each file taken once."""
+    logs = scratch_dir(spark, "logs")
+    Tables(spark, sf_dir).documents.select("source", F.col("text").alias("value")) \
+        .write.mode("overwrite").partitionBy("source").text(logs)
+    return SJ.sync_logs(spark, logs + "/*", max_files=4).select("value")
+
+
+@query("stream_period_stats", section=S, sql=f"""
+WITH b AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '{PERIOD_ORIGIN}')) // 86400000000 AS bucket FROM events)
+SELECT user_id AS resource, event_type AS meter,
+       TIMESTAMP '{PERIOD_ORIGIN}' + to_seconds(bucket * 86400) AS period_start,
+       count(*) AS count, min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum,
+       round(sum(value), 2) / count(*) AS avg
+FROM b GROUP BY user_id, event_type, bucket
+""")
+def stream_period_stats(spark, sf_dir):
+    """Daily statistics per (resource, meter) kept current while samples arrive:
+    event-time windows with a watermark, update mode, upserted into a table."""
+    stream = _table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", "1 day", "2 days")
+    return cur.select(F.col("user_id").alias("resource"), F.col("event_type").alias("meter"),
+                      F.col("period_start").cast("timestamp_ntz").alias("period_start"), *SJ.rounded_stats(cur))
