@@ -104,7 +104,8 @@ def quota_label(value: Column, units: str | None = None) -> Column:
     txt = F.when(value == F.lit(float("inf")), F.lit(None)).otherwise(
         F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string")))
     parts = [txt] + ([F.lit(units)] if units is not None else []) + [F.lit("Available")]
-    return F.when(value == F.lit(float("inf")), F.lit("No Limit")).otherwise(F.concat_ws(" ", *parts))
+    return (F.when(value.isNull(), F.lit(None).cast("string"))
+            .when(value == F.lit(float("inf")), F.lit("No Limit")).otherwise(F.concat_ws(" ", *parts)))
 
 
 def flavor_label(name: Column, ram_mb: Column, vcpus: Column, disk_gb: Column) -> Column:

@@ -21,7 +21,7 @@ SELECT o_orderkey AS server_id,
        CAST(1 + o_orderkey % 8 AS INTEGER) AS vcpus,
        CAST(512 * (1 + o_orderkey % 16) AS INTEGER) AS memory_mb,
        CAST(10 * (1 + o_orderkey % 10) AS INTEGER) AS local_gb,
-       round(o_totalprice / 1000.0, 2) AS hours,
+       floor(o_totalprice / 10.0) / 100.0 AS hours,
        CAST(floor(o_totalprice) AS BIGINT) AS uptime,
        o_orderdate AS started_at,
        CASE WHEN o_orderstatus = 'O' THEN NULL
@@ -43,7 +43,7 @@ def servers(orders: DataFrame) -> DataFrame:
         (F.lit(1) + k % 8).cast("int").alias("vcpus"),
         (F.lit(512) * (F.lit(1) + k % 16)).cast("int").alias("memory_mb"),
         (F.lit(10) * (F.lit(1) + k % 10)).cast("int").alias("local_gb"),
-        F.round(F.col("o_totalprice") / 1000.0, 2).alias("hours"),
+        (F.floor(F.col("o_totalprice") / 10.0) / 100.0).alias("hours"),
         uptime.alias("uptime"),
         F.col("o_orderdate").alias("started_at"),
         F.when(F.col("o_orderstatus") == "O", F.lit(None))
