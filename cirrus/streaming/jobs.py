@@ -3,8 +3,8 @@
 Every stream checkpoints under the shared checkpoint root and writes through
 ``foreachBatch`` with an idempotent sink: a micro-batch writes (or replaces) its
 own ``batch=<id>`` folder, so a batch replayed after a failure overwrites what
-its first attempt left instead of duplicating it. Merged state tables are
-versioned (``v=<batch id>``) and a reader takes the highest complete version.
+its first attempt left instead of duplicating it. Keyed state is kept as such a
+change log and folded on read with ``max_by(row, batch)``.
 
 ``run_available_now`` drives a stream over everything currently in its source
 and stops: the batch twin of each stream is what it must equal.
@@ -58,33 +58,24 @@ def consume_job_queue(spark: SparkSession, queue_dir: str, schema, route: str, m
 
 # --- latest row per key -------------------------------------------------------------------
 
-def versioned_upsert(state_dir: str, key: Sequence[str]) -> BatchFn:
-    """Merge each micro-batch of updated rows into a versioned table: the new
-    version is the previous one minus the updated keys, plus the updates."""
-    key = list(key)
+def change_log(out_dir: str) -> BatchFn:
+    """Each micro-batch writes its changed rows into ``out_dir/batch=<id>``.
 
+    Writing costs O(batch), never O(table); a replayed batch overwrites its own
+    folder, so the log stays exactly-once. Readers fold the log with
+    :func:`read_latest` (compaction is the same fold written back)."""
     def run(updates: DataFrame, batch_id: int) -> None:
-        spark = updates.sparkSession
-        prev = latest_version(spark, state_dir)
-        merged = updates if prev is None else \
-            prev.join(updates.select(*key), key, "left_anti").unionByName(updates)
-        merged.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id:012d}")
+        updates.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     return run
 
 
-def latest_version(spark: SparkSession, state_dir: str) -> DataFrame | None:
-    """The highest complete version of a versioned table, or None."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(path)
-                      if s.isDirectory() and s.getPath().getName().startswith("v=")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if not versions:
-        return None
-    return spark.read.parquet(f"{state_dir}/{versions[-1]}")
+def read_latest(spark: SparkSession, out_dir: str, key: Sequence[str]) -> DataFrame:
+    """Current table of a change log: for every key the row of the latest batch
+    (``max_by`` is a partial aggregate, so a hot key costs one row per map task)."""
+    log = spark.read.parquet(out_dir)
+    cols = [c for c in log.columns if c not in set(key) | {"batch"}]
+    latest = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("batch"))
+    return log.groupBy(*key).agg(latest.alias("_row")).select(*key, "_row.*")
 
 
 def latest_rows_stream(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -99,9 +90,8 @@ def keep_latest(spark: SparkSession, stream: DataFrame, key: str, order: Sequenc
     """Keep the newest state per key while rows arrive; returns the merged table."""
     state = scratch_dir(spark, "latest_state")
     ckpt = scratch_dir(spark, "latest_ckpt")
-    run_available_now(latest_rows_stream(stream, key, order, cols), versioned_upsert(state, [key]), ckpt,
-                      output_mode="update")
-    return latest_version(spark, state)
+    run_available_now(latest_rows_stream(stream, key, order, cols), change_log(state), ckpt, output_mode="update")
+    return read_latest(spark, state, [key])
 
 
 # --- log sync -----------------------------------------------------------------------------
@@ -139,15 +129,15 @@ def period_stats_stream(stream: DataFrame, ts: str, keys: Sequence[str], volume:
 
 def stats_current(spark: SparkSession, stream: DataFrame, ts: str, keys: Sequence[str], volume: str,
                   period: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Run the windowed statistics available-now (update mode, upserted by window
-    and key into a versioned table) and return the current table."""
+    """Run the windowed statistics available-now (update mode; each batch's
+    changed windows go to the change log) and return the current table."""
     state = scratch_dir(spark, "stats_state")
     ckpt = scratch_dir(spark, "stats_ckpt")
     agg = period_stats_stream(stream, ts, keys, volume, period, watermark) \
         .select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *keys,
                 "count", "min", "max", "sum_raw", "duration_start", "duration_end")
-    run_available_now(agg, versioned_upsert(state, ["period_start", *keys]), ckpt, output_mode="update")
-    return latest_version(spark, state)
+    run_available_now(agg, change_log(state), ckpt, output_mode="update")
+    return read_latest(spark, state, ["period_start", *keys])
 
 
 def rounded_stats(df: DataFrame) -> list[Column]:
