@@ -22,6 +22,15 @@ TOKENIZER_DELIMS = "[ \\t\\n\\r\\f]+"
 AWK_DELIMS = "[ \\t\\n]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row heavy work (tokenising whole texts, user programs) at least
+    one partition per core. Only an input with fewer splits than cores (one
+    large row group, say) is redistributed; a large input keeps its splits and
+    pays no extra shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens(text: Column, delims: str = TOKENIZER_DELIMS) -> Column:
     """Array of non-empty tokens of the whole text."""
     return F.filter(F.split(text, delims), lambda w: w != "")
@@ -29,7 +38,7 @@ def tokens(text: Column, delims: str = TOKENIZER_DELIMS) -> Column:
 
 def word_count(df: DataFrame, text_col: str, delims: str = TOKENIZER_DELIMS) -> DataFrame:
     """(word, count) over whole texts; hot words are combined map-side."""
-    return (df.select(F.explode(tokens(F.col(text_col), delims)).alias("word"))
+    return (spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col), delims)).alias("word"))
               .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -59,7 +68,7 @@ def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value:
             if len(out):
                 yield out.groupby(key, as_index=False, sort=False)[value].agg(combine)
 
-    partial = df.mapInPandas(run, out_schema)
+    partial = spread(df).mapInPandas(run, out_schema)
     final = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}[reduce]
     return partial.groupBy(key).agg(final(value).alias(value))
 

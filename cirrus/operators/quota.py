@@ -40,8 +40,9 @@ def disable_by_service(usage: DataFrame, name_service: DataFrame, disabled: Data
 
     ``name_service``: (name, service); ``disabled``: (service). Both are small
     configuration tables; the drop is a left-anti join on the name."""
+    from cirrus.operators.joins import bounded_broadcast
     off_names = name_service.join(disabled, "service", "left_semi").select("name")
-    return usage.join(F.broadcast(off_names), "name", "left_anti")
+    return usage.join(bounded_broadcast(off_names, 100_000), "name", "left_anti")
 
 
 def limits_usage(resources: DataFrame, owner: str, size: str) -> DataFrame:
