@@ -24,14 +24,14 @@ def valid_protocol(proto: Column, allowed=("tcp", "udp", "icmp")) -> Column:
 
 
 def valid_ipv4_cidr(c: Column) -> Column:
-    """Dotted quad with every octet <= 255 and a mask <= 32."""
+    """Dotted quad with every octet <= 255 and a mask <= 32 (one regex match and
+    one split per row)."""
     ok = F.coalesce(c.rlike(IPV4_CIDR), F.lit(False))
-    octets = [F.regexp_extract(c, IPV4_CIDR, i).try_cast("int") for i in range(1, 5)]
-    mask = F.regexp_extract(c, IPV4_CIDR, 5).try_cast("int")
+    parts = F.split(c, r"[./]")
     cond = ok
-    for o in octets:
-        cond = cond & F.coalesce(o <= 255, F.lit(False))
-    return cond & F.coalesce(mask <= 32, F.lit(False))
+    for i in range(1, 5):
+        cond = cond & (F.element_at(parts, i).try_cast("int") <= 255)
+    return F.coalesce(cond & (F.element_at(parts, 5).try_cast("int") <= 32), F.lit(False))
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
