@@ -1,8 +1,9 @@
 """Enrichment operators over nested and ordered data.
 
 Order-dependent rules carry an explicit position column; arrays are rebuilt with
-``array_sort`` over ``struct(pos, value)`` so the result does not depend on
-shuffle order. Per-owner arrays are only built where an owner's list is bounded
+``sort_array`` over ``struct(pos, value)`` (lexicographic, codegen'd; no lambda)
+and the values read back with a struct-field projection, so the result does not
+depend on shuffle order. Per-owner arrays are only built where an owner's list is bounded
 by the data model (attachments of a volume, ports of a device).
 """
 
@@ -18,16 +19,16 @@ from cirrus.operators.joins import lookup
 
 def ordered_text(df: DataFrame, owner: str, pos: str, item: str, sep: str) -> DataFrame:
     """One text per owner: items in position order joined by ``sep`` (column ``text``)."""
-    agg = df.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
+    agg = df.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
                                                                      F.col(item).alias("v")))).alias("_a"))
-    return agg.select(owner, F.array_join(F.transform("_a", lambda x: x["v"]), sep).alias("text"))
+    return agg.select(owner, F.array_join(F.col("_a.v"), sep).alias("text"))
 
 
 def ordered_array(df: DataFrame, owner: str, pos: str, value: str, name: str) -> DataFrame:
     """Per owner, the array of ``value`` in position order."""
-    agg = df.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
+    agg = df.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
                                                                      F.col(value).alias("v")))).alias("_a"))
-    return agg.select(owner, F.transform("_a", lambda x: x["v"]).alias(name))
+    return agg.select(owner, F.col("_a.v").alias(name))
 
 
 def expand_id_array(df: DataFrame, owner: str, ids: str, records: DataFrame, record_key: str,
@@ -40,9 +41,9 @@ def expand_id_array(df: DataFrame, owner: str, ids: str, records: DataFrame, rec
     rec = F.when(F.col("_id").isNull(), F.lit(None)).otherwise(
         F.struct(F.col("_id").alias(record_key), *[F.col(c) for c in rec_cols]))
     # A record whose id is known but absent from ``records`` keeps its id and null fields.
-    agg = j.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"),
+    agg = j.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"),
                                                                     rec.alias("r")))).alias("_a"))
-    return agg.select(owner, F.transform("_a", lambda x: x["r"]).alias(name))
+    return agg.select(owner, F.col("_a.r").alias(name))
 
 
 def add_missing_edges(edges: DataFrame, wanted: DataFrame, keys: Sequence[str], owner: str) -> DataFrame:

@@ -45,11 +45,12 @@ def disable_by_service(usage: DataFrame, name_service: DataFrame, disabled: Data
     return usage.join(bounded_broadcast(off_names, 100_000), "name", "left_anti")
 
 
-def limits_usage(resources: DataFrame, owner: str, size: str) -> DataFrame:
-    """Per owner: gigabytes used (sum of sizes) and volumes used (count)."""
+def limits_usage(resources: DataFrame, owner: str, size: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per owner: gigabytes used (sum of sizes), volumes used (count), plus any
+    extra usage counts, all in one aggregate over one scan."""
     return resources.groupBy(owner).agg(
         F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("gigabytesUsed"),
-        F.count(F.lit(1)).alias("volumesUsed"))
+        F.count(F.lit(1)).alias("volumesUsed"), *extra)
 
 
 def fraction_used(used: Column, quota: Column, add_count: Column | int = 0, add_size: Column | int = 0) -> tuple[Column, Column]:

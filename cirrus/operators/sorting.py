@@ -44,8 +44,13 @@ def sort_by_ip(df: DataFrame, ip: str, tiebreak: str | None = None) -> DataFrame
     return df.orderBy(*keys)
 
 
-def sort_array_by(arr: Column, fields: Sequence[str]) -> Column:
-    """Sort an array of structs by the given fields (nulls last)."""
+def sort_array_by(arr: Column, fields: Sequence[str], struct_fields: Sequence[str] | None = None) -> Column:
+    """Sort an array of structs by the given fields. When they are the struct's
+    leading fields in order, this is the codegen'd lexicographic ``sort_array``;
+    otherwise an ``array_sort`` comparator (nulls last)."""
+    if struct_fields is not None and list(struct_fields[:len(fields)]) == list(fields):
+        return F.sort_array(arr)
+
     def cmp(a, b):
         out = F.lit(0)
         for f in reversed(fields):

@@ -262,10 +262,9 @@ def limits_usage(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("tenant_id"),
                                                F.col("l_quantity").cast("bigint").alias("size"),
                                                "l_orderkey", "l_partkey")
-    base = QU.limits_usage(li, "tenant_id", "size")
-    distinct = li.groupBy("tenant_id").agg(F.count_distinct("l_orderkey").alias("floatingIpsUsed"),
-                                           F.count_distinct("l_partkey").alias("securityGroupsUsed"))
-    return base.join(distinct, "tenant_id")
+    return QU.limits_usage(li, "tenant_id", "size", extra=[
+        F.count_distinct("l_orderkey").alias("floatingIpsUsed"),
+        F.count_distinct("l_partkey").alias("securityGroupsUsed")])
 
 
 @query("limits_normalise", section=S, sql="""
@@ -370,8 +369,7 @@ def collect_distinct_ids(spark, sf_dir):
     """Distinct group ids over all ports of a server (parts over an order's lines)."""
     li = Tables(spark, sf_dir).lineitem
     return li.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",")
-         .alias("group_ids"))
+        F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), ",").alias("group_ids"))
 
 
 LINE_SQL = ("'10.' || CAST(l_suppkey % 256 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) || '.' "
@@ -392,7 +390,7 @@ def concat_lines(spark, sf_dir):
         F.lit("."), F.col("l_linenumber").cast("string")))
     line = F.concat(ip, F.lit(" node-"), F.col("l_linenumber").cast("string"))
     members = li.select("l_orderkey", line.alias("line")).where(F.col("line").isNotNull())
-    return members.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("hosts"))
+    return members.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("hosts"))
 
 
 @query("all_services_up", section=S, sql="""

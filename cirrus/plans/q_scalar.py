@@ -276,10 +276,9 @@ def nested_json_get(spark, sf_dir):
     """Resource name from its metadata: name, else display_name, else ''."""
     e = Tables(spark, sf_dir).events
     k = F.get_json_object("props", "$.k").cast("bigint")
-    meta = F.map_filter(F.create_map(
+    meta = F.create_map(
         F.lit("name"), F.when(k % 3 == 0, F.concat("event_type", F.lit("-"), k.cast("string"))),
-        F.lit("display_name"), F.when(k > 50, F.concat(F.lit("res-"), k.cast("string")))),
-        lambda _k, v: v.isNotNull())
+        F.lit("display_name"), F.when(k > 50, F.concat(F.lit("res-"), k.cast("string"))))
     return e.select("event_id", D.metadata_name(meta).alias("name"))
 
 
