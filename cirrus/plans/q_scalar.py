@@ -248,7 +248,7 @@ def path_breadcrumbs(spark, sf_dir):
     """Every ancestor folder (level, name, path) of each object key."""
     p = Tables(spark, sf_dir).pages.select("page_id", F.split(F.regexp_extract("url", KEY_RE, 1), "/").alias("parts"))
     folders = p.select("page_id", "parts", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("pos", "name"))
-    return folders.select("page_id", (F.col("pos") + 1).alias("level"), "name",
+    return folders.select("page_id", (F.col("pos") + 1).cast("bigint").alias("level"), "name",
                           F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("pos") + 1), "/"), F.lit("/"))
                            .alias("path"))
 

@@ -158,7 +158,7 @@ def tail_n(spark, sf_dir):
     """Last 35 lines of each conversation log (lines of all turns, in order)."""
     c = Tables(spark, sf_dir).conversations
     lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
-        .select("conv_id", "turn", (F.col("pos") + 1).alias("line_no"), "line")
+        .select("conv_id", "turn", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
     return SO.last_n(lines, ["conv_id"], [F.col("turn").desc(), F.col("line_no").desc()], 35)
 
 
