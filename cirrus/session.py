@@ -50,11 +50,13 @@ def get_session(master: str | None = None, app: str = "cirrus",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint root, setting a local one only when unset.
+    """Return the shared checkpoint root.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...) and
-    is used as is. Only when nothing is configured (unit tests, a laptop) do we
-    fall back to a fresh local folder.
+    is used as is; a cluster session without it is an error, because a
+    machine-local folder is not visible to other executors or a restarted
+    driver. Only a local-mode session (tests, a laptop) with nothing configured
+    gets a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) for this cluster")
         conf_dir = tempfile.mkdtemp(prefix="cirrus-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
