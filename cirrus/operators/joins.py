@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a dimension may have before we stop hinting a broadcast. At ~100 bytes a
-#: row this keeps a broadcast table well under the 8 GB hard limit and in the
-#: tens of MB in practice.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Rows a dimension may have before we stop hinting a broadcast. Lookups project
+#: only the columns they need, so at a few tens of bytes per row this keeps a
+#: broadcast table in the tens of MB, far below the 8 GB hard limit.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -25,13 +25,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged.
+    ``max_rows`` defaults to the module's ``DEFAULT_BROADCAST_ROWS`` (read at call
+    time, so a deployment can lower it globally); 0 disables the hint."""
+    limit = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if limit > 0 and has_at_most(df, limit) else df
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column, how: str = "left",
-           max_dim_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+           max_dim_rows: int | None = None) -> DataFrame:
     """Enrich ``fact`` with ``dim`` columns, broadcasting ``dim`` only when bounded."""
     return fact.join(bounded_broadcast(dim, max_dim_rows), on, how)
 

@@ -34,11 +34,18 @@ def merge_defaults(first: DataFrame, second: DataFrame, key: str, value: str) ->
 
 
 def except_both(want: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """(key, change): 'add' rows, 'remove' rows and one 'union_size' row."""
-    add = want.subtract(current).withColumn("change", F.lit("add"))
-    rem = current.subtract(want).withColumn("change", F.lit("remove"))
-    size = want.union(current).distinct().agg(F.count(F.lit(1)).alias(key)).withColumn("change", F.lit("union_size"))
-    return add.unionByName(rem).unionByName(size)
+    """(key, change): 'add' (wanted, not current), 'remove' (current, not wanted)
+    and one 'union_size' row. One full outer join of the two distinct key sets
+    gives all three: both sides are already hash-partitioned by the key after
+    their distinct, so the join adds no shuffle, and the union size is a global
+    count over the same joined rows (its exchange is reused)."""
+    a = want.select(F.col(key).alias("_w")).distinct()
+    b = current.select(F.col(key).alias("_c")).distinct()
+    j = a.join(b, F.col("_w") == F.col("_c"), "full_outer")
+    changes = j.where(F.col("_w").isNull() | F.col("_c").isNull()).select(
+        F.coalesce("_w", "_c").alias(key), F.when(F.col("_c").isNull(), "add").otherwise("remove").alias("change"))
+    size = j.agg(F.count(F.lit(1)).alias(key)).withColumn("change", F.lit("union_size"))
+    return changes.unionByName(size)
 
 
 def remove_by_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
