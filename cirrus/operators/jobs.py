@@ -102,11 +102,17 @@ GEN_MULT = 48271               # Park-Miller "minimal standard" multiplier
 GEN_MOD = 2147483647           # 2^31 - 1; id * GEN_MULT stays in a long up to ~1.9e14 rows
 
 
+ROWS_PER_GEN_PARTITION = 5_000_000
+
+
 def gen_rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
     """``n`` sortable rows (id, 10-digit pseudo-random key, payload), generated
     in parallel by ``spark.range``; deterministic, so reruns and lost tasks
-    regenerate identical rows."""
-    r = spark.range(0, n, 1, partitions) if partitions else spark.range(0, n)
+    regenerate identical rows. By default there are enough partitions for at
+    most ``ROWS_PER_GEN_PARTITION`` rows each (and at least one per core)."""
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_GEN_PARTITION))
+    r = spark.range(0, n, 1, partitions)
     key = F.lpad(((F.col("id") * F.lit(GEN_MULT)) % F.lit(GEN_MOD)).cast("string"), 10, "0")
     return r.select("id", key.alias("key"),
                     F.concat(F.lit("payload-"), F.col("id").cast("string")).alias("payload"))

@@ -18,6 +18,7 @@ def spark():
     from pyspark import SparkConf
     if not SparkConf().get("spark.checkpoint.dir", None):
         extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="cirrus-test-ckpt-")
+    extra["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="cirrus-test-warehouse-")
     s = get_session("local[*]", app="cirrus-tests", shuffle_partitions=8, extra=extra)
     yield s
     s.stop()

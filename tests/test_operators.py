@@ -256,3 +256,20 @@ def test_expand_id_array_keeps_order_and_nulls(spark):
     recs = spark.createDataFrame([(2, "two"), (3, "three")], "id int, name string")
     r = expand_id_array(owners, "o", "ids", recs, "id", "recs").first()["recs"]
     assert [x["name"] if x else None for x in r] == ["three", None, "two"]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, sf_small):
+    from cirrus.sources.files import save_bucketed
+    from cirrus.sources.tables import Tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, sf_small)
+        o = save_bucketed(t.orders.select("o_orderkey", "o_custkey"), "orders_b", "o_orderkey", 8)
+        li = save_bucketed(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity"),
+                           "lineitem_b", "o_orderkey", 8)
+        j = o.join(li, "o_orderkey")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == t.lineitem.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
