@@ -161,13 +161,13 @@ def _ip():
 SELECT CAST(o.o_orderkey AS VARCHAR) || '_' || {IP_SQL} AS target_id,
        'server-' || CAST(o.o_orderkey AS VARCHAR) || ': ' || {IP_SQL} AS target_name
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-WHERE NOT starts_with(CASE WHEN o.o_orderstatus = 'P' THEN 'network:dhcp' ELSE 'compute:nova' END, 'network:')
+WHERE NOT starts_with(CASE WHEN o.o_orderstatus = 'P' THEN 'network:dhcp' ELSE 'compute:server' END, 'network:')
 """)
 def join_address_targets(spark, sf_dir):
     """One target per port address; ports owned by 'network:*' are skipped."""
     t = Tables(spark, sf_dir)
     ports = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "network:dhcp")
-                            .otherwise("compute:nova").alias("device_owner"))
+                            .otherwise("compute:server").alias("device_owner"))
     ports = ports.where(~F.col("device_owner").startswith("network:"))
     addr = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_partkey", "l_linenumber")
     j = ports.join(addr, "o_orderkey")

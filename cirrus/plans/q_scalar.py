@@ -203,9 +203,9 @@ def admin_state(spark, sf_dir):
 
 
 # Resource type and status texts assigned to parts (data derivation for the classifier).
-RESOURCE_TYPES = ["AWS::EC2::Instance", "OS::Nova::Server", "AWS::ElasticLoadBalancing::LoadBalancer",
-                  "AWS::RDS::DBInstance", "OS::Trove::Database", "OS::Heat::stack", "OS::Neutron::Port",
-                  "AWS::CloudFormation::Stack"]
+RESOURCE_TYPES = ["Cloud::Compute::Instance", "Cloud::Compute::Server", "Cloud::Net::LoadBalancer",
+                  "Cloud::Data::DBInstance", "Cloud::Data::Database", "Cloud::Orchestration::stack", "Cloud::Net::Port",
+                  "Cloud::Orchestration::Stack"]
 RESOURCE_STATUSES = ["CREATE_IN_PROGRESS", "CREATE_FAILED", "DELETE_COMPLETE", "INIT_COMPLETE", "CREATE_COMPLETE",
                      "UPDATE_IN_PROGRESS"]
 

@@ -176,7 +176,7 @@ def test_rule_text(spark):
 
 
 def test_classify(spark):
-    rows = [("AWS::RDS::DBInstance",), ("OS::Nova::Server",), ("OS::Heat::Stack",)]
+    rows = [("Cloud::Data::DBInstance",), ("Cloud::Compute::Server",), ("Cloud::Orchestration::Stack",)]
     assert one(spark, D.classify_type(F.col("x")), rows=rows) == ["DB", "SERVER", "UNKNOWN"]
 
 
