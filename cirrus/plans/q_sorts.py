@@ -9,7 +9,6 @@ WindowGroupLimit, so a huge group never reaches one task whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cirrus.functions import display as D

@@ -1,10 +1,8 @@
 """Literal cases (the expectations the original tests pin) and operator properties."""
 
 import datetime as dt
-import math
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cirrus.functions import display as D
