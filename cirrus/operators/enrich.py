@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.operators.joins import lookup
+from cirrus.operators.joins import anti_join, lookup, semi_join
 
 
 def ordered_text(df: DataFrame, owner: str, pos: str, item: str, sep: str) -> DataFrame:
@@ -50,10 +50,8 @@ def add_missing_edges(edges: DataFrame, wanted: DataFrame, keys: Sequence[str],
     """Edges of the owners in ``wanted``, plus a placeholder edge for every wanted
     (owner, target) pair that has no edge row (``placeholder = true``)."""
     keys = list(keys)
-    owners = wanted.select(owner).distinct()
-    present = edges.join(owners, owner, "left_semi").select(*keys, F.lit(False).alias("placeholder"))
-    missing = wanted.select(*keys).join(edges.select(*keys), keys, "left_anti") \
-        .select(*keys, F.lit(True).alias("placeholder"))
+    present = semi_join(edges, wanted, owner).select(*keys, F.lit(False).alias("placeholder"))
+    missing = anti_join(wanted.select(*keys), edges, keys).select(*keys, F.lit(True).alias("placeholder"))
     return present.unionByName(missing)
 
 
@@ -72,8 +70,8 @@ def diff_grants(want: DataFrame, current: DataFrame, acting_user, admin_role: st
     current-not-wanted, 'blocked' when that revoke would drop the acting user's
     own admin role."""
     keys = ["user_id", "role"]
-    add = want.join(current, keys, "left_anti").withColumn("action", F.lit("add"))
-    rev = current.join(want, keys, "left_anti").withColumn(
+    add = anti_join(want, current, keys).withColumn("action", F.lit("add"))
+    rev = anti_join(current, want, keys).withColumn(
         "action", F.when((F.col("user_id") == F.lit(acting_user)) & (F.col("role") == F.lit(admin_role)),
                          F.lit("blocked")).otherwise(F.lit("revoke")))
     return add.unionByName(rev)

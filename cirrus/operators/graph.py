@@ -33,8 +33,9 @@ def dependency_edges(nodes: DataFrame, node_id: str, required_by: str) -> DataFr
     """(source, target) pairs from each node's ``required_by`` list; targets must
     be existing nodes; duplicate pairs removed."""
     edges = nodes.select(F.col(node_id).alias("source"), F.explode(required_by).alias("target"))
+    from cirrus.operators.joins import semi_join
     existing = nodes.select(F.col(node_id).alias("target"))
-    return edges.join(existing, "target", "left_semi").select("source", "target").distinct()
+    return semi_join(edges, existing, "target").select("source", "target").distinct()
 
 
 def assemble(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -22,7 +22,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 def union_if_absent(listed: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``listed`` plus the rows of ``extra`` whose key is not listed yet."""
-    return listed.unionByName(extra.join(listed.select(*keys), list(keys), "left_anti"))
+    from cirrus.operators.joins import anti_join
+    return listed.unionByName(anti_join(extra, listed, list(keys)))
 
 
 def merge_defaults(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:

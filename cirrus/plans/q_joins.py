@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cirrus.functions import display as D
 from cirrus.operators import enrich as EN
-from cirrus.operators.joins import label_or_id, lookup
+from cirrus.operators.joins import anti_join, label_or_id, lookup, semi_join
 from cirrus.plans import views as V
 from cirrus.plans.registry import query
 from cirrus.sources.tables import Tables
@@ -334,7 +334,7 @@ def semi_has_meter(spark, sf_dir):
     """Resources having any sample whose meter is one of the chosen meters."""
     t = Tables(spark, sf_dir)
     links = t.events.where(F.col("event_type").isin("purchase", "signup")).select(F.col("user_id").alias("c_custkey"))
-    return t.customer.select("c_custkey").join(links, "c_custkey", "left_semi")
+    return semi_join(t.customer.select("c_custkey"), links, "c_custkey")
 
 
 @query("semi_group_in_project", section=S, sql="""
@@ -346,7 +346,7 @@ def semi_group_in_project(spark, sf_dir):
     t = Tables(spark, sf_dir)
     roles = t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")) \
         .select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.select("c_custkey", "c_name").join(roles, "c_custkey", "left_semi")
+    return semi_join(t.customer.select("c_custkey", "c_name"), roles, "c_custkey")
 
 
 # Fixed display titles of the meters (our event types).
@@ -363,7 +363,7 @@ def semi_instance_meters(spark, sf_dir):
     """Distinct, sorted meter names of instance resources with their title ('' when none)."""
     t = Tables(spark, sf_dir)
     inst = t.customer.where(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").alias("user_id"))
-    meters = t.events.select("user_id", "event_type").join(inst, "user_id", "left_semi") \
+    meters = semi_join(t.events.select("user_id", "event_type"), inst, "user_id") \
         .select(F.col("event_type").alias("meter")).distinct()
     titles = F.create_map(*[x for k, v in METER_TITLES.items() for x in (F.lit(k), F.lit(v))])
     return meters.select("meter", F.coalesce(titles[F.col("meter")], F.lit("")).alias("title")).orderBy("meter")
@@ -379,7 +379,7 @@ def anti_non_members(spark, sf_dir):
     t = Tables(spark, sf_dir)
     members = t.orders.where((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")) \
         .select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.where(F.col("c_nationkey") == 3).select("c_custkey").join(members, "c_custkey", "left_anti")
+    return anti_join(t.customer.where(F.col("c_nationkey") == 3).select("c_custkey"), members, "c_custkey")
 
 
 @query("anti_missing_edge", section=S, sql="""
@@ -415,7 +415,7 @@ def anti_changed_files(spark, sf_dir):
     local = t.documents.select(key.alias("key"), F.col("n_chars").alias("size"))
     remote = t.labels.join(t.documents.select("doc_id", "source", "n_chars"), "doc_id") \
         .select(key.alias("key"), (F.col("n_chars") + F.col("toxic")).alias("size"))
-    return local.join(remote, ["key", "size"], "left_anti")
+    return anti_join(local, remote, ["key", "size"])
 
 
 @query("diff_snapshots", section=S, sql="""
