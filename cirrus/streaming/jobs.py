@@ -34,6 +34,21 @@ def run_available_now(stream: DataFrame, on_batch: BatchFn, checkpoint: str,
     return q
 
 
+def start_polling(stream: DataFrame, on_batch: BatchFn, checkpoint: str, every: str,
+                  output_mode: str = "append") -> StreamingQuery:
+    """Run continuously, one micro-batch per interval (the polling cadence of the
+    source behaviour: rows refresh every 2.5 s, the job queue every 5 s, logs every
+    3 s). Returns the running query; the caller stops it."""
+    return (stream.writeStream.outputMode(output_mode).foreachBatch(on_batch)
+            .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+
+
+# Polling intervals of the source behaviours.
+ROW_REFRESH_EVERY = "2500 milliseconds"
+JOB_QUEUE_EVERY = "5 seconds"
+LOG_SYNC_EVERY = "3 seconds"
+
+
 # --- job queue ----------------------------------------------------------------------------
 
 def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int = 1) -> DataFrame:

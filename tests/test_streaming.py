@@ -46,3 +46,23 @@ def test_job_queue_takes_each_item_once(spark, sf_small):
                                route="role")
     assert out.count() == c.count()
     assert out.select("conv_id", "turn").distinct().count() == c.select("conv_id", "turn").distinct().count()
+
+
+def test_polling_trigger_processes_new_files(spark, sf_small):
+    """A continuously polling stream picks up files that arrive after it started."""
+    import time
+    src = scratch_dir(spark, "poll_src")
+    out = scratch_dir(spark, "poll_out")
+    ckpt = scratch_dir(spark, "poll_ckpt")
+    e = Tables(spark, sf_small).events
+    e.limit(10).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(src)
+    q = SJ.start_polling(stream, SJ.change_log(out), ckpt, every="500 milliseconds")
+    try:
+        q.processAllAvailable()
+        e.write.mode("append").parquet(src)
+        time.sleep(1.0)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == 10 + e.count()
