@@ -85,4 +85,4 @@ def series_points(period_stats: DataFrame, key: str, attr: str = "avg") -> DataF
     pts = period_stats.select(key, F.struct(
         F.substring(F.date_format("duration_end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 1, 19).alias("x"),
         F.col(attr).cast("double").alias("y")).alias("pt"))
-    return pts.groupBy(key).agg(F.array_sort(F.collect_list("pt")).alias("points"))
+    return pts.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list("pt")).alias("points"))

@@ -84,8 +84,9 @@ SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
 def agg_flatten_usage(spark, sf_dir):
     """Per-owner arrays of usage structs flattened back to rows (``inline``)."""
     li = Tables(spark, sf_dir).lineitem
-    nested = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))
-                                          .alias("server_usages"))
+    from cirrus.operators.enrich import cluster_by
+    nested = cluster_by(li, "l_orderkey").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")).alias("server_usages"))
     return U.flatten_usage(nested, "server_usages", ["l_orderkey"])
 
 
@@ -367,8 +368,9 @@ FROM lineitem GROUP BY l_orderkey
 """)
 def collect_distinct_ids(spark, sf_dir):
     """Distinct group ids over all ports of a server (parts over an order's lines)."""
-    li = Tables(spark, sf_dir).lineitem
-    return li.groupBy("l_orderkey").agg(
+    from cirrus.operators.enrich import cluster_by
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_partkey")
+    return cluster_by(li, "l_orderkey").groupBy("l_orderkey").agg(
         F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), ",").alias("group_ids"))
 
 
@@ -389,8 +391,9 @@ def concat_lines(spark, sf_dir):
         F.lit("10."), (F.col("l_suppkey") % 256).cast("string"), F.lit("."), (F.col("l_partkey") % 256).cast("string"),
         F.lit("."), F.col("l_linenumber").cast("string")))
     line = F.concat(ip, F.lit(" node-"), F.col("l_linenumber").cast("string"))
+    from cirrus.operators.enrich import cluster_by
     members = li.select("l_orderkey", line.alias("line")).where(F.col("line").isNotNull())
-    return members.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("hosts"))
+    return cluster_by(members, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("hosts"))
 
 
 @query("all_services_up", section=S, sql="""
