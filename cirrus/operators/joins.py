@@ -20,9 +20,19 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
+_PROBES: dict[tuple, bool] = {}
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (bounded probe)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` holds at most ``max_rows`` rows (bounded probe).
+
+    The answer is remembered per (plan, input files, bound) in this process, so
+    a dimension probed by several queries is read once; new or rewritten files
+    change the file list and force a new probe."""
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    if key not in _PROBES:
+        _PROBES[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _PROBES[key]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
