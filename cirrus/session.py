@@ -26,18 +26,43 @@ DEFAULT_CONF = {
 }
 
 
+#: Settings for the ~100 TB target (applied with ``profile="cluster"``). The
+#: initial shuffle width is generous and AQE coalesces it to ~256 MB partitions;
+#: skewed join partitions above 1 GB (and 5x the median) are split; executors
+#: being decommissioned hand their shuffle and cached blocks to peers so a lost
+#: node does not force stage recomputation; tasks retry before a job fails.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
 def get_session(master: str | None = None, app: str = "cirrus",
-                shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra: dict | None = None,
+                profile: str = "local") -> SparkSession:
     """Build (or reuse) a session with the library's defaults.
 
-    On a cluster ``master`` stays None (spark-submit decides) and
-    ``spark.sql.shuffle.partitions`` should be sized so one partition of the
-    largest shuffle is ~128-256 MB; in tests it is the core count.
+    On a cluster ``master`` stays None (spark-submit decides), ``profile="cluster"``
+    adds :data:`CLUSTER_CONF`, and ``spark.checkpoint.dir`` must name a shared
+    folder. In tests the shuffle width is the core count.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
