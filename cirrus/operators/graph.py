@@ -23,7 +23,7 @@ def listing_level(keys: DataFrame, key: str, depth: int = 1, delimiter: str = "/
     parts = F.split(F.col(key), delimiter)
     k = keys.select(parts.alias("_p")).where(F.size("_p") > depth)
     prefix = F.concat(F.array_join(F.slice("_p", 1, depth), delimiter), F.lit(delimiter))
-    entry = F.element_at("_p", depth + 1)
+    entry = F.try_element_at(F.col("_p"), F.lit(depth + 1))
     kind = F.when(F.size("_p") > depth + 1, F.lit("folder")).otherwise(F.lit("object"))
     return k.groupBy(prefix.alias("prefix"), entry.alias("entry"), kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("n_keys"))

@@ -35,7 +35,7 @@ def size_text_bytes(text: Column) -> Column:
 
 def ip_sort_keys(ip: Column) -> list[Column]:
     parts = F.split(ip, r"\.")
-    return [F.element_at(parts, i).try_cast("int") for i in range(1, 5)]
+    return [F.try_element_at(parts, F.lit(i)).try_cast("int") for i in range(1, 5)]
 
 
 def sort_by_ip(df: DataFrame, ip: str, tiebreak: str | None = None) -> DataFrame:

@@ -356,24 +356,35 @@ def admission_check(spark, sf_dir):
     return QU.admission_check(V.tenant_quota(t.customer), tally)
 
 
-@query("row_quality_check", section=S, sql="""
+CIDR_SQL = """CASE WHEN l_linenumber = 7
+              THEN 'fe80::' || hex(l_partkey) || '/' || CAST(l_partkey % 140 AS VARCHAR)
+            WHEN l_linenumber = 6 THEN CAST(l_suppkey % 300 AS VARCHAR) || '/' || CAST(l_partkey % 40 AS VARCHAR)
+            ELSE CAST(l_suppkey % 300 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) || '.0.0/'
+                 || CAST(l_linenumber * 6 AS VARCHAR) END"""
+
+
+@query("row_quality_check", section=S, sql=f"""
 WITH r AS (
   SELECT CAST(l_partkey * 37 % 70000 AS BIGINT) AS port,
          CAST(l_quantity AS BIGINT) * 1000 AS lo, CAST(l_quantity AS BIGINT) * 1000 + (l_linenumber - 4) * 100 AS hi,
          CASE l_returnflag WHEN 'A' THEN 'tcp' WHEN 'N' THEN 'UDP' ELSE 'gre' END AS proto,
-         CAST(l_suppkey % 300 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) || '.0.0/'
-           || CAST(l_linenumber * 6 AS VARCHAR) AS cidr
+         {CIDR_SQL} AS cidr
   FROM lineitem),
 v AS (
   SELECT port IS NOT NULL AND port BETWEEN 1 AND 65535 AS port_ok,
          lo BETWEEN 1 AND 65535 AND hi BETWEEN 1 AND 65535 AND lo <= hi AS range_ok,
          coalesce(lower(proto) IN ('tcp', 'udp', 'icmp'), false) AS proto_ok,
-         coalesce(regexp_full_match(cidr, '(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})/(\\d{1,2})')
-           AND CAST(split_part(cidr, '.', 1) AS INTEGER) <= 255
-           AND CAST(split_part(cidr, '.', 2) AS INTEGER) <= 255
-           AND CAST(split_part(cidr, '.', 3) AS INTEGER) <= 255
-           AND CAST(split_part(split_part(cidr, '.', 4), '/', 1) AS INTEGER) <= 255
-           AND CAST(split_part(cidr, '/', 2) AS INTEGER) <= 32, false) AS cidr_ok
+         coalesce(CASE WHEN len(string_split(cidr, '/')) > 2 THEN false
+                       WHEN contains(string_split(cidr, '/')[1], ':')
+                       THEN regexp_full_match(string_split(cidr, '/')[1], '{Q.V6}')
+                            AND (len(string_split(cidr, '/')) = 1
+                                 OR (regexp_full_match(string_split(cidr, '/')[2], '[0-9]{{1,3}}')
+                                     AND TRY_CAST(string_split(cidr, '/')[2] AS INTEGER) BETWEEN 0 AND 128))
+                       ELSE regexp_full_match(string_split(cidr, '/')[1], '{Q.V4_SHORT}')
+                            AND (len(string_split(cidr, '/')) = 1
+                                 OR (regexp_full_match(string_split(cidr, '/')[2], '[0-9]{{1,3}}')
+                                     AND TRY_CAST(string_split(cidr, '/')[2] AS INTEGER) BETWEEN 0 AND 32)) END,
+                  false) AS cidr_ok
   FROM r)
 SELECT 'port' AS rule, CAST(count(*) FILTER (WHERE port_ok) AS BIGINT) AS n_pass,
        CAST(count(*) FILTER (WHERE NOT port_ok) AS BIGINT) AS n_fail FROM v
@@ -382,17 +393,23 @@ UNION ALL SELECT 'protocol', count(*) FILTER (WHERE proto_ok), count(*) FILTER (
 UNION ALL SELECT 'cidr', count(*) FILTER (WHERE cidr_ok), count(*) FILTER (WHERE NOT cidr_ok) FROM v
 """)
 def row_quality_check(spark, sf_dir):
-    """Port, port-range, protocol and CIDR rules over derived rule rows; pass and
+    """Port, port-range, protocol and CIDR (IPv4 incl. short forms, or IPv6;
+    mask within the version's range) rules over derived rule rows; pass and
     fail counts per rule from one aggregate."""
     li = Tables(spark, sf_dir).lineitem
+    ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    cidr = (F.when(ln == 7, F.concat(F.lit("fe80::"), F.hex(pk), F.lit("/"), (pk % 140).cast("string")))
+            .when(ln == 6, F.concat((sk % 300).cast("string"), F.lit("/"), (pk % 40).cast("string")))
+            .otherwise(F.concat((sk % 300).cast("string"), F.lit("."), (pk % 256).cast("string"), F.lit(".0.0/"),
+                                (ln * 6).cast("string"))))
     r = li.select(
-        (F.col("l_partkey") * 37 % 70000).cast("bigint").alias("port"),
+        (pk * 37 % 70000).cast("bigint").alias("port"),
         (F.col("l_quantity").cast("bigint") * 1000).alias("lo"),
-        (F.col("l_quantity").cast("bigint") * 1000 + (F.col("l_linenumber") - 4) * 100).alias("hi"),
+        (F.col("l_quantity").cast("bigint") * 1000 + (ln - 4) * 100).alias("hi"),
         F.when(F.col("l_returnflag") == "A", "tcp").when(F.col("l_returnflag") == "N", "UDP")
          .otherwise("gre").alias("proto"),
-        F.concat((F.col("l_suppkey") % 300).cast("string"), F.lit("."), (F.col("l_partkey") % 256).cast("string"),
-                 F.lit(".0.0/"), (F.col("l_linenumber") * 6).cast("string")).alias("cidr"))
+        cidr.alias("cidr"))
     rules = {"port": Q.valid_port(F.col("port")), "port_range": Q.valid_port_range(F.col("lo"), F.col("hi")),
-             "protocol": Q.valid_protocol(F.col("proto")), "cidr": Q.valid_ipv4_cidr(F.col("cidr"))}
+             "protocol": Q.valid_protocol(F.col("proto")),
+             "cidr": Q.valid_ip(F.col("cidr"), Q.IPV4 | Q.IPV6, mask=True)}
     return Q.rule_counts(r, rules)
