@@ -138,6 +138,28 @@ def query_predicate(conditions: Sequence[Mapping]) -> Column:
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
 
 
+def id_conditions(singles: Mapping[str, object] | None = None,
+                  lists: Mapping[str, Sequence] | None = None) -> list[dict]:
+    """``eq`` conditions per field from a single id or a list of ids; a given
+    single id has priority over the field's list."""
+    singles, lists = dict(singles or {}), dict(lists or {})
+    out = []
+    for fld in list(dict.fromkeys([*singles, *lists])):
+        ids = [singles[fld]] if singles.get(fld) else list(lists.get(fld) or [])
+        out += [{"field": fld, "op": "eq", "value": v} for v in ids]
+    return out
+
+
+def range_conditions(field: str, lower=None, upper=None) -> list[dict]:
+    """``ge``/``le`` bounds on a field; a missing bound adds no condition."""
+    out = []
+    if lower is not None:
+        out.append({"field": field, "op": "ge", "value": lower})
+    if upper is not None:
+        out.append({"field": field, "op": "le", "value": upper})
+    return out
+
+
 def filter_query(df: DataFrame, conditions: Sequence[Mapping]) -> DataFrame:
     return df.where(query_predicate(conditions))
 

@@ -187,12 +187,11 @@ WHERE user_id IN (3, 7, 11) AND ts >= TIMESTAMP '2024-01-05 00:00:00'
   AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'click'
 """)
 def filter_query(spark, sf_dir):
-    """(field, op, value) conditions: OR within a field's eq values, AND across."""
-    conds = [{"field": "user_id", "op": "eq", "value": 3}, {"field": "user_id", "op": "eq", "value": 7},
-             {"field": "user_id", "op": "eq", "value": 11},
-             {"field": "ts", "op": "ge", "value": "2024-01-05 00:00:00"},
-             {"field": "ts", "op": "le", "value": "2024-01-20 00:00:00"},
-             {"field": "event_type", "op": "eq", "value": "click"}]
+    """(field, op, value) conditions: OR within a field's eq values, AND across;
+    a single id has priority over the id list of its field."""
+    conds = (TB.id_conditions(singles={"user_id": None, "event_type": "click"},
+                              lists={"user_id": [3, 7, 11], "event_type": ["view", "error"]})
+             + TB.range_conditions("ts", "2024-01-05 00:00:00", "2024-01-20 00:00:00"))
     e = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type", "value")
     return TB.filter_query(e, conds)
 
