@@ -168,6 +168,31 @@ def filter_equal_attrs(df: DataFrame, **attrs) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in attrs.items()]))
 
 
+def ownership_categories(is_public: Column, owner: Column, user_tenant: str,
+                         filter_tenants: Sequence[str] = ()) -> Column:
+    """Categories of a shared resource: 'public' when public; then 'project' when
+    owned by the user's tenant, else the owner's id when it is one of the
+    filter tenants, else 'shared' when not public. A public resource of another
+    tenant is therefore only 'public'; one of the user's is both."""
+    pub = F.coalesce(is_public, F.lit(False))
+    own = (F.when(owner == F.lit(user_tenant), F.lit("project"))
+           .when(owner.isin(list(filter_tenants)), owner) if filter_tenants
+           else F.when(owner == F.lit(user_tenant), F.lit("project")))
+    own = own.when(~pub, F.lit("shared"))
+    return F.array_compact(F.array(F.when(pub, F.lit("public")), own))
+
+
+def category_counts(df: DataFrame, categories: str, buttons: Sequence[str]) -> DataFrame:
+    """Rows per category for a fixed list of buttons (zero when empty), from one
+    aggregate over the exploded categories."""
+    counts = df.select(F.explode(categories).alias("category")).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"))
+    spark = df.sparkSession
+    btn = spark.createDataFrame([(b, i) for i, b in enumerate(buttons)], "category string, pos int")
+    return btn.join(counts, "category", "left").select(
+        "category", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def filter_by_category(df: DataFrame, categories: str, value: str | None) -> DataFrame:
     """Rows whose category array holds ``value``; an empty value keeps every row."""
     return df if not value else df.where(F.array_contains(F.col(categories), value))

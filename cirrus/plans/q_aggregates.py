@@ -300,18 +300,21 @@ def quota_fraction(spark, sf_dir):
 # --- counts ---------------------------------------------------------------------------------
 
 @query("count_categories", section=S, sql="""
-SELECT category, count(*) AS n FROM (
-  SELECT unnest(list_filter([CASE WHEN lang = 'en' THEN 'english' END,
-             CASE WHEN n_chars > 5000 THEN 'long' END,
-             CASE WHEN contains(lower(text), 'licen') THEN 'licensed' END], lambda x: x IS NOT NULL)) AS category
-  FROM documents) GROUP BY category
+WITH c AS (SELECT unnest(list_filter([CASE WHEN lang = 'en' THEN 'public' END,
+             CASE WHEN source = 'src1' THEN 'project' WHEN source IN ('src2', 'src3') THEN source
+                  WHEN NOT coalesce(lang = 'en', false) THEN 'shared' END], lambda x: x IS NOT NULL)) AS category
+           FROM documents),
+b AS (SELECT * FROM (VALUES ('project'), ('src2'), ('src3'), ('shared'), ('public')) t(category))
+SELECT b.category, CAST(count(c.category) AS BIGINT) AS n FROM b LEFT JOIN c ON c.category = b.category
+GROUP BY b.category
 """)
 def count_categories(spark, sf_dir):
-    """Multi-label categories per row, counted per category."""
-    from cirrus.plans.q_filters import doc_categories
-    d = Tables(spark, sf_dir).documents
-    return d.select(F.explode(doc_categories()).alias("category")).groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Multi-label ownership categories per document, counted for each filter
+    button (project, the named tenants, shared, public); empty buttons show 0."""
+    from cirrus.operators.table import category_counts
+    from cirrus.plans.q_filters import FILTER_TENANTS, doc_categories
+    d = Tables(spark, sf_dir).documents.select(doc_categories().alias("cats"))
+    return category_counts(d, "cats", ["project", *FILTER_TENANTS, "shared", "public"])
 
 
 @query("count_rows_shown", section=S, sql="""

@@ -206,26 +206,30 @@ def filter_equal_attrs(spark, sf_dir):
         .select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+# documents as shared images: public = English, owner = source; the user's tenant
+# is src1 and the tenants with their own filter button are src2 and src3
+USER_TENANT = "src1"
+FILTER_TENANTS = ["src2", "src3"]
+
+
 def doc_categories():
-    """Multi-label categories of a document (a row may carry several)."""
-    return F.array_compact(F.array(
-        F.when(F.col("lang") == "en", F.lit("english")),
-        F.when(F.col("n_chars") > 5000, F.lit("long")),
-        F.when(F.lower(F.col("text")).contains("licen"), F.lit("licensed"))))
+    """Ownership categories of a document (a row may carry two)."""
+    return TB.ownership_categories(F.col("lang") == "en", F.col("source"), USER_TENANT, FILTER_TENANTS)
 
 
-DOC_CATEGORIES_SQL = """list_filter([CASE WHEN lang = 'en' THEN 'english' END,
-             CASE WHEN n_chars > 5000 THEN 'long' END,
-             CASE WHEN contains(lower(text), 'licen') THEN 'licensed' END], lambda x: x IS NOT NULL)"""
+DOC_CATEGORIES_SQL = """list_filter([CASE WHEN lang = 'en' THEN 'public' END,
+             CASE WHEN source = 'src1' THEN 'project' WHEN source IN ('src2', 'src3') THEN source
+                  WHEN NOT coalesce(lang = 'en', false) THEN 'shared' END], lambda x: x IS NOT NULL)"""
 
 
 @query("filter_by_category", section=S, sql=f"""
 SELECT doc_id, n_chars FROM (SELECT *, {DOC_CATEGORIES_SQL} AS cats FROM documents)
-WHERE list_contains(cats, 'long')
+WHERE list_contains(cats, 'shared')
 """)
 def filter_by_category(spark, sf_dir):
+    """Rows in the category of the pressed button ('shared'); no value -> all rows."""
     d = Tables(spark, sf_dir).documents.withColumn("cats", doc_categories())
-    return TB.filter_by_category(d, "cats", "long").select("doc_id", "n_chars")
+    return TB.filter_by_category(d, "cats", "shared").select("doc_id", "n_chars")
 
 
 @query("filter_not_in_nullsafe", section=S, sql="""

@@ -308,3 +308,10 @@ def test_id_conditions_single_overrides_list():
                              lists={"user_id": ["a", "b"], "project_id": ["p1", "p2"]})
     assert [(c["field"], c["value"]) for c in conds] == [("user_id", "u1"), ("project_id", "p1"), ("project_id", "p2")]
     assert TB.range_conditions("ts", None, "x") == [{"field": "ts", "op": "le", "value": "x"}]
+
+
+def test_ownership_categories(spark):
+    df = spark.createDataFrame([(True, "me"), (True, "other"), (False, "other"), (False, "t2"), (True, "t2")],
+                               "pub boolean, owner string")
+    got = [r[0] for r in df.select(TB.ownership_categories(F.col("pub"), F.col("owner"), "me", ["t2"])).collect()]
+    assert got == [["public", "project"], ["public"], ["shared"], ["t2"], ["public", "t2"]]
