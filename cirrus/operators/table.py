@@ -239,7 +239,7 @@ def split_key(key: Column, n: int = 3, sep: str = "__") -> Column:
 
 # --- summary row and paging --------------------------------------------------------------
 
-def page_after_marker(df: DataFrame, key: str, marker, page_size: int) -> DataFrame:
+def page_after_marker(df: DataFrame, key: str, marker, page_size: int, api_limit: int | None = None) -> DataFrame:
     """Keyset paging: rows with ``key > marker`` in key order. ``page_size + 1``
     rows are fetched (a top-k, never a full sort); the extra row only sets
     ``has_more``. ``next_marker`` is the last key of the page when there is more.
@@ -252,6 +252,8 @@ def page_after_marker(df: DataFrame, key: str, marker, page_size: int) -> DataFr
               .withColumn("_n", F.count(F.lit(1)).over(allw)))
     page = ranked.where(F.col("_rn") <= page_size)
     has_more = F.col("_n") > page_size
+    if api_limit is not None:   # a service that returned exactly its hard limit may have more
+        has_more = has_more | (F.col("_n") == api_limit)
     return (page.withColumn("has_more", has_more)
                 .withColumn("next_marker", F.when(has_more, F.max(F.col(key)).over(allw)))
                 .drop("_rn", "_n"))
