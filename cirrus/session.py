@@ -23,6 +23,11 @@ DEFAULT_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # long-running drivers: keep little per-query history in driver memory
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "100",
+    "spark.ui.retainedTasks": "10000",
 }
 
 
