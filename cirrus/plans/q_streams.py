@@ -81,6 +81,8 @@ def stream_period_stats(spark, sf_dir):
     event-time windows with a watermark, update mode, changed windows logged
     per batch and folded on read."""
     stream = _table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", "1 day", "2 days")
+    import datetime as dt
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400, "2 days",
+                           origin=dt.datetime(2024, 1, 1))
     return cur.select(F.col("user_id").alias("resource"), F.col("event_type").alias("meter"),
                       F.col("period_start").cast("timestamp_ntz").alias("period_start"), *SJ.rounded_stats(cur))

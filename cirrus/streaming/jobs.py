@@ -12,6 +12,7 @@ and stops: the batch twin of each stream is what it must equal.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,23 +133,31 @@ def sync_logs(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFram
 
 # --- period statistics ----------------------------------------------------------------------
 
-def period_stats_stream(stream: DataFrame, ts: str, keys: Sequence[str], volume: str, period: str,
-                        watermark: str) -> DataFrame:
+def period_window(ts: str, period_s: int, origin: dt.datetime | None = None) -> Column:
+    """Tumbling event-time window of ``period_s`` seconds whose buckets start at
+    ``origin`` (the batch rule), not at the epoch: the window's start offset is
+    the origin's distance from the epoch modulo the period."""
+    offset = 0 if origin is None else int((origin - dt.datetime(1970, 1, 1)).total_seconds()) % period_s
+    return F.window(ts, f"{period_s} seconds", startTime=f"{offset} seconds")
+
+
+def period_stats_stream(stream: DataFrame, ts: str, keys: Sequence[str], volume: str, period_s: int,
+                        watermark: str, origin: dt.datetime | None = None) -> DataFrame:
     """Windowed statistics kept current as samples arrive; rows later than the
     watermark are dropped (the watermark is our choice; the source has none)."""
     return (stream.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, period).alias("w"), *keys)
+            .groupBy(period_window(ts, period_s, origin).alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("count"), F.min(volume).alias("min"), F.max(volume).alias("max"),
                  F.sum(volume).alias("sum_raw"), F.min(ts).alias("duration_start"), F.max(ts).alias("duration_end")))
 
 
 def stats_current(spark: SparkSession, stream: DataFrame, ts: str, keys: Sequence[str], volume: str,
-                  period: str = "1 day", watermark: str = "1 day") -> DataFrame:
+                  period_s: int = 86400, watermark: str = "1 day", origin: dt.datetime | None = None) -> DataFrame:
     """Run the windowed statistics available-now (update mode; each batch's
     changed windows go to the change log) and return the current table."""
     state = scratch_dir(spark, "stats_state")
     ckpt = scratch_dir(spark, "stats_ckpt")
-    agg = period_stats_stream(stream, ts, keys, volume, period, watermark) \
+    agg = period_stats_stream(stream, ts, keys, volume, period_s, watermark, origin) \
         .select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *keys,
                 "count", "min", "max", "sum_raw", "duration_start", "duration_end")
     run_available_now(agg, change_log(state), ckpt, output_mode="update")

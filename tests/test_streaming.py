@@ -30,7 +30,7 @@ def test_period_stats_over_many_batches(spark, sf_small):
     path = _split_events(spark, sf_small)
     stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
               .withColumn("ts", F.col("ts").cast("timestamp")))
-    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", "1 day", "40 days")
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400, "40 days")
     got = cur.select("user_id", "event_type", F.col("period_start").cast("timestamp_ntz").alias("d"), "count")
     e = Tables(spark, sf_small).events
     want = e.groupBy("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d")) \
@@ -66,3 +66,20 @@ def test_polling_trigger_processes_new_files(spark, sf_small):
     finally:
         q.stop()
     assert spark.read.parquet(out).count() == 10 + e.count()
+
+
+def test_period_stats_window_origin_matches_batch(spark, sf_small):
+    """Buckets of an odd period start at the query origin in both forms."""
+    import datetime as dt
+    from cirrus.operators import metering as M
+    origin, period = dt.datetime(2024, 1, 1, 3, 17), 6479
+    e = Tables(spark, sf_small).events.where(F.col("ts") >= F.lit(origin).cast("timestamp_ntz"))
+    path = scratch_dir(spark, "events_origin")
+    e.repartition(3).write.mode("overwrite").parquet(path)
+    stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+              .withColumn("ts", F.col("ts").cast("timestamp")))
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id"], "value", period, "40 days", origin=origin)
+    got = cur.select("user_id", F.col("period_start").cast("timestamp_ntz").alias("p"), "count")
+    want = M.stats_by_period(e.select("ts", "user_id", F.col("value").alias("volume")), ["user_id"], period, origin) \
+        .select("user_id", F.col("period_start").alias("p"), "count")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
