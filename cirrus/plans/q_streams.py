@@ -44,16 +44,24 @@ def stream_job_queue(spark, sf_dir):
 
 
 @query("stream_latest_rows", section=S, sql="""
-SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type,
-       arg_max(value, (ts, event_id)) AS value
-FROM events GROUP BY user_id
+WITH l AS (SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type,
+                  arg_max(value, (ts, event_id)) AS value
+           FROM events GROUP BY user_id)
+SELECT c.c_custkey AS user_id, l.ts, l.event_type, l.value,
+       coalesce(upper(substring(l.event_type, 1, 1)) || substring(l.event_type, 2), 'Terminated') AS state
+FROM customer c LEFT JOIN l ON l.user_id = c.c_custkey
 """)
 def stream_latest_rows(spark, sf_dir):
     """Keep the newest state per row id while samples stream in (update-mode
-    aggregate; each batch's changed rows go to a change log folded on read)."""
+    aggregate; each batch's changed rows go to a change log folded on read),
+    then refresh the recorded rows (customers): an id without live state is
+    marked 'Terminated'."""
+    from cirrus.functions.display import capfirst
     stream = _table_stream(spark, sf_dir, "events")
-    return SJ.keep_latest(spark, stream, "user_id", ["ts", "event_id"], ["ts", "event_type", "value"]) \
-        .select("user_id", "ts", "event_type", "value")
+    latest = SJ.keep_latest(spark, stream, "user_id", ["ts", "event_id"], ["ts", "event_type", "value"])
+    recorded = Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("user_id"))
+    return SJ.mark_missing(recorded, "user_id", latest, capfirst(F.col("event_type"))) \
+        .select("user_id", "ts", "event_type", "value", "state")
 
 
 @query("stream_log_sync", section=S, sql="""

@@ -110,6 +110,16 @@ def keep_latest(spark: SparkSession, stream: DataFrame, key: str, order: Sequenc
     return read_latest(spark, state, [key])
 
 
+def mark_missing(recorded: DataFrame, key: str, latest: DataFrame, state: Column,
+                 missing_label: str = "Terminated") -> DataFrame:
+    """Refresh recorded rows from the latest live state: every recorded id gets
+    its newest row and ``state``; an id the live side no longer has is marked
+    ``missing_label`` (the row refresh's "lookup failed -> Terminated")."""
+    live = latest.withColumn("state", state)
+    return recorded.select(key).join(live, key, "left").withColumn(
+        "state", F.coalesce(F.col("state"), F.lit(missing_label)))
+
+
 # --- log sync -----------------------------------------------------------------------------
 
 def sync_logs(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFrame:
