@@ -141,6 +141,41 @@ def sync_logs(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFram
     return spark.read.parquet(out)
 
 
+def sync_changed(spark: SparkSession, src_dir: str, dest_dir: str, manifest_dir: str, run_id: int) -> DataFrame:
+    """One sync round for files that change in place (growing logs): list the
+    source (metadata only), keep files whose (name, size) is not in the
+    manifest yet, copy their lines into ``dest_dir/run=<id>`` and record their
+    (name, size) in ``manifest_dir/run=<id>``. Rerunning a round overwrites its
+    own folders. Returns the files copied in this round.
+
+    Reading the current copy of a log means taking, per file, the lines of its
+    latest run (see :func:`read_latest`-style folding with ``max_by``)."""
+    from cirrus.operators.joins import anti_join
+    from cirrus.sources.files import list_objects
+    listing = list_objects(spark, src_dir).select("name", "bytes")
+    try:
+        seen = spark.read.parquet(manifest_dir).select("name", "bytes")
+        changed = anti_join(listing, seen, ["name", "bytes"])
+    except Exception:  # noqa: BLE001 - no manifest yet: everything is new
+        changed = listing
+    # the round's work list, fixed before copying (outside the manifest, which
+    # only gains the round once its copy is written)
+    pending = f"{manifest_dir.rstrip('/')}_pending/run={run_id}"
+    changed.write.mode("overwrite").parquet(pending)
+    changed = spark.read.parquet(pending)
+    # Only the changed files are read. Their paths go to the reader, as any file
+    # read's paths do (file metadata, not data, passes through the driver).
+    base = src_dir.rstrip("/") + "/"
+    paths = [base + r["name"] for r in changed.select("name").collect()]
+    if paths:
+        lines = spark.read.text(paths).select(
+            F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + base.split(":", 1)[-1].replace(".", "\\."), "")
+             .alias("name"), "value")
+        lines.write.mode("overwrite").parquet(f"{dest_dir}/run={run_id}")
+    changed.write.mode("overwrite").parquet(f"{manifest_dir}/run={run_id}")
+    return spark.read.parquet(f"{manifest_dir}/run={run_id}")
+
+
 # --- period statistics ----------------------------------------------------------------------
 
 def period_window(ts: str, period_s: int, origin: dt.datetime | None = None) -> Column:

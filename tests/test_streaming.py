@@ -83,3 +83,24 @@ def test_period_stats_window_origin_matches_batch(spark, sf_small):
     want = M.stats_by_period(e.select("ts", "user_id", F.col("value").alias("volume")), ["user_id"], period, origin) \
         .select("user_id", F.col("period_start").alias("p"), "count")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_sync_changed_copies_new_and_grown_files(spark):
+    import os
+    src = scratch_dir(spark, "sync_src")
+    dest, manifest = scratch_dir(spark, "sync_dest"), scratch_dir(spark, "sync_manifest")
+    local = src[len("file:"):] if src.startswith("file:") else src
+    with open(os.path.join(local, "a.log"), "w") as f:
+        f.write("one\ntwo\n")
+    with open(os.path.join(local, "b.log"), "w") as f:
+        f.write("x\n")
+    first = sorted(r["name"] for r in SJ.sync_changed(spark, src, dest, manifest, 0).collect())
+    assert first == ["a.log", "b.log"]
+    with open(os.path.join(local, "a.log"), "a") as f:          # the log grows
+        f.write("three\n")
+    second = sorted(r["name"] for r in SJ.sync_changed(spark, src, dest, manifest, 1).collect())
+    assert second == ["a.log"]
+    third = SJ.sync_changed(spark, src, dest, manifest, 2).count()
+    assert third == 0
+    copied = spark.read.parquet(f"{dest}/run=1").where(F.col("name") == "a.log").count()
+    assert copied == 3
