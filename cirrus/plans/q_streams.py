@@ -71,8 +71,9 @@ def stream_log_sync(spark, sf_dir):
     """Log files (documents written as text, one folder per source) copied line by
     line as they appear; each file taken once."""
     logs = scratch_dir(spark, "logs")
-    Tables(spark, sf_dir).documents.select("source", F.col("text").alias("value")) \
-        .write.mode("overwrite").partitionBy("source").text(logs)
+    from cirrus.sources.files import write_partitioned
+    write_partitioned(Tables(spark, sf_dir).documents.select("source", "doc_id", F.col("text").alias("value")),
+                      logs, "source", fmt="text", spread_key="doc_id", drop=("doc_id",))
     return SJ.sync_logs(spark, logs + "/*", max_files=FILES_PER_BATCH).select("value")
 
 
