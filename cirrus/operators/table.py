@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +71,7 @@ class TableSpec:
 
 
 def safe_name(name: str) -> str:
-    """Keys holding ':' are renamed with '__' (e.g. 'OS-EXT:host' -> 'OS-EXT__host')."""
+    """Keys holding ':' are renamed with '__' (e.g. 'ext:host' -> 'ext__host')."""
     return name.replace(":", "__")
 
 

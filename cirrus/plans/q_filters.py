@@ -21,14 +21,14 @@ TITLE_RE = r"<title>(.*?)</title>"
 
 
 @query("project_columns", section=S, sql="""
-SELECT c_name, c_custkey, c_mktsegment AS "OS-EXT__segment" FROM customer
+SELECT c_name, c_custkey, c_mktsegment AS ext__segment FROM customer
 """)
 def project_columns(spark, sf_dir):
     """Declared columns with inheritance: the parent's columns resolve first, the
     Meta column list keeps and orders them, ':' in a key becomes '__'."""
     base = TB.TableSpec([TB.ColumnSpec("c_custkey"), TB.ColumnSpec("c_name")])
-    spec = TB.TableSpec([TB.ColumnSpec("c_acctbal"), TB.ColumnSpec("OS-EXT:segment", source="c_mktsegment")],
-                        parents=[base], only=["c_name", "c_custkey", "OS-EXT:segment"])
+    spec = TB.TableSpec([TB.ColumnSpec("c_acctbal"), TB.ColumnSpec("ext:segment", source="c_mktsegment")],
+                        parents=[base], only=["c_name", "c_custkey", "ext:segment"])
     return spec.apply(Tables(spark, sf_dir).customer)
 
 
