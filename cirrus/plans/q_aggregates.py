@@ -108,6 +108,8 @@ STATS_SQL = ("count(*) AS count, min(volume) AS min, max(volume) AS max, round(s
 SELECT resource, meter, {STATS_SQL} FROM ({SAMPLES_SQL}) GROUP BY resource, meter
 """)
 def stat_whole_range(spark, sf_dir):
+    """One statistic per (resource, meter) over the whole range: count, min, max, sum, avg,
+    first and last sample time."""
     from cirrus.operators import metering as M
     return M.stats_whole_range(samples(Tables(spark, sf_dir)), ["resource", "meter"])
 
@@ -135,6 +137,7 @@ def stat_by_period(spark, sf_dir):
 SELECT resource, meter, round(sum(volume), 2) / count(*) AS avg FROM ({SAMPLES_SQL}) GROUP BY resource, meter
 """)
 def stat_selected_attr(spark, sf_dir):
+    """Keep one attribute (the average) of each (resource, meter) statistic."""
     from cirrus.operators import metering as M
     st = M.stats_whole_range(samples(Tables(spark, sf_dir)), ["resource", "meter"])
     return M.select_attr(st, ["resource", "meter"], "avg")
@@ -321,6 +324,7 @@ def count_categories(spark, sf_dir):
 SELECT count(*) AS n_rows FROM orders WHERE o_orderstatus = 'O'
 """)
 def count_rows_shown(spark, sf_dir):
+    """Row count of the filtered table (open orders), as the table footer shows it."""
     return Tables(spark, sf_dir).orders.where(F.col("o_orderstatus") == "O").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -330,6 +334,7 @@ SELECT o_custkey AS group_id, count(*) AS instances,
 FROM orders GROUP BY o_custkey
 """)
 def count_group_members(spark, sf_dir):
+    """Per group (customer): instances, live instances and queued jobs."""
     o = Tables(spark, sf_dir).orders
     return o.groupBy(F.col("o_custkey").alias("group_id")).agg(
         F.count(F.lit(1)).alias("instances"), F.count_if(F.col("o_orderstatus") == "O").alias("live"),
@@ -341,6 +346,7 @@ SELECT source AS container, count(*) AS object_count, CAST(sum(n_chars) AS BIGIN
 FROM documents GROUP BY source
 """)
 def container_totals(spark, sf_dir):
+    """Object count and bytes used per container (documents by source)."""
     d = Tables(spark, sf_dir).documents
     return d.groupBy(F.col("source").alias("container")).agg(
         F.count(F.lit(1)).alias("object_count"), F.sum("n_chars").cast("bigint").alias("bytes_used"))

@@ -148,6 +148,7 @@ def row_status(spark, sf_dir):
 SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')
 """)
 def filter_contains(spark, sf_dir):
+    """Case-insensitive substring filter on one column."""
     return TB.filter_contains(Tables(spark, sf_dir).part.select("p_partkey", "p_name"), "p_name", "RING")
 
 
@@ -156,6 +157,7 @@ SELECT p_partkey, p_name, p_type FROM part
 WHERE contains(lower(p_name), 'la') OR contains(lower(p_type), 'la')
 """)
 def filter_contains_any(spark, sf_dir):
+    """Case-insensitive substring filter over several columns (OR); null cells never match."""
     p = Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_type")
     return TB.filter_contains_any(p, ["p_name", "p_type"], "LA")
 
@@ -201,6 +203,7 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'
 """)
 def filter_equal_attrs(spark, sf_dir):
+    """Rows equal to every given attribute value."""
     o = Tables(spark, sf_dir).orders
     return TB.filter_equal_attrs(o, o_orderstatus="O", o_orderpriority="1-URGENT") \
         .select("o_orderkey", "o_custkey", "o_totalprice")
@@ -236,6 +239,7 @@ def filter_by_category(spark, sf_dir):
 SELECT doc_id, source FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src1')
 """)
 def filter_not_in_nullsafe(spark, sf_dir):
+    """Drop listed values but keep nulls (unlike SQL NOT IN)."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "source")
     return TB.filter_not_in_nullsafe(d, "source", ["src0", "src1"])
 
@@ -257,6 +261,7 @@ def filter_kind_split(spark, sf_dir):
 SELECT server_id, tenant_id, state FROM ({V.SERVERS_SQL}) WHERE ended_at IS NULL
 """)
 def filter_active_only(spark, sf_dir):
+    """Hide terminated servers (ended_at set) unless terminated ones are asked for."""
     s = V.servers(Tables(spark, sf_dir).orders)
     return U.filter_active_only(s, show_terminated=False).select("server_id", "tenant_id", "state")
 

@@ -60,6 +60,7 @@ SELECT c.c_custkey, c.c_name, n.n_name AS owner_name
 FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
 """)
 def join_owner_name(spark, sf_dir):
+    """Attach the owner's (project's) name; unknown owners keep a null name."""
     t = Tables(spark, sf_dir)
     nat = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("owner_name"))
     return lookup(t.customer.select("c_custkey", "c_name", "c_nationkey"), nat, "c_nationkey") \
@@ -343,6 +344,7 @@ WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_ord
               AND o.o_orderpriority = '1-URGENT')
 """)
 def semi_group_in_project(spark, sf_dir):
+    """Groups (customers) holding at least one role (open urgent order) in the project."""
     t = Tables(spark, sf_dir)
     roles = t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")) \
         .select(F.col("o_custkey").alias("c_custkey"))

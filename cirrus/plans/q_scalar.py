@@ -59,6 +59,7 @@ def mb_gb_format(spark, sf_dir):
 SELECT doc_id, CAST(ceil(n_chars * 1048576.0 / 1073741824.0) AS BIGINT) AS gb FROM documents
 """)
 def bytes_to_gb_ceil(spark, sf_dir):
+    """Sizes rounded up to whole gigabytes."""
     d = Tables(spark, sf_dir).documents
     return d.select("doc_id", D.bytes_to_gb_ceil(F.col("n_chars") * 1048576).alias("gb"))
 

@@ -26,6 +26,7 @@ S = "2.5"
 SELECT flavor_id, vcpus, ram, disk FROM ({V.FLAVORS_SQL}) ORDER BY vcpus, ram, disk, flavor_id
 """)
 def sort_multi_key(spark, sf_dir):
+    """Flavors sorted by (vcpus, ram, disk), id as the final tiebreak."""
     f = V.flavors(Tables(spark, sf_dir).part)
     return f.select("flavor_id", "vcpus", "ram", "disk").orderBy("vcpus", "ram", "disk", "flavor_id")
 
@@ -43,6 +44,7 @@ def sort_configured(spark, sf_dir):
 SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC
 """)
 def sort_newest_first(spark, sf_dir):
+    """Newest first (date descending, id descending on ties)."""
     o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate")
     return o.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
 
@@ -60,6 +62,7 @@ def sort_flag_first(spark, sf_dir):
 SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey
 """)
 def sort_by_name(spark, sf_dir):
+    """Choice lists sorted by name (id on ties)."""
     return Tables(spark, sf_dir).supplier.select("s_suppkey", "s_name").orderBy("s_name", "s_suppkey")
 
 

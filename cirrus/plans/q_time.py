@@ -79,6 +79,7 @@ SELECT event_id, date_trunc('day', ts) AS day_start, date_trunc('day', ts) + INT
 FROM events
 """)
 def ts_day_bounds(spark, sf_dir):
+    """Start (00:00:00) and end (23:59:59) of each sample's day, UTC."""
     e = Tables(spark, sf_dir).events
     return e.select("event_id", TF.day_start(F.col("ts")).alias("day_start"), TF.day_end(F.col("ts")).alias("day_end"))
 
