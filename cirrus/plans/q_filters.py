@@ -122,9 +122,7 @@ FROM s JOIN orders o ON o.o_orderkey = s.server_id
 """)
 def status_of_value(spark, sf_dir):
     """Status column: first case-insensitive choice gives True/None/False."""
-    o = Tables(spark, sf_dir).orders
-    s = V.servers(o).select("server_id", "state").join(
-        o.select(F.col("o_orderkey").alias("server_id"), "o_orderstatus"), "server_id")
+    s = V.servers(Tables(spark, sf_dir).orders, keep=("o_orderstatus",))
     return s.select("server_id",
                     ST.status_of_value(F.col("state")).alias("state_status"),
                     ST.status_of_value(F.col("o_orderstatus"), [("f", True), ("p", False)]).alias("order_status"))

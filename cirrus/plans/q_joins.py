@@ -138,10 +138,12 @@ def join_fip_chain(spark, sf_dir):
     """Floating IP (line) -> port (order) -> server name (customer); pool name
     (nation of the supplier) falls back to the pool id."""
     t = Tables(spark, sf_dir)
-    j = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(
-        t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left")
-    j = j.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("server_name")),
-               "o_custkey", "left")
+    # Resolve port -> server name on the smaller side first, so the line items
+    # (the largest table) are shuffled once, by order key, not twice.
+    ports = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(
+        t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("server_name")),
+        "o_custkey", "left").select("l_orderkey", "server_name")
+    j = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(ports, "l_orderkey", "left")
     j = lookup(j, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     pools = t.nation.where(F.col("n_regionkey") != 4).select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     j = lookup(j, pools, "s_nationkey")

@@ -31,7 +31,9 @@ FROM orders
 """
 
 
-def servers(orders: DataFrame) -> DataFrame:
+def servers(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Server usage records; ``keep`` passes source columns through (so callers
+    never re-join orders to itself for them)."""
     k = F.col("o_orderkey")
     uptime = F.col("o_totalprice").cast("bigint")
     return orders.select(
@@ -49,6 +51,7 @@ def servers(orders: DataFrame) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", F.lit(None))
          .otherwise(F.timestamp_add("SECOND", uptime, F.col("o_orderdate"))).alias("ended_at"),
         F.col("o_orderpriority").alias("priority"),
+        *keep,
     )
 
 
