@@ -98,6 +98,10 @@ def filter_contains_any(df: DataFrame, columns: Sequence[str], q: str) -> DataFr
 def filter_regex_row(df: DataFrame, columns: Sequence[str], pattern: str) -> DataFrame:
     """Keep rows whose visible cell text (cells concatenated) matches a
     case-insensitive regular expression."""
+    try:
+        re.compile(pattern)
+    except re.error as e:   # a user error, reported before any job runs
+        raise ValueError(f"invalid filter pattern {pattern!r}: {e}") from None
     text = F.concat_ws("", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return df.where(text.rlike("(?i)" + pattern))
 

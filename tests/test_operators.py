@@ -357,3 +357,10 @@ def test_quota_usages_as_in_original_tests(spark):
                  "instances": {"available": 10, "used": 0, "quota": 10},
                  "cores": {"available": 10, "used": 0, "quota": 10}})
     assert _usages(spark, limits, idle) == want
+
+
+def test_regex_filter_rejects_bad_pattern(spark):
+    df = spark.createDataFrame([("Supplier#15",)], "s string")
+    assert TB.filter_regex_row(df, ["s"], "supplier#1[0-9]").count() == 1
+    with pytest.raises(ValueError):
+        TB.filter_regex_row(df, ["s"], "supplier#(")
