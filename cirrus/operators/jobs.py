@@ -105,8 +105,31 @@ GEN_MOD = 2147483647           # 2^31 - 1; id * GEN_MULT stays in a long up to ~
 ROWS_PER_GEN_PARTITION = 5_000_000
 
 
+#: Syllables of generated words, built from a rule (consonant + vowel).
+SYLLABLES = [c + v for c in "bdklmnprst" for v in "aeiou"]
+
+
+def _mix(c: Column) -> Column:
+    return (c * F.lit(GEN_MULT)) % F.lit(GEN_MOD)
+
+
+def gen_word(seed: Column) -> Column:
+    """A pronounceable word of two or three syllables chosen by a hash of ``seed``."""
+    h = _mix(seed)
+    syl = F.array(*[F.lit(x) for x in SYLLABLES])
+    n = len(SYLLABLES)
+    pick = lambda k: F.element_at(syl, (F.floor(h / (n ** k)) % n + 1).cast("int"))
+    return F.concat(pick(0), pick(1), F.when(h % 3 == 0, pick(2)).otherwise(F.lit("")))
+
+
+def gen_text(row_id: Column, words: int = 8) -> Column:
+    """Generated text of ``words`` words for a row (the random-text writer)."""
+    return F.concat_ws(" ", *[gen_word(row_id * words + j) for j in range(words)])
+
+
 def gen_rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
-    """``n`` sortable rows (id, 10-digit pseudo-random key, payload), generated
+    """``n`` sortable rows (id, 10-digit pseudo-random key, payload, generated
+    text), generated
     in parallel by ``spark.range``; deterministic, so reruns and lost tasks
     regenerate identical rows. By default there are enough partitions for at
     most ``ROWS_PER_GEN_PARTITION`` rows each (and at least one per core)."""
@@ -115,4 +138,5 @@ def gen_rows(spark: SparkSession, n: int, partitions: int | None = None) -> Data
     r = spark.range(0, n, 1, partitions)
     key = F.lpad(((F.col("id") * F.lit(GEN_MULT)) % F.lit(GEN_MOD)).cast("string"), 10, "0")
     return r.select("id", key.alias("key"),
-                    F.concat(F.lit("payload-"), F.col("id").cast("string")).alias("payload"))
+                    F.concat(F.lit("payload-"), F.col("id").cast("string")).alias("payload"),
+                    gen_text(F.col("id")).alias("text"))

@@ -63,13 +63,25 @@ def src_text(spark, sf_dir):
     return FS.read_text(spark, out)
 
 
-@query("gen_rows", section=S, sql="""
+def _gen_text_sql(words: int = 8) -> str:
+    syl = "[" + ", ".join(f"'{x}'" for x in J.SYLLABLES) + "]"
+    n = len(J.SYLLABLES)
+    out = []
+    for j in range(words):
+        h = f"(((range * {words} + {j}) * 48271) % 2147483647)"
+        out.append(f"{syl}[{h} % {n} + 1] || {syl}[({h} // {n}) % {n} + 1] || "
+                   f"CASE WHEN {h} % 3 = 0 THEN {syl}[({h} // {n * n}) % {n} + 1] ELSE '' END")
+    return " || ' ' || ".join(f"({w})" for w in out)
+
+
+@query("gen_rows", section=S, sql=f"""
 SELECT range AS id, lpad(CAST((range * 48271) % 2147483647 AS VARCHAR), 10, '0') AS key,
-       'payload-' || CAST(range AS VARCHAR) AS payload
+       'payload-' || CAST(range AS VARCHAR) AS payload, {_gen_text_sql()} AS text
 FROM range((SELECT count(*) FROM lineitem))
 """)
 def gen_rows(spark, sf_dir):
-    """Generated sortable rows, as many as lineitem has (the sort job's input)."""
+    """Generated sortable rows with random-looking text, as many as lineitem has
+    (the sort job's and the word count's input)."""
     n = Tables(spark, sf_dir).lineitem.count()
     return J.gen_rows(spark, n)
 
