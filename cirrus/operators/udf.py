@@ -51,12 +51,26 @@ def external_program(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFram
     return map_reduce(df, mapper, out_schema, key, value, reduce)
 
 
-def line_stats_mapper(text_col: str, key_col: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Example mapper: emits (key, number of lines) for every record."""
-    def mapper(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = pdf[text_col].fillna("").str.count("\n") + 1
-        return pd.DataFrame({"key": pdf[key_col].astype(str).values, "n_lines": lines.astype("int64").values})
-    return mapper
+def run_text_program(spark, input_path: str, output_path: str, mapper: Callable[..., pd.DataFrame],
+                     out_schema: str, key: str, value: str, reduce: str = "sum", args: Mapping | None = None,
+                     out_format: str = "parquet") -> DataFrame:
+    """A user program over a folder of text: every line (column ``value``) goes
+    through ``mapper(batch, **args)``, the associative reducer runs as a
+    combiner and per key, the result is written to ``output_path`` and read
+    back from there."""
+    from functools import partial
+    lines = spark.read.text(input_path)
+    result = external_program(lines, partial(mapper, **dict(args or {})), out_schema, key, value, reduce)
+    result.write.mode("overwrite").format(out_format).save(output_path)
+    return spark.read.format(out_format).load(output_path)
+
+
+def initial_mapper(batch: pd.DataFrame, min_length: int = 0) -> pd.DataFrame:
+    """Example mapper: (lower-cased first character, 1) for lines of at least
+    ``min_length`` characters."""
+    lines = batch["value"].fillna("")
+    lines = lines[lines.str.len() >= min_length]
+    return pd.DataFrame({"key": lines.str[:1].str.lower().values, "n_lines": 1})
 
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

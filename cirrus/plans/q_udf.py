@@ -60,11 +60,19 @@ def udaf_summary_registry(spark, sf_dir):
 
 
 @query("udtf_external_program", section=S, sql="""
-SELECT lang AS key, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines FROM documents GROUP BY lang
+SELECT lower(substring(line, 1, 1)) AS key, count(*) AS n_lines
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+WHERE length(line) >= 20 GROUP BY lower(substring(line, 1, 1))
 """)
 def udtf_external_program(spark, sf_dir):
-    """A user mapper program (pandas) over the documents emitting (language,
-    lines); its associative reducer (sum) runs as a combiner and then per key."""
-    d = Tables(spark, sf_dir).documents.select("lang", "text")
-    return UD.external_program(d, UD.line_stats_mapper("text", "lang"), "key string, n_lines long",
-                               "key", "n_lines", "sum")
+    """A user mapper/reducer program over a folder: the documents are written as
+    text (the input folder), the mapper (pandas, per Arrow batch, with the extra
+    argument min_length=20) emits (first letter, 1) per long line, the
+    associative reducer (sum) runs as a combiner and per key, and the result is
+    written to the output folder and read back."""
+    from cirrus.session import scratch_dir
+    from cirrus.sources.files import write_text
+    src, out = scratch_dir(spark, "program_in"), scratch_dir(spark, "program_out")
+    write_text(Tables(spark, sf_dir).documents, "text", src)
+    return UD.run_text_program(spark, src, out, UD.initial_mapper, "key string, n_lines long", "key", "n_lines",
+                               "sum", args={"min_length": 20})
