@@ -71,7 +71,3 @@ def initial_mapper(batch: pd.DataFrame, min_length: int = 0) -> pd.DataFrame:
     lines = batch["value"].fillna("")
     lines = lines[lines.str.len() >= min_length]
     return pd.DataFrame({"key": lines.str[:1].str.lower().values, "n_lines": 1})
-
-
-def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)
