@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 _KB, _MB, _GB, _TB, _PB = (1024.0 ** i for i in range(1, 6))
 
 
-def lit_str(v) -> Column:
-    return F.lit(v).cast("string")
-
-
 # --- cell values --------------------------------------------------------------------------
 
 def fill_empty(c: Column, empty_value: str = "-") -> Column:

@@ -67,10 +67,6 @@ def valid_ip(c: Column, version: int = IPV4, mask: bool = False, min_mask: int =
     return F.coalesce(ok, F.lit(False))
 
 
-def valid_ipv4_cidr(c: Column) -> Column:
-    return valid_ip(c, IPV4, mask=True)
-
-
 def valid_port(p: Column) -> Column:
     return p.isNotNull() & (p >= 1) & (p <= 65535)
 

@@ -76,8 +76,3 @@ def admission_check(quota: DataFrame, tally: DataFrame) -> DataFrame:
         F.when(F.col("requested") > F.col("available"),
                F.concat(F.lit("requested "), F.col("requested").cast("string"), F.lit(" > available "),
                         F.col("available").cast("bigint").cast("string"))).alias("reason"))
-
-
-def long_limits(rows: Mapping[str, Column]) -> list[Column]:
-    """Helper for building (name, value) rows from named columns with ``stack``."""
-    return [F.lit(k) for k in rows]

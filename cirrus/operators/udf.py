@@ -38,12 +38,6 @@ def apply_filter_action(df: DataFrame, actions: Mapping[str, FrameFn], table_typ
     return df.transform(fn)
 
 
-def pandas_column(fn: Callable[[pd.Series], pd.Series], return_type: T.DataType | str) -> Callable[..., Column]:
-    """Wrap a vectorised pandas Series function as a column function (Arrow
-    batches, never per row). The last resort when no built-in expresses it."""
-    return F.pandas_udf(fn, return_type)
-
-
 def external_program(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str,
                      key: str, value: str, reduce: str = "sum") -> DataFrame:
     """A user mapper/reducer job: see :func:`cirrus.operators.jobs.map_reduce`."""

@@ -60,8 +60,3 @@ def flatten_usage(nested: DataFrame, array_col: str, keep: list[str]) -> DataFra
 def uptime_at(uptime_seconds: Column, now: Column) -> Column:
     """``now - uptime`` as a timestamp."""
     return F.timestamp_add("SECOND", -uptime_seconds.cast("bigint"), now)
-
-
-def capitalize(c: Column) -> Column:
-    """First character upper-cased, the rest unchanged."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))

@@ -414,8 +414,9 @@ FROM lineitem GROUP BY l_orderkey
 """)
 def all_services_up(spark, sf_dir):
     """A host is up only if every service on it is active and available."""
+    from cirrus.functions.status import all_true
     li = Tables(spark, sf_dir).lineitem
-    up = F.bool_and((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R"))
+    up = all_true((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R"))
     agg = li.groupBy("l_orderkey").agg(up.alias("up"))
     return agg.select("l_orderkey", F.concat(F.lit("host-"), F.col("l_orderkey").cast("string"), F.lit(" ("),
                                              F.when(F.col("up"), "Services Up").otherwise("Services Down"),

@@ -396,3 +396,13 @@ def test_object_listing_matches_filesystem(spark, sf_small):
                 p = os.path.join(d, f)
                 want.add((os.path.relpath(p, root), os.path.getsize(p)))
     assert got == want and len(want) >= 20
+
+
+def test_split_valid_tags_first_failing_rule(spark):
+    from cirrus.operators import quality as Q
+    df = spark.createDataFrame([(80, "tcp"), (0, "tcp"), (70000, "gre"), (22, "gre")], "port int, proto string")
+    rules = {"port": Q.valid_port(F.col("port")), "protocol": Q.valid_protocol(F.col("proto"))}
+    ok, bad = Q.split_valid(df, rules)
+    assert [r["port"] for r in ok.collect()] == [80]
+    assert sorted((r["port"], r["reject_reason"]) for r in bad.collect()) == [(0, "port"), (22, "protocol"),
+                                                                              (70000, "port")]
