@@ -107,7 +107,7 @@ def join_expand_id_array(spark, sf_dir):
     rec = EN.expand_id_array(ids, "l_orderkey", "part_ids", catalogue, "id", "parts_rec")
     return rec.select(
         "l_orderkey",
-        F.array_join(F.transform("parts_rec", lambda r: F.coalesce(r["name"], F.lit("null"))), "|").alias("parts"),
+        F.array_join(F.col("parts_rec.name"), "|", "null").alias("parts"),
         F.size("parts_rec").alias("n_ids"),
         F.size(F.filter("parts_rec", lambda r: r["name"].isNotNull())).alias("n_found"))
 
