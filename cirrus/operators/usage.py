@@ -60,3 +60,31 @@ def flatten_usage(nested: DataFrame, array_col: str, keep: list[str]) -> DataFra
 def uptime_at(uptime_seconds: Column, now: Column) -> Column:
     """``now - uptime`` as a timestamp."""
     return F.timestamp_add("SECOND", -uptime_seconds.cast("bigint"), now)
+
+
+def record_summary(records: DataFrame, tenant: str = "tenant_id", servers: str = "server_usages") -> DataFrame:
+    """Per-tenant summary of usage records in the service's shape (totals plus an
+    array of per-server usage): instances, memory_mb and local_gb count active
+    servers only; vcpus, vcpu_hours and disk_gb_hours are the record's totals.
+    The server arrays are flattened and aggregated (partial, map-side), never
+    processed as one array per tenant."""
+    active = is_active()
+    flat = records.select(F.col(tenant).alias("_owner"), F.inline(servers))
+    act = flat.groupBy(F.col("_owner").alias(tenant)).agg(
+        F.count_if(active).alias("instances"),
+        F.sum(F.when(active, F.col("memory_mb"))).alias("memory_mb"),
+        F.sum(F.when(active, F.col("local_gb"))).alias("local_gb"))
+    totals = records.select(tenant, F.coalesce(F.col("total_vcpus_usage"), F.lit(0.0)).alias("vcpus"),
+                            F.coalesce(F.col("total_hours"), F.lit(0.0)).alias("vcpu_hours"),
+                            F.coalesce(F.col("total_local_gb_usage"), F.lit(0.0)).alias("disk_gb_hours"))
+    j = totals.join(act, tenant, "left")
+    zero = F.lit(0)
+    return j.select(tenant, F.coalesce("instances", zero).cast("bigint").alias("instances"),
+                    F.coalesce("memory_mb", zero).cast("bigint").alias("memory_mb"), "vcpus", "vcpu_hours",
+                    F.coalesce("local_gb", zero).cast("bigint").alias("local_gb"), "disk_gb_hours")
+
+
+def add_summaries(summary: DataFrame) -> DataFrame:
+    """Add every tenant summary into one row (the global usage summary)."""
+    return summary.agg(*[F.sum(c).alias(c) for c in
+                         ("instances", "memory_mb", "vcpus", "vcpu_hours", "local_gb", "disk_gb_hours")])

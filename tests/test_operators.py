@@ -1,6 +1,7 @@
 """Literal cases (the expectations the original tests pin) and operator properties."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -406,3 +407,29 @@ def test_split_valid_tags_first_failing_rule(spark):
     assert [r["port"] for r in ok.collect()] == [80]
     assert sorted((r["port"], r["reject_reason"]) for r in bad.collect()) == [(0, "port"), (22, "protocol"),
                                                                               (70000, "port")]
+
+
+# Usage records in the service's shape, as the original fixtures define them
+# (two active servers of a 1-vcpu, 512 MB, 0 GB flavor per tenant).
+def _usage_record(tenant):
+    srv = dict(memory_mb=512, uptime=442321, started_at="2012-01-26 20:38:21", ended_at=None, name="server_1",
+               tenant_id=tenant, state="active", hours=122.87361111111112, vcpus=1, flavor="m1.tiny", local_gb=0)
+    srv2 = dict(srv, uptime=9367, started_at="2012-01-31 20:54:15", hours=2.608611111111111)
+    return (tenant, 64246.89777777778, 125.48222222222223, 125.48222222222223, 0.0, [srv, srv2])
+
+
+USAGE_RECORD_SCHEMA = ("tenant_id string, total_memory_mb_usage double, total_vcpus_usage double, total_hours double, "
+                       "total_local_gb_usage double, server_usages array<struct<memory_mb:bigint, uptime:bigint, "
+                       "started_at:string, ended_at:string, name:string, tenant_id:string, state:string, hours:double, "
+                       "vcpus:bigint, flavor:string, local_gb:bigint>>")
+
+
+def test_usage_record_summary_as_in_original_fixtures(spark):
+    from cirrus.operators import usage as U
+    recs = spark.createDataFrame([_usage_record("1"), _usage_record("3")], USAGE_RECORD_SCHEMA)
+    per = {r["tenant_id"]: r.asDict() for r in U.record_summary(recs).collect()}
+    assert per["1"] == {"tenant_id": "1", "instances": 2, "memory_mb": 1024, "vcpus": 125.48222222222223,
+                        "vcpu_hours": 125.48222222222223, "local_gb": 0, "disk_gb_hours": 0.0}
+    total = U.add_summaries(U.record_summary(recs)).first()
+    assert (total["instances"], total["memory_mb"], total["local_gb"]) == (4, 2048, 0)
+    assert math.isclose(total["vcpus"], 2 * 125.48222222222223)
