@@ -433,3 +433,18 @@ def test_usage_record_summary_as_in_original_fixtures(spark):
     total = U.add_summaries(U.record_summary(recs)).first()
     assert (total["instances"], total["memory_mb"], total["local_gb"]) == (4, 2048, 0)
     assert math.isclose(total["vcpus"], 2 * 125.48222222222223)
+
+
+def test_truncation_literal_from_original_table_test(spark):
+    out = one(spark, D.truncate_text(F.col("x"), 35), rows=[("A Value That is longer than 35 characters!",)])
+    assert out == ["A Value That is longer than 35 c..."] and len(out[0]) == 35
+
+
+def test_series_point_from_statistic(spark):
+    """A statistic (avg 4.55, ends 2012-12-21T11:00:55.x) becomes the chart point
+    ('2012-12-21T11:00:55', 4.55)."""
+    from cirrus.operators import metering as M
+    st = spark.createDataFrame([("r1", dt.datetime(2012, 12, 21, 11, 0, 55, 123000), 4.55)],
+                               "resource string, duration_end timestamp_ntz, avg double")
+    p = M.series_points(st, "resource").first()["points"]
+    assert [(x["x"], x["y"]) for x in p] == [("2012-12-21T11:00:55", 4.55)]
