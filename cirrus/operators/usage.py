@@ -21,6 +21,13 @@ def filter_active_only(servers: DataFrame, show_terminated: bool = False) -> Dat
     return servers if show_terminated else servers.where(is_active())
 
 
+def in_period(servers: DataFrame, start, end) -> DataFrame:
+    """Servers that ran during [start, end]: started by the end and not ended
+    before the start. The start bound reaches the scan as a pushed filter."""
+    s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    return servers.where((F.col("started_at") <= e) & (F.col("ended_at").isNull() | (F.col("ended_at") >= s)))
+
+
 def tenant_usage(servers: DataFrame, tenant: str = "tenant_id") -> DataFrame:
     """One record per tenant: the totals the usage service returns (``total_*``)
     plus the active-only sums the summary reads."""

@@ -111,8 +111,13 @@ def sink_csv_report(spark, sf_dir):
     return FS.read_csv_report(spark, out, USAGE_SCHEMA)
 
 
+REPORT_START, REPORT_END = "1998-01-01 00:00:00", "1998-12-31 23:59:59"
+
+
 @query("sink_project_csv", section=S, sql=f"""
-WITH s AS ({V.SERVERS_SQL})
+WITH s AS (SELECT * FROM ({V.SERVERS_SQL})
+           WHERE started_at <= TIMESTAMP '{REPORT_END}'
+             AND (ended_at IS NULL OR ended_at >= TIMESTAMP '{REPORT_START}'))
 SELECT coalesce(c.c_name, CAST(s.tenant_id AS VARCHAR)) AS project,
        CAST(coalesce(sum(vcpus) FILTER (WHERE ended_at IS NULL), 0) AS BIGINT) AS vcpus,
        CAST(coalesce(sum(memory_mb) FILTER (WHERE ended_at IS NULL), 0) AS BIGINT) AS ram,
@@ -122,9 +127,10 @@ FROM s LEFT JOIN customer c ON c.c_custkey = s.tenant_id
 GROUP BY s.tenant_id, c.c_name
 """)
 def sink_project_csv(spark, sf_dir):
-    """Project report: name (or id), vcpus, ram, disk, hours to two places."""
+    """Project report for a period (1998, whole days): name (or id), vcpus, ram,
+    disk, hours to two places; servers count when they ran during the period."""
     t = Tables(spark, sf_dir)
-    u = U.tenant_usage(V.servers(t.orders))
+    u = U.tenant_usage(U.in_period(V.servers(t.orders), REPORT_START, REPORT_END))
     names = t.customer.select(F.col("c_custkey").alias("tenant_id"), "c_name")
     rep = u.join(names, "tenant_id", "left").select(
         F.coalesce("c_name", F.col("tenant_id").cast("string")).alias("project"),
