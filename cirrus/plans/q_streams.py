@@ -32,14 +32,15 @@ FROM conversations
 """)
 def stream_job_queue(spark, sf_dir):
     """Conversation turns queued as JSON job objects (several files), drained by
-    a checkpointed file stream that takes each file once and routes every job to
-    a folder per job type."""
+    a checkpointed file stream that takes each file once, drops a job id queued
+    again within an hour, and routes every job to a folder per job type."""
     queue = scratch_dir(spark, "queue")
     c = Tables(spark, sf_dir).conversations
     jobs = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("job_id"),
                     F.col("role").alias("job_type"), "conv_id", "turn", "text")
     jobs.repartition(4, "conv_id").write.mode("overwrite").json(queue)
-    routed = SJ.consume_job_queue(spark, queue, QUEUE_SCHEMA, route="job_type", max_files=FILES_PER_BATCH)
+    routed = SJ.consume_job_queue(spark, queue, QUEUE_SCHEMA, route="job_type", max_files=FILES_PER_BATCH,
+                                  dedupe_key="job_id")
     return routed.select("job_id", "job_type", "conv_id", "turn", "text")
 
 

@@ -52,9 +52,19 @@ LOG_SYNC_EVERY = "3 seconds"
 
 # --- job queue ----------------------------------------------------------------------------
 
-def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int = 1) -> DataFrame:
-    """Queued JSON job objects; each file is taken once (tracked by the checkpoint)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_dir)
+def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int = 1,
+                     dedupe_key: str | None = None, dedupe_window: str = "1 hour") -> DataFrame:
+    """Queued JSON job objects; each file is taken once (tracked by the
+    checkpoint). With ``dedupe_key`` a job id queued again (in another file)
+    within ``dedupe_window`` of its first copy is dropped; the time is the queue
+    file's modification time, so the dedupe state stays bounded by the window."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_dir)
+    if dedupe_key is None:
+        return stream
+    return (stream.withColumn("_queued_at", F.col("_metadata.file_modification_time"))
+            .withWatermark("_queued_at", dedupe_window)
+            .dropDuplicatesWithinWatermark([dedupe_key])
+            .drop("_queued_at"))
 
 
 def route_jobs(out_dir: str, route: str) -> BatchFn:
@@ -64,11 +74,12 @@ def route_jobs(out_dir: str, route: str) -> BatchFn:
     return run
 
 
-def consume_job_queue(spark: SparkSession, queue_dir: str, schema, route: str, max_files: int = 1) -> DataFrame:
+def consume_job_queue(spark: SparkSession, queue_dir: str, schema, route: str, max_files: int = 1,
+                      dedupe_key: str | None = None) -> DataFrame:
     """Drain the queue (available-now) and return every routed job."""
     out = scratch_dir(spark, "queue_out")
     ckpt = scratch_dir(spark, "queue_ckpt")
-    run_available_now(job_queue_stream(spark, queue_dir, schema, max_files), route_jobs(out, route), ckpt)
+    run_available_now(job_queue_stream(spark, queue_dir, schema, max_files, dedupe_key), route_jobs(out, route), ckpt)
     return spark.read.parquet(out)
 
 

@@ -131,3 +131,17 @@ def test_replayed_batch_is_not_duplicated(spark, sf_small):
     assert failed == [1]
     assert got.count() == Tables(spark, sf_small).events.count()
     assert got.select("event_id").distinct().count() == got.count()
+
+
+def test_job_queue_dedupes_a_job_queued_twice(spark, sf_small):
+    queue = scratch_dir(spark, "queue_dupes")
+    c = Tables(spark, sf_small).conversations
+    jobs = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("job_id"),
+                    F.col("role").alias("job_type"))
+    jobs.coalesce(1).write.mode("append").json(queue)
+    jobs.where(F.col("job_type") == "user").coalesce(1).write.mode("append").json(queue)   # queued again
+    schema = "job_id string, job_type string"
+    once = SJ.consume_job_queue(spark, queue, schema, route="job_type", max_files=1, dedupe_key="job_id")
+    assert once.count() == c.count()
+    twice = SJ.consume_job_queue(spark, queue, schema, route="job_type", max_files=1)
+    assert twice.count() == c.count() + c.where(F.col("role") == "user").count()
