@@ -95,3 +95,21 @@ def resolve_endpoint(ep: DataFrame, service: str, region: str, interface: str, f
     if fallback:
         exprs.append(F.min_by("url", F.when(region_ok & (F.col("iface") == fallback), F.col(order))))
     return ep.groupBy(service).agg(F.coalesce(*exprs).alias("url"))
+
+
+# Fixed values (must equal the reference): per-type URL column -> interface name.
+ENDPOINT_TYPE_TO_INTERFACE = {"publicURL": "public", "internalURL": "internal", "adminURL": "admin"}
+
+
+def resolve_endpoint_typed(ep: DataFrame, service: str, region: str, endpoint_type: str = "publicURL",
+                           fallback: str | None = None, order: str = "pos") -> DataFrame:
+    """Older catalogue shape: each endpoint row carries one URL column per type
+    (``publicURL``, ``internalURL``, ``adminURL``). The first endpoint of the
+    region (any region for identity) decides; its URL of the requested type,
+    else of the fallback type."""
+    region_ok = (F.col("stype") == "identity") | (F.col("region") == region)
+    cols = [c for c in ENDPOINT_TYPE_TO_INTERFACE if c in ep.columns]
+    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.when(region_ok, F.col(order)))
+    picked = ep.groupBy(service).agg(first.alias("_e"))
+    urls = [F.col(f"_e.{endpoint_type}")] + ([F.col(f"_e.{fallback}")] if fallback else [])
+    return picked.select(service, F.coalesce(*urls).alias("url"))

@@ -448,3 +448,23 @@ def test_series_point_from_statistic(spark):
                                "resource string, duration_end timestamp_ntz, avg double")
     p = M.series_points(st, "resource").first()["points"]
     assert [(x["x"], x["y"]) for x in p] == [("2012-12-21T11:00:55", 4.55)]
+
+
+def test_resolve_endpoint_both_catalogue_shapes(spark):
+    from cirrus.operators import enrich as EN
+    v3 = spark.createDataFrame([
+        ("compute", "compute", "r2", "public", "http://c-r2", 1), ("compute", "compute", "r1", "internal", "http://c-i", 2),
+        ("compute", "compute", "r1", "public", "http://c-p", 3), ("identity", "identity", "r9", "public", "http://id", 4),
+        ("volume", "volume", "r1", "internal", "http://v-i", 5)],
+        "service string, stype string, region string, iface string, url string, s_suppkey int")
+    got = {r["service"]: r["url"] for r in EN.resolve_endpoint(v3, "service", "r1", "public", "internal").collect()}
+    assert got == {"compute": "http://c-p", "identity": "http://id", "volume": "http://v-i"}
+    v2 = spark.createDataFrame([
+        ("compute", "compute", "r2", "http://a-pub", "http://a-int", "http://a-adm", 1),
+        ("compute", "compute", "r1", None, "http://b-int", "http://b-adm", 2),
+        ("compute", "compute", "r1", "http://c-pub", None, None, 3),
+        ("identity", "identity", "r9", "http://id-pub", None, None, 4)],
+        "service string, stype string, region string, publicURL string, internalURL string, adminURL string, pos int")
+    got = {r["service"]: r["url"] for r in EN.resolve_endpoint_typed(v2, "service", "r1", "publicURL",
+                                                                       "internalURL").collect()}
+    assert got == {"compute": "http://b-int", "identity": "http://id-pub"}
