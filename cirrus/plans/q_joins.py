@@ -432,8 +432,11 @@ FROM a FULL OUTER JOIN b ON a.id = b.id
 def diff_snapshots(spark, sf_dir):
     """Old and new node sets (customers active in 1996 vs 1997): removed, kept, added."""
     o = Tables(spark, sf_dir).orders
-    old = o.where(F.year("o_orderdate") == 1996).select(F.col("o_custkey").alias("id")).distinct()
-    new = o.where(F.year("o_orderdate") == 1997).select(F.col("o_custkey").alias("id")).distinct()
+    def year(y):   # a range on the raw column, so the bounds reach the Parquet scan
+        d = F.col("o_orderdate")
+        return (d >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (d < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
+    old = o.where(year(1996)).select(F.col("o_custkey").alias("id")).distinct()
+    new = o.where(year(1997)).select(F.col("o_custkey").alias("id")).distinct()
     return EN.diff_sets(old, new, "id")
 
 

@@ -98,7 +98,8 @@ def except_groups(spark, sf_dir):
     """Wanted minus current ('add'), current minus wanted ('remove'), and the
     size of their union (one 'union_size' row)."""
     t = Tables(spark, sf_dir)
-    want = t.orders.where((F.col("o_orderstatus") == "O") & (F.year("o_orderdate") >= 2000)) \
+    want = t.orders.where((F.col("o_orderstatus") == "O")
+                          & (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))) \
         .select(F.col("o_custkey").alias("id"))
     cur = t.customer.where(F.col("c_nationkey") == 5).select(F.col("c_custkey").alias("id"))
     return SE.except_both(want, cur, "id")
