@@ -231,8 +231,9 @@ SELECT p_partkey, rtype, rstatus, rtype || '_' || rstatus AS state FROM c
 def classify_type_status(spark, sf_dir):
     """Ordered pattern rules to a resource type and status, combined as TYPE_STATUS."""
     p = Tables(spark, sf_dir).part
-    rt = F.element_at(F.array(*[F.lit(x) for x in RESOURCE_TYPES]), (F.col("p_size") % 8 + 1).cast("int"))
-    rs = F.element_at(F.array(*[F.lit(x) for x in RESOURCE_STATUSES]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rt = F.element_at(F.array(*[F.lit(x) for x in RESOURCE_TYPES]), (F.pmod("p_size", F.lit(8)) + 1).cast("int"))
+    rs = F.element_at(F.array(*[F.lit(x) for x in RESOURCE_STATUSES]),
+                      (F.pmod("p_partkey", F.lit(6)) + 1).cast("int"))
     c = p.select("p_partkey", D.classify_type(rt).alias("rtype"), D.classify_status(rs).alias("rstatus"))
     return c.withColumn("state", F.concat_ws("_", "rtype", "rstatus"))
 
