@@ -402,7 +402,9 @@ def row_quality_check(spark, sf_dir):
     """Port, port-range, protocol and CIDR (IPv4 incl. short forms, or IPv6;
     mask within the version's range) rules over derived rule rows; pass and
     fail counts per rule from one aggregate."""
-    li = Tables(spark, sf_dir).lineitem
+    from cirrus.operators.jobs import spread
+    li = spread(Tables(spark, sf_dir).lineitem.select("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                                      "l_returnflag"))
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     cidr = (F.when(ln == 7, F.concat(F.lit("fe80::"), F.hex(pk), F.lit("/"), (pk % 140).cast("string")))
             .when(ln == 6, F.concat((sk % 300).cast("string"), F.lit("/"), (pk % 40).cast("string")))
