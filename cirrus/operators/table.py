@@ -164,6 +164,25 @@ def range_conditions(field: str, lower=None, upper=None) -> list[dict]:
     return out
 
 
+def time_range_predicate(df: DataFrame, ts: str, lower=None, upper=None, day: str = "day") -> Column:
+    """``lower <= ts <= upper``; when the table is laid out in ``day=YYYY-MM-DD``
+    partitions, the same bounds on the partition column are added, so Spark
+    prunes whole partitions (``PartitionFilters``) before reading any file."""
+    preds = []
+    lo = F.lit(lower).cast("timestamp_ntz") if lower is not None else None
+    hi = F.lit(upper).cast("timestamp_ntz") if upper is not None else None
+    if lo is not None:
+        preds.append(F.col(ts) >= lo)
+    if hi is not None:
+        preds.append(F.col(ts) <= hi)
+    if day in df.columns:
+        if lo is not None:
+            preds.append(F.col(day) >= F.to_date(lo))
+        if hi is not None:
+            preds.append(F.col(day) <= F.to_date(hi))
+    return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
+
+
 def filter_query(df: DataFrame, conditions: Sequence[Mapping]) -> DataFrame:
     return df.where(query_predicate(conditions))
 

@@ -468,3 +468,18 @@ def test_resolve_endpoint_both_catalogue_shapes(spark):
     got = {r["service"]: r["url"] for r in EN.resolve_endpoint_typed(v2, "service", "r1", "publicURL",
                                                                        "internalURL").collect()}
     assert got == {"compute": "http://b-int", "identity": "http://id-pub"}
+
+
+def test_time_range_prunes_day_partitions(spark, sf_small):
+    from cirrus.session import scratch_dir
+    from cirrus.sources.tables import Tables
+    e = Tables(spark, sf_small).events
+    path = scratch_dir(spark, "events_by_day")
+    e.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(path)
+    part = spark.read.parquet(path)
+    lo, hi = "2024-01-05 00:00:00", "2024-01-07 12:00:00"
+    got = part.where(TB.time_range_predicate(part, "ts", lo, hi)).select("event_id")
+    plan = plan_text(got)
+    assert "PartitionFilters: [isnotnull(day" in plan and "day#" in plan.split("PartitionFilters:")[1].split("\n")[0]
+    want = e.where(TB.time_range_predicate(e, "ts", lo, hi)).select("event_id")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
