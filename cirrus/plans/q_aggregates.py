@@ -236,21 +236,17 @@ def quota_usage(spark, sf_dir):
     return quota_usage_df(Tables(spark, sf_dir))
 
 
-# Which service each quota name belongs to.
-QUOTA_SERVICES = {"instances": "compute", "cores": "compute", "ram": "compute",
-                  "security_groups": "network", "floating_ips": "network",
-                  "volumes": "volume", "gigabytes": "volume", "snapshots": "volume"}
-
-
 @query("quota_disable_by_service", section=S, sql=f"""
-SELECT * FROM ({QUOTA_SQL}) WHERE name NOT IN ('security_groups', 'floating_ips')
+SELECT * FROM ({QUOTA_SQL})
+WHERE name NOT IN ('floating_ips', 'fixed_ips', 'security_groups', 'security_group_rules')
 """)
 def quota_disable_by_service(spark, sf_dir):
-    """Quota rows without the names of a disabled service (network off)."""
+    """Quota rows without the names of services that are off or superseded:
+    volume and network on, security groups and quotas from the network
+    service, so the compute service's address and security-group names go."""
     from cirrus.operators import quota as QU
-    ns = spark.createDataFrame(list(QUOTA_SERVICES.items()), "name string, service string")
-    disabled = spark.createDataFrame([("network",)], "service string")
-    return QU.disable_by_service(quota_usage_df(Tables(spark, sf_dir)), ns, disabled)
+    names = QU.disabled_quotas(volume=True, network=True, network_security_groups=True, network_quotas=True)
+    return QU.drop_quota_names(quota_usage_df(Tables(spark, sf_dir)), names)
 
 
 @query("limits_usage", section=S, sql="""
