@@ -47,7 +47,11 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--out", default=None)
+    ap.add_argument("--trees", default="agg_active_usage,join_fip_chain,quota_usage,stat_by_period,tail_n,word_count",
+                    help="comma-separated keys whose plan trees are appended")
     args = ap.parse_args()
+    tree_keys = [k for k in args.trees.split(",") if k]
+    trees: dict[str, str] = {}
 
     from cirrus.operators import joins
     from cirrus.session import get_session
@@ -71,10 +75,15 @@ def main() -> None:
             lines.append(f"| `{k}` | error: {type(e).__name__} |")
             continue
         s = shape(buf.getvalue())
+        if k in tree_keys:
+            trees[k] = buf.getvalue().split("\n\n")[0]
         lines.append(f"| `{k}` | " + " | ".join(str(s[c]) for c in
                      ["exchanges", "smj", "bhj", "bnlj", "hash_agg", "sort_agg", "obj_agg", "window",
                       "group_limit", "python", "scans", "pushed"]) + " |")
     text = "\n".join(lines)
+    for k in tree_keys:
+        if k in trees:
+            text += f"\n\n### `{k}`\n\n```\n{trees[k]}\n```"
     if args.out:
         with open(args.out, "w") as f:
             f.write(text + "\n")
