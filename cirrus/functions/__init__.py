@@ -1 +1,2 @@
-"""functions"""
+"""Column -> Column expressions: display formatting and labels (display),
+three-valued status (status), and time parsing, formatting and periods (timefn)."""
