@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cirrus.plans.q_aggregates import PERIOD_ORIGIN
 from cirrus.plans.registry import query
 from cirrus.session import scratch_dir
-from cirrus.sources.tables import SCHEMAS, Tables
+from cirrus.sources.tables import SCHEMAS, Tables, table_path
 from cirrus.streaming import jobs as SJ
 
 S = "2.10"
@@ -21,9 +21,15 @@ FILES_PER_BATCH = 1000
 
 
 def _table_stream(spark, sf_dir: str, name: str, max_files: int = FILES_PER_BATCH):
-    """A table's parquet file(s) as a file stream source."""
-    return (spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    """A table as a file stream source: a folder of parquet files is streamed as
+    is; a single-file table is picked out of its folder with a name filter (a
+    file stream source needs a folder)."""
+    path = table_path(sf_dir, name)
+    reader = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", max_files)
+    files = spark.read.schema(SCHEMAS[name]).parquet(path).inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
 
 
 @query("stream_job_queue", section=S, sql="""
