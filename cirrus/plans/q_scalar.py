@@ -243,16 +243,19 @@ KEY_RE = r"^[a-z]+://([^?#]*)"
 
 @query("path_breadcrumbs", section=S, sql=f"""
 WITH p AS (SELECT page_id, string_split(regexp_extract(url, '{KEY_RE}', 1), '/') AS parts FROM pages)
-SELECT page_id, i AS level, parts[i] AS name, array_to_string(parts[1:i], '/') || '/' AS path
+SELECT page_id, i AS level, parts[i] AS name, array_to_string(parts[1:i], '/') || '/' AS path,
+       parts[len(parts)] AS object_name
 FROM p, LATERAL (SELECT unnest(range(1, len(p.parts))) AS i)
 """)
 def path_breadcrumbs(spark, sf_dir):
-    """Every ancestor folder (level, name, path) of each object key."""
+    """Every ancestor folder (level, name, path 'a/b/') of each object key, with
+    the object's own name (the part after the last '/')."""
     p = Tables(spark, sf_dir).pages.select("page_id", F.split(F.regexp_extract("url", KEY_RE, 1), "/").alias("parts"))
     folders = p.select("page_id", "parts", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("pos", "name"))
     return folders.select("page_id", (F.col("pos") + 1).cast("bigint").alias("level"), "name",
                           F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("pos") + 1), "/"), F.lit("/"))
-                           .alias("path"))
+                           .alias("path"),
+                          F.element_at("parts", -1).alias("object_name"))
 
 
 @query("map_entries_text", section=S, sql="""
