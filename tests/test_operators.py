@@ -493,3 +493,17 @@ def test_disabled_quotas_switches():
     assert QU.disabled_quotas(volume=True, network=True, network_security_groups=False) == [
         "floating_ips", "fixed_ips", "security_group", "security_group_rule"]
     assert "security_groups" in QU.disabled_quotas(volume=True, network=True)
+
+
+def test_broadcast_bound_counts_row_width(spark, monkeypatch):
+    from cirrus.operators import joins
+    wide = spark.range(100).select("id", *[F.lit("x" * 10).alias(f"c{i}") for i in range(20)])
+    assert joins.row_bytes(wide) == 8 + 20 * 32
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_BYTES", 100 * joins.row_bytes(wide) - 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan_text(spark.range(10).join(joins.bounded_broadcast(wide), "id"))
+        monkeypatch.setattr(joins, "DEFAULT_BROADCAST_BYTES", 100 * joins.row_bytes(wide))
+        assert "BroadcastHashJoin" in plan_text(spark.range(10).join(joins.bounded_broadcast(wide), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
