@@ -20,6 +20,10 @@ SummaryFn = Callable[[Column], Column]
 SUMMATION_METHODS: dict[str, SummaryFn] = {
     "sum": F.sum,
     "average": F.avg,
+    # money-style columns (two decimals) summed as exact cents: the result does
+    # not depend on the order in which partial sums meet
+    "sum_exact": lambda c: F.sum(c.cast("decimal(18,2)")).cast("double"),
+    "average_exact": lambda c: F.sum(c.cast("decimal(18,2)")).cast("double") / F.count(c),
 }
 
 

@@ -41,22 +41,19 @@ def agg_active_usage(spark, sf_dir):
 # --- table summary and usage ---------------------------------------------------------------
 
 @query("agg_summary_row", section=S, sql="""
-SELECT round(sum(l_quantity), 2) AS l_quantity_sum,
-       round(sum(l_extendedprice), 2) / count(l_extendedprice) AS l_extendedprice_average,
-       round(sum(l_discount), 2) AS l_discount_sum
+SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS l_quantity_sum,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(l_extendedprice) AS l_extendedprice_average,
+       CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) AS l_discount_sum
 FROM lineitem
 """)
 def agg_summary_row(spark, sf_dir):
     """Summary row over the raw, unfiltered column values (nulls ignored)."""
-    from cirrus.operators import aggregates as AG
     from cirrus.operators.table import summary_row
-    AG.register_summary("sum2", lambda c: F.round(F.sum(c), 2))
-    AG.register_summary("average2", lambda c: F.round(F.sum(c), 2) / F.count(c))
     li = Tables(spark, sf_dir).lineitem
-    out = summary_row(li, {"l_quantity": "sum2", "l_extendedprice": "average2", "l_discount": "sum2"})
-    return out.select(F.col("l_quantity_sum2").alias("l_quantity_sum"),
-                      F.col("l_extendedprice_average2").alias("l_extendedprice_average"),
-                      F.col("l_discount_sum2").alias("l_discount_sum"))
+    out = summary_row(li, {"l_quantity": "sum_exact", "l_extendedprice": "average_exact", "l_discount": "sum_exact"})
+    return out.select(F.col("l_quantity_sum_exact").alias("l_quantity_sum"),
+                      F.col("l_extendedprice_average_exact").alias("l_extendedprice_average"),
+                      F.col("l_discount_sum_exact").alias("l_discount_sum"))
 
 
 @query("agg_usage_summary", section=S, sql=f"""

@@ -48,14 +48,12 @@ FROM lineitem GROUP BY l_returnflag
 def udaf_summary_registry(spark, sf_dir):
     """Named summary methods, extended with user entries ('spread', 'count');
     an unknown name raises ValueError."""
-    AG.register_summary("sum2", lambda c: F.round(F.sum(c), 2))
-    AG.register_summary("average2", lambda c: F.round(F.sum(c), 2) / F.count(c))
     AG.register_summary("spread", lambda c: F.max(c) - F.min(c))
     AG.register_summary("count", F.count)
     li = Tables(spark, sf_dir).lineitem
     q = F.col("l_quantity")
     return li.groupBy("l_returnflag").agg(
-        AG.summary_expr("sum2", q).alias("qty_sum"), AG.summary_expr("average2", q).alias("qty_average"),
+        AG.summary_expr("sum_exact", q).alias("qty_sum"), AG.summary_expr("average_exact", q).alias("qty_average"),
         AG.summary_expr("spread", q).alias("qty_spread"), AG.summary_expr("count", q).alias("qty_count"))
 
 
