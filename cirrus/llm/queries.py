@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import bpe, simhash, url_filter
+from cirrus.llm import bpe, decontaminate, langid, quality, simhash, toxicity, url_filter
+from cirrus.llm.folds import is_fold
 from cirrus.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,14 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_quality_classifier(spark, sf_dir):
+    """Quality of every document by a sparse rule ensemble."""
+    docs = load(spark, sf_dir, "documents")
+    model = quality.learn(docs, load(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 @_query
 def op2_simhash_near_dedup(spark, sf_dir):
     """SimHash classes of all documents (three words, three bits)."""
@@ -55,6 +64,30 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """ % ", ".join(str(r) for r in URL_RULES)
 
 
+@_query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, with its significant passages."""
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted",
+        F.size("passages").cast("long").alias("n_passages"))
+
+
+@_query
+def op8_language_id(spark, sf_dir):
+    """The language of every document."""
+    docs = load(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs)).select(
+        "doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@_query
+def op9_benchmark_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the closest stretch of each."""
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_byte_level_bpe(spark, sf_dir):
     """Ids and round trip of every document under the 50k byte-level ranks."""
