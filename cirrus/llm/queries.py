@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import bpe, decontaminate, langid, quality, simhash, toxicity, url_filter
+from cirrus.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, url_filter
 from cirrus.llm.folds import is_fold
 from cirrus.sources.tables import load
 
@@ -64,6 +64,13 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """ % ", ".join(str(r) for r in URL_RULES)
 
 
+@_query
+def op5_line_dedup(spark, sf_dir):
+    """All documents without the passages that an earlier one holds; texts as digests."""
+    return line_dedup.remove_shared(load(spark, sf_dir, "documents")).select(
+        "doc_id", "lines_removed", "words_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @_query
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document, with its significant passages."""

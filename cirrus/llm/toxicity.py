@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.llm.folds import is_fold
+from cirrus.llm.storage import write_table
 
 #: Labelled rows that are learned from (those of least hash).
 SAMPLE_ROWS = 40_000
 #: Weighted tokens at most (those of largest z): the model's size.
 MAX_TERMS = 50_000
-#: Total of the Dirichlet prior, which is spread like the sample's tokens.
-PRIOR = 500.0
+#: Total of the Dirichlet prior, per token of the sample; it is spread like the sample's tokens.
+PRIOR = 0.1
 #: Tokens count only from so many standard errors, less one.
-LEAST_Z = 2.5
+LEAST_Z = 2.0
 DRIFT = 0.6
 #: Expected number of such segments in clean prose from which one is not significant.
 SIGNIFICANT = 0.1
@@ -115,13 +116,13 @@ def weigh(counts: pd.DataFrame, n1: float, n0: float) -> tuple[dict[str, float],
     """(weights, rate) from (token, y1, y0) counts of toxic and other text with n1
     and n0 tokens: log-odds with a Dirichlet prior, one standard error off."""
     y1, y0 = counts["y1"].to_numpy(float), counts["y0"].to_numpy(float)
-    prior = PRIOR * (y1 + y0) / max(1.0, n1 + n0)
+    prior, total = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
     a1, a0 = y1 + prior, y0 + prior
-    delta = np.log(a1 / (n1 + PRIOR - a1)) - np.log(a0 / (n0 + PRIOR - a0))
+    delta = np.log(a1 / (n1 + total - a1)) - np.log(a0 / (n0 + total - a0))
     error = np.sqrt(1 / a1 + 1 / a0)
     ok = np.abs(delta) >= LEAST_Z * error
     shrunk = np.sign(delta) * np.maximum(np.abs(delta) - error, 0)
-    shares = a0 / (n0 + PRIOR)
+    shares = a0 / (n0 + total)
     rate = _rate(np.append(shrunk[ok] - DRIFT, -DRIFT), np.append(shares[ok], max(0.0, 1 - shares[ok].sum())))
     return dict(zip(counts["token"][ok], shrunk[ok].tolist())), rate
 
@@ -141,8 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
           text_col: str = "text", folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS,
           max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learn from labelled documents outside the held-out fold, at most
-    ``sample_rows``: weights from one half of them (by hash), calibration from the
-    other. Null labels and null ids are left out; of several labels for one id the
+    ``sample_rows``: weights from all of them; weights from one half of them (by hash)
+    are calibrated on the other. Null labels and null ids are left out; of several labels for one id the
     largest counts. With no toxic label (or only toxic ones) no token has a weight and every
     score is the smoothed share of toxic labels."""
     marked = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_fold(id_col, folds, held_out))
@@ -156,15 +157,21 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     # at most sample_rows pairs of numbers: a proven bound for the broadcast
     sample = (docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t"))
               .join(F.broadcast(marked), "key").withColumn("half", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(2))))
-    split_up = (sample.where("half = 0").select("y", F.explode(split("t")).alias("token"))
-                .groupBy("token").agg(F.sum("y").alias("y1"), F.sum(1 - F.col("y")).alias("y0")))
-    both = F.col("y1") + F.col("y0")
-    sums = split_up.agg(F.sum("y1"), F.sum("y0")).first()
-    n1, n0 = float(sums[0] or 0), float(sums[1] or 0)
-    # tokens seen once say nothing at LEAST_Z; of the rest the most uneven ones
-    uneven = F.abs(F.col("y1") / max(n1, 1.0) - F.col("y0") / max(n0, 1.0)) / F.sqrt(both)
-    counts = split_up.where(both > 1).orderBy(uneven.desc(), "token").limit(max_terms).toPandas()
-    weights, rate = weigh(counts, n1, n0) if n1 and n0 else ({}, 1.0)
+    seen, _ = write_table(
+        sample.select("y", "half", F.explode(split("t")).alias("token")).groupBy("token").agg(
+            *[F.sum(F.when(F.col("half") == 0, F.col("y") == k).otherwise(False).cast("long")).alias(f"half{k}") for k in (0, 1)],
+            *[F.sum((F.col("y") == k).cast("long")).alias(f"all{k}") for k in (0, 1)]), "token-counts")
+
+    def lexicon(part: str) -> tuple[dict[str, float], float]:
+        y1, y0 = F.col(f"{part}1"), F.col(f"{part}0")
+        n1, n0 = (float(x or 0) for x in seen.agg(F.sum(y1), F.sum(y0)).first())
+        # tokens seen once say nothing at LEAST_Z; of the rest the most uneven ones
+        uneven = F.abs(y1 / max(n1, 1.0) - y0 / max(n0, 1.0)) / F.sqrt(y1 + y0)
+        counts = (seen.where(y1 + y0 > 1).select("token", y1.alias("y1"), y0.alias("y0"), uneven.alias("u"))
+                  .orderBy(F.col("u").desc(), "token").limit(max_terms).toPandas())
+        return weigh(counts, n1, n0) if n1 and n0 else ({}, 1.0)
+
+    weights, rate = lexicon("half")
     draft = ToxicityModel(weights, rate, 0.0)
 
     @F.pandas_udf("struct<best:double,n:int>")
@@ -185,16 +192,17 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     mean = other.where("y = 0").select(best("t").alias("x")).where("x.n > 0").agg(
         F.avg(F.lit(rate) * F.col("x.best") - F.log("x.n"))).first()[0]
     fitted = ToxicityModel(weights, rate, float(mean if mean is not None else 0.0) - 0.5772)
-    seen = other.groupBy(evidence("t").alias("e"), "y").agg(F.count(F.lit(1)).alias("n")).orderBy("e", "y").limit(
+    judged = other.groupBy(evidence("t").alias("e"), "y").agg(F.count(F.lit(1)).alias("n")).orderBy("e", "y").limit(
         2 * sample_rows).collect()
-    x, y = np.array([r["e"] for r in seen]), np.array([r["y"] for r in seen], dtype=float)
-    n = np.array([r["n"] for r in seen], dtype=int)
+    x, y = np.array([r["e"] for r in judged]), np.array([r["y"] for r in judged], dtype=float)
+    n = np.array([r["n"] for r in judged], dtype=int)
     share = (n @ y + 1) / (n.sum() + 2) if len(n) else 0.5
     if not weights or not len(n) or y.min() == y.max():
         slope, offset = (1.0 if weights else 0.0), float(np.log(share / (1 - share)))
     else:
         slope, offset = _platt(np.repeat(x, n), np.repeat(y, n))
-    return ToxicityModel(weights, rate, fitted.log_k, max(slope, 0.0), offset)
+    # the calibration of one half's weights holds for those of the whole sample
+    return ToxicityModel(lexicon("all")[0], rate, fitted.log_k, max(slope, 0.0), offset)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
