@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, url_filter
+from cirrus.llm import bpe, decontaminate, embedding_dedup, langid, line_dedup, quality, simhash, toxicity, url_filter
 from cirrus.llm.folds import is_fold
 from cirrus.sources.tables import load
 
@@ -35,6 +35,12 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_embedding_near_dedup(spark, sf_dir):
+    """Links and classes of all vectors at a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
