@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import bpe, decontaminate, embedding_dedup, langid, line_dedup, quality, simhash, toxicity, url_filter
+from cirrus.llm import bpe, decontaminate, embedding_dedup, katz, langid, line_dedup, quality, simhash, toxicity, url_filter
 from cirrus.llm.folds import is_fold
 from cirrus.sources.tables import load
 
@@ -77,6 +77,12 @@ def op5_line_dedup(spark, sf_dir):
         "doc_id", "lines_removed", "words_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@_query
+def op6_katz_lm(spark, sf_dir):
+    """Katz and base log10 probability of every document."""
+    return katz.score(load(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document, with its significant passages."""
