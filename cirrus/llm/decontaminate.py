@@ -46,14 +46,12 @@ _SEED = 20_240_607
 _PLAIN = bytearray(b" " * 128) + bytes(range(128, 256))
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _PLAIN[_c] = _c
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _PLAIN[_c] = _c + 32
 _PLAIN = bytes(_PLAIN)
 
 
 def _plain(text: str | None) -> bytes:
-    """A-Z in lower case, ASCII characters but letters and digits as spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN)
+    """Lower case, ASCII characters but letters and digits as spaces."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -74,7 +72,7 @@ def edit_distance_inside(item: list[int], region: list[int], most: int) -> tuple
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
     full, top = (1 << n) - 1, 1 << (n - 1)
-    vp, vn, score, best, at = full, 0, n, most + 1, 0
+    vp, vn, score, best, at = full, 0, n, min(n, most + 1), 0
     for j, w in enumerate(region):
         eq = masks.get(w, 0)
         d0 = (((eq & vp) + vp) ^ vp) | eq | vn

@@ -1,0 +1,528 @@
+"""The training-data operators against brute-force versions on small tables."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cirrus.llm import (bpe, components, decontaminate, embedding_dedup, katz, langid, line_dedup, quality, queries,
+                        simhash, toxicity, url_filter)
+from cirrus.sources.tables import load
+
+
+def union_find(nodes, pairs):
+    up = {x: x for x in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def crc(i):
+    import zlib
+    return zlib.crc32(str(i).encode())
+
+
+# components
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, k) for k in range(150, 190)] \
+        + [(k, k + 1) for k in range(300, 330)] + [(-5, -(1 << 63))]
+    df = spark.createDataFrame(pairs + [(None, 3), (4, 4)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
+    linked = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got == union_find(linked, [p for p in pairs if p[0] != p[1]])
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1
+
+def test_quality_finds_junk_in_held_out_rows(spark, sf_small):
+    sf = sf_small.replace("sf0.001", "sf0.01")
+    got = (queries.op1_quality_classifier(spark, sf).join(load(spark, sf, "labels"), "doc_id").where("held_out")
+           .selectExpr("avg(int(predicted = quality)) a", "min(score) lo", "max(score) hi").first())
+    assert got["a"] >= 0.95 and 0 <= got["lo"] and got["hi"] <= 1
+
+
+def test_rule_model_is_what_it_compiles_to(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, len(quality.STATISTICS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 4] < 0.5)).astype(float)
+    model = quality.fit_rules(x, y)
+    assert model.rules
+    total = np.full(len(x), model.intercept)
+    for rule, w in model.rules:
+        total += w * quality._holds(rule, x)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i long, s array<double>")
+    got = [r["p"] for r in df.select("i", model.score(F.col("s")).alias("p")).orderBy("i").collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-total)))
+    assert (((np.array(got) >= 0.5) == y).mean()) > 0.95
+    assert len(model.rules) < 400
+
+
+def test_quality_without_labels(spark):
+    docs = docs_of(spark, ["a b", None, ""])
+    model = quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [r["score"] for r in quality.score(docs, model).collect()] == [0.5] * 3
+
+
+# 2
+
+def brute_fingerprint(text):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ")
+             .replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    runs = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(r.encode(), seed=42).intdigest() for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_on_documents(spark, sf_small, monkeypatch):
+    docs = load(spark, sf_small, "documents")
+    extra = docs.limit(0).union(spark.createDataFrame(
+        [(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " \n", None, None, None), (9004, "One two", "en", "s", 1),
+         (9005, "ONE two", "en", "s", 1)], docs.schema))
+    docs = docs.union(extra)
+    rows = docs.select("doc_id", "text").collect()
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
+    ids = sorted(prints)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    want = union_find(ids, pairs)
+    for block in (2048, 2):
+        got = simhash.near_duplicates(docs, block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" for r in got)
+
+
+def test_simhash_links_dense_groups(spark):
+    """Clusters around a few centres, in blocks so small that all levels and tiles are used."""
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        for _ in range(120):
+            x = centre
+            for _ in range(rng.randrange(6)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    full = (1 << 64) - 1
+    want = union_find(fps, [(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if ((a ^ b) & full).bit_count() <= 3])
+    for block in (2048, 16):
+        links = [(r["a"], r["b"]) for r in simhash.links(df, block).collect()]
+        assert all(((a ^ b) & full).bit_count() <= 3 for a, b in links)
+        assert union_find(fps, links) == want
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(1000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.fingerprint(text) == whole == brute_fingerprint(text)
+
+
+# 3
+
+def test_embeddings_against_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for c in range(12):
+        centre = rng.normal(size=24)
+        for _ in range(25):
+            rows.append((len(rows), (centre + rng.normal(size=24) * rng.choice([0.0, 0.05, 0.12, 0.3])).tolist(), c % 3))
+    rows += [(1000, None, 1), (1001, [0.0] * 24, 1), (1002, [float("nan")] + [1.0] * 23, 1), (1003, [None] + [1.0] * 23, 1),
+             (1004, rows[0][1], None), (1005, [2 * x for x in rows[0][1]], rows[0][2]), (1006, [1.0, 2.0], 1), (1006, [1.0, 2.0], 1),
+             (1007, [], 1), (1008, [float("inf")] + [1.0] * 23, 1), (None, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame([(i, v, lab, 7) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n long")
+    ok = [(i, v, lab) for i, v, lab in rows if i is not None and lab is not None and v
+          and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links, n = [], Counter()
+    for a in range(len(ok)):
+        for b in range(a + 1, len(ok)):
+            x, y = np.array(ok[a][1], float), np.array(ok[b][1], float)
+            if ok[a][2] == ok[b][2] and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                links.append((ok[a][0], ok[b][0]))
+                n[a] += 1
+                n[b] += 1
+    want = union_find([i for i, _, _ in rows if i is not None], links)
+    by_id = {ok[a][0]: k for a, k in n.items()}
+    assert len(links) > 500
+    for tile in (512, 8):
+        got = embedding_dedup.near_duplicates(df, tile=tile).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r["vec_id"] is None:
+                assert (r["n_links"], r["component_id"], r["kept"]) == (0, None, False)
+            else:
+                assert r["component_id"] == want[r["vec_id"]] and r["kept"] == (want[r["vec_id"]] == r["vec_id"])
+                assert r["n_links"] == by_id.get(r["vec_id"], 0)
+
+
+def test_code_estimate_is_unbiased():
+    rng = np.random.default_rng(4)
+    errors = []
+    for _ in range(400):
+        x, y = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 64)))
+        code, factor, _ = embedding_dedup.encode(x)
+        signs = np.unpackbits(np.frombuffer(code, np.uint8)) * 2.0 - 1
+        errors.append(signs @ (embedding_dedup.rotation(64, 0) @ y) / 8 / factor - x @ y)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.13
+
+
+# 4
+
+URLS = ["http://Example.COM/en/a", "http://www.example.com/en/a?x=/en/", "https://a.b.example.com/en/", "http://example.com/en",
+        "http://x.net/es/1", "http://net/fr/", "http://y.org/", "nothing", None, "", "http://", "http://example.com", "x://com/#a",
+        "http://notexample.com/en/", "http://example.com./en/", "http://example.com:80/en/", "a://b://com/", "http://x.net/es/fr/\n/"]
+
+
+def brute_verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    for c in "?#":
+        rest = rest.split(c, 1)[0]
+    host, slash, path = rest.partition("/")
+    host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules
+            if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[3:] if fits else (None, "allow")))
+
+
+def test_url_filter(spark):
+    rules = queries.URL_RULES + [("example.com", "/en/ab", "block"), ("org", "", "block")]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:2])], "page_id long, url string, rule string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(got) == len(URLS) + 2
+    for r in got:
+        assert tuple(r)[1:] == brute_verdict((URLS + URLS[:2])[r["page_id"]], rules)
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, none).collect()} == {"allow"}
+
+
+def test_url_filter_sql(spark, sf_small):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_small}/pages.parquet')")
+    want = sorted(con.execute(queries.ORACLE_SQL["op4_url_filter"]).fetchall(), key=str)
+    assert sorted(map(tuple, queries.op4_url_filter(spark, sf_small).collect()), key=str) == want
+
+
+# 5
+
+def test_line_dedup(spark):
+    passage = ["the quick brown fox jumps over it", "and a second line of the passage", "", "and a third one to end it all"]
+    texts = ["\n".join(["own start of zero"] + passage + ["own end of zero"]),
+             "\n".join(["own start of one", *passage, "own end of one"]),
+             "nothing shared here\nat all in two lines",
+             "\n".join(["x"] + passage[:2] + ["a line between the two of them", passage[3], "y"]),
+             "\n".join(["own start of zero"] + passage + ["own end of zero"]), None, "", "own end of zero", "own end of zero"]
+    got = {r["doc_id"]: r for r in line_dedup.remove_shared(docs_of(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0] and got[2]["text"] == texts[2]
+    assert got[1]["text"] == "own start of one\nown end of one" and got[1]["lines_removed"] == 3
+    assert got[3]["text"] == "\n".join(["x", "a line between the two of them", passage[3], "y"]).replace(passage[3], passage[3]) \
+        or got[3]["text"] == "x\na line between the two of them\ny"
+    assert got[4]["text"] == "" and got[5]["text"] is None and got[6]["text"] == ""
+    assert got[7]["text"] == texts[7]       # four words: too short for a block
+
+
+def test_line_dedup_keeps_the_first_of_every_long_line(spark, sf_small):
+    docs = load(spark, sf_small, "documents")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r for r in line_dedup.remove_shared(docs).collect()}
+    assert set(after) == set(before)
+    holders = defaultdict(set)
+    for i, t in before.items():
+        for line in t.split("\n"):
+            holders[line.strip()].add(i)
+    for i, t in before.items():
+        gone = Counter(t.split("\n")) - Counter(after[i]["text"].split("\n"))
+        # what went is held by an earlier document; what is first here stays
+        assert all(min(holders[x.strip()]) < i for x in gone if x.strip())
+    left = Counter()
+    for i, r in after.items():
+        left.update({x.strip() for x in r["text"].split("\n") if len(x.split()) >= 8})
+    alone = [x for x, n in left.items() if n > 1]
+    # a line of its own words is removed wherever an earlier document has it as often
+    assert len(alone) <= 0.01 * len(left)
+
+
+def test_align_grows_blocks():
+    lines = lambda s: [(i, c) for i, c in enumerate(s)]
+    assert line_dedup.align(lines("abcxdef"), lines("zabcydef")) == [(0, 1, 3), (4, 5, 3)]
+    assert line_dedup.align(lines("aab"), lines("aab")) == [(0, 0, 3)]
+    assert line_dedup.align(lines("ab"), lines("ba")) in ([(0, 1, 1)], [(1, 0, 1)])
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcde") for _ in range(rng.randrange(12))) for _ in range(2))
+        blocks = line_dedup.align(lines(a), lines(b))
+        assert all(a[i:i + n] == b[j:j + n] for i, j, n in blocks)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(blocks, blocks[1:]))
+        assert bool(blocks) == bool(set(a) & set(b))
+
+
+# 6
+
+def brute_katz(texts, dense):
+    tokens = {i: [*((t or "").encode().lower().split()), b""] for i, t in texts.items()}
+    train = [i for i in texts if crc(i) % 7 != 2]
+    uni, big = Counter(), Counter()
+    for i in train:
+        uni.update(tokens[i])
+        big.update(zip([b"", *tokens[i]], tokens[i]))
+    total, types = sum(uni.values()), len(uni)
+    d1, d2 = (katz.discounts(Counter(c.values())) for c in (uni, big))
+    cut = lambda d, r: d[r - 1] if r <= 5 else 1.0
+    freed = sum(r * (1 - cut(d1, r)) for r in uni.values())
+    n1 = total + (freed <= 0)
+    left = (freed if freed > 0 else 1) / n1
+    p1 = lambda w: cut(d1, uni[w]) * uni[w] / n1 if w in uni else left
+    after = defaultdict(dict)
+    for (v, w), r in big.items():
+        after[v][w] = r
+
+    def p(v, w):
+        if v not in after:
+            return p1(w)
+        f = after[v]
+        n = uni[v] + (uni[v] >= dense or all(r > 5 for r in f.values()))
+        if w in f:
+            return cut(d2, f[w]) * f[w] / n
+        return (1 - sum(cut(d2, r) * r for r in f.values()) / n) / (1 - sum(p1(x) for x in f)) * p1(w)
+
+    out = {}
+    for i, ts in tokens.items():
+        out[i] = (crc(i) % 7 == 2, len(ts), sum(uni[t] > 0 for t in ts), total,
+                  sum(math.log10((uni[t] + 1) / (total + types + 1)) for t in ts),
+                  sum(math.log10(p(v, w)) for v, w in zip([b"", *ts], ts)))
+    for v in list(after)[:40]:
+        assert math.isclose(sum(p(v, w) for w in uni) + p(v, "never seen"), 1, rel_tol=1e-9)
+    return out
+
+
+@pytest.mark.parametrize("chunk, bucket", [(1 << 22, 1 << 22), (900, 250), (5000, 60)])
+def test_katz(spark, sf_small, chunk, bucket):
+    docs = load(spark, sf_small, "documents").where("doc_id < 90")
+    docs = docs.union(spark.createDataFrame([(5001, None, None, None, None), (5002, "", "en", "s", 0), (5003, "Zzz of the", "", "", 1)], docs.schema))
+    want = brute_katz({r["doc_id"]: r["text"] for r in docs.collect()}, min(katz.DENSE, bucket))
+    got = katz.score(docs.repartition(3), chunk_tokens=chunk, bucket_tokens=bucket).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert tuple(r)[1:5] == w[:4]
+        assert math.isclose(r["base_score"], w[4], rel_tol=1e-9) and math.isclose(r["score"], w[5], rel_tol=1e-9)
+
+
+def test_katz_without_training_rows(spark):
+    held = next(i for i in range(100) if crc(i) % 7 == 2)
+    df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
+    r = katz.score(df).first()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
+    assert katz.score(df.limit(0)).count() == 0
+
+
+# 7
+
+def test_segments_are_the_maximal_ones():
+    """Ruzzo and Tompa: a segment is maximal if all its proper parts score less and
+    none that holds it has that property."""
+    rng = random.Random(9)
+    for _ in range(300):
+        s = [rng.randint(-4, 4) for _ in range(rng.randrange(1, 14))]
+        good = [(a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)
+                if all(sum(s[a:k]) > 0 for k in range(a + 1, b + 1)) and all(sum(s[k:b]) > 0 for k in range(a, b))]
+        want = [(a, b, sum(s[a:b])) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good)]
+        assert toxicity.segments([(i, i + 1, x) for i, x in enumerate(s)]) == sorted(want)
+
+
+def test_toxicity_in_held_out_rows(spark, sf_small):
+    sf = sf_small.replace("sf0.001", "sf0.1")
+    rows = (queries.op7_toxicity(spark, sf).join(load(spark, sf, "labels"), "doc_id").where("held_out")
+            .groupBy("toxic", "predicted").count().collect())
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_toxicity_without_labels(spark):
+    docs = docs_of(spark, ["a b", None, ""])
+    model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [(r["score"], r["passages"]) for r in toxicity.score(docs, model).collect()] == [(0.5, [])] * 3
+
+
+# 8
+
+def test_language_in_held_out_rows(spark, sf_small):
+    sf = sf_small.replace("sf0.001", "sf0.01")
+    got = queries.op8_language_id(spark, sf).join(load(spark, sf, "documents"), "doc_id").where("held_out")
+    assert got.selectExpr("avg(int(lang = lang_pred))").first()[0] >= 0.97
+
+
+def test_language_of_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "123 !?", "en"),
+                                  (4, None, "fr"), (5, "", None), (8, "chat", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.learn(docs)).collect()}
+    assert [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3 and got[4]["score"] == 0
+    assert got[8]["lang_pred"] in ("en", "fr")
+    assert langid.predict(docs, langid.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+# 9
+
+def test_edit_distance_inside():
+    rng = random.Random(7)
+    for _ in range(300):
+        item = [rng.randrange(5) + 1 for _ in range(rng.randrange(1, 9))]
+        region = [rng.randrange(6) for _ in range(rng.randrange(0, 15))]
+        rows = [[0] * (len(region) + 1)]
+        for i, w in enumerate(item, 1):
+            rows.append([i])
+            for j, x in enumerate(region, 1):
+                rows[-1].append(min(rows[i - 1][j - 1] + (w != x), rows[i - 1][j] + 1, rows[i][j - 1] + 1))
+        best, end = decontaminate.edit_distance_inside(item, region, len(item))
+        assert best == min(rows[-1]) and (best > len(item) or rows[-1][end] == best)
+
+
+def test_planted_items_are_found(spark, sf_small):
+    sf = sf_small.replace("sf0.001", "sf0.1")
+    items = load(spark, sf, "benchmark")
+    rng = random.Random(11)
+    known = [(r["item_id"], r["text"].split()) for r in items.collect()]
+    known = [(i, w) for i, w in known if len(w) >= 15][:120]
+    own = [w for _, ws in known for w in ws]
+    rows, planted = [], set()
+    for k, (item, words) in enumerate(known):
+        words = list(words)
+        if k % 2:       # about a tenth of the words edited
+            for _ in range(len(words) // 10):
+                at = rng.randrange(len(words))
+                kind = rng.randrange(3)
+                words[at:at + 1] = [[], ["edited"], [words[at], "added"]][kind]
+        around = [rng.choice(own) for _ in range(300)]
+        rows.append((k, " ".join(around[:150] + words + around[150:]).upper() if k % 3 else " ".join(words)))
+        planted.add((k, item))
+    clean = [(1000 + k, " ".join(rng.choice(own) for _ in range(400))) for k in range(100)]
+    docs = spark.createDataFrame(rows + clean + [(5000, None), (5001, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert not any(d >= 1000 for d, _ in got)
+    assert all((k, i) in got for k, i in planted if k % 2 == 0)
+    assert len(planted & got) >= 0.95 * len(planted)
+    small = decontaminate.find_leaks(docs, items, block_bytes=4000).collect()       # many passes, same rows
+    assert len({(r["doc_id"], r["item_id"]) for r in small} & planted) >= 0.95 * len(planted)
+
+
+def test_long_items_and_long_texts(spark, monkeypatch):
+    rng = random.Random(2)
+    item = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    copy = list(item)
+    for at in range(0, 40):
+        copy[at] = "other"      # all edits at one end
+    text = " ".join([f"z{i}" for i in range(5000)] + copy + ["tail"] * 50)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
+    r, = decontaminate.find_leaks(docs, items).collect()
+    assert (r["doc_id"], r["item_id"], r["distance"], r["end"]) == (1, 7, 40, 5400)
+    pieces = list(decontaminate._pieces(text, 10))
+    monkeypatch.setattr(decontaminate, "_SPLIT", 1000)
+    cut = list(decontaminate._pieces(text, 10))
+    words = pieces[0][1]
+    assert len(cut) > 5 and all(p == words[b:b + len(p)] for b, p in cut) and cut[-1][0] + len(cut[-1][1]) == len(words)
+
+
+# 10
+
+def tiktoken_encoding():
+    import public_tokenizers
+    import tiktoken
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANK_FILE))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_the_librarys(spark, sf_small, monkeypatch):
+    ranks, library = tiktoken_encoding()
+    docs = load(spark, sf_small, "documents").select("doc_id", "text", F.lit(1).alias("ids")).union(spark.createDataFrame(
+        [(8001, None, 1), (8002, "", 1), (8003, "a" * 5000 + " \t\n  x" + "ab" * 700, 1), (8004, "\u00e9\U0001f600 <|endoftext|>'LL I'll\x85\u3000", 1),
+         (8005, " " * 3000 + "\n" * 500, 1)], "doc_id long, text string, ids int"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in bpe.decode(bpe.encode(docs)).collect():
+        want = library.encode_ordinary(texts[r["doc_id"]])
+        assert list(memoryview(bytes(r["ids"])).cast("I")) == want
+        assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
+    digests = {r["doc_id"]: r for r in queries.op10_byte_level_bpe(spark, sf_small).collect()}
+    for i, r in digests.items():
+        ids = np.array(library.encode_ordinary(texts[i]), dtype="<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+
+
+def test_bpe_rows_and_single_matches_agree():
+    import public_tokenizers
+    import regex
+    ranks, library = tiktoken_encoding()
+    rng = random.Random(8)
+    made = ["".join(rng.choice("abcdest\u00e9\u4e2d") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    encoder = bpe.Encoder(ranks)
+    packed = list(encoder.encode(made, regex.compile(public_tokenizers.PATTERN)))
+    for text, p in zip(made, packed):
+        assert bpe.merge(text.encode(), ranks) == list(memoryview(p).cast("I")) == library.encode_ordinary(text)
+
+
+# every operator: nulls, empty texts, repeats, empty tables, clashing columns
+
+CLASH = ["score", "id", "fp", "v", "w", "h", "n", "key", "t", "chunk", "row", "component_id", "ids", "spans", "kind"]
+
+
+def odd_documents(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, " \n\t\n"), (None, "some text of nobody at all here"), (None, None),
+            (4, "The same line of at least eight words here\nanother"), (4, "The same line of at least eight words here\nanother"),
+            (5, "The same line of at least eight words here\nanother"), (6, "x " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for i, c in enumerate(CLASH):
+        df = df.withColumn(c, F.lit(None if i % 2 else i).cast("int"))
+    return df
+
+
+OPERATORS = {
+    "quality": lambda s, d: quality.score(d, quality.learn(d, s.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (6, 0), (2, 0)], "doc_id long, quality int"))),
+    "simhash": lambda s, d: simhash.near_duplicates(d),
+    "lines": lambda s, d: line_dedup.remove_shared(d),
+    "katz": lambda s, d: katz.score(d),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.learn(d, s.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (6, 0)], "doc_id long, toxic int"))),
+    "language": lambda s, d: langid.predict(d, langid.learn(d.withColumn("lang", F.lit("en")))),
+    "bpe": lambda s, d: bpe.decode(bpe.encode(d)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows(spark, name):
+    docs = odd_documents(spark)
+    got = OPERATORS[name](spark, docs)
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in docs.collect())
+    assert OPERATORS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_odd_rows_hold_no_leak(spark):
+    docs = odd_documents(spark)
+    items = spark.createDataFrame([(1, "the same line of at least eight words here"), (1, None), (None, "a"), (2, "")], "item_id long, text string")
+    leaks = decontaminate.find_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(4, 1), (5, 1)}
+    assert decontaminate.drop_leaking(docs, leaks).count() == docs.count() - 3
+    assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
+    assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
