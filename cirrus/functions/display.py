@@ -118,8 +118,12 @@ def replace_underscores(c: Column) -> Column:
 
 
 def label_case(c: Column) -> Column:
-    """'_' to space, then each word capitalised (rest lower-cased)."""
-    return F.initcap(replace_underscores(c))
+    """'_' to space, then title case: a letter after anything but a letter, a digit or
+    an apostrophe within a word is upper case ('Server-One', 'It's', '2nd'), others lower."""
+    # the text is cut before each word start; a piece is capitalised at its first letter
+    starts = r"(?<![\p{L}\p{N}])(?<!\p{L}')(?=\p{L})"
+    pieces = F.split(F.lower(replace_underscores(c)), starts)
+    return F.array_join(F.transform(pieces, capfirst), "")
 
 
 def capfirst(c: Column) -> Column:
@@ -152,6 +156,7 @@ def protocol_label(protocol: Column) -> Column:
 
 def default_cidr(cidr: Column, ethertype: Column) -> Column:
     """Remote text: the CIDR, or the any-address of the IP version, plus ' (CIDR)'."""
+    cidr = F.nullif(cidr, F.lit(""))
     any_net = F.when(ethertype == "IPv6", F.lit("::/0")).otherwise(F.lit("0.0.0.0/0"))
     return F.concat(F.coalesce(cidr, any_net), F.lit(" (CIDR)"))
 
@@ -162,6 +167,15 @@ def port_range_text(from_port: Column, to_port: Column) -> Column:
     return F.when(from_port == to_port, a).otherwise(F.concat(a, F.lit(" - "), b))
 
 
+def named_port_range(from_port: Column, from_name: Column, to_port: Column, to_name: Column) -> Column:
+    """'22 (SSH)', '22 (SSH) - 80 (HTTP)'; an end without a name is the number alone."""
+    def end(port: Column, name: Column) -> Column:
+        return F.concat(port.cast("string"), F.coalesce(F.concat(F.lit(" ("), name, F.lit(")")), F.lit("")))
+
+    return F.when(from_port == to_port, end(from_port, from_name)).otherwise(
+        F.concat(end(from_port, from_name), F.lit(" - "), end(to_port, to_name)))
+
+
 def rule_text(ethertype: Column, protocol: Column, from_port: Column, to_port: Column,
               direction: Column, remote_group: Column, remote_cidr: Column) -> Column:
     """'ALLOW IPv4 80-90/tcp from 10.0.0.0/8' style sentence."""
@@ -176,7 +190,7 @@ def rule_text(ethertype: Column, protocol: Column, from_port: Column, to_port: C
                          .otherwise(protocol))
                   .otherwise(F.lit("")))
     dir_word = F.when(direction == "egress", F.lit("to")).otherwise(F.lit("from"))
-    remote = F.coalesce(remote_group, remote_cidr, F.lit("ANY"))
+    remote = F.coalesce(F.nullif(remote_group, F.lit("")), F.nullif(remote_cidr, F.lit("")), F.lit("ANY"))
     return F.concat_ws(" ", F.lit("ALLOW"), ethertype, proto_port, dir_word, remote)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.operators.joins import anti_join, lookup, semi_join
@@ -58,31 +58,57 @@ def add_missing_edges(edges: DataFrame, wanted: DataFrame, keys: Sequence[str],
     """Edges of the owners in ``wanted``, plus a placeholder edge for every wanted
     (owner, target) pair that has no edge row (``placeholder = true``)."""
     keys = list(keys)
-    present = semi_join(edges, wanted, owner).select(*keys, F.lit(False).alias("placeholder"))
-    missing = anti_join(wanted.select(*keys), edges, keys).select(*keys, F.lit(True).alias("placeholder"))
-    return present.unionByName(missing)
+    # per owner the edges wanted, then one pass over its edges; a wanted pair that
+    # was met is counted once per pair, after the join
+    want = wanted.select(*keys).distinct()
+    marked = edges.select(*keys, F.lit(False).alias("placeholder")).unionByName(
+        want.select(*keys, F.lit(True).alias("placeholder")))
+    owners = want.select(F.col(owner).alias("_owner")).distinct()
+    mine = marked.join(owners, F.col(owner) == F.col("_owner"), "left_semi")
+    counted = mine.groupBy(*keys).agg(F.count_if(~F.col("placeholder")).alias("_edges"),
+                                      F.bool_or("placeholder").alias("_wanted"))
+    return counted.select(*keys, F.explode(F.when(
+        F.col("_edges") > 0, F.array_repeat(F.lit(False), F.col("_edges").cast("int")))
+        .when(F.col("_wanted"), F.array(F.lit(True)))).alias("placeholder"))
+
+
+def diff_flags(rows: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
+    """Per key of rows flagged as old and as new: 'removed', 'kept' or 'added'; keys
+    that are neither are left out. One scan, one aggregate."""
+    flags = rows.groupBy(key).agg(F.bool_or(old).alias("_old"), F.bool_or(new).alias("_new"))
+    is_old, is_new = F.coalesce("_old", F.lit(False)), F.coalesce("_new", F.lit(False))
+    return flags.where(is_old | is_new).select(
+        key, F.when(~is_new, "removed").when(~is_old, "added").otherwise("kept").alias("change"))
 
 
 def diff_sets(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Full outer join of two key sets: 'removed', 'kept' or 'added' per key."""
-    a = old.select(F.col(key).alias("_a"))
-    b = new.select(F.col(key).alias("_b"))
-    j = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
-    return j.select(F.coalesce("_a", "_b").alias(key),
-                    F.when(F.col("_b").isNull(), "removed").when(F.col("_a").isNull(), "added")
-                     .otherwise("kept").alias("change"))
+    """Compare two key sets: 'removed', 'kept' or 'added' per key."""
+    both = old.select(key, F.lit(True).alias("_o")).unionByName(new.select(key, F.lit(False).alias("_o")))
+    return diff_flags(both, key, F.col("_o"), ~F.col("_o"))
+
+
+def diff_grant_flags(rows: DataFrame, current: Column, wanted: Column, acting_user, admin_role: str) -> DataFrame:
+    """(user_id, role, action) of rows flagged as current and as wanted grants: 'add'
+    for wanted only, 'revoke' for current only. If that would take the acting user's
+    own admin role (in whatever case), every revoke of that user is 'blocked'."""
+    flags = rows.groupBy("user_id", "role").agg(F.bool_or(current).alias("_c"), F.bool_or(wanted).alias("_w"))
+    is_cur, is_want = F.coalesce("_c", F.lit(False)), F.coalesce("_w", F.lit(False))
+    change = flags.where(is_cur != is_want).select(
+        "user_id", "role", F.when(is_want, "add").otherwise("revoke").alias("action"))
+    mine = F.col("user_id") == F.lit(acting_user)
+    # one row at most per role of one user, read before the rest: a scalar, not a join
+    lost = (rows.where(mine & (F.lower("role") == F.lit(admin_role.lower()))).groupBy("user_id", "role")
+            .agg(F.coalesce(F.bool_or(current), F.lit(False)).alias("c"), F.coalesce(F.bool_or(wanted), F.lit(False)).alias("w"))
+            .agg(F.coalesce(F.bool_or(F.col("c") & ~F.col("w")), F.lit(False)).alias("lost")))
+    return change.withColumn("action", F.when(mine & (F.col("action") == "revoke") & lost.scalar(), F.lit("blocked"))
+                             .otherwise(F.col("action")))
 
 
 def diff_grants(want: DataFrame, current: DataFrame, acting_user, admin_role: str) -> DataFrame:
-    """(user_id, role, action): 'add' for wanted-not-current, 'revoke' for
-    current-not-wanted, 'blocked' when that revoke would drop the acting user's
-    own admin role."""
-    keys = ["user_id", "role"]
-    add = anti_join(want, current, keys).withColumn("action", F.lit("add"))
-    rev = anti_join(current, want, keys).withColumn(
-        "action", F.when((F.col("user_id") == F.lit(acting_user)) & (F.col("role") == F.lit(admin_role)),
-                         F.lit("blocked")).otherwise(F.lit("revoke")))
-    return add.unionByName(rev)
+    """:func:`diff_grant_flags` for two tables of (user_id, role)."""
+    both = want.select("user_id", "role", F.lit(True).alias("_want")).unionByName(
+        current.select("user_id", "role", F.lit(False).alias("_want")))
+    return diff_grant_flags(both, ~F.col("_want"), F.col("_want"), acting_user, admin_role)
 
 
 def resolve_endpoint(ep: DataFrame, service: str, region: str, interface: str, fallback: str | None = None,

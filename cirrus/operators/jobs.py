@@ -57,7 +57,7 @@ def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value:
     the stand-in for an external mapper program. The reducer must be associative
     (``sum``, ``min``, ``max``, ``count``) so it can run map-side as a combiner;
     the final step is a Spark hash aggregate, so no key's values are ever
-    gathered in one place.
+    gathered in one place. A null key is a key like any other.
     """
     combine = {"sum": "sum", "min": "min", "max": "max", "count": "sum"}[reduce]
 
@@ -67,7 +67,7 @@ def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value:
             if reduce == "count":
                 out = out.assign(**{value: 1})
             if len(out):
-                yield out.groupby(key, as_index=False, sort=False)[value].agg(combine)
+                yield out.groupby(key, as_index=False, sort=False, dropna=False)[value].agg(combine)
 
     partial = spread(df).mapInPandas(run, out_schema)
     final = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}[reduce]

@@ -1,11 +1,9 @@
-"""Join helpers: size-checked broadcast and lookup enrichment.
+"""Join helpers: lookup enrichment, semi and anti joins.
 
-A dimension is broadcast only after a bounded probe proves it has at most
-``max_rows`` rows (fewer for wide rows: rows x estimated width stay under
-``DEFAULT_BROADCAST_BYTES``) (``limit(max_rows + 1).count()`` stops reading as soon as the
-bound is exceeded). Past the bound the join is left to the planner: a
-sort-merge join on the key, with AQE free to switch to broadcast when the
-runtime size turns out small, and to split skewed partitions.
+No side is hinted: the planner broadcasts a dimension whose size it knows to be
+below ``spark.sql.autoBroadcastJoinThreshold``, AQE does so when a side turns out
+that small at run time, and skewed partitions of the larger side are split. So
+building a query starts no job and no size is remembered from an earlier run.
 """
 
 from __future__ import annotations
@@ -14,54 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Rows a dimension may have before we stop hinting a broadcast. Lookups project
-#: only the columns they need, so at a few tens of bytes per row this keeps a
-#: broadcast table in the tens of MB, far below the 8 GB hard limit.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-#: Estimated bytes a broadcast side may take (rows x estimated row width).
-DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
-_TYPE_BYTES = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.ShortType: 2, T.ByteType: 1,
-               T.FloatType: 4, T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
-               T.StringType: 32}
-
-
-def row_bytes(df: DataFrame) -> int:
-    """Rough width of a row from its schema (strings count 32 bytes, nested or
-    other types 64)."""
-    return sum(_TYPE_BYTES.get(type(f.dataType), 64) for f in df.schema.fields) or 1
-
-
-_PROBES: dict[tuple, bool] = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (bounded probe).
-
-    The answer is remembered per (plan, input files, bound) in this process, so
-    a dimension probed by several queries is read once; new or rewritten files
-    change the file list and force a new probe."""
-    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    if key not in _PROBES:
-        _PROBES[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _PROBES[key]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged.
-    ``max_rows`` defaults to the module's ``DEFAULT_BROADCAST_ROWS`` (read at call
-    time, so a deployment can lower it globally); 0 disables the hint."""
-    limit = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
-    limit = min(limit, DEFAULT_BROADCAST_BYTES // row_bytes(df))   # wide rows lower the row bound
-    return F.broadcast(df) if limit > 0 and has_at_most(df, limit) else df
-
-
-def lookup(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column, how: str = "left",
-           max_dim_rows: int | None = None) -> DataFrame:
-    """Enrich ``fact`` with ``dim`` columns, broadcasting ``dim`` only when bounded."""
-    return fact.join(bounded_broadcast(dim, max_dim_rows), on, how)
+def lookup(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column, how: str = "left") -> DataFrame:
+    """Enrich ``fact`` with ``dim`` columns."""
+    return fact.join(dim, on, how)
 
 
 def label_or_id(label: Column, key: Column) -> Column:

@@ -67,16 +67,28 @@ def valid_ip(c: Column, version: int = IPV4, mask: bool = False, min_mask: int =
     return F.coalesce(ok, F.lit(False))
 
 
+#: The least and largest port and protocol numbers (-1 stands for any).
+PORTS = (-1, 65535)
+PROTOCOLS = (-1, 255)
+
+
 def valid_port(p: Column) -> Column:
-    return p.isNotNull() & (p >= 1) & (p <= 65535)
+    return F.coalesce(p.between(*PORTS), F.lit(False))
+
+
+def valid_port_text(text: Column) -> Column:
+    """'a' or 'a:b' of whole numbers that are valid ports; anything else is not."""
+    parts = F.split(text, ":", -1)
+    one = lambda x: x.rlike(r"^\s*[+-]?[0-9]+\s*$") & valid_port(F.trim(x).try_cast("long"))
+    return F.coalesce((F.size(parts) <= 2) & F.forall(parts, one), F.lit(False))
 
 
 def valid_port_range(lo: Column, hi: Column) -> Column:
     return valid_port(lo) & valid_port(hi) & (lo <= hi)
 
 
-def valid_protocol(proto: Column, allowed=("tcp", "udp", "icmp")) -> Column:
-    return F.coalesce(F.lower(proto).isin(list(allowed)), F.lit(False))
+def valid_protocol(proto: Column) -> Column:
+    return F.coalesce(proto.between(*PROTOCOLS), F.lit(False))
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -28,11 +28,21 @@ def quota_usage(quotas: DataFrame, tallies: DataFrame, keys: Sequence[str] = ("o
     keys = list(keys)
     used = tallies.groupBy(*keys).agg(F.sum(F.coalesce(F.col("value"), F.lit(0))).cast("bigint").alias("used"))
     q = quotas.select(*keys, normalise_limit(F.col("limit")).alias("quota"))
-    j = q.join(used, keys, "left")
-    avail = (F.when(F.col("quota") == INF, F.lit(INF))
-             .when(F.col("used").isNull(), F.lit(None).cast("double"))
-             .otherwise(F.greatest(F.col("quota") - F.col("used"), F.lit(0.0))))
-    return j.select(*keys, "quota", "used", avail.alias("available"))
+    return q.join(used, keys, "left").withColumn("available", available(F.col("quota"), F.col("used"))).select(
+        *keys, "quota", "used", "available")
+
+
+def available(quota: Column, used: Column) -> Column:
+    """What a quota has left: unlimited, unknown without a tally, else 0 at least."""
+    return (F.when(quota == INF, F.lit(INF)).when(used.isNull(), F.lit(None).cast("double"))
+            .otherwise(F.greatest(quota - used, F.lit(0.0))))
+
+
+def with_available(rows: DataFrame) -> DataFrame:
+    """Rows with ``limit`` and ``used`` as rows with ``quota``, ``used``, ``available``."""
+    others = [c for c in rows.columns if c not in ("limit", "used")]
+    quota = rows.select(*others, normalise_limit(F.col("limit")).alias("quota"), "used")
+    return quota.withColumn("available", available(F.col("quota"), F.col("used")))
 
 
 # Fixed values (must equal the reference): quota names of each service.
@@ -42,25 +52,22 @@ VOLUME_QUOTA_FIELDS = ("volumes", "snapshots", "gigabytes")
 NETWORK_QUOTA_FIELDS = ("network", "subnet", "port", "router", "floatingip", "security_group", "security_group_rule")
 
 
-def disabled_quotas(volume: bool, network: bool, network_security_groups: bool = True,
-                    network_quotas: bool = True) -> list[str]:
-    """Quota names to hide given which services are on. Without the volume
-    service its names go; without the network service its names go; with it,
-    the compute service's address names go, and the security-group names of
-    whichever service does not provide security groups; a network service
-    without its quota extension hides its own names too."""
-    out: list[str] = []
-    if not volume:
-        out += VOLUME_QUOTA_FIELDS
-    if not network:
-        out += NETWORK_QUOTA_FIELDS
-    else:
-        out += ["floating_ips", "fixed_ips"]
-        out += (["security_groups", "security_group_rules"] if network_security_groups
-                else ["security_group", "security_group_rule"])
-        if not network_quotas:
-            out += NETWORK_QUOTA_FIELDS
-    return out
+# Fixed values (must equal the reference): names that go where a service's setting
+# has a value. Settings: enabled, groups (the service provides security groups), quotas.
+HIDDEN_WHEN = (
+    [("volume", "enabled", False, n) for n in VOLUME_QUOTA_FIELDS]
+    + [("network", setting, False, n) for setting in ("enabled", "quotas") for n in NETWORK_QUOTA_FIELDS]
+    + [("network", "enabled", True, n) for n in ("floating_ips", "fixed_ips")]
+    + [("network", "groups", True, n) for n in ("security_groups", "security_group_rules")]
+    + [("network", "groups", False, n) for n in ("security_group", "security_group_rule")]
+)
+
+
+def hide_disabled(usage: DataFrame, settings: DataFrame) -> DataFrame:
+    """Quota rows without the names that the services' settings hide. ``settings``
+    has (service, setting, value); settings that are not given hide nothing."""
+    rules = usage.sparkSession.createDataFrame(HIDDEN_WHEN, "service string, setting string, value boolean, name string")
+    return usage.join(rules.join(settings, ["service", "setting", "value"], "left_semi").select("name"), "name", "left_anti")
 
 
 def drop_quota_names(usage: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -235,7 +235,11 @@ def split_by(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
 def lookup_unique(df: DataFrame, id_column: str, value: str) -> DataFrame:
     """The one row whose id (as text) equals ``value``. Raises LookupError when
     none matches and ValueError when several do (probe reads at most two rows)."""
-    hit = df.where(F.col(id_column).cast("string") == F.lit(str(value)))
+    kind = df.schema[id_column].dataType
+    # the literal takes the column's type, so the scan gets the filter; a text that is
+    # not written as the column would write it ('042') matches nothing
+    same = F.lit(str(value)).try_cast(kind)
+    hit = df.where((F.col(id_column) == same) & (same.cast("string") == F.lit(str(value))))
     n = hit.limit(2).count()
     if n == 0:
         raise LookupError(f"no row with {id_column} = {value!r}")

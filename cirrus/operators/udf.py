@@ -53,7 +53,7 @@ def run_text_program(spark, input_path: str, output_path: str, mapper: Callable[
     combiner and per key, the result is written to ``output_path`` and read
     back from there."""
     from functools import partial
-    lines = spark.read.text(input_path)
+    lines = spark.read.option("lineSep", "\n").text(input_path)
     result = external_program(lines, partial(mapper, **dict(args or {})), out_schema, key, value, reduce)
     result.write.mode("overwrite").format(out_format).save(output_path)
     return spark.read.format(out_format).load(output_path)

@@ -140,6 +140,10 @@ def stat_selected_attr(spark, sf_dir):
     return M.select_attr(st, ["resource", "meter"], "avg")
 
 
+#: Meters shown side by side.
+METERS = ["event.click", "event.error", "event.purchase", "event.signup", "event.view"]
+
+
 @query("stat_meters_wide", section=S, sql=f"""
 SELECT resource,
        round(sum(volume) FILTER (WHERE meter = 'event.click'), 2) / count(*) FILTER (WHERE meter = 'event.click') AS event_click,
@@ -151,15 +155,11 @@ FROM (SELECT user_id AS resource, 'event.' || event_type AS meter, value AS volu
 GROUP BY resource
 """)
 def stat_meters_wide(spark, sf_dir):
-    """One column per meter (average volume); '.' in meter names becomes '_'.
-    The pivot list is read from the data with a bounded distinct (meters are a
-    small catalogue; more than 1000 is refused rather than pivoted)."""
+    """One column per meter of METERS (average volume); '.' in meter names becomes
+    '_'. The columns wanted are a parameter, as a chart's meters are."""
     from cirrus.operators import metering as M
     s = samples(Tables(spark, sf_dir)).withColumn("meter", F.concat(F.lit("event."), "meter"))
-    names = [r[0] for r in s.select("meter").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("too many meters to pivot into columns")
-    return M.meters_wide(s, "resource", "meter", sorted(names))
+    return M.meters_wide(s, "resource", "meter", METERS)
 
 
 @query("stat_named_groups", section=S, sql=f"""
@@ -178,52 +178,58 @@ def stat_named_groups(spark, sf_dir):
 
 # --- quota and limits ------------------------------------------------------------------------
 
+#: Quotas beside the server ones: a limit per tenant, or -1.
+FIXED_LIMITS = {"floating_ips": 10, "volumes": 8, "snapshots": -1, "gigabytes": 1000, "security_groups": 10}
+#: A tenant's events stand for its addresses (click), volumes (purchase) and snapshots (signup).
 QUOTA_SQL = f"""
 WITH q AS ({V.TENANT_QUOTA_SQL}),
-s AS ({V.SERVERS_SQL}),
-t AS (SELECT q.tenant_id,
-             coalesce(count(s.server_id) FILTER (WHERE s.state = 'active'), 0) AS inst,
-             coalesce(sum(s.vcpus) FILTER (WHERE s.state = 'active'), 0) AS cores,
-             coalesce(sum(s.memory_mb) FILTER (WHERE s.state = 'active'), 0) AS ram
-      FROM q LEFT JOIN s ON s.tenant_id = q.tenant_id GROUP BY q.tenant_id),
-ql AS (SELECT tenant_id, 'instances' AS name, instances_limit AS lim FROM q
-       UNION ALL SELECT tenant_id, 'cores', CASE WHEN instances_limit IS NULL THEN -1 ELSE 4 * instances_limit END FROM q
-       UNION ALL SELECT tenant_id, 'ram', CASE WHEN instances_limit IS NULL THEN -1 ELSE 4096 * instances_limit END FROM q
-       UNION ALL SELECT tenant_id, 'security_groups', 10 FROM q),
-tl AS (SELECT tenant_id, 'instances' AS name, inst AS used FROM t
-       UNION ALL SELECT tenant_id, 'cores', cores FROM t
-       UNION ALL SELECT tenant_id, 'ram', ram FROM t),
-j AS (SELECT ql.tenant_id, ql.name,
-             CASE WHEN ql.lim IS NULL OR ql.lim = -1 THEN 'inf'::DOUBLE ELSE ql.lim::DOUBLE END AS quota,
-             CAST(tl.used AS BIGINT) AS used
-      FROM ql LEFT JOIN tl ON tl.tenant_id = ql.tenant_id AND tl.name = ql.name)
+s AS (SELECT tenant_id, count(*) AS inst, sum(vcpus) AS cores, sum(memory_mb) AS ram
+      FROM ({V.SERVERS_SQL}) WHERE state <> 'deleted' GROUP BY tenant_id),
+e AS (SELECT user_id AS tenant_id, count(*) FILTER (WHERE event_type = 'click') AS ips,
+             count(*) FILTER (WHERE event_type = 'purchase') AS volumes, count(*) FILTER (WHERE event_type = 'signup') AS snapshots,
+             sum(CAST(floor(value) AS BIGINT)) FILTER (WHERE event_type = 'purchase') AS gigabytes
+      FROM events GROUP BY user_id),
+w AS (SELECT q.tenant_id, instances_limit AS lim, s.*, e.* FROM q LEFT JOIN s ON s.tenant_id = q.tenant_id
+      LEFT JOIN e ON e.tenant_id = q.tenant_id),
+j AS (SELECT tenant_id, 'instances' AS name, lim, CAST(coalesce(inst, 0) AS BIGINT) AS used FROM w
+      UNION ALL SELECT tenant_id, 'cores', 4 * lim, CAST(coalesce(cores, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'ram', 4096 * lim, CAST(coalesce(ram, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'floating_ips', 10, CAST(coalesce(ips, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'volumes', 8, CAST(coalesce(volumes, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'snapshots', NULL, CAST(coalesce(snapshots, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'gigabytes', 1000, CAST(coalesce(gigabytes, 0) AS BIGINT) FROM w
+      UNION ALL SELECT tenant_id, 'security_groups', 10, NULL FROM w),
+k AS (SELECT tenant_id, name, coalesce(CAST(lim AS DOUBLE), 'inf'::DOUBLE) AS quota, used FROM j)
 SELECT tenant_id, name, quota, used,
        CASE WHEN quota = 'inf'::DOUBLE THEN 'inf'::DOUBLE WHEN used IS NULL THEN NULL
             ELSE greatest(quota - used, 0.0) END AS available
-FROM j"""
+FROM k"""
 
 
-def quota_usage_df(t: Tables):
+def quota_usage_df(t: Tables, only: str | None = None):
+    """The tallies meet the tenants once, wide; the names are stacked last. ``only``
+    leaves the other names out before that."""
     from cirrus.operators import quota as QU
-    q = V.tenant_quota(t.customer)
-    s = V.servers(t.orders)
-    active = F.col("state") == "active"
-    per_tenant = s.groupBy("tenant_id").agg(F.count_if(active).alias("inst"),
-                                            F.sum(F.when(active, F.col("vcpus"))).alias("cores"),
-                                            F.sum(F.when(active, F.col("memory_mb"))).alias("ram"))
-    # every tenant gets a tally (0 when it runs nothing), as the usage tally does
-    tal = q.select("tenant_id").join(per_tenant, "tenant_id", "left")
-    tallies = tal.selectExpr("tenant_id AS owner",
-                             "stack(3, 'instances', coalesce(inst, 0), 'cores', coalesce(cores, 0), "
-                             "'ram', coalesce(ram, 0)) AS (name, value)")
-    lim = F.col("instances_limit")
-    quotas = q.select(F.col("tenant_id").alias("owner"),
-                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim).alias("i"),
-                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim * 4).alias("c"),
-                      F.when(lim.isNull(), F.lit(-1)).otherwise(lim * 4096).alias("r"),
-                      ).selectExpr("owner", "stack(4, 'instances', i, 'cores', c, 'ram', r, "
-                                            "'security_groups', CAST(10 AS BIGINT)) AS (name, limit)")
-    return QU.quota_usage(quotas, tallies).withColumnRenamed("owner", "tenant_id")
+    event = F.col("event_type")
+    servers = V.servers(t.orders).where("state <> 'deleted'").groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("instances"), F.sum("vcpus").alias("cores"), F.sum("memory_mb").alias("ram"))
+    other = t.events.groupBy(F.col("user_id").alias("tenant_id")).agg(
+        F.count_if(event == "click").alias("floating_ips"), F.count_if(event == "purchase").alias("volumes"),
+        F.count_if(event == "signup").alias("snapshots"),
+        F.sum(F.when(event == "purchase", F.floor("value").cast("bigint"))).alias("gigabytes"))
+    per_server = {"instances": 1, "cores": 4, "ram": 4096}
+    names = [n for n in [*per_server, *FIXED_LIMITS] if only in (None, n)]
+    wide = V.tenant_quota(t.customer).select("tenant_id", "instances_limit")
+    if only in (None, *per_server):
+        wide = wide.join(servers, "tenant_id", "left")
+    if only in (None, *FIXED_LIMITS):
+        wide = wide.join(other, "tenant_id", "left")
+    rows = F.array(*[F.struct(
+        F.lit(n).alias("name"), (F.col("instances_limit") * per_server[n] if n in per_server
+                                 else F.lit(FIXED_LIMITS[n]).cast("bigint")).alias("limit"),
+        (F.lit(None).cast("bigint") if n == "security_groups" else F.coalesce(F.col(n), F.lit(0)).cast("bigint")).alias("used"))
+        for n in names])
+    return QU.with_available(wide.select("tenant_id", F.inline(rows)))
 
 
 @query("quota_usage", section=S, sql=QUOTA_SQL)
@@ -242,8 +248,10 @@ def quota_disable_by_service(spark, sf_dir):
     volume and network on, security groups and quotas from the network
     service, so the compute service's address and security-group names go."""
     from cirrus.operators import quota as QU
-    names = QU.disabled_quotas(volume=True, network=True, network_security_groups=True, network_quotas=True)
-    return QU.drop_quota_names(quota_usage_df(Tables(spark, sf_dir)), names)
+    settings = spark.createDataFrame([("volume", "enabled", True), ("network", "enabled", True), ("network", "groups", True),
+                                      ("network", "quotas", True)], "service string, setting string, value boolean")
+    return QU.hide_disabled(quota_usage_df(Tables(spark, sf_dir)), settings).select(
+        "tenant_id", "name", "quota", "used", "available")
 
 
 @query("limits_usage", section=S, sql="""
@@ -288,7 +296,7 @@ FROM u
 def quota_fraction(spark, sf_dir):
     """Percent of the cores quota used, and after adding 2 servers of 4 vcpus."""
     from cirrus.operators import quota as QU
-    u = quota_usage_df(Tables(spark, sf_dir)).where(F.col("name") == "cores")
+    u = quota_usage_df(Tables(spark, sf_dir), only="cores")
     pct, after = QU.fraction_used(F.col("used"), F.col("quota"), 2, 4)
     return u.select("tenant_id", "used", "quota", pct.alias("pct_used"), after.alias("pct_after"))
 

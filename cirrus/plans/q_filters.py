@@ -249,10 +249,9 @@ UNION ALL
 SELECT page_id, path, 'object' AS kind FROM p WHERE NOT ends_with(path, '/')
 """)
 def filter_kind_split(spark, sf_dir):
-    """One listing split into folders and objects (two filters over one plan)."""
+    """One listing split into folders and objects, by a label in one scan."""
     p = Tables(spark, sf_dir).pages.select("page_id", F.regexp_extract("url", PATH_RE, 1).alias("path"))
-    folders, objects = TB.split_by(p, F.col("path").endswith("/"))
-    return folders.withColumn("kind", F.lit("folder")).unionByName(objects.withColumn("kind", F.lit("object")))
+    return p.withColumn("kind", F.when(F.col("path").endswith("/"), "folder").otherwise("object"))
 
 
 @query("filter_active_only", section=S, sql=f"""
@@ -371,15 +370,19 @@ CIDR_SQL = """CASE WHEN l_linenumber = 7
 
 @query("row_quality_check", section=S, sql=f"""
 WITH r AS (
-  SELECT CAST(l_partkey * 37 % 70000 AS BIGINT) AS port,
+  SELECT CAST(l_partkey * 37 % 70000 - 3 AS BIGINT) AS port,
+         CAST(l_partkey % 700 AS VARCHAR) || CASE l_linenumber WHEN 1 THEN ':' || CAST(l_suppkey * 997 % 70000 AS VARCHAR)
+             WHEN 2 THEN ':x' WHEN 3 THEN ':1:2' WHEN 4 THEN '' ELSE ':' || CAST(l_linenumber - 7 AS VARCHAR) END AS port_text,
          CAST(l_quantity AS BIGINT) * 1000 AS lo, CAST(l_quantity AS BIGINT) * 1000 + (l_linenumber - 4) * 100 AS hi,
-         CASE l_returnflag WHEN 'A' THEN 'tcp' WHEN 'N' THEN 'UDP' ELSE 'gre' END AS proto,
+         CAST(l_suppkey % 300 - 5 AS BIGINT) AS proto,
          {CIDR_SQL} AS cidr
   FROM lineitem),
 v AS (
-  SELECT port IS NOT NULL AND port BETWEEN 1 AND 65535 AS port_ok,
-         lo BETWEEN 1 AND 65535 AND hi BETWEEN 1 AND 65535 AND lo <= hi AS range_ok,
-         coalesce(lower(proto) IN ('tcp', 'udp', 'icmp'), false) AS proto_ok,
+  SELECT port IS NOT NULL AND port BETWEEN -1 AND 65535 AS port_ok,
+         len(string_split(port_text, ':')) <= 2 AND coalesce(list_bool_and(list_transform(string_split(port_text, ':'),
+             lambda x: coalesce(TRY_CAST(x AS BIGINT) BETWEEN -1 AND 65535, false))), false) AS text_ok,
+         lo BETWEEN -1 AND 65535 AND hi BETWEEN -1 AND 65535 AND lo <= hi AS range_ok,
+         coalesce(proto BETWEEN -1 AND 255, false) AS proto_ok,
          coalesce(CASE WHEN len(string_split(cidr, '/')) > 2 THEN false
                        WHEN contains(string_split(cidr, '/')[1], ':')
                        THEN regexp_full_match(string_split(cidr, '/')[1], '{Q.V6}')
@@ -394,12 +397,13 @@ v AS (
   FROM r)
 SELECT 'port' AS rule, CAST(count(*) FILTER (WHERE port_ok) AS BIGINT) AS n_pass,
        CAST(count(*) FILTER (WHERE NOT port_ok) AS BIGINT) AS n_fail FROM v
+UNION ALL SELECT 'port_text', count(*) FILTER (WHERE text_ok), count(*) FILTER (WHERE NOT text_ok) FROM v
 UNION ALL SELECT 'port_range', count(*) FILTER (WHERE range_ok), count(*) FILTER (WHERE NOT range_ok) FROM v
 UNION ALL SELECT 'protocol', count(*) FILTER (WHERE proto_ok), count(*) FILTER (WHERE NOT proto_ok) FROM v
 UNION ALL SELECT 'cidr', count(*) FILTER (WHERE cidr_ok), count(*) FILTER (WHERE NOT cidr_ok) FROM v
 """)
 def row_quality_check(spark, sf_dir):
-    """Port, port-range, protocol and CIDR (IPv4 incl. short forms, or IPv6;
+    """Port (a number, and 'a' or 'a:b' as text), port-range, protocol and CIDR (IPv4 incl. short forms, or IPv6;
     mask within the version's range) rules over derived rule rows; pass and
     fail counts per rule from one aggregate."""
     from cirrus.operators.jobs import spread
@@ -411,13 +415,16 @@ def row_quality_check(spark, sf_dir):
             .otherwise(F.concat((sk % 300).cast("string"), F.lit("."), (pk % 256).cast("string"), F.lit(".0.0/"),
                                 (ln * 6).cast("string"))))
     r = li.select(
-        (pk * 37 % 70000).cast("bigint").alias("port"),
+        (pk * 37 % 70000 - 3).cast("bigint").alias("port"),
+        F.concat((pk % 700).cast("string"), F.when(ln == 1, F.concat(F.lit(":"), (sk * 997 % 70000).cast("string")))
+                 .when(ln == 2, ":x").when(ln == 3, ":1:2").when(ln == 4, "")
+                 .otherwise(F.concat(F.lit(":"), (ln - 7).cast("string")))).alias("port_text"),
         (F.col("l_quantity").cast("bigint") * 1000).alias("lo"),
         (F.col("l_quantity").cast("bigint") * 1000 + (ln - 4) * 100).alias("hi"),
-        F.when(F.col("l_returnflag") == "A", "tcp").when(F.col("l_returnflag") == "N", "UDP")
-         .otherwise("gre").alias("proto"),
+        (sk % 300 - 5).cast("bigint").alias("proto"),
         cidr.alias("cidr"))
-    rules = {"port": Q.valid_port(F.col("port")), "port_range": Q.valid_port_range(F.col("lo"), F.col("hi")),
+    rules = {"port": Q.valid_port(F.col("port")), "port_text": Q.valid_port_text(F.col("port_text")),
+             "port_range": Q.valid_port_range(F.col("lo"), F.col("hi")),
              "protocol": Q.valid_protocol(F.col("proto")),
              "cidr": Q.valid_ip(F.col("cidr"), Q.IPV4 | Q.IPV6, mask=True)}
     return Q.rule_counts(r, rules)

@@ -166,6 +166,10 @@ def tail_n(spark, sf_dir):
     return SO.last_n(lines, ["conv_id"], [F.col("turn").desc(), F.col("line_no").desc()], 35)
 
 
+#: Above every network id, so that position and id fit one long.
+NETWORKS = 1 << 48
+
+
 @query("pick_main_edge", section=S, sql="""
 WITH m AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS net FROM lineitem GROUP BY l_orderkey)
 SELECT o.o_orderkey, coalesce(m.net, (SELECT min(p_partkey) FROM part)) AS main_network
@@ -173,11 +177,13 @@ FROM orders o LEFT JOIN m ON m.l_orderkey = o.o_orderkey
 """)
 def pick_main_edge(spark, sf_dir):
     """A device's main network: the attached one with the lowest position
-    (``min_by``, a partial aggregate); a device without ports goes to the first
+    (a partial aggregate); a device without ports goes to the first
     network of the list."""
     t = Tables(spark, sf_dir)
-    first_net = t.part.agg(F.min("p_partkey")).first()[0]
-    main = t.lineitem.groupBy("l_orderkey").agg(
-        F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("net"))
+    first_net = t.part.agg(F.min("p_partkey")).scalar()
+    # position and network as one number: the buffer is a long, so the aggregate hashes
+    place = F.col("l_linenumber").cast("bigint") * NETWORKS + F.col("l_partkey")
+    main = t.lineitem.groupBy("l_orderkey").agg(F.min(place).alias("p")).select(
+        "l_orderkey", (F.col("p") % NETWORKS).alias("net"))
     j = t.orders.select("o_orderkey").join(main, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.select("o_orderkey", F.coalesce("net", F.lit(first_net)).alias("main_network"))
+    return j.select("o_orderkey", F.coalesce("net", first_net).alias("main_network"))

@@ -48,7 +48,7 @@ def src_object_listing(spark, sf_dir):
     documents written as one folder per source, then listed without reading
     file contents."""
     out = scratch_dir(spark, "listing")
-    FS.write_partitioned(Tables(spark, sf_dir).documents, out, "source", spread_key="doc_id")
+    FS.write_partitioned(Tables(spark, sf_dir).documents, out, "source")
     return FS.list_objects(spark, out, glob="*.parquet")
 
 

@@ -18,6 +18,7 @@ QUEUE_SCHEMA = "job_id STRING, job_type STRING, conv_id BIGINT, turn BIGINT, tex
 #: Files per micro-batch. Batches stay bounded on a large backlog; the tests
 #: drive the same jobs one file per batch to exercise the merge across batches.
 FILES_PER_BATCH = 1000
+JOBS_PER_FILE = 100_000
 
 
 def _table_stream(spark, sf_dir: str, name: str, max_files: int = FILES_PER_BATCH):
@@ -38,13 +39,13 @@ FROM conversations
 """)
 def stream_job_queue(spark, sf_dir):
     """Conversation turns queued as JSON job objects (several files), drained by
-    a checkpointed file stream that takes each file once, drops a job id queued
-    again within an hour, and routes every job to a folder per job type."""
+    a checkpointed file stream that takes each file once, drops a job id that
+    was queued before, and routes every job to a folder per job type."""
     queue = scratch_dir(spark, "queue")
     c = Tables(spark, sf_dir).conversations
     jobs = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("job_id"),
                     F.col("role").alias("job_type"), "conv_id", "turn", "text")
-    jobs.repartition(4, "conv_id").write.mode("overwrite").json(queue)
+    jobs.write.mode("overwrite").option("maxRecordsPerFile", JOBS_PER_FILE).json(queue)
     routed = SJ.consume_job_queue(spark, queue, QUEUE_SCHEMA, route="job_type", max_files=FILES_PER_BATCH,
                                   dedupe_key="job_id")
     return routed.select("job_id", "job_type", "conv_id", "turn", "text")
@@ -79,8 +80,8 @@ def stream_log_sync(spark, sf_dir):
     line as they appear; each file taken once."""
     logs = scratch_dir(spark, "logs")
     from cirrus.sources.files import write_partitioned
-    write_partitioned(Tables(spark, sf_dir).documents.select("source", "doc_id", F.col("text").alias("value")),
-                      logs, "source", fmt="text", spread_key="doc_id", drop=("doc_id",))
+    write_partitioned(Tables(spark, sf_dir).documents.select("source", F.col("text").alias("value")),
+                      logs, "source", fmt="text")
     return SJ.sync_logs(spark, logs + "/*", max_files=FILES_PER_BATCH).select("value")
 
 
@@ -94,11 +95,11 @@ FROM b GROUP BY user_id, event_type, bucket
 """)
 def stream_period_stats(spark, sf_dir):
     """Daily statistics per (resource, meter) kept current while samples arrive:
-    event-time windows with a watermark, update mode, changed windows logged
-    per batch and folded on read."""
+    each micro-batch logs the partial statistics of its event-time windows, merged
+    on read, so that no sample comes too late."""
     stream = _table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     import datetime as dt
-    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400, "2 days",
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400,
                            origin=dt.datetime(2024, 1, 1))
     return cur.select(F.col("user_id").alias("resource"), F.col("event_type").alias("meter"),
                       F.col("period_start").cast("timestamp_ntz").alias("period_start"), *SJ.rounded_stats(cur))

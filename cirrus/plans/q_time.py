@@ -21,8 +21,8 @@ S = "2.7"
 
 
 def table_now(df, col: str):
-    """Latest time in ``col`` as a literal Column (one scalar through the driver)."""
-    return F.lit(df.agg(F.max(col)).first()[0]).cast("timestamp_ntz")
+    """Latest time in ``col``, as a scalar subquery: building the query starts no job."""
+    return df.agg(F.max(col)).scalar()
 
 
 @query("ts_parse_multi", section=S, sql="""
@@ -178,9 +178,15 @@ def ts_normalise_utc(spark, sf_dir):
     return e.select("event_id", TF.to_utc_naive(text).alias("utc_ts"))
 
 
+SERIES_FROM, SERIES_TO = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 22, 23, 59, 59)
+#: Seconds per point: the range over 400 points, a range below a day as one day.
+SERIES_PERIOD = max(86400, int((SERIES_TO - SERIES_FROM).total_seconds())) // 400
+
+
 @query("series_points", section=S, sql=f"""
 WITH b AS (SELECT user_id AS resource, value, ts,
-                  (epoch_us(ts) - epoch_us(TIMESTAMP '{PERIOD_ORIGIN}')) // 6479000000 AS bucket FROM events),
+                  (epoch_us(ts) - epoch_us(TIMESTAMP '{SERIES_FROM}')) // {SERIES_PERIOD}000000 AS bucket FROM events
+           WHERE ts >= TIMESTAMP '{SERIES_FROM}' AND ts <= TIMESTAMP '{SERIES_TO}'),
 p AS (SELECT resource, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS x, round(sum(value), 2) / count(*) AS y
       FROM b GROUP BY resource, bucket)
 SELECT resource, CAST(count(*) AS INTEGER) AS n_points,
@@ -188,14 +194,12 @@ SELECT resource, CAST(count(*) AS INTEGER) AS n_points,
 FROM p GROUP BY resource
 """)
 def series_points(spark, sf_dir):
-    """Chart points per resource over the month: period from the range rule
-    (2024-01-01 .. 2024-01-30 end of day -> 6479 s), x = first 19 chars of the
-    last sample time, y = average; resources without data are absent."""
-    t0 = dt.datetime(2024, 1, 1)
-    t1 = dt.datetime(2024, 1, 30, 23, 59, 59)
-    period = spark.range(1).select(TF.period_from_range(F.lit(t0).cast("timestamp_ntz"),
-                                                        F.lit(t1).cast("timestamp_ntz"))).first()[0]
-    st = M.stats_by_period(samples(Tables(spark, sf_dir)), ["resource"], int(period), t0)
+    """Chart points per resource of the samples in the chosen period (8 to 22 January):
+    seconds per point from the range rule, x = first 19 chars of the last sample time,
+    y = average; resources without data there are absent."""
+    inside = samples(Tables(spark, sf_dir)).where(F.col("ts").between(
+        F.lit(SERIES_FROM).cast("timestamp_ntz"), F.lit(SERIES_TO).cast("timestamp_ntz")))
+    st = M.stats_by_period(inside, ["resource"], SERIES_PERIOD, SERIES_FROM)
     pts = M.series_points(st, "resource")
     return pts.select("resource", F.size("points").alias("n_points"), F.array_join(F.transform(
         "points", lambda p: F.concat(p["x"], F.lit("="), F.format_string("%.6f", p["y"]))), ";").alias("points"))

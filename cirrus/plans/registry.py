@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cirrus.session import ensure_checkpoint_dir, ensure_utc
+from cirrus.session import ensure_utc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,6 @@ def query(key: str, sql: str | None = None, section: str = ""):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_utc(spark)
-            ensure_checkpoint_dir(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__

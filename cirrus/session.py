@@ -7,7 +7,6 @@ splitting), a UTC session clock, and Arrow for the few pandas-backed steps.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -102,20 +101,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root.
+    """A path of its own under the shared checkpoint root, for written intermediate
+    tables, stream checkpoints and queue folders, in storage that every executor (and
+    a restarted driver) can see. Writers create it; :func:`remove_dir` deletes it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cirrus/{name}/{uuid.uuid4().hex}"
 
-    Used for written intermediate tables, stream checkpoints and queue folders, so
-    that they live in storage every executor (and a restarted driver) can see.
-    """
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/cirrus/{name}/{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    elif path.startswith("/"):
-        os.makedirs(path, exist_ok=True)
+
+def _filesystem(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def dir_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, by Spark's own file system."""
+    fs, target = _filesystem(spark, path)
+    return fs.exists(target)
+
+
+def make_dir(spark: SparkSession, path: str) -> str:
+    """Create a folder (a stream source must exist before its first file)."""
+    fs, target = _filesystem(spark, path)
+    fs.mkdirs(target)
     return path
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder once nothing reads it any more."""
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """All time semantics in the library are defined in UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

@@ -40,12 +40,12 @@ def list_objects(spark: SparkSession, prefix: str, glob: str | None = None) -> D
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files (column ``value``)."""
-    return spark.read.text(path)
+    """Lines of text files (column ``value``); only a line feed ends a line."""
+    return spark.read.option("lineSep", "\n").text(path)
 
 
 def write_text(df: DataFrame, col: str, path: str) -> str:
-    df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
+    df.select(F.col(col).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
     return path
 
 
@@ -76,12 +76,11 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str |
     return df.sparkSession.table(table)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet", files_per_value: int = 8,
-                      spread_key: str | None = None, drop: tuple[str, ...] = ()) -> str:
+def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> str:
     """``partitionBy(by)`` without the small-files blow-up and without a hot value
-    in one task: rows are first shuffled by (value, salt), so each value is
-    written as at most ``files_per_value`` files by as many tasks."""
-    salt_src = F.col(spread_key) if spread_key else F.monotonically_increasing_id()
-    salt = F.pmod(F.xxhash64(salt_src), F.lit(files_per_value))
-    df.repartition(F.col(by), salt).drop(*drop).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    in one task: rows are rebalanced by the value first, so small values share a
+    task and one with very many rows is split into as many tasks as its bytes need
+    (AQE's advisory partition size)."""
+    writer = df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).format(fmt)
+    (writer.option("lineSep", "\n") if fmt == "text" else writer).save(path)
     return path

@@ -17,9 +17,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cirrus.session import scratch_dir
+from cirrus.session import dir_exists, remove_dir, scratch_dir
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -52,35 +53,42 @@ LOG_SYNC_EVERY = "3 seconds"
 
 # --- job queue ----------------------------------------------------------------------------
 
-def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int = 1,
-                     dedupe_key: str | None = None, dedupe_window: str = "1 hour") -> DataFrame:
-    """Queued JSON job objects; each file is taken once (tracked by the
-    checkpoint). With ``dedupe_key`` a job id queued again (in another file)
-    within ``dedupe_window`` of its first copy is dropped; the time is the queue
-    file's modification time, so the dedupe state stays bounded by the window."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_dir)
-    if dedupe_key is None:
-        return stream
-    return (stream.withColumn("_queued_at", F.col("_metadata.file_modification_time"))
-            .withWatermark("_queued_at", dedupe_window)
-            .dropDuplicatesWithinWatermark([dedupe_key])
-            .drop("_queued_at"))
-
-
-def route_jobs(out_dir: str, route: str) -> BatchFn:
-    """Write every micro-batch into ``out_dir/batch=<id>/<route>=<type>/``."""
+def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int = 1) -> DataFrame:
+    """Queued JSON job objects; each file is taken once (tracked by the checkpoint)."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_dir)
+
+
+def route_jobs(out_dir: str, route: str, schema, dedupe_key: str | None = None) -> BatchFn:
+    """Write every micro-batch into ``out_dir/batch=<id>/<route>=<type>/``.
+
+    With ``dedupe_key`` the first copy of a job id counts, however old its file and
+    however long ago: the batch loses the ids that earlier batches wrote (only their
+    id column is read, and no later batch, so a replayed batch comes out alike)."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if dedupe_key is not None:
+            batch = batch.dropDuplicates([dedupe_key])
+            if batch_id and dir_exists(spark, out_dir):
+                done = read_routed(spark, out_dir, schema).where(F.col("batch") < batch_id).select(dedupe_key).distinct()
+                batch = batch.join(done, dedupe_key, "left_anti")
         batch.write.mode("overwrite").partitionBy(route).parquet(f"{out_dir}/batch={batch_id}")
     return run
 
 
+def read_routed(spark: SparkSession, out_dir: str, schema) -> DataFrame:
+    """All routed jobs, with the batch each came in; none if nothing was queued. The
+    declared schema keeps a job type like '007' text."""
+    declared = spark.createDataFrame([], schema).schema.add("batch", "long")
+    return spark.read.schema(declared).parquet(out_dir) if dir_exists(spark, out_dir) else spark.createDataFrame([], declared)
+
+
 def consume_job_queue(spark: SparkSession, queue_dir: str, schema, route: str, max_files: int = 1,
                       dedupe_key: str | None = None) -> DataFrame:
     """Drain the queue (available-now) and return every routed job."""
     out = scratch_dir(spark, "queue_out")
     ckpt = scratch_dir(spark, "queue_ckpt")
-    run_available_now(job_queue_stream(spark, queue_dir, schema, max_files, dedupe_key), route_jobs(out, route), ckpt)
-    return spark.read.parquet(out)
+    run_available_now(job_queue_stream(spark, queue_dir, schema, max_files), route_jobs(out, route, schema, dedupe_key), ckpt)
+    return read_routed(spark, out, schema).drop("batch")
 
 
 # --- latest row per key -------------------------------------------------------------------
@@ -141,7 +149,7 @@ def sync_logs(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFram
     own ``batch=<id>`` folder, so a replayed batch is overwritten, not doubled."""
     out = scratch_dir(spark, "logsync_out")
     ckpt = scratch_dir(spark, "logsync_ckpt")
-    lines = (spark.readStream.option("maxFilesPerTrigger", max_files).text(log_dir)
+    lines = (spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", "\n").text(log_dir)
              .select("value", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_size").alias("file_size")))
 
@@ -152,41 +160,50 @@ def sync_logs(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFram
     return spark.read.parquet(out)
 
 
+#: Files that one read of a sync round takes; their paths pass through the driver.
+SYNC_FILES = 10_000
+
+
 def sync_changed(spark: SparkSession, src_dir: str, dest_dir: str, manifest_dir: str, run_id: int) -> DataFrame:
     """One sync round for files that change in place (growing logs): list the
-    source (metadata only), keep files whose (name, size) is not in the
-    manifest yet, copy their lines into ``dest_dir/run=<id>`` and record their
-    (name, size) in ``manifest_dir/run=<id>``. Rerunning a round overwrites its
-    own folders. Returns the files copied in this round.
+    source (metadata only), keep files whose (name, size) no earlier round recorded,
+    copy their lines into ``dest_dir/run=<id>`` and record their (name, size) in
+    ``manifest_dir/run=<id>``. Rerunning a round overwrites its own folders. Returns
+    the files copied in this round; :func:`read_synced` reads their current copies.
+
+    Only the changed files are read, SYNC_FILES at a time."""
+    from itertools import islice
 
-    Reading the current copy of a log means taking, per file, the lines of its
-    latest run (see :func:`read_latest`-style folding with ``max_by``)."""
     from cirrus.operators.joins import anti_join
     from cirrus.sources.files import list_objects
-    listing = list_objects(spark, src_dir).select("name", "bytes")
-    try:
-        seen = spark.read.parquet(manifest_dir).select("name", "bytes")
-        changed = anti_join(listing, seen, ["name", "bytes"])
-    except Exception:  # noqa: BLE001 - no manifest yet: everything is new
-        changed = listing
+    names = T.StructType([T.StructField("name", T.StringType()), T.StructField("bytes", T.LongType())])
+    changed = list_objects(spark, src_dir).select("name", "bytes")
+    if dir_exists(spark, manifest_dir):
+        seen = spark.read.schema(names.add("run", "long")).parquet(manifest_dir).where(F.col("run") != run_id)
+        changed = anti_join(changed, seen.select("name", "bytes"), ["name", "bytes"])
     # the round's work list, fixed before copying (outside the manifest, which
     # only gains the round once its copy is written)
     pending = f"{manifest_dir.rstrip('/')}_pending/run={run_id}"
     changed.write.mode("overwrite").parquet(pending)
     changed = spark.read.parquet(pending)
-    # Only the changed files are read. Their paths go to the reader, as any file
-    # read's paths do (file metadata, not data, passes through the driver).
     base = src_dir.rstrip("/") + "/"
-    paths = [base + r["name"] for r in changed.select("name").collect()]
-    if paths:
-        lines = spark.read.text(paths).select(
+    remove_dir(spark, f"{dest_dir}/run={run_id}")
+    todo = (base + r["name"] for r in changed.select("name").toLocalIterator())
+    while paths := list(islice(todo, SYNC_FILES)):
+        lines = spark.read.option("lineSep", "\n").text(paths).select(
             F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + base.split(":", 1)[-1].replace(".", "\\."), "")
              .alias("name"), "value")
-        lines.write.mode("overwrite").parquet(f"{dest_dir}/run={run_id}")
+        lines.write.mode("append").parquet(f"{dest_dir}/run={run_id}")
     changed.write.mode("overwrite").parquet(f"{manifest_dir}/run={run_id}")
     return spark.read.parquet(f"{manifest_dir}/run={run_id}")
 
 
+def read_synced(spark: SparkSession, dest_dir: str, manifest_dir: str) -> DataFrame:
+    """(name, value): the lines of each file as of the last round that copied it."""
+    last = spark.read.parquet(manifest_dir).groupBy("name").agg(F.max("run").alias("run"))
+    return spark.read.parquet(dest_dir).join(last, ["name", "run"], "left_semi").select("name", "value")
+
+
 # --- period statistics ----------------------------------------------------------------------
 
 def period_window(ts: str, period_s: int, origin: dt.datetime | None = None) -> Column:
@@ -197,27 +214,35 @@ def period_window(ts: str, period_s: int, origin: dt.datetime | None = None) ->
     return F.window(ts, f"{period_s} seconds", startTime=f"{offset} seconds")
 
 
-def period_stats_stream(stream: DataFrame, ts: str, keys: Sequence[str], volume: str, period_s: int,
-                        watermark: str, origin: dt.datetime | None = None) -> DataFrame:
-    """Windowed statistics kept current as samples arrive; rows later than the
-    watermark are dropped (the watermark is our choice; the source has none)."""
-    return (stream.withWatermark(ts, watermark)
-            .groupBy(period_window(ts, period_s, origin).alias("w"), *keys)
+def period_stats(df: DataFrame, ts: str, keys: Sequence[str], volume: str, period_s: int,
+                 origin: dt.datetime | None = None) -> DataFrame:
+    """Statistics of each window that merge: count, min, max, sum, first and last time."""
+    return (df.groupBy(period_window(ts, period_s, origin).alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("count"), F.min(volume).alias("min"), F.max(volume).alias("max"),
-                 F.sum(volume).alias("sum_raw"), F.min(ts).alias("duration_start"), F.max(ts).alias("duration_end")))
+                 F.sum(volume).alias("sum_raw"), F.min(ts).alias("duration_start"), F.max(ts).alias("duration_end"))
+            .select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *keys,
+                    "count", "min", "max", "sum_raw", "duration_start", "duration_end"))
+
+
+def merge_period_stats(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per window and key from the batches' partial statistics."""
+    return partial.groupBy("period_start", "period_end", *keys).agg(
+        F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.sum("sum_raw").alias("sum_raw"), F.min("duration_start").alias("duration_start"),
+        F.max("duration_end").alias("duration_end"))
 
 
 def stats_current(spark: SparkSession, stream: DataFrame, ts: str, keys: Sequence[str], volume: str,
-                  period_s: int = 86400, watermark: str = "1 day", origin: dt.datetime | None = None) -> DataFrame:
-    """Run the windowed statistics available-now (update mode; each batch's
-    changed windows go to the change log) and return the current table."""
-    state = scratch_dir(spark, "stats_state")
-    ckpt = scratch_dir(spark, "stats_ckpt")
-    agg = period_stats_stream(stream, ts, keys, volume, period_s, watermark, origin) \
-        .select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *keys,
-                "count", "min", "max", "sum_raw", "duration_start", "duration_end")
-    run_available_now(agg, change_log(state), ckpt, output_mode="update")
-    return read_latest(spark, state, ["period_start", *keys])
+                  period_s: int = 86400, origin: dt.datetime | None = None) -> DataFrame:
+    """Keep the statistics current while samples arrive, available-now: each
+    micro-batch logs its own partial statistics, which are merged on read. No sample
+    is too late, in whatever order the files come, and there is no state to grow."""
+    log, ckpt = scratch_dir(spark, "stats_log"), scratch_dir(spark, "stats_ckpt")
+    write = change_log(log)
+    run_available_now(stream, lambda batch, i: write(period_stats(batch, ts, keys, volume, period_s, origin), i), ckpt)
+    if not dir_exists(spark, log):
+        return merge_period_stats(period_stats(spark.createDataFrame([], stream.schema), ts, keys, volume, period_s, origin), keys)
+    return merge_period_stats(spark.read.parquet(log), keys)
 
 
 def rounded_stats(df: DataFrame) -> list[Column]:

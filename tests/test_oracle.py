@@ -4,10 +4,12 @@ row count, column names and an order-insensitive hash of the values."""
 import pytest
 
 import __spark_entry__ as E
+from cirrus.plans import registry
 from tools.check_oracle import TABLES, digest
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+SQL = registry.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

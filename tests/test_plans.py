@@ -5,9 +5,13 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from cirrus.plans import registry
 
-QUERIES = {k: v for k, v in E.queries().items() if not k.startswith("stream_")}
+registry.load_all()
+QUERIES = {k: v for k, v in registry.QUERIES.items() if not k.startswith("stream_")}
+#: Queries that write and read back, check ids, or keep a fixed list: they run a job when built.
+WRITES = {"src_text", "src_object_listing", "sink_csv_report", "sink_project_csv", "sink_instance_csv", "sink_series_json",
+          "udtf_external_program", "lookup_unique", "gen_rows"}
 PANDAS_KEYS = {"stream_map_reduce", "udtf_external_program"}   # user programs, per Arrow batch
 
 
@@ -37,3 +41,15 @@ def test_tail_uses_partial_group_limit(spark, sf_small):
     tree = plan_of(QUERIES["tail_n"](spark, sf_small)).split("\n\n")[0]
     below_exchange = tree.split("Exchange")[1]
     assert "WindowGroupLimit" in below_exchange
+
+
+def test_building_a_query_starts_no_job(spark, sf_small):
+    sc = spark.sparkContext
+    started = []
+    for key in sorted(set(QUERIES) - WRITES):
+        sc.setJobGroup(f"build-{key}", key)
+        QUERIES[key](spark, sf_small)
+        if sc.statusTracker().getJobIdsForGroup(f"build-{key}"):
+            started.append(key)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert started == []

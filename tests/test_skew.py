@@ -37,7 +37,7 @@ def hot(spark, n=300_000):
 def test_hot_key_join_is_split(spark, skew_conf):
     left = hot(spark)
     dim = spark.range(0, 300_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("name"))
-    j = lookup(left, dim, "k", max_dim_rows=0)          # above the broadcast bound: sort-merge join
+    j = lookup(left, dim, "k")          # above the broadcast threshold: sort-merge join
     rows = j.collect()
     assert len(rows) == 300_000 and sum(1 for r in rows if r["k"] == 7) == 100_001
     buf = io.StringIO()

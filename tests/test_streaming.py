@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cirrus.session import scratch_dir
+from cirrus.session import make_dir, scratch_dir
 from cirrus.sources.tables import SCHEMAS, Tables
 from cirrus.streaming import jobs as SJ
 
@@ -30,7 +30,7 @@ def test_period_stats_over_many_batches(spark, sf_small):
     path = _split_events(spark, sf_small)
     stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
               .withColumn("ts", F.col("ts").cast("timestamp")))
-    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400, "40 days")
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400)
     got = cur.select("user_id", "event_type", F.col("period_start").cast("timestamp_ntz").alias("d"), "count")
     e = Tables(spark, sf_small).events
     want = e.groupBy("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d")) \
@@ -78,7 +78,7 @@ def test_period_stats_window_origin_matches_batch(spark, sf_small):
     e.repartition(3).write.mode("overwrite").parquet(path)
     stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
               .withColumn("ts", F.col("ts").cast("timestamp")))
-    cur = SJ.stats_current(spark, stream, "ts", ["user_id"], "value", period, "40 days", origin=origin)
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id"], "value", period, origin=origin)
     got = cur.select("user_id", F.col("period_start").cast("timestamp_ntz").alias("p"), "count")
     want = M.stats_by_period(e.select("ts", "user_id", F.col("value").alias("volume")), ["user_id"], period, origin) \
         .select("user_id", F.col("period_start").alias("p"), "count")
@@ -87,7 +87,7 @@ def test_period_stats_window_origin_matches_batch(spark, sf_small):
 
 def test_sync_changed_copies_new_and_grown_files(spark):
     import os
-    src = scratch_dir(spark, "sync_src")
+    src = make_dir(spark, scratch_dir(spark, "sync_src"))
     dest, manifest = scratch_dir(spark, "sync_dest"), scratch_dir(spark, "sync_manifest")
     local = src[len("file:"):] if src.startswith("file:") else src
     with open(os.path.join(local, "a.log"), "w") as f:
@@ -104,6 +104,8 @@ def test_sync_changed_copies_new_and_grown_files(spark):
     assert third == 0
     copied = spark.read.parquet(f"{dest}/run=1").where(F.col("name") == "a.log").count()
     assert copied == 3
+    now = sorted((r["name"], r["value"]) for r in SJ.read_synced(spark, dest, manifest).collect())
+    assert now == [("a.log", "one"), ("a.log", "three"), ("a.log", "two"), ("b.log", "x")]
 
 
 def test_replayed_batch_is_not_duplicated(spark, sf_small):
@@ -175,3 +177,31 @@ def test_stateful_replay_keeps_latest_rows_exact(spark, sf_small):
                                              F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
     assert failed == [2]
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_period_stats_take_samples_of_any_age(spark, sf_small):
+    """Registered settings, one file per batch, files in no order of time."""
+    import datetime as dt
+    path = scratch_dir(spark, "events_shuffled")
+    Tables(spark, sf_small).events.repartition(7, "event_id").write.parquet(path)
+    stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+              .withColumn("ts", F.col("ts").cast("timestamp")))
+    cur = SJ.stats_current(spark, stream, "ts", ["user_id", "event_type"], "value", 86400, origin=dt.datetime(2024, 1, 1))
+    assert cur.agg(F.sum("count")).first()[0] == Tables(spark, sf_small).events.count()
+    assert cur.count() == cur.select("period_start", "user_id", "event_type").distinct().count()
+
+
+def test_old_dated_jobs_and_empty_queues(spark):
+    import os
+    queue = make_dir(spark, scratch_dir(spark, "queue_old"))
+    local = queue[len("file:"):] if queue.startswith("file:") else queue
+    schema = "job_id string, job_type string"
+    assert SJ.consume_job_queue(spark, queue, schema, route="job_type", dedupe_key="job_id").count() == 0
+    for name, ids, age in (("a.json", [1, 2, 3], 0), ("b.json", [4, 5, 1], 3 * 3600), ("c.json", [3, 6], 9 * 3600)):
+        path = os.path.join(local, name)
+        with open(path, "w") as f:
+            f.writelines(f'{{"job_id": "{i}", "job_type": "007"}}\n' for i in ids)
+        then = os.path.getmtime(path) - age
+        os.utime(path, (then, then))
+    rows = SJ.consume_job_queue(spark, queue, schema, route="job_type", max_files=1, dedupe_key="job_id").collect()
+    assert sorted(r["job_id"] for r in rows) == list("123456") and {r["job_type"] for r in rows} == {"007"}
