@@ -39,7 +39,7 @@ TARGET_RECALL = 0.995
 #: Bytes of item text that one pass over the documents looks for.
 BLOCK_BYTES = 8 << 20
 #: Words of documents that are walked at once, bytes that are split into words at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPLIT = 4 << 20
 _SEED = 20_240_607
 
