@@ -118,7 +118,8 @@ class Items:
             for kind in kinds.values():
                 # so long that a walk seldom leaves the shortest part
                 steps = min(126, max(SAMPLES, min(len(p[2]) for p in kind) * 3 // 2))
-                plans.append(self._plan(r, kind, sorted(rng.choice(steps, SAMPLES, replace=False).tolist())))
+                # one step of each of SAMPLES equal stretches
+                plans.append(self._plan(r, kind, [int((k + rng.random()) * steps / SAMPLES) for k in range(SAMPLES)]))
             self.plans.append(plans)
 
     def move(self, r: int, step: int) -> np.ndarray:
