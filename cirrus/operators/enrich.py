@@ -14,28 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.operators.joins import anti_join, lookup, semi_join
+from cirrus.operators.joins import lookup
 
 
-def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle the raw rows by owner once, before an aggregate that collects each
-    owner's (bounded) list. A map-side partial step cannot shrink such lists, so
-    it is skipped: the aggregate then runs after this single exchange, needs
-    none of its own, and its work is spread over all reducers."""
-    return df.repartition(*keys)
+#: Items that one owner's list may have. It is a value of one row, so it has to fit in
+#: a task's memory; a longer one is an error, never cut.
+MAX_LIST = 1_000_000
+
+
+def collect_list(item: Column, distinct: bool = False, most: int = MAX_LIST) -> Column:
+    """An owner's items as a list (an aggregate; partial lists are made map-side).
+    Fails when there are more than ``most``; the count of items, a number, is summed
+    beside the list."""
+    items = F.collect_set(item) if distinct else F.collect_list(item)
+    return F.when(F.count(item) > most, F.raise_error(
+        F.concat(F.lit(f"a list above {most} items: "), F.count(item).cast("string")))).otherwise(items)
 
 
 def ordered_text(df: DataFrame, owner: str, pos: str, item: str, sep: str) -> DataFrame:
     """One text per owner: items in position order joined by ``sep`` (column ``text``)."""
-    agg = cluster_by(df, owner).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                                     F.col(item).alias("v")))).alias("_a"))
+    agg = df.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(item).alias("v")))).alias("_a"))
     return agg.select(owner, F.array_join(F.col("_a.v"), sep).alias("text"))
 
 
 def ordered_array(df: DataFrame, owner: str, pos: str, value: str, name: str) -> DataFrame:
     """Per owner, the array of ``value`` in position order."""
-    agg = cluster_by(df, owner).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                                     F.col(value).alias("v")))).alias("_a"))
+    agg = df.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("_a"))
     return agg.select(owner, F.col("_a.v").alias(name))
 
 
@@ -49,8 +53,7 @@ def expand_id_array(df: DataFrame, owner: str, ids: str, records: DataFrame, rec
     rec = F.when(F.col("_id").isNull(), F.lit(None)).otherwise(
         F.struct(F.col("_id").alias(record_key), *[F.col(c) for c in rec_cols]))
     # A record whose id is known but absent from ``records`` keeps its id and null fields.
-    agg = cluster_by(j, owner).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"),
-                                                                    rec.alias("r")))).alias("_a"))
+    agg = j.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col("_pos").alias("p"), rec.alias("r")))).alias("_a"))
     return agg.select(owner, F.col("_a.r").alias(name))
 
 

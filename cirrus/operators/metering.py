@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cirrus.operators.enrich import collect_list
+
 STAT_NAMES = ("count", "min", "max", "sum", "avg", "duration_start", "duration_end")
 
 
@@ -80,9 +82,9 @@ def meters_wide(samples: DataFrame, key: str, meter: str, meters: Sequence[str],
 
 def series_points(period_stats: DataFrame, key: str, attr: str = "avg") -> DataFrame:
     """Per resource the chart points ``(x = first 19 chars of duration_end, y)``
-    in time order. Bounded: a period chosen by ``period_from_range`` gives at
-    most ~400 points per resource."""
+    in time order. Over the range that ``period_from_range`` was given there are about
+    400 of them; a longer series is bounded by ``enrich.MAX_LIST``."""
     pts = period_stats.select(key, F.struct(
         F.substring(F.date_format("duration_end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 1, 19).alias("x"),
         F.col(attr).cast("double").alias("y")).alias("pt"))
-    return pts.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list("pt")).alias("points"))
+    return pts.groupBy(key).agg(F.sort_array(collect_list(F.col("pt"))).alias("points"))

@@ -76,15 +76,15 @@ def agg_usage_summary(spark, sf_dir):
 
 
 @query("agg_flatten_usage", section=S, sql="""
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings
 """)
 def agg_flatten_usage(spark, sf_dir):
-    """Per-owner arrays of usage structs flattened back to rows (``inline``)."""
-    li = Tables(spark, sf_dir).lineitem
-    from cirrus.operators.enrich import cluster_by
-    nested = cluster_by(li, "l_orderkey").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")).alias("server_usages"))
-    return U.flatten_usage(nested, "server_usages", ["l_orderkey"])
+    """A nested column (arrays of structs, here a vector's components) flattened to
+    rows (``inline``), without a shuffle."""
+    e = Tables(spark, sf_dir).embeddings
+    nested = e.select("vec_id", F.transform("embedding", lambda x, i: F.struct(
+        i.alias("pos"), x.cast("double").alias("value"))).alias("server_usages"))
+    return U.flatten_usage(nested, "server_usages", ["vec_id"])
 
 
 # --- metering statistics ------------------------------------------------------------------
@@ -267,9 +267,10 @@ def limits_usage(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("tenant_id"),
                                                F.col("l_quantity").cast("bigint").alias("size"),
                                                "l_orderkey", "l_partkey")
-    return QU.limits_usage(li, "tenant_id", "size", extra=[
-        F.count_distinct("l_orderkey").alias("floatingIpsUsed"),
-        F.count_distinct("l_partkey").alias("securityGroupsUsed")])
+    # one distinct count rides with the sums, the other is counted by itself: no row is tripled
+    base = QU.limits_usage(li, "tenant_id", "size", extra=[F.count_distinct("l_orderkey").alias("floatingIpsUsed")])
+    groups = li.groupBy("tenant_id").agg(F.count_distinct("l_partkey").alias("securityGroupsUsed"))
+    return base.join(groups, "tenant_id")
 
 
 @query("limits_normalise", section=S, sql="""
@@ -378,10 +379,10 @@ FROM lineitem GROUP BY l_orderkey
 """)
 def collect_distinct_ids(spark, sf_dir):
     """Distinct group ids over all ports of a server (parts over an order's lines)."""
-    from cirrus.operators.enrich import cluster_by
+    from cirrus.operators.enrich import collect_list
     li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_partkey")
-    return cluster_by(li, "l_orderkey").groupBy("l_orderkey").agg(
-        F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), ",").alias("group_ids"))
+    return li.groupBy("l_orderkey").agg(
+        F.array_join(F.sort_array(collect_list(F.col("l_partkey"), distinct=True)).cast("array<string>"), ",").alias("group_ids"))
 
 
 LINE_SQL = ("'10.' || CAST(l_suppkey % 256 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) || '.' "
@@ -401,9 +402,9 @@ def concat_lines(spark, sf_dir):
         F.lit("10."), (F.col("l_suppkey") % 256).cast("string"), F.lit("."), (F.col("l_partkey") % 256).cast("string"),
         F.lit("."), F.col("l_linenumber").cast("string")))
     line = F.concat(ip, F.lit(" node-"), F.col("l_linenumber").cast("string"))
-    from cirrus.operators.enrich import cluster_by
+    from cirrus.operators.enrich import collect_list
     members = li.select("l_orderkey", line.alias("line")).where(F.col("line").isNotNull())
-    return cluster_by(members, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("hosts"))
+    return members.groupBy("l_orderkey").agg(F.array_join(F.sort_array(collect_list(F.col("line"))), "\n").alias("hosts"))
 
 
 @query("all_services_up", section=S, sql="""

@@ -259,7 +259,8 @@ SELECT server_id, tenant_id, state FROM ({V.SERVERS_SQL}) WHERE ended_at IS NULL
 """)
 def filter_active_only(spark, sf_dir):
     """Hide terminated servers (ended_at set) unless terminated ones are asked for."""
-    s = V.servers(Tables(spark, sf_dir).orders)
+    # only open orders have no end; said of the status itself, so that the scan gets it
+    s = V.servers(Tables(spark, sf_dir).orders.where(F.col("o_orderstatus") == "O"))
     return U.filter_active_only(s, show_terminated=False).select("server_id", "tenant_id", "state")
 
 

@@ -131,9 +131,8 @@ def sort_array_field(spark, sf_dir):
     t = Tables(spark, sf_dir)
     j = lookup(t.lineitem.select("l_orderkey", "l_partkey"),
                t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size"), "l_partkey", how="inner")
-    from cirrus.operators.enrich import cluster_by
-    nested = cluster_by(j, "l_orderkey").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct("p_size", "p_name")).alias("parts"))
+    from cirrus.operators.enrich import collect_list
+    nested = j.groupBy("l_orderkey").agg(collect_list(F.struct("p_size", "p_name")).alias("parts"))
     return nested.select("l_orderkey", F.array_join(SO.sort_array_by(F.col("parts"), ["p_size", "p_name"],
                                                                         struct_fields=["p_size", "p_name"])["p_name"],
                                                     ", ").alias("parts_by_size"))

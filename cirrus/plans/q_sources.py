@@ -42,14 +42,18 @@ def src_json_meta(spark, sf_dir):
     return e.select("event_id", FS.parse_json_meta("props", "k BIGINT")["k"].alias("k"))
 
 
-@query("src_object_listing", section=S)
+@query("src_object_listing", section=S, sql="""
+SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS dated FROM documents GROUP BY source
+""")
 def src_object_listing(spark, sf_dir):
-    """Objects (files) under a prefix as (name, bytes, last_modified): the
-    documents written as one folder per source, then listed without reading
-    file contents."""
+    """Objects (files) under a prefix as (name, bytes, last_modified), listed without
+    reading their contents: the documents written as text, a folder for each source,
+    and the listing summed by folder."""
     out = scratch_dir(spark, "listing")
-    FS.write_partitioned(Tables(spark, sf_dir).documents, out, "source")
-    return FS.list_objects(spark, out, glob="*.parquet")
+    FS.write_partitioned(Tables(spark, sf_dir).documents.select("source", "text"), out, "source", fmt="text")
+    listing = FS.list_objects(spark, out, glob="part-*")
+    return listing.groupBy(F.regexp_extract("name", "^source=([^/]*)/", 1).alias("folder")).agg(
+        F.sum("bytes").alias("bytes"), F.bool_and(F.col("last_modified").isNotNull()).alias("dated"))
 
 
 @query("src_text", section=S, sql="""

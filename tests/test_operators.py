@@ -517,3 +517,12 @@ def test_carriage_returns_stay_in_lines(spark):
     path = scratch_dir(spark, "cr")
     FS.write_text(spark.createDataFrame([("a\rb",), ("c",)], "t string"), "t", path)
     assert sorted(r["value"] for r in FS.read_text(spark, path).collect()) == ["a\rb", "c"]
+
+
+def test_lists_above_the_bound_fail(spark):
+    from cirrus.operators import enrich as EN
+    df = spark.range(10).selectExpr("id % 2 as k", "id")
+    got = df.groupBy("k").agg(EN.collect_list(F.col("id"), most=5).alias("x"))
+    assert sorted(sorted(r["x"]) for r in got.collect()) == [[0, 2, 4, 6, 8], [1, 3, 5, 7, 9]]
+    with pytest.raises(Exception, match="a list above 4 items: 5"):
+        df.groupBy("k").agg(EN.collect_list(F.col("id"), most=4).alias("x")).collect()
