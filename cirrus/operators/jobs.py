@@ -45,21 +45,25 @@ def word_count(df: DataFrame, text_col: str, delims: str = TOKENIZER_DELIMS) ->
 
 # --- user mapper / reducer programs ------------------------------------------------------
 
+#: Parts into which a key's partial values are dealt before a user's reducer.
+SPREAD = 64
+
 Mapper = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value: str,
-               reduce: str = "sum") -> DataFrame:
+               reduce: str | Callable[[pd.Series], object] = "sum") -> DataFrame:
     """Run a user mapper over Arrow batches, combine its (key, value) output
     inside each batch, then reduce per key with a Spark aggregate.
 
     The mapper is plain pandas (DataFrame in, DataFrame with ``key``/``value`` out),
-    the stand-in for an external mapper program. The reducer must be associative
-    (``sum``, ``min``, ``max``, ``count``) so it can run map-side as a combiner;
-    the final step is a Spark hash aggregate, so no key's values are ever
-    gathered in one place. A null key is a key like any other.
+    the stand-in for an external mapper program. The reducer must be associative so
+    it can run map-side as a combiner: ``sum``, ``min``, ``max`` and ``count`` end in a
+    Spark hash aggregate, so no key's values are ever gathered in one place; a
+    program of the user's own (values of one key in, one value out) first combines
+    each batch, then each of SPREAD parts of a key's partial values, then those. A null key is a key like any other.
     """
-    combine = {"sum": "sum", "min": "min", "max": "max", "count": "sum"}[reduce]
+    combine = reduce if callable(reduce) else {"sum": "sum", "min": "min", "max": "max", "count": "sum"}[reduce]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,6 +74,13 @@ def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value:
                 yield out.groupby(key, as_index=False, sort=False, dropna=False)[value].agg(combine)
 
     partial = spread(df).mapInPandas(run, out_schema)
+    if callable(reduce):
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pdf.iloc[:1].assign(**{value: [reduce(pdf[value])]})[[key, value]]
+
+        spread_out = partial.select(key, value, F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("_part"))
+        parts = spread_out.groupBy(key, "_part").applyInPandas(fold, out_schema)
+        return parts.groupBy(key).applyInPandas(fold, out_schema)
     final = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}[reduce]
     return partial.groupBy(key).agg(final(value).alias(value))
 

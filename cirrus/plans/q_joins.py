@@ -89,21 +89,21 @@ def join_exploded_array(spark, sf_dir):
         .withColumnRenamed("text", "attachments")
 
 
-@query("join_expand_id_array", section=S, sql="""
+@query("join_expand_id_array", section=S, sql=f"""
 SELECT l.l_orderkey,
        string_agg(coalesce(p.p_name, 'null'), '|' ORDER BY l.l_linenumber, l.l_partkey) AS parts,
        CAST(count(*) AS INTEGER) AS n_ids,
        CAST(count(p.p_name) AS INTEGER) AS n_found
-FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) p ON p.p_partkey = l.l_partkey
+FROM lineitem l LEFT JOIN part p ON p.p_partkey = {V.PART_KEY_SQL}
 GROUP BY l.l_orderkey
 """)
 def join_expand_id_array(spark, sf_dir):
     """An ordered id array per order replaced by the records it names; unknown ids
-    (parts above size 40 are not in the catalogue) become null elements, order kept."""
+    (a seventh line's) become null elements, order kept."""
     t = Tables(spark, sf_dir)
-    ids = EN.ordered_array(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey", "part_ids")
-    catalogue = t.part.where(F.col("p_size") <= 40).select(F.col("p_partkey").alias("id"),
-                                                           F.col("p_name").alias("name"))
+    ids = EN.ordered_array(t.lineitem.select("l_orderkey", "l_linenumber", V.part_key().alias("part_id")),
+                           "l_orderkey", "l_linenumber", "part_id", "part_ids")
+    catalogue = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     rec = EN.expand_id_array(ids, "l_orderkey", "part_ids", catalogue, "id", "parts_rec")
     return rec.select(
         "l_orderkey",
@@ -114,25 +114,25 @@ def join_expand_id_array(spark, sf_dir):
 
 @query("join_parent_policy", section=S, sql="""
 SELECT o.o_orderkey, c.c_custkey AS policy_id, c.c_name AS policy_name
-FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c ON c.c_custkey = o.o_custkey
+FROM orders o LEFT JOIN customer c ON c.c_custkey = CASE WHEN o.o_orderstatus = 'P' THEN NULL ELSE o.o_custkey END
 """)
 def join_parent_policy(spark, sf_dir):
-    """Rule (order) -> its policy (a BUILDING customer), null when it has none."""
+    """Rule (order) -> its policy (a customer), null when it has none (pending orders)."""
     t = Tables(spark, sf_dir)
-    pol = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("policy_id"), F.col("c_name").alias("policy_name"))
-    return t.orders.select("o_orderkey", "o_custkey").join(pol, F.col("o_custkey") == F.col("policy_id"), "left") \
+    pol = t.customer.select(F.col("c_custkey").alias("policy_id"), F.col("c_name").alias("policy_name"))
+    rules = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("policy"))
+    return rules.join(pol, F.col("policy") == F.col("policy_id"), "left") \
         .select("o_orderkey", "policy_id", "policy_name")
 
 
-@query("join_fip_chain", section=S, sql="""
+@query("join_fip_chain", section=S, sql=f"""
 SELECT l.l_orderkey, l.l_linenumber, c.c_name AS server_name,
-       coalesce(n.n_name, CAST(s.s_nationkey AS VARCHAR)) AS pool_name
+       coalesce(n.n_name, CAST({V.POOL_KEY_SQL} AS VARCHAR)) AS pool_name
 FROM lineitem l
 LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey
 LEFT JOIN customer c ON c.c_custkey = o.o_custkey
 LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
-LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON n.n_nationkey = s.s_nationkey
+LEFT JOIN nation n ON n.n_nationkey = {V.POOL_KEY_SQL}
 """)
 def join_fip_chain(spark, sf_dir):
     """Floating IP (line) -> port (order) -> server name (customer); pool name
@@ -144,11 +144,10 @@ def join_fip_chain(spark, sf_dir):
         t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("server_name")),
         "o_custkey", "left").select("l_orderkey", "server_name")
     j = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(ports, "l_orderkey", "left")
-    j = lookup(j, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    pools = t.nation.where(F.col("n_regionkey") != 4).select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    j = lookup(j, pools, "s_nationkey")
+    j = lookup(j, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), V.pool_key().alias("pool")), "l_suppkey")
+    j = lookup(j, t.nation.select(F.col("n_nationkey").alias("pool"), "n_name"), "pool")
     return j.select("l_orderkey", "l_linenumber", "server_name",
-                    F.coalesce(F.col("n_name"), F.col("s_nationkey").cast("string")).alias("pool_name"))
+                    F.coalesce(F.col("n_name"), F.col("pool").cast("string")).alias("pool_name"))
 
 
 IP_SQL = ("'10.' || CAST(l.l_suppkey % 256 AS VARCHAR) || '.' || CAST(l.l_partkey % 256 AS VARCHAR) || '.' "
@@ -179,47 +178,44 @@ def join_address_targets(spark, sf_dir):
                      .alias("target_name"))
 
 
-@query("join_parent_snapshot", section=S, sql="""
+@query("join_parent_snapshot", section=S, sql=f"""
 SELECT l.l_orderkey, l.l_linenumber,
-       coalesce('vol-' || CAST(v.o_orderkey AS VARCHAR), CAST(l.l_orderkey AS VARCHAR)) AS volume_name
-FROM lineitem l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') v
-ON v.o_orderkey = l.l_orderkey
+       coalesce('vol-' || CAST(v.o_orderkey AS VARCHAR), CAST({V.VOLUME_KEY_SQL} AS VARCHAR)) AS volume_name
+FROM lineitem l LEFT JOIN orders v ON v.o_orderkey = {V.VOLUME_KEY_SQL}
 """)
 def join_parent_snapshot(spark, sf_dir):
-    """Snapshot (line) -> its volume (order); deleted volumes (finished orders)
-    are gone, so the volume id is shown instead of its name."""
+    """Snapshot (line) -> its volume (order); the volume of a seventh line is gone, so
+    the volume id is shown instead of its name."""
     t = Tables(spark, sf_dir)
-    vols = t.orders.where(F.col("o_orderstatus") != "F").select(
+    vols = t.orders.select(
         F.col("o_orderkey").alias("vid"), F.concat(F.lit("vol-"), F.col("o_orderkey").cast("string")).alias("vname"))
-    j = t.lineitem.select("l_orderkey", "l_linenumber").join(vols, F.col("l_orderkey") == F.col("vid"), "left")
-    return j.select("l_orderkey", "l_linenumber",
-                    F.coalesce(F.col("vname"), F.col("l_orderkey").cast("string")).alias("volume_name"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", V.volume_key().alias("volume"))
+    return lines.join(vols, F.col("volume") == F.col("vid"), "left").select(
+        "l_orderkey", "l_linenumber", F.coalesce(F.col("vname"), F.col("volume").cast("string")).alias("volume_name"))
 
 
-@query("join_labels_fallback", section=S, sql="""
+@query("join_labels_fallback", section=S, sql=f"""
 SELECT l.l_orderkey, l.l_linenumber,
-       coalesce(p.p_name, CAST(l.l_partkey AS VARCHAR)) AS pool_label,
+       coalesce(p.p_name, CAST({V.PART_KEY_SQL} AS VARCHAR)) AS pool_label,
        coalesce(s.s_name, CAST(l.l_suppkey AS VARCHAR)) AS member_label,
-       CASE WHEN s.s_nationkey IS NULL THEN NULL ELSE coalesce(n.n_name, CAST(s.s_nationkey AS VARCHAR)) END
+       CASE WHEN s.s_nationkey IS NULL THEN NULL ELSE coalesce(n.n_name, CAST({V.POOL_KEY_SQL} AS VARCHAR)) END
          AS region_label
 FROM lineitem l
-LEFT JOIN (SELECT * FROM part WHERE p_size <= 45) p ON p.p_partkey = l.l_partkey
+LEFT JOIN part p ON p.p_partkey = {V.PART_KEY_SQL}
 LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
-LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 4) n ON n.n_nationkey = s.s_nationkey
+LEFT JOIN nation n ON n.n_nationkey = {V.POOL_KEY_SQL}
 """)
 def join_labels_fallback(spark, sf_dir):
     """Several id -> label lookups; a failed lookup shows the id, a null id stays null."""
     t = Tables(spark, sf_dir)
-    j = lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-               t.part.where(F.col("p_size") <= 45).select(F.col("p_partkey").alias("l_partkey"), "p_name"),
-               "l_partkey")
-    j = lookup(j, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey"), "l_suppkey")
-    j = lookup(j, t.nation.where(F.col("n_regionkey") < 4).select(F.col("n_nationkey").alias("s_nationkey"),
-                                                                   "n_name"), "s_nationkey")
+    j = lookup(t.lineitem.select("l_orderkey", "l_linenumber", V.part_key().alias("part_id"), "l_suppkey"),
+               t.part.select(F.col("p_partkey").alias("part_id"), "p_name"), "part_id")
+    j = lookup(j, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name", V.pool_key().alias("pool")), "l_suppkey")
+    j = lookup(j, t.nation.select(F.col("n_nationkey").alias("pool"), "n_name"), "pool")
     return j.select("l_orderkey", "l_linenumber",
-                    label_or_id(F.col("p_name"), F.col("l_partkey")).alias("pool_label"),
+                    label_or_id(F.col("p_name"), F.col("part_id")).alias("pool_label"),
                     label_or_id(F.col("s_name"), F.col("l_suppkey")).alias("member_label"),
-                    label_or_id(F.col("n_name"), F.col("s_nationkey")).alias("region_label"))
+                    label_or_id(F.col("n_name"), F.col("pool")).alias("region_label"))
 
 
 @query("join_binding_last_wins", section=S, sql="""
@@ -243,10 +239,10 @@ def join_binding_last_wins(spark, sf_dir):
 @query("join_group_names", section=S, sql="""
 WITH r AS (SELECT c_custkey,
                   CASE WHEN c_mktsegment <> 'HOUSEHOLD'
-                       THEN 'grp-' || lpad(CAST(c_nationkey AS VARCHAR), 12, '0') END AS remote_group_id
+                       THEN 'grp-' || lpad(CAST(c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END AS VARCHAR), 12, '0')
+                  END AS remote_group_id
            FROM customer),
-     g AS (SELECT 'grp-' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0') AS gid, n_name FROM nation
-           WHERE n_regionkey < 4)
+     g AS (SELECT 'grp-' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0') AS gid, n_name FROM nation)
 SELECT r.c_custkey,
        CASE WHEN r.remote_group_id IS NULL THEN '' ELSE coalesce(g.n_name, substring(r.remote_group_id, 1, 13))
        END AS remote_group
@@ -256,9 +252,9 @@ def join_group_names(spark, sf_dir):
     """Rule -> remote group name; unknown id shows its first 13 chars; no group -> ''."""
     t = Tables(spark, sf_dir)
     gid = lambda c: F.concat(F.lit("grp-"), F.lpad(c.cast("string"), 12, "0"))
-    rules = t.customer.select("c_custkey", F.when(F.col("c_mktsegment") != "HOUSEHOLD", gid(F.col("c_nationkey")))
-                              .alias("remote_group_id"))
-    groups = t.nation.where(F.col("n_regionkey") < 4).select(gid(F.col("n_nationkey")).alias("remote_group_id"),
+    rules = t.customer.select("c_custkey", F.when(F.col("c_mktsegment") != "HOUSEHOLD", gid(
+        F.col("c_nationkey") + F.when(F.col("c_custkey") % 10 == 0, 100).otherwise(0))).alias("remote_group_id"))
+    groups = t.nation.select(gid(F.col("n_nationkey")).alias("remote_group_id"),
                                                               "n_name")
     j = lookup(rules, groups, "remote_group_id")
     return j.select("c_custkey", F.when(F.col("remote_group_id").isNull(), F.lit("")).otherwise(
@@ -298,19 +294,19 @@ def join_template_3key(spark, sf_dir):
         F.col("from_port"), F.col("from_name"), F.col("to_port"), F.col("to_name")).alias("port_label"))
 
 
-@query("join_missing_dim_default", section=S, sql="""
+@query("join_missing_dim_default", section=S, sql=f"""
 SELECT l.l_orderkey,
        CAST(sum(coalesce(f.vcpus, 0)) AS BIGINT) AS cores,
        CAST(sum(coalesce(f.ram, 0)) AS BIGINT) AS ram
 FROM lineitem l LEFT JOIN (SELECT p_partkey, 1 + p_size % 8 AS vcpus, 512 * (1 + p_size % 16) AS ram
-                           FROM part WHERE p_size <= 45) f ON f.p_partkey = l.l_partkey
+                           FROM part) f ON f.p_partkey = {V.PART_KEY_SQL}
 GROUP BY l.l_orderkey
 """)
 def join_missing_dim_default(spark, sf_dir):
     """Quota cost per server when some flavors are gone: a missing dimension counts 0."""
     t = Tables(spark, sf_dir)
-    fl = V.flavors(t.part.where(F.col("p_size") <= 45)).select(F.col("flavor_id").alias("l_partkey"), "vcpus", "ram")
-    j = lookup(t.lineitem.select("l_orderkey", "l_partkey"), fl, "l_partkey")
+    fl = V.flavors(t.part).select(F.col("flavor_id").alias("part_id"), "vcpus", "ram")
+    j = lookup(t.lineitem.select("l_orderkey", V.part_key().alias("part_id")), fl, "part_id")
     return j.groupBy("l_orderkey").agg(F.sum(F.coalesce("vcpus", F.lit(0))).cast("bigint").alias("cores"),
                                        F.sum(F.coalesce("ram", F.lit(0))).cast("bigint").alias("ram"))
 

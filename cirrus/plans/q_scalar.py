@@ -108,15 +108,14 @@ SELECT l.l_orderkey, l.l_linenumber,
        coalesce(f.flavor_name || ' | ' || replace({_size_sql('f.ram * 1048576.0', 'int')}, ' ', '') || ' RAM | '
                 || CAST(f.vcpus AS VARCHAR) || ' VCPU | ' || replace({_size_sql('f.disk * 1073741824.0', 'float')}, ' ', '')
                 || ' Disk', 'Not available') AS size_label
-FROM lineitem l LEFT JOIN ({V.FLAVORS_SQL} WHERE p_size <= 45) f ON f.flavor_id = l.l_partkey
+FROM lineitem l LEFT JOIN ({V.FLAVORS_SQL}) f ON f.flavor_id = {V.PART_KEY_SQL}
 """)
 def flavor_label(spark, sf_dir):
     """'name | RAM | VCPU | Disk' for a server's flavor; 'Not available' when the flavor is gone."""
     from cirrus.operators.joins import lookup
     t = Tables(spark, sf_dir)
-    fl = V.flavors(t.part.where(F.col("p_size") <= 45))
-    j = lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), fl,
-               F.col("l_partkey") == F.col("flavor_id"))
+    j = lookup(t.lineitem.select("l_orderkey", "l_linenumber", V.part_key().alias("part_id")), V.flavors(t.part),
+               F.col("part_id") == F.col("flavor_id"))
     return j.select("l_orderkey", "l_linenumber",
                     D.flavor_label(F.col("flavor_name"), F.col("ram"), F.col("vcpus"), F.col("disk")).alias("size_label"))
 

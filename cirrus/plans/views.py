@@ -94,3 +94,27 @@ def tenant_quota(customer: DataFrame) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, F.lit(None).cast("bigint"))
          .otherwise(F.floor(F.col("c_acctbal") / 500).cast("bigint")).alias("instances_limit"),
     )
+
+
+# --- keys without a record: ids outside the dimension's range, so lookups miss ------------
+
+#: Above every id of the test tables.
+GONE = 1_000_000_000
+PART_KEY_SQL = f"(l.l_partkey + CASE WHEN l.l_linenumber = 7 THEN {GONE} ELSE 0 END)"
+VOLUME_KEY_SQL = f"(l.l_orderkey + CASE WHEN l.l_linenumber = 7 THEN {GONE} ELSE 0 END)"
+POOL_KEY_SQL = "(s.s_nationkey + CASE WHEN s.s_suppkey % 10 = 0 THEN 100 ELSE 0 END)"
+
+
+def part_key():
+    """A line's part; a seventh line's is in no catalogue."""
+    return F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, GONE).otherwise(0)
+
+
+def volume_key():
+    """A line's order as its volume; a seventh line's is gone."""
+    return F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, GONE).otherwise(0)
+
+
+def pool_key():
+    """A supplier's nation as its pool; every tenth supplier's has no record."""
+    return F.col("s_nationkey") + F.when(F.col("s_suppkey") % 10 == 0, 100).otherwise(0)

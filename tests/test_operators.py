@@ -526,3 +526,12 @@ def test_lists_above_the_bound_fail(spark):
     assert sorted(sorted(r["x"]) for r in got.collect()) == [[0, 2, 4, 6, 8], [1, 3, 5, 7, 9]]
     with pytest.raises(Exception, match="a list above 4 items: 5"):
         df.groupBy("k").agg(EN.collect_list(F.col("id"), most=4).alias("x")).collect()
+
+
+def test_user_reducer_program(spark):
+    import pandas as pd
+    df = spark.range(0, 4000, 1, 7).selectExpr("if(id % 3 = 0, 'hot', cast(id % 50 as string)) as k", "id")
+    out = J.map_reduce(df, lambda pdf: pd.DataFrame({"k": pdf["k"], "n": pdf["id"]}), "k string, n long", "k", "n",
+                       reduce=lambda values: int(values.max() ^ 0))
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.max("id").alias("m")).collect()}
+    assert {r["k"]: r["n"] for r in out.collect()} == want
