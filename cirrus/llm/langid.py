@@ -89,13 +89,20 @@ class LanguageModel:
         return self.languages[best], float(p[best]), bool(p[best] >= self.reject_below)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> LanguageModel:
-    """A model of (language, buckets, counts) rows. Every fifth row calibrates."""
+def _shares(row: tuple[int, bytes, bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(language, buckets, shares) of a packed row; unpacked one at a time."""
+    counts = np.frombuffer(row[2], dtype="<u4").astype(np.float32)
+    return row[0], np.frombuffer(row[1], dtype="<u2"), counts / counts.sum()
+
+
+def train(rows: list[tuple[str, bytes, bytes]], seed: int = 1) -> LanguageModel:
+    """A model of (language, buckets, counts) rows, packed as unsigned 16- and 32-bit
+    integers. Every fifth row calibrates."""
     languages = tuple(sorted({lang for lang, _, _ in rows}))
     if not languages:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
     number = {lang: k for k, lang in enumerate(languages)}
-    data = [(number[lang], b, (c / c.sum()).astype(np.float32)) for lang, b, c in rows if len(b)]
+    data = [(number[lang], b, c) for lang, b, c in rows if b]
     fit, calibrate = [d for i, d in enumerate(data) if i % 5], data[::5]
     fit = fit or data
     rng = np.random.default_rng(seed)
@@ -105,7 +112,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Lang
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
-            y, b, c = fit[i]
+            y, b, c = _shares(fit[i])
             rate = LEARNING_RATE * (1 - done / steps)
             done += 1
             mean = c @ emb[b]
@@ -122,7 +129,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Lang
     model = LanguageModel(languages, table, bias.astype(np.float64))
     if not calibrate:
         return model
-    z = np.array([c @ table[b] + bias for _, b, c in calibrate], dtype=np.float64)
+    z = np.array([c @ table[b] + bias for _, b, c in map(_shares, calibrate)], dtype=np.float64)
     y = np.array([k for k, _, _ in calibrate])
 
     def loss(t: float) -> float:
@@ -144,14 +151,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Train on at most ``sample_rows`` documents outside the held-out fold that
     have a language and a letter; each is gathered as its distinct subword buckets
-    (at most 2 ** BUCKET_BITS of them), however long it is."""
-    @F.pandas_udf("struct<b:array<int>,c:array<long>>")
+    and their counts (six bytes each, at most 2 ** BUCKET_BITS of them), however long it is."""
+    @F.pandas_udf("struct<b:binary,c:binary>")
     def features(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             counts = _counts(t)
             used = np.flatnonzero(counts)
-            rows.append((used.astype(np.int32), counts[used]))
+            rows.append((used.astype("<u2").tobytes(), counts[used].astype("<u4").tobytes()))
         return pd.DataFrame({"b": [b for b, _ in rows], "c": [c for _, c in rows]})
 
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~is_fold(id_col, folds, held_out))
@@ -163,8 +170,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return train([])
     picked = (keyed.where(order <= level).select(order.alias("h"), "lang", features("t").alias("f"))
               .dropDuplicates(["h"]).orderBy("h").limit(sample_rows).collect())
-    return train([(r["lang"], np.array(r["f"]["b"], dtype=np.int64), np.array(r["f"]["c"], dtype=np.float64))
-                  for r in picked])
+    return train([(r["lang"], bytes(r["f"]["b"]), bytes(r["f"]["c"])) for r in picked])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
