@@ -3,8 +3,7 @@ plan it on a cluster where no dimension is small enough to broadcast.
 
     python tools/plan_report.py [--sf /root/testdata/sf0.1] [--out PLANS.md]
 
-Broadcasting is switched off (``spark.sql.autoBroadcastJoinThreshold=-1`` and the
-library's broadcast bound set to 0 rows), so every join shows the shuffle it
+Broadcasting is switched off (``spark.sql.autoBroadcastJoinThreshold=-1``), so every join shows the shuffle it
 needs at 100 TB. Counted per query: shuffle exchanges, join strategies,
 aggregate kinds, windows (and partial window-group limits), scans with pushed
 filters, and operators that fall back to Python.
@@ -53,17 +52,16 @@ def main() -> None:
     tree_keys = [k for k in args.trees.split(",") if k]
     trees: dict[str, str] = {}
 
-    from cirrus.operators import joins
     from cirrus.session import get_session
-    import __spark_entry__ as E
+    from cirrus.plans import registry
 
     spark = get_session("local[8]", shuffle_partitions=8,
                         extra={"spark.sql.autoBroadcastJoinThreshold": "-1"})
-    joins.DEFAULT_BROADCAST_ROWS = 0
     lines = ["| key | exchanges | SMJ | BHJ | nested-loop | hash agg | sort agg | object agg | window | "
              "group limit | python | scans | scans with pushed filters |",
              "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
-    for k, fn in E.queries().items():
+    registry.load_all()
+    for k, fn in registry.QUERIES.items():
         if k.startswith("stream_"):
             continue  # streams run while being built; their batch twins are reported
         buf = io.StringIO()
