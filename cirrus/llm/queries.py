@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from cirrus.llm import bpe, decontaminate, embedding_dedup, katz, langid, line_dedup, quality, simhash, toxicity, url_filter
 from cirrus.llm.folds import is_fold
+from cirrus.operators.jobs import spread
 from cirrus.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; an input with fewer splits than cores is dealt out once."""
+    return spread(load(spark, sf_dir, "documents"))
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -24,7 +30,7 @@ def _query(fn):
 @_query
 def op1_quality_classifier(spark, sf_dir):
     """Quality of every document by a sparse rule ensemble."""
-    docs = load(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = quality.learn(docs, load(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
@@ -32,7 +38,7 @@ def op1_quality_classifier(spark, sf_dir):
 @_query
 def op2_simhash_near_dedup(spark, sf_dir):
     """SimHash classes of all documents (three words, three bits)."""
-    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 @_query
@@ -73,20 +79,20 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 @_query
 def op5_line_dedup(spark, sf_dir):
     """All documents without the passages that an earlier one holds; texts as digests."""
-    return line_dedup.remove_shared(load(spark, sf_dir, "documents")).select(
+    return line_dedup.remove_shared(_documents(spark, sf_dir)).select(
         "doc_id", "lines_removed", "words_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 @_query
 def op6_katz_lm(spark, sf_dir):
     """Katz and base log10 probability of every document."""
-    return katz.score(load(spark, sf_dir, "documents"))
+    return katz.score(_documents(spark, sf_dir))
 
 
 @_query
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document, with its significant passages."""
-    docs = load(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted",
@@ -96,7 +102,7 @@ def op7_toxicity(spark, sf_dir):
 @_query
 def op8_language_id(spark, sf_dir):
     """The language of every document."""
-    docs = load(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return langid.predict(docs, langid.learn(docs)).select(
         "doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "accepted")
 
@@ -104,12 +110,12 @@ def op8_language_id(spark, sf_dir):
 @_query
 def op9_benchmark_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, with the closest stretch of each."""
-    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(_documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
 
 
 @_query
 def op10_byte_level_bpe(spark, sf_dir):
     """Ids and round trip of every document under the 50k byte-level ranks."""
-    done = bpe.decode(bpe.encode(load(spark, sf_dir, "documents")))
+    done = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
     return done.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -154,32 +154,37 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that span every
     component of the graph of all pairs at most MAX_BITS apart."""
-    found, todo = [], [(i // 2, m) for i, m in enumerate(_first_masks())]
-    keys = _keys(fps, todo)
-    for level in range(2):
-        by = ["start", "mask", "value"]
-        sizes, _ = write_table(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block-sizes")
-        small = keys.join(sizes.where(F.col("n") <= block), by).drop("n")
-        found.append(small.groupBy(*by).agg(F.collect_list("fp").alias("left"))
-                     .select("start", "left", F.lit(None).cast("array<long>").alias("right")))
-        large = sizes.where(F.col("n") > block)
-        if level == 0:
-            # the masks of the large blocks, divided by the bits that are still free
-            finer = F.create_map(*[x for _, m in todo for x in (
-                F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in _finer(m)]))])
-            again = keys.join(large.drop("n"), by)
-            keys = (again.select("start", F.explode(finer[F.col("mask")]).alias("mask"), "fp")
-                    .select("start", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp"))
-        else:
-            tiled = (keys.join(large, by)
-                     .withColumn("tiles", F.ceil(F.col("n") / block).cast("int"))
-                     .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")))
-            met = (tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-                   .groupBy(*by, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-                   .agg(F.collect_list(F.when(F.col("tile") <= F.col("other"), F.col("fp"))).alias("left"),
-                        F.collect_list(F.when(F.col("tile") > F.col("other"), F.col("fp"))).alias("right")))
-            found.append(met.select("start", "left", F.when(F.col("i") < F.col("j"), F.col("right")).alias("right")))
-    blocks = found[0].unionByName(found[1]).unionByName(found[2])
+    masks = [(i // 2, m) for i, m in enumerate(_first_masks())]
+    by = ["start", "mask", "value"]
+    none = F.lit(None).cast("array<long>")
+
+    def sized(keys: DataFrame) -> DataFrame:
+        return write_table(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block-sizes")[0]
+
+    def whole(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+        small = keys.join(sizes.where(F.col("n") <= block), by)
+        return small.groupBy(*by).agg(F.collect_list("fp").alias("left")).select("start", "left", none.alias("right"))
+
+    keys = _keys(fps, masks)
+    sizes = sized(keys)
+    blocks = whole(keys, sizes)
+    large = sizes.where(F.col("n") > block)
+    if not large.isEmpty():
+        # their masks, divided by the bits that are still free
+        finer = F.create_map(*[x for _, m in masks for x in (
+            F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in _finer(m)]))])
+        keys = (keys.join(large.drop("n"), by).select("start", F.explode(finer[F.col("mask")]).alias("mask"), "fp")
+                .select("start", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp"))
+        sizes = sized(keys)
+        tiled = (keys.join(sizes.where(F.col("n") > block), by)
+                 .withColumn("tiles", F.ceil(F.col("n") / block).cast("int"))
+                 .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")))
+        met = (tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+               .groupBy(*by, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+               .agg(F.collect_list(F.when(F.col("tile") <= F.col("other"), F.col("fp"))).alias("left"),
+                    F.collect_list(F.when(F.col("tile") > F.col("other"), F.col("fp"))).alias("right")))
+        blocks = blocks.unionByName(whole(keys, sizes)).unionByName(
+            met.select("start", "left", F.when(F.col("i") < F.col("j"), F.col("right")).alias("right")))
     return blocks.mapInPandas(_spans, "a long, b long")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cirrus.llm import bpe, decontaminate, line_dedup, quality, simhash
 from cirrus.llm.storage import write_table
+from cirrus.operators.jobs import spread
 from cirrus.sources.tables import load
 
 
@@ -62,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs, _ = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
