@@ -172,7 +172,7 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns more: ``lines_removed`` and ``words_removed``.
 
     Documents are in the order of their ids (then of their texts' hashes); a block is a
-    run of equal lines (blank ones aside, outer white space aside) of at least
+    run of equal lines (blank ones aside, outer spaces aside) of at least
     ``min_words`` words in all. The first holder keeps each line. Rows that repeat an
     id and a text are one document and come out alike. Null texts, null ids and texts
     that share nothing are as they were; a copy of an earlier document is left empty.
