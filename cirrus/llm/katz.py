@@ -3,8 +3,8 @@
 Training and scoring share one pass over the corpus' bigrams:
 
 1. ``chunks``: texts as local word numbers, a few million tokens a row, written once.
-2. ``unigrams``: counts by word; each chunk gets the global number and the training
-   count of its own words back (a join on the word, then on the chunk).
+2. ``unigrams``: counts by word, brought back to each chunk as the global numbers
+   and the training counts of its own words (by the word, then by the chunk).
 3. Bigrams travel once, packed in blocks per chunk and context bucket, with both
    words' counts. A bucket holds every occurrence of its contexts' bigrams, in
    training and in scored documents, so it counts them, sums what each
@@ -28,18 +28,20 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.llm.folds import is_fold
-from cirrus.llm.storage import write_table
+from cirrus.llm.storage import free_shuffles, write_table
 
 #: Counts up to so many are discounted.
 K = 5
 #: Tokens of a chunk and (about) of a bucket. A context with more tokens than a bucket
 #: is spread by its second word, a pair of two such words by document.
 CHUNK_TOKENS = 4 << 20
-BUCKET_TOKENS = 4 << 20
+BUCKET_TOKENS = 3 << 20
+#: Tokens of a chunk that are worked on at a time.
+SLICE_TOKENS = 1 << 20
 #: Contexts with so many training tokens get one more (unseen) event, as do contexts
 #: whose bigrams all have counts above K: else nothing were left to back off with.
 DENSE = 1 << 20
@@ -125,38 +127,53 @@ def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _blocks(buckets: int, heavy: int, total: int, types: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of (v, w, row, tokens, held, c(v), c(w)); those of pairs of heavy words
-    are marked hot. One block more per chunk has each row's base score."""
+    are marked hot. One block more has each row's base score. A chunk is worked on in
+    slices of whole documents."""
     for batch in batches:
         for r in batch.itertuples(index=False):
             tokens = np.frombuffer(zstandard.decompress(r.tokens), dtype="<i4")
-            lengths = np.asarray(r.lengths, dtype=np.int64)
+            lengths, held = np.asarray(r.lengths, dtype=np.int64), np.asarray(r.held, dtype=np.int64)
             number, count = np.asarray(r.numbers, dtype=np.int64), np.asarray(r.counts, dtype=np.int64)
-            rows = len(lengths)
-            row = np.repeat(np.arange(rows), lengths)
-            known = np.bincount(row[count[tokens] > 0], minlength=rows)
-            base = np.bincount(row, np.log10((count + 1) / (total + types + 1))[tokens], rows)
-            stats = pd.DataFrame({"bucket": [r.chunk % buckets], "chunk": [r.chunk], "kind": [2], "blob": [
-                zstandard.compress(np.concatenate([lengths, known]).astype("<i8").tobytes() + base.astype("<f8").tobytes())]})
-            before = np.empty_like(tokens)
-            before[0], before[1:] = 0, tokens[:-1]      # each document starts after an end
-            pair, n = np.unique((row * len(number) + before) * len(number) + tokens, return_counts=True) \
-                if rows * len(number) ** 2 < 1 << 62 else _unique3(row, before, tokens, len(number))
-            pair, w = np.divmod(pair, len(number)) if pair.ndim == 1 else (pair[0], pair[1])
-            row, v = np.divmod(pair, len(number))
-            gv, gw, cv, cw = number[v], number[w], count[v], count[w]
-            held = np.asarray(r.held, dtype=np.int64)[row]
-            hot = (cv >= heavy) & (cw >= heavy)
-            place = np.where(cv >= heavy, _spread(gv, gw), _spread(gv, np.zeros_like(gv)))
-            place = np.where(hot, _spread(gv + r.chunk, gw + row), place) % np.uint64(buckets)
-            key = place.astype(np.int64) * 2 + hot
-            order = np.lexsort((gw, gv, key))
-            table = np.stack([gv, gw, row + r.chunk, n, held, cv, cw])[:, order]
-            key = key[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            ends = np.r_[starts[1:], len(key)]
-            yield pd.concat([stats, pd.DataFrame({
-                "bucket": key[starts] // 2, "chunk": r.chunk, "kind": key[starts] % 2,
-                "blob": [_pack(list(table[:, a:b])) for a, b in zip(starts, ends)]})], ignore_index=True)
+            ends = lengths.cumsum()
+            a = 0
+            while a < len(lengths):
+                start = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
+                yield _slice(buckets, heavy, total, types, r.chunk + a, tokens[start:int(ends[b - 1])], lengths[a:b],
+                             held[a:b], number, count)
+                a = b
+
+
+def _slice(buckets, heavy, total, types, base, tokens, lengths, held, number, count) -> pd.DataFrame:
+    rows = len(lengths)
+    row = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    known = np.bincount(row[count[tokens] > 0], minlength=rows)
+    logs = np.bincount(row, np.log10((count + 1) / (total + types + 1))[tokens], rows)
+    stats = pd.DataFrame({"bucket": [base % buckets], "chunk": [base], "kind": [2], "blob": [
+        zstandard.compress(np.concatenate([lengths, known]).astype("<i8").tobytes() + logs.astype("<f8").tobytes())]})
+    before = np.empty_like(tokens)
+    before[0], before[1:] = 0, tokens[:-1]      # each document starts after an end
+    if rows * len(number) ** 2 < 1 << 62:
+        pair, n = np.unique((row.astype(np.int64) * len(number) + before) * len(number) + tokens, return_counts=True)
+        pair, w = np.divmod(pair, len(number))
+    else:
+        (pair, w), n = _unique3(row, before, tokens, len(number))
+    row, v = np.divmod(pair, len(number))
+    gv, gw, cv, cw = number[v], number[w], count[v], count[w]
+    del pair, v, w
+    hot = (cv >= heavy) & (cw >= heavy)
+    place = np.where(cv >= heavy, _spread(gv, gw), _spread(gv, np.zeros_like(gv)))
+    if hot.any():
+        place = np.where(hot, _spread(gv + base, gw + row), place)
+    key = (place % np.uint64(buckets)).astype(np.int64) * 2 + hot
+    order = np.lexsort((gw, gv, key))
+    key = key[order]
+    columns = [c[order] for c in (gv, gw, row + base, n, held[row], cv, cw)]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[starts[1:], len(key)]
+    return pd.concat([stats, pd.DataFrame({
+        "bucket": key[starts] // 2, "chunk": base, "kind": key[starts] % 2,
+        "blob": [_pack([c[a:b] for c in columns]) for a, b in zip(starts, ends)]})], ignore_index=True)
 
 
 def _unique3(row, before, tokens, size):
@@ -184,6 +201,20 @@ def _part(kind: int, size: int, **columns) -> pd.DataFrame:
     return out
 
 
+def _sorted(blobs: list[bytes]) -> list[np.ndarray]:
+    """The seven columns of all blocks, ordered by v and w; unpacked one by one."""
+    sizes = [len(_unpack(b, 7)[0]) for b in blobs]
+    table = np.empty((7, sum(sizes)), dtype=np.int64)
+    at = 0
+    for blob, size in zip(blobs, sizes):
+        table[:, at:at + size] = _unpack(blob, 7)
+        at += size
+    order = np.lexsort((table[1], table[0]))
+    for k in range(7):
+        table[k] = table[k][order]
+    return list(table)
+
+
 def _bucket(uni: Unigrams, heavy: int, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in pdf[pdf["kind"] == 2].itertuples():
@@ -197,9 +228,7 @@ def _bucket(uni: Unigrams, heavy: int, pdf: pd.DataFrame) -> pd.DataFrame:
         out.append(_part(4, len(v), v=v, w=w, row=row, n=n, m1=held, m2=cv, m3=cw))
     blobs = pdf.loc[pdf["kind"] == 0, "blob"].tolist()
     if blobs:
-        v, w, row, n, held, cv, cw = np.concatenate([_unpack(b, 7) for b in blobs], axis=1)
-        order = np.lexsort((w, v))
-        v, w, row, n, held, cv, cw = (x[order] for x in (v, w, row, n, held, cv, cw))
+        v, w, row, n, held, cv, cw = _sorted(blobs)
         first = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
         of = np.cumsum(first) - 1                       # a token's bigram
         at = np.flatnonzero(first)
@@ -248,23 +277,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     chunks, _ = write_table(keyed.mapInPandas(
         lambda b: _chunks(chunk_tokens, b), f"chunk long, ids array<{kind}>, held array<boolean>, lengths array<int>, "
         "tokens binary, words array<string>, train array<long>"), "katz-chunks")
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "z")).select(
-        "chunk", "at", F.col("z.words").alias("word"), F.col("z.train").alias("train"))
-    unigrams, _ = write_table(words.groupBy("word").agg(F.sum("train").alias("c"))
-                              .select("word", "c", F.monotonically_increasing_id().alias("number")), "katz-unigrams")
-    known = unigrams.where("c > 0")
+    # a word's rows are one per chunk; its number is that of one of them
+    words = (chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "z"))
+             .select("chunk", "at", F.col("z.words").alias("word"), F.col("z.train").alias("train"))
+             .withColumn("id", F.monotonically_increasing_id()))
+    of_word = Window.partitionBy("word")
+    counted = words.select("chunk", "at", F.sum("train").over(of_word).alias("c"), F.min("id").over(of_word).alias("number"),
+                           F.col("id"))
+    # back to the chunks: the words of a chunk are no more than its tokens
+    unigrams, _ = write_table(counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(
+        "at", "number", "c", (F.col("id") == F.col("number")).alias("first")))).alias("z"))
+        .select("chunk", F.col("z.number").alias("numbers"), F.col("z.c").alias("counts"),
+                F.transform("z", lambda x: F.when(x["first"], x["c"])).alias("own")), "katz-unigrams")
+    free_shuffles(docs.sparkSession)
+    known = unigrams.select(F.explode("own").alias("c")).where("c > 0")
     total, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     uni = Unigrams({r["c"]: r["n"] for r in known.where(F.col("c") <= K + 1).groupBy("c").agg(
         F.count(F.lit(1)).alias("n")).collect()}, int(total))
     tokens = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets, heavy = max(1, ceil(tokens / bucket_tokens)), bucket_tokens
-    # back to the chunks: the words of a chunk are no more than its tokens
-    numbered = (words.select("chunk", "at", "word").join(unigrams, "word")
-                .groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "number", "c"))).alias("z"))
-                .select("chunk", F.col("z.number").alias("numbers"), F.col("z.c").alias("counts")))
-    blocks = chunks.select("chunk", "held", "lengths", "tokens").join(numbered, "chunk").mapInPandas(
-        lambda b: _blocks(buckets, heavy, int(total), int(types), b), "bucket long, chunk long, kind int, blob binary")
-    parts, _ = write_table(blocks.groupBy("bucket").applyInPandas(lambda pdf: _bucket(uni, heavy, pdf), PARTS), "katz-parts")
+    numbered = unigrams.select(F.col("chunk").alias("c"), "numbers", "counts")
+    blocks = (chunks.select("chunk", "held", "lengths", "tokens").join(numbered, F.col("chunk") == F.col("c")).drop("c")
+              .mapInPandas(lambda b: _blocks(buckets, heavy, int(total), int(types), b),
+                           "bucket long, chunk long, kind int, blob binary"))
+    parts, _ = write_table(blocks.groupBy("bucket").applyInPandas(lambda pdf: _bucket(uni, heavy, pdf), PARTS), "katz-parts",
+                           by="kind")
+    free_shuffles(docs.sparkSession)
 
     of = lambda k: parts.where(F.col("kind") == k)
     sums = [F.sum(f"m{k}").alias(f"m{k}") for k in range(1, K + 1)]
