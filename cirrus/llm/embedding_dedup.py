@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cirrus.llm.components import connected_components
 from cirrus.llm.storage import write_table
@@ -67,23 +68,30 @@ def encode(x: np.ndarray) -> tuple[bytes, float, list[int]]:
     return np.packbits(turned[0] >= 0).tobytes(), factor, (bits @ (1 << np.arange(BAND_BITS))).tolist()
 
 
-def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _units(rows: list) -> np.ndarray:
+    """The unit vectors of rows, in double precision, from their packed components."""
+    x = np.array([np.frombuffer(r["raw"], dtype=f"<f{len(r['raw']) // r['dim']}") for r in rows], dtype=np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _encoded(width: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for label, vector, least, n in zip(batch["label"], batch["vector"], batch["least"], batch["n"]):
             x = unit(vector)
             if x is not None:
                 code, factor, bands = encode(x)
-                rows.append((int(least), int(n), int(label), len(x), x.tobytes(), code, factor, bands))
-        yield pd.DataFrame(rows, columns=["least", "n", "label", "dim", "unit", "code", "factor", "bands"])
+                rows.append((int(least), int(n), int(label), len(x), np.asarray(vector, dtype=f"<f{width}").tobytes(), code, factor, bands))
+        yield pd.DataFrame(rows, columns=["least", "n", "label", "dim", "raw", "code", "factor", "bands"])
 
 
 def _compare(rows: list, others: list | None, band: int, threshold: float):
     """(links counted per row, per other row, spanning pairs) of one bucket or pair of
-    tiles. ``rows`` have (least, n, unit, code, factor, bands)."""
+    tiles. ``rows`` have (least, n, dim, raw, code, factor, bands)."""
     right = rows if others is None else others
-    x = np.array([np.frombuffer(r["unit"]) for r in rows])
-    y = x if others is None else np.array([np.frombuffer(r["unit"]) for r in right])
+    x = _units(rows)
+    y = x if others is None else _units(right)
     dim = x.shape[1]
     signs = np.array([np.unpackbits(np.frombuffer(r["code"], dtype=np.uint8), count=dim) for r in rows]) * 2.0 - 1
     factor = np.array([r["factor"] for r in rows])
@@ -152,16 +160,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         "x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(vector, x -> x <> 0)")
     groups, _ = write_table(usable.groupBy("label", "vector").agg(F.min("id").alias("least"),
                                                                   F.count(F.lit(1)).alias("n")), "distinct-vectors")
+    # components travel as they came: four bytes for floats, eight for doubles
+    width = 4 if isinstance(rows.schema["vector"].dataType.elementType, T.FloatType) else 8
     coded, _ = write_table(groups.mapInPandas(
-        _encoded, "least long, n long, label long, dim int, unit binary, code binary, factor double, bands array<int>"),
+        lambda batches: _encoded(width, batches), "least long, n long, label long, dim int, raw binary, code binary, factor double, bands array<int>"),
         "codes")
     by = ["label", "dim", "band", "value"]
     banded = coded.select("*", F.posexplode("bands").alias("band", "value"))
     sizes, _ = write_table(banded.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
-    row = F.struct("least", "n", "unit", "code", "factor", "bands")
+    row = F.struct("least", "n", "dim", "raw", "code", "factor", "bands")
     met = banded.join(sizes, by)
     small = (met.where(F.col("size") <= tile).groupBy(*by).agg(F.collect_list(row).alias("rows"))
-             .select("band", "rows", F.lit(None).cast("array<" + "struct<least:long,n:long,unit:binary,code:binary,"
+             .select("band", "rows", F.lit(None).cast("array<" + "struct<least:long,n:long,dim:int,raw:binary,code:binary,"
                                                       "factor:double,bands:array<int>>>").alias("others")))
     tiled = (met.where(F.col("size") > tile).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
              .withColumn("tile", F.pmod(F.xxhash64("least"), F.col("tiles")).cast("int"))
