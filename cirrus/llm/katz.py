@@ -277,18 +277,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     chunks, _ = write_table(keyed.mapInPandas(
         lambda b: _chunks(chunk_tokens, b), f"chunk long, ids array<{kind}>, held array<boolean>, lengths array<int>, "
         "tokens binary, words array<string>, train array<long>"), "katz-chunks")
-    # a word's rows are one per chunk; its number is that of one of them
-    words = (chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "z"))
-             .select("chunk", "at", F.col("z.words").alias("word"), F.col("z.train").alias("train"))
+    # a word's rows are one per chunk; its number is that of one of them. Within a
+    # chunk the ids rise in the order of its words
+    words = (chunks.select("chunk", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("train").alias("train"))))
              .withColumn("id", F.monotonically_increasing_id()))
     of_word = Window.partitionBy("word")
-    counted = words.select("chunk", "at", F.sum("train").over(of_word).alias("c"), F.min("id").over(of_word).alias("number"),
-                           F.col("id"))
+    counted = words.select("chunk", "id", F.sum("train").over(of_word).alias("c"), F.min("id").over(of_word).alias("number"))
     # back to the chunks: the words of a chunk are no more than its tokens
-    unigrams, _ = write_table(counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(
-        "at", "number", "c", (F.col("id") == F.col("number")).alias("first")))).alias("z"))
+    unigrams, _ = write_table(counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("id", "number", "c"))).alias("z"))
         .select("chunk", F.col("z.number").alias("numbers"), F.col("z.c").alias("counts"),
-                F.transform("z", lambda x: F.when(x["first"], x["c"])).alias("own")), "katz-unigrams")
+                F.transform("z", lambda x: F.when(x["id"] == x["number"], x["c"])).alias("own")), "katz-unigrams")
     free_shuffles(docs.sparkSession)
     known = unigrams.select(F.explode("own").alias("c")).where("c > 0")
     total, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

@@ -7,6 +7,7 @@ ever touched through Spark or Hadoop's file systems, so any store works.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,12 @@ def write_table(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFr
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of jobs that nothing refers to any
-    more; it learns of them when the driver's garbage is collected, which may be late."""
-    gc.collect()
-    spark._jvm.System.gc()
+    more. It learns of them when the driver's garbage is collected, which may be late;
+    what the first collection frees may hold more, and the cleaner works beside."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
