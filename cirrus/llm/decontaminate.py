@@ -1,18 +1,16 @@
-"""Benchmark passages in documents, found through CGK random-walk embeddings.
-
-A CGK walk reads a window of words: at each step it puts out the word it stands on
-and, by a random function of the step and the word, stays or moves on. Windows a
-few edits apart are read in step again soon after each edit, so their edit distance
-becomes a Hamming distance of what the walks put out. Bit sampling is then a
-locality-sensitive hash: a repetition compares the words put out at a few sampled
-steps. Windows start at every word of a document; repetitions alternate between
-reading forwards from the first word and backwards from the last, so both ends of
-an item count. Enough repetitions are made for a target recall, and each candidate
-is verified by the exact edit distance to the document's words around it.
-
-A window is dropped at the first sampled step at which no item has its word, which
-leaves few windows to walk on. Items above ``PART`` words are searched by parts and
-verified whole.
+"""Benchmark passages in documents, found through pieces that no edit touches.
+
+An item of n words matches a stretch at most k = rate * n word edits away. Cut into
+k + 1 pieces, it has at least one piece that no edit touches, so that piece stands in
+the document word for word: each place where a piece of an item stands is a candidate,
+and no stretch within the threshold is missed, whatever the edits are and wherever
+they fall. (A CGK walk over a piece, read to its end, is the same comparison: without
+an edit the walks of both agree at every step.) A candidate goes on if the words around
+it hold as many of the item's words as k edits leave, and is verified by the exact edit
+distance to the document's words around it.
+
+A window is dropped at the first word that no piece has there, which leaves few windows
+to look up.
 """
 
 from __future__ import annotations
@@ -30,18 +28,13 @@ from pyspark.sql import functions as F
 EDIT_RATE = 0.2
 #: Items of fewer words are common phrases and match nothing.
 MIN_WORDS = 8
-PART = 64
-#: Sampled steps of a repetition, and the share of steps at which the walks of an
-#: item and of a copy with a tenth of its words edited agree.
-SAMPLES = 4
-AGREEMENT = 0.8
-TARGET_RECALL = 0.995
 #: Bytes of item text that one pass over the documents looks for.
 BLOCK_BYTES = 8 << 20
-#: Words of documents that are walked at once, bytes that are split into words at once.
+#: Words of documents that are searched at once, bytes that are split into words at once.
 CHUNK = 1 << 18
 _SPLIT = 4 << 20
-_SEED = 20_240_607
+#: Words around candidates that are looked at together.
+_CELLS = 1 << 18
 
 _PLAIN = bytearray(b" " * 128) + bytes(range(128, 256))
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -58,11 +51,6 @@ def words_of(text: str | None) -> list[bytes]:
     return _plain(text).split()
 
 
-def repetitions() -> int:
-    """Even number of repetitions that reach TARGET_RECALL at AGREEMENT."""
-    return 2 * ceil(log(1 - TARGET_RECALL) / log(1 - AGREEMENT ** SAMPLES) / 2)
-
-
 def edit_distance_inside(item: list[int], region: list[int], most: int) -> tuple[int, int]:
     """(distance, end): the least edit distance of the item to any stretch of the
     region and where that stretch ends; bit-parallel (Myers). ``most`` + 1 at least
@@ -91,9 +79,9 @@ def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The walks of a block of items, ready to be looked for."""
+    """The pieces of a block of items, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
+    def __init__(self, items: list[tuple[int, list[bytes]]], rate: float = EDIT_RATE):
         names: dict[tuple[bytes, ...], list[int]] = {}
         for item_id, words in items:
             if len(words) >= MIN_WORDS:
@@ -102,76 +90,65 @@ class Items:
         vocabulary = sorted({w for words in names for w in words})
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}      # 0: in no item
         self.items = [[self.vocabulary[w] for w in words] for words in names]
+        self.most = [int(rate * len(item)) for item in self.items]
         self.longest = max(map(len, self.items), default=0)
-        parts = []          # item, first word, words
-        for k, item in enumerate(self.items):
-            cuts = np.linspace(0, len(item), ceil(len(item) / PART) + 1).astype(int).tolist()
-            parts += [(k, a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
-        kinds: dict[int, list] = {}
-        for part in parts:
-            kinds.setdefault(int(log(len(part[2])) / log(1.5)), []).append(part)
-        rng = np.random.default_rng(_SEED)
-        self.moves = rng.integers(0, 1 << 63, (repetitions(), 2, len(vocabulary) + 1), dtype=np.uint64)
-        self.plans: list[list[dict]] = []
-        for r in range(repetitions()):
-            plans = []
-            for kind in kinds.values():
-                # so long that a walk seldom leaves the shortest part
-                steps = min(126, max(SAMPLES, min(len(p[2]) for p in kind) * 3 // 2))
-                # one step of each of SAMPLES equal stretches
-                plans.append(self._plan(r, kind, [int((k + rng.random()) * steps / SAMPLES) for k in range(SAMPLES)]))
-            self.plans.append(plans)
-
-    def move(self, r: int, step: int) -> np.ndarray:
-        """For each word id, whether the walk moves on at this step."""
-        return (self.moves[r, step // 63] >> np.uint64(step % 63) & np.uint64(1)).astype(np.int32)
-
-    def _plan(self, r: int, parts: list, sampled: list[int]) -> dict:
-        allowed = np.zeros((SAMPLES, len(self.vocabulary) + 1), dtype=bool)
-        keys = np.zeros(len(parts), dtype=np.uint64)
-        shown = np.zeros((len(parts), SAMPLES), dtype=np.int64)
-        for p, (_, _, words) in enumerate(parts):
-            words = words[::-1] if r % 2 else words
-            at = 0
-            for step in range(sampled[-1] + 1):
-                if step in sampled:
-                    shown[p, sampled.index(step)] = words[at] if at < len(words) else 0
-                if at < len(words):
-                    at += int(self.moves[r, step // 63, words[at]] >> np.uint64(step % 63) & np.uint64(1))
-        for s in range(SAMPLES):
+        sizes: dict[int, list[tuple[int, int]]] = {}        # words of a piece -> item, first word
+        for k, (item, most) in enumerate(zip(self.items, self.most)):
+            cuts = [len(item) * i // (most + 1) for i in range(most + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                sizes.setdefault(b - a, []).append((k, a))
+        self.plans = [self._plan(size, pieces) for size, pieces in sorted(sizes.items())]
+
+    def _plan(self, size: int, pieces: list[tuple[int, int]]) -> dict:
+        shown = np.array([self.items[k][a:a + size] for k, a in pieces], dtype=np.int64)
+        allowed = np.zeros((size, len(self.vocabulary) + 1), dtype=bool)
+        keys = np.zeros(len(pieces), dtype=np.uint64)
+        for s in range(size):
             allowed[s, shown[:, s]] = True
             keys = _mix(keys, shown[:, s])
         order = np.argsort(keys, kind="stable")
-        return {"sampled": sampled, "allowed": allowed, "keys": keys[order], "parts": [parts[i][:2] + (len(parts[i][2]),) for i in order]}
-
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, position of its first word) of windows that a repetition matches."""
-        n = len(words)
-        for r, plans in enumerate(self.plans):
-            tape = np.concatenate([words[::-1] if r % 2 else words, np.zeros(160, dtype=words.dtype)])
-            at = np.arange(n, dtype=np.int32)
-            for step in range(max(p["sampled"][0] for p in plans) + 1):
-                for plan in plans:
-                    if plan["sampled"][0] == step:
-                        yield from self._follow(r, plan, tape, at, n)
-                at += self.move(r, step)[tape][at]
-
-    def _follow(self, r: int, plan: dict, tape: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        start = np.flatnonzero(plan["allowed"][0][tape[at]])
-        at = at[start]
-        key = _mix(np.zeros(len(start), dtype=np.uint64), tape[at])
-        for s in range(1, SAMPLES):
-            for step in range(plan["sampled"][s - 1], plan["sampled"][s]):
-                at = at + self.move(r, step)[tape[at]]
-            ok = plan["allowed"][s][tape[at]]
-            start, at, key = start[ok], at[ok], _mix(key[ok], tape[at[ok]])
+        return {"allowed": allowed, "keys": keys[order], "pieces": np.array(pieces, dtype=np.int64)[order]}
+
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, position where its first word would be, position of the piece) of
+        places that may hold the item, by item and position."""
+        if not self.plans:
+            return
+        found = [self._places(plan, words) for plan in self.plans]
+        item, first, at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((at, first, item))
+        item, first, at = item[order], first[order], at[order]
+        cuts = np.flatnonzero(np.diff(item, prepend=-1, append=-1)).tolist()
+        mine = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        for low, high in zip(cuts, cuts[1:]):
+            k = int(item[low])
+            n, most = len(self.items[k]), self.most[k]
+            mine[self.items[k]] = True
+            rows = max(1, _CELLS // (n + 2 * most))
+            for a in range(low, high, rows):
+                start = first[a:min(high, a + rows)]
+                # all words of the item but ``most`` are around the place
+                around = start[:, None] + np.arange(-most, n + most)
+                held = mine[words[np.clip(around, 0, len(words) - 1)]].sum(axis=1)
+                for i in np.flatnonzero(held >= n - most).tolist():
+                    yield k, int(start[i]), int(at[a + i])
+            mine[self.items[k]] = False
+
+    @staticmethod
+    def _places(plan: dict, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        allowed = plan["allowed"]
+        start = np.flatnonzero(allowed[0][words[:max(0, len(words) - len(allowed) + 1)]])
+        key = _mix(np.zeros(len(start), dtype=np.uint64), words[start])
+        for s in range(1, len(allowed)):
+            word = words[start + s]
+            ok = allowed[s][word]
+            start, key = start[ok], _mix(key[ok], word[ok])
         left = np.searchsorted(plan["keys"], key, "left")
-        right = np.searchsorted(plan["keys"], key, "right")
-        for i in np.flatnonzero(right > left).tolist():
-            for p in range(int(left[i]), int(right[i])):
-                item, offset, size = plan["parts"][p]
-                first = int(start[i])
-                yield item, (n - first - size if r % 2 else first) - offset
+        often = np.searchsorted(plan["keys"], key, "right") - left
+        at = np.repeat(start, often)
+        piece = np.repeat(left - np.cumsum(often) + often, often) + np.arange(len(at))
+        item, offset = plan["pieces"][piece].T
+        return item, at - offset, at
 
 
 def _pieces(text: str | None, reach: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -199,17 +176,17 @@ def _search(items: Items, rate: float, batches: Iterator[pd.DataFrame]) -> Itera
         words: list[np.ndarray] = []
         size = 0
 
-        def walk() -> None:
+        def look() -> None:
             tape = np.concatenate(words)
             ends = np.cumsum([n for _, _, n in held])
-            seen = set()
-            for item, start in items.candidates(tape):
-                # candidates are rare; those of a start already verified are left out
-                if (item, start) in seen:
+            last = None
+            for item, start, at in items.candidates(tape):
+                piece = int(np.searchsorted(ends, at, "right"))
+                # other pieces of the same place are left out
+                if (item, start, piece) == last:
                     continue
-                seen.add((item, start))
-                n, most = len(items.items[item]), int(rate * len(items.items[item]))
-                piece = int(np.searchsorted(ends, min(max(start + n // 2, 0), len(tape) - 1), "right"))
+                last = item, start, piece
+                n, most = len(items.items[item]), items.most[item]
                 row, before, length = held[piece]
                 low = int(ends[piece]) - length
                 a, b = max(low, start - 2 * most - 1), min(int(ends[piece]), start + n + 2 * most + 1)
@@ -230,10 +207,10 @@ def _search(items: Items, rate: float, batches: Iterator[pd.DataFrame]) -> Itera
                 held.append((row, before, len(piece)))
                 size += len(piece)
                 if size >= CHUNK:
-                    walk()
+                    look()
                     size = 0
         if words:
-            walk()
+            look()
         out = [(batch["key"].iloc[row], item_id, start, end, distance, len(items.items[item]))
                for (row, item), (distance, start, end) in found.items() for item_id in items.ids[item]]
         yield pd.DataFrame(out, columns=["key", "item_id", "start", "end", "distance", "n_words"])
@@ -244,7 +221,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, start, end, distance, n_words): a row for each document and item
     of which a stretch of the document is at most ``rate`` * n_words word edits away,
-    with the closest stretch found (word positions; ``start`` counts n_words back from
+    with the closest stretch (word positions; ``start`` counts n_words back from
     ``end``).
 
     Words are compared in lower case without punctuation. Items of fewer than
@@ -252,6 +229,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     all reported, and so is every repeated document. Items are looked for in blocks of
     about ``block_bytes``, each one pass over the documents.
     """
+    if not 0 <= rate < 1:
+        raise ValueError("rate must be at least 0 and below 1")
     spark = docs.sparkSession
     known = items.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t")).distinct()
@@ -263,7 +242,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     found = None
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block).collect()
-        ready = Items([(r["item"], words_of(r["t"])) for r in sorted(rows)])
+        ready = Items([(r["item"], words_of(r["t"])) for r in sorted(rows)], rate)
         if not ready.items:
             continue
         shared = spark.sparkContext.broadcast(ready)        # made of block_bytes of item text

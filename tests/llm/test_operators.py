@@ -428,6 +428,25 @@ def test_planted_items_are_found(spark, sf_small):
     assert len({(r["doc_id"], r["item_id"]) for r in small} & planted) >= 0.95 * len(planted)
 
 
+def test_items_are_found_up_to_the_edit_rate(spark, sf_small):
+    items = load(spark, sf_small.replace("sf0.001", "sf0.1"), "benchmark")
+    rng = random.Random(5)
+    known = sorted(((len(r["text"].split()), r["item_id"], r["text"].split()) for r in items.collect()), reverse=True)
+    own = [w for _, _, ws in known for w in ws]
+    rows, planted = [], {}
+    for n, item, words in known[:40] + known[-40:]:
+        for kinds in ([1], [0, 1, 2], [0, 2]):      # replaced; mixed; left out and inserted
+            words_now = list(words)
+            for at in sorted(rng.sample(range(n), int(decontaminate.EDIT_RATE * n)), reverse=True):
+                words_now[at:at + 1] = [[], ["edited"], [words[at], "added"]][rng.choice(kinds)]
+            around = [rng.choice(own) for _ in range(60)]
+            planted[len(rows)] = item, int(decontaminate.EDIT_RATE * n)
+            rows.append((len(rows), " ".join(around[:30] + words_now + around[30:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert all(got.get((d, i), most + 1) <= most for d, (i, most) in planted.items())
+
+
 def test_long_items_and_long_texts(spark, monkeypatch):
     rng = random.Random(2)
     item = [f"w{rng.randrange(3000)}" for _ in range(400)]
