@@ -5,8 +5,10 @@ one, so a line held by a third of all documents makes as many pairs as documents
 and not their square. Each pair is aligned by patience diff over the hashes of the
 lines they share: lines that are rare in both (they occur once) are matched along
 the longest increasing sequence and grown to blocks, and the stretches between
-them are aligned the same way. Blocks of enough words leave the later document; the first
-holder of a line never loses it.
+them are aligned the same way. An alignment keeps the order and matches a line once;
+runs that stand in another order or more than once are then found by the hashes of
+their lines. Blocks and runs of enough words leave the later document; the first holder
+of a line never loses it.
 """
 
 from __future__ import annotations
@@ -114,14 +116,51 @@ def _next(lines: list, i: int) -> bool:
     return lines[i][0] + 1 == lines[i + 1][0]
 
 
+def shortest_runs(lines: list, min_words: int) -> list[tuple[int, int]]:
+    """(first, last index) of the shortest runs of consecutive lines (number, hash,
+    words, ...) that have ``min_words`` words: from each line on, and up to each line.
+    Every line of a longer run is in one of those within it."""
+    out, start, words, i = [], 0, 0, 0
+    for j, line in enumerate(lines):
+        if j and not _next(lines, j - 1):
+            start = i = j
+            words = 0
+        words += line[2]
+        if words < min_words and i > start:
+            out.append((i - 1, j))
+        while words >= min_words and i <= j:
+            out.append((i, j))
+            words -= lines[i][2]
+            i += 1
+    return out
+
+
+def common_runs(later: list, first: list, min_words: int) -> list[tuple[int, int]]:
+    """(first, last index) of the runs of lines in ``later`` that ``first`` holds
+    anywhere, of ``min_words`` words or more; those that overlap are joined."""
+    key = lambda lines, i, j: tuple(x[1] for x in lines[i:j + 1])
+    known = {key(first, i, j) for i, j in shortest_runs(first, min_words)}
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(x for x in shortest_runs(later, min_words) if key(later, *x) in known):
+        if out and i <= out[-1][1]:
+            out[-1] = out[-1][0], max(j, out[-1][1])
+        else:
+            out.append((i, j))
+    return out
+
+
 def _aligned(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, texts, spans = [], [], []
         for key, mark, mine, other in zip(batch["id"], batch["v"], batch["mine"], batch["other"]):
             mine = [(x["n"], x["h"], x["w"], x["at"]) for x in mine]
-            other = [(x["n"], x["h"]) for x in other]
-            found = [{"a": mine[i][3], "b": mine[i + n - 1][3]} for i, _, n in align(mine, other)
-                     if sum(x[2] for x in mine[i:i + n]) >= min_words]
+            other = [(x["n"], x["h"], x["w"]) for x in other]
+            blocks = [(i, i + n - 1) for i, _, n in align(mine, other) if sum(x[2] for x in mine[i:i + n]) >= min_words]
+            gone = {k for i, j in blocks for k in range(i, j + 1)}
+            held = {x[1] for x in other}
+            if any(x[1] in held for k, x in enumerate(mine) if k not in gone):
+                blocks += [(i, j) for i, j in common_runs(mine, other, min_words) if not gone.issuperset(range(i, j + 1))]
+            found = [{"a": mine[i][3], "b": mine[j][3]} for i, j in blocks]
             if found:
                 ids.append(key)
                 texts.append(mark)

@@ -265,6 +265,44 @@ def test_line_dedup_keeps_the_first_of_every_long_line(spark, sf_small):
     assert len(alone) <= 0.01 * len(left)
 
 
+def brute_line_dedup(texts, min_words):
+    """Texts without the lines of any run of ``min_words`` words that an earlier text holds."""
+    split = [[(at, x.strip(), len(x.split())) for at, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+
+    def runs(lines):
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(x[2] for x in lines[i:j + 1]) >= min_words:
+                    yield i, j, tuple(x[1] for x in lines[i:j + 1])
+
+    out, earlier = [], set()
+    for t, lines in zip(texts, split):
+        gone = {at for i, j, k in runs(lines) if k in earlier for at in range(lines[i][0], lines[j][0] + 1)}
+        earlier |= {k for _, _, k in runs(lines)}
+        out.append("\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone))
+    return out
+
+
+def test_line_dedup_moved_and_repeated_passages(spark):
+    p = ["one passage of five words", "and its second line here"]
+    q = ["another passage has these words", "and this is its end"]
+    x = "a line of its own with nine words altogether"
+    texts = ["\n".join(p + q), "\n".join(["own"] + q + p), x, "\n".join([x, "between", x]),
+             "\n".join(p + ["own"] + p + ["more"] + q + p)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_shared(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(5)] == [texts[0], "own", x, "between", "own\nmore"]
+    # against all runs, two documents at a time
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = (rng.choices("abcdef", k=rng.randrange(12)) for _ in range(2))
+        size = dict(zip("abcdef", (1, 1, 2, 3, 5, 8)))
+        lines = [[(n, c, size[c]) for n, c in enumerate(t)] for t in (a, b)]
+        gone = {k for i, j in line_dedup.common_runs(lines[1], lines[0], 6) for k in range(i, j + 1)}
+        text = ["\n".join(" ".join([c] * size[c]) for c in t) for t in (a, b)]
+        left = brute_line_dedup(text, 6)[1]
+        assert left == "\n".join(" ".join([c] * size[c]) for k, c in enumerate(b) if k not in gone)
+
+
 def test_align_grows_blocks():
     lines = lambda s: [(i, c) for i, c in enumerate(s)]
     assert line_dedup.align(lines("abcxdef"), lines("zabcydef")) == [(0, 1, 3), (4, 5, 3)]
