@@ -1,11 +1,13 @@
 """Passages that documents share, removed by pairwise line alignment.
 
-Every line that more than one document holds links its later holders to the first
-one, so a line held by a third of all documents makes as many pairs as documents
-and not their square. Each pair is aligned by patience diff over the hashes of the
-lines they share: lines that are rare in both (they occur once) are matched along
-the longest increasing sequence and grown to blocks, and the stretches between
-them are aligned the same way. An alignment keeps the order and matches a line once;
+Every shortest run of lines that has enough words and that more than one document
+holds links its later holders to the first one, so a run held by a third of all
+documents makes as many pairs as documents and not their square. A longer passage is
+covered by such runs, so each of its lines is met in a pair, however short the lines
+are and whoever holds them first one by one. Each pair is aligned by patience diff
+over the hashes of the lines they share: lines that are rare in both (they occur once)
+are matched along the longest increasing sequence and grown to blocks, and the
+stretches between them are aligned the same way. An alignment keeps the order and matches a line once;
 runs that stand in another order or more than once are then found by the hashes of
 their lines. Blocks and runs of enough words leave the later document; the first holder
 of a line never loses it.
@@ -16,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +28,6 @@ from cirrus.llm.storage import write_table
 
 #: Words that a common block must have to be removed.
 MIN_WORDS = 8
-#: Words that a line must have to link two documents.
-LINK_WORDS = 3
 _LINES = "array<struct<n:int,h:binary,w:int,at:int>>"
 
 
@@ -168,6 +169,20 @@ def _aligned(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         yield pd.DataFrame({"id": ids, "v": texts, "spans": spans})
 
 
+def _runs(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, v, k): a 128-bit hash of each of a document's shortest runs, once."""
+    for batch in batches:
+        ids, marks, keys = [], [], []
+        for key, mark, lines in zip(batch["id"], batch["v"], batch["lines"]):
+            lines = [(x["n"], x["h"], x["w"]) for x in lines]
+            mine = {lines[i][1] if i == j else md5(b"".join(x[1] for x in lines[i:j + 1])).digest()
+                    for i, j in shortest_runs(lines, min_words)}
+            ids += [key] * len(mine)
+            marks += [mark] * len(mine)
+            keys += mine
+        yield pd.DataFrame({"id": ids, "v": marks, "k": keys})
+
+
 def _lines(text: Column) -> Column:
     """Lines (at: place, h: 128-bit hash without the outer white space, w: words)."""
     return F.transform(F.split(text, "\n"), lambda x, i: F.struct(
@@ -186,20 +201,24 @@ def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .select("id", "v", F.posexplode("l").alias("n", "x"))
              .select("id", "v", "n", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("at")))
     lines, _ = write_table(lines, "lines")
-    # the first holder is the smallest (id, v); lines of one holder only are of no use
     holder = F.struct("id", "v")
-    holders = (lines.groupBy("h").agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
-               .where("first <> last").select(F.col("h").alias("k"), "first"))
-    shared, _ = write_table(lines.join(holders, F.reverse("h") == F.reverse("k")).drop("k").distinct(), "shared-lines")
-    pairs = (shared.where((F.col("w") >= LINK_WORDS) & (F.struct("id", "v") > F.col("first")))
-             .select("id", "v", F.col("first.id").alias("fid"), F.col("first.v").alias("fv")).distinct())
+
+    def holders(table: DataFrame, col: str) -> DataFrame:
+        # the first holder is the smallest (id, v); what one document alone holds is of no use
+        return (table.groupBy(col).agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
+                .where("first <> last").select(F.col(col).alias("same"), "first"))
+
+    shared = lines.join(holders(lines, "h"), F.reverse("h") == F.reverse("same")).drop("same", "first").distinct()
     # a document's own lines, in one row: never more than its text
     held = (shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "h", "w", "at"))).alias("lines")))
     held, _ = write_table(held, "lines-by-document")
+    kind = lines.schema["id"].dataType.simpleString()
+    runs, _ = write_table(held.mapInPandas(lambda batches: _runs(min_words, batches), f"id {kind}, v long, k binary"), "runs")
+    pairs = (runs.join(holders(runs, "k"), F.reverse("k") == F.reverse("same")).where(F.struct("id", "v") > F.col("first"))
+             .select("id", "v", F.col("first.id").alias("fid"), F.col("first.v").alias("fv")).distinct())
     first = held.select(F.col("id").alias("fid"), F.col("v").alias("fv"), F.col("lines").alias("other"))
     joined = (pairs.join(first, ["fid", "fv"])
               .join(held.withColumnRenamed("lines", "mine"), ["id", "v"]).select("id", "v", "mine", "other"))
-    kind = lines.schema["id"].dataType.simpleString()
     found = joined.mapInPandas(lambda batches: _aligned(min_words, batches),
                                f"id {kind}, v long, spans array<struct<a:int,b:int>>")
     return found.groupBy("id", "v").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))

@@ -303,6 +303,23 @@ def test_line_dedup_moved_and_repeated_passages(spark):
         assert left == "\n".join(" ".join([c] * size[c]) for k, c in enumerate(b) if k not in gone)
 
 
+def test_line_dedup_passages_of_short_lines(spark):
+    rows = ["milk", "two eggs", "flour", "salt", "butter", "brown sugar", "yeast"]
+    texts = ["first line here\nalone", "and the second line\nalso alone", "\n".join(["x", "first line here", "and the second line", "y y"]),
+             "\n".join(["z", "first line here", "and the second line", "last of all"]),
+             "\n".join(["own list", *rows]), "\n".join(rows + ["end"]), "\n".join(rows[:4] + ["own", "own"] + rows[4:])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_shared(docs_of(spark, texts), min_words=7).collect()}
+    assert [got[i] for i in range(7)] == texts[:3] + ["z\nlast of all", texts[4], "end", texts[6]]
+    rng = random.Random(9)
+    known = ["a", "b b", "c c c", "d d", "e", "f f f f f", "g g g g g g g g g", "h"]
+    texts = ["\n".join(rng.choice(known) if rng.random() < 0.8 else rng.choice(["", f"own {k}"])
+                       for _ in range(rng.randrange(1, 14))) for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_shared(docs_of(spark, texts)).collect()}
+    want = brute_line_dedup(texts, 8)
+    shown = lambda t: [x for x in t.split("\n") if x]
+    assert [shown(got[k]) for k in range(60)] == [shown(t) for t in want]
+
+
 def test_align_grows_blocks():
     lines = lambda s: [(i, c) for i, c in enumerate(s)]
     assert line_dedup.align(lines("abcxdef"), lines("zabcydef")) == [(0, 1, 3), (4, 5, 3)]
