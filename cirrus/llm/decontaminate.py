@@ -15,6 +15,7 @@ to look up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 from math import ceil, log
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Edits (words inserted, left out or replaced) per word of an item that still match.
 EDIT_RATE = 0.2
-#: Items of fewer words are common phrases and match nothing.
+#: Items of fewer words match without any edit only.
 MIN_WORDS = 8
 #: Bytes of item text that one pass over the documents looks for.
 BLOCK_BYTES = 8 << 20
@@ -42,9 +43,19 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
 _PLAIN = bytes(_PLAIN)
 
 
+#: Scripts without spaces between words (Thai to Khmer, kana, Han), and their punctuation.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3040-\u312f\u31a0-\u31ff"
+                       "\u3400-\u9fff\ua000-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def _plain(text: str | None) -> bytes:
-    """Lower case, ASCII characters but letters and digits as spaces."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
+    """Lower case, ASCII characters but letters and digits as spaces; characters of
+    scripts without spaces apart from each other."""
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,13 +95,13 @@ class Items:
     def __init__(self, items: list[tuple[int, list[bytes]]], rate: float = EDIT_RATE):
         names: dict[tuple[bytes, ...], list[int]] = {}
         for item_id, words in items:
-            if len(words) >= MIN_WORDS:
+            if words:
                 names.setdefault(tuple(words), []).append(item_id)
         self.ids = list(names.values())
         vocabulary = sorted({w for words in names for w in words})
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}      # 0: in no item
         self.items = [[self.vocabulary[w] for w in words] for words in names]
-        self.most = [int(rate * len(item)) for item in self.items]
+        self.most = [int(rate * len(item)) if len(item) >= MIN_WORDS else 0 for item in self.items]
         self.longest = max(map(len, self.items), default=0)
         sizes: dict[int, list[tuple[int, int]]] = {}        # words of a piece -> item, first word
         for k, (item, most) in enumerate(zip(self.items, self.most)):
@@ -201,7 +212,7 @@ def _search(items: Items, rate: float, batches: Iterator[pd.DataFrame]) -> Itera
 
         for row, text in enumerate(batch["text"]):
             for before, piece in _pieces(text, reach):
-                if len(piece) < MIN_WORDS // 2:
+                if not piece:
                     continue
                 words.append(np.fromiter(map(get, piece, repeat(0)), dtype=np.int32, count=len(piece)))
                 held.append((row, before, len(piece)))
@@ -224,8 +235,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     with the closest stretch (word positions; ``start`` counts n_words back from
     ``end``).
 
-    Words are compared in lower case without punctuation. Items of fewer than
-    MIN_WORDS words, null and empty texts match nothing; items with the same text are
+    Words are compared in lower case without punctuation; in scripts without spaces
+    each character is a word. Items of fewer than MIN_WORDS words match where all
+    their words stand unedited; null and empty texts match nothing; items with the same text are
     all reported, and so is every repeated document. Items are looked for in blocks of
     about ``block_bytes``, each one pass over the documents.
     """

@@ -502,6 +502,17 @@ def test_items_are_found_up_to_the_edit_rate(spark, sf_small):
     assert all(got.get((d, i), most + 1) <= most for d, (i, most) in planted.items())
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"
+    thai = "สวัสดีชาวโลกนี่คือข้อสอบ"
+    items = spark.createDataFrame([(1, "What is two plus two?"), (2, han), (3, thai), (4, "yes"), (5, "...")],
+                                  "item_id long, text string")
+    texts = ["so: what is TWO, plus two", "what is two plus plus two", "what is two plus", "前文。" + han[:12] + "、" + han[12:] + "後文",
+             "甲乙" + han[:5] + "某" + han[6:15] + han[16:] + "丙", han[::-1], "x" + thai + "y", "yes", "..."]
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(docs_of(spark, texts), items).collect()}
+    assert got == {(0, 1): 0, (3, 2): 0, (4, 2): 2, (6, 3): 0, (7, 4): 0}
+
+
 def test_long_items_and_long_texts(spark, monkeypatch):
     rng = random.Random(2)
     item = [f"w{rng.randrange(3000)}" for _ in range(400)]
