@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ from cirrus.llm.storage import write_table
 
 #: Words that a common block must have to be removed.
 MIN_WORDS = 8
+#: Documents or pairs whose lines are Python objects at once.
+_ROWS = 256
 _LINES = "array<struct<n:int,h:binary,w:int,at:int>>"
 
 
@@ -150,10 +152,22 @@ def common_runs(later: list, first: list, min_words: int) -> list[tuple[int, int
     return out
 
 
-def _aligned(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few lines are Python objects at once."""
     for batch in batches:
-        ids, texts, spans = [], [], []
-        for key, mark, mine, other in zip(batch["id"], batch["v"], batch["mine"], batch["other"]):
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
+def _rows(part: pa.RecordBatch, of: list[int], *more: pa.Array) -> list[pa.Array]:
+    at = pa.array(of, pa.int64())
+    return [part.column("id").take(at), part.column("v").take(at), *more]
+
+
+def _aligned(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        of, spans = [], []
+        for row, (mine, other) in enumerate(zip(part.column("mine").to_pylist(), part.column("other").to_pylist())):
             mine = [(x["n"], x["h"], x["w"], x["at"]) for x in mine]
             other = [(x["n"], x["h"], x["w"]) for x in other]
             blocks = [(i, i + n - 1) for i, _, n in align(mine, other) if sum(x[2] for x in mine[i:i + n]) >= min_words]
@@ -161,26 +175,24 @@ def _aligned(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
             held = {x[1] for x in other}
             if any(x[1] in held for k, x in enumerate(mine) if k not in gone):
                 blocks += [(i, j) for i, j in common_runs(mine, other, min_words) if not gone.issuperset(range(i, j + 1))]
-            found = [{"a": mine[i][3], "b": mine[j][3]} for i, j in blocks]
-            if found:
-                ids.append(key)
-                texts.append(mark)
-                spans.append(found)
-        yield pd.DataFrame({"id": ids, "v": texts, "spans": spans})
+            if blocks:
+                of.append(row)
+                spans.append([{"a": mine[i][3], "b": mine[j][3]} for i, j in blocks])
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        yield pa.RecordBatch.from_arrays(_rows(part, of, pa.array(spans, kind)), names=["id", "v", "spans"])
 
 
-def _runs(min_words: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, v, k): a 128-bit hash of each of a document's shortest runs, once."""
-    for batch in batches:
-        ids, marks, keys = [], [], []
-        for key, mark, lines in zip(batch["id"], batch["v"], batch["lines"]):
+    for part in _slices(batches):
+        of, keys = [], []
+        for row, lines in enumerate(part.column("lines").to_pylist()):
             lines = [(x["n"], x["h"], x["w"]) for x in lines]
             mine = {lines[i][1] if i == j else md5(b"".join(x[1] for x in lines[i:j + 1])).digest()
                     for i, j in shortest_runs(lines, min_words)}
-            ids += [key] * len(mine)
-            marks += [mark] * len(mine)
+            of += [row] * len(mine)
             keys += mine
-        yield pd.DataFrame({"id": ids, "v": marks, "k": keys})
+        yield pa.RecordBatch.from_arrays(_rows(part, of, pa.array(keys, pa.binary())), names=["id", "v", "k"])
 
 
 def _lines(text: Column) -> Column:
@@ -213,14 +225,14 @@ def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = (shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "h", "w", "at"))).alias("lines")))
     held, _ = write_table(held, "lines-by-document")
     kind = lines.schema["id"].dataType.simpleString()
-    runs, _ = write_table(held.mapInPandas(lambda batches: _runs(min_words, batches), f"id {kind}, v long, k binary"), "runs")
+    runs, _ = write_table(held.mapInArrow(lambda batches: _runs(min_words, batches), f"id {kind}, v long, k binary"), "runs")
     pairs = (runs.join(holders(runs, "k"), F.reverse("k") == F.reverse("same")).where(F.struct("id", "v") > F.col("first"))
              .select("id", "v", F.col("first.id").alias("fid"), F.col("first.v").alias("fv")).distinct())
     first = held.select(F.col("id").alias("fid"), F.col("v").alias("fv"), F.col("lines").alias("other"))
     joined = (pairs.join(first, ["fid", "fv"])
               .join(held.withColumnRenamed("lines", "mine"), ["id", "v"]).select("id", "v", "mine", "other"))
-    found = joined.mapInPandas(lambda batches: _aligned(min_words, batches),
-                               f"id {kind}, v long, spans array<struct<a:int,b:int>>")
+    found = joined.mapInArrow(lambda batches: _aligned(min_words, batches),
+                              f"id {kind}, v long, spans array<struct<a:int,b:int>>")
     return found.groupBy("id", "v").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
