@@ -1,4 +1,4 @@
-"""The ten operators on the shared tables: ``QUERIES`` and, where SQL can express
+"""The operators on the shared tables: ``QUERIES`` and, where SQL can express
 one, ``ORACLE_SQL``."""
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import bpe, decontaminate, embedding_dedup, katz, langid, line_dedup, quality, simhash, toxicity, url_filter
+from cirrus.llm import (alignment, bpe, centroids, decontaminate, embedding_dedup, katz, langid, line_dedup, mixing, quality,
+                        simhash, toxicity, url_filter)
 from cirrus.llm.folds import is_fold
 from cirrus.operators.jobs import spread
 from cirrus.sources.tables import load
@@ -119,3 +120,47 @@ def op10_byte_level_bpe(spark, sf_dir):
     done = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
     return done.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op11_source_mixing(spark, sf_dir):
+    """The words that a mix of all sources, weighted 5, 2, 1 in turn, takes of every document."""
+    mixed = mixing.taken(mixing.mix(load(spark, sf_dir, "documents")))
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op12_centroid_clustering(spark, sf_dir):
+    """Eight clusters of all vectors after ten rounds, with inertia and centroid digests."""
+    return centroids.with_inertia(*centroids.cluster(load(spark, sf_dir, "embeddings")))
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds spelt out, a pair of common tables each."""
+    floor_mean = "(s - ((s %% n) + n) %% n) // n".replace("%%", "%")
+    sql = ["""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)""",
+           """x AS MATERIALIZED (SELECT vec_id, unnest(v) AS q, generate_subscripts(v, 1) AS i FROM kept)""",
+           """c0 AS MATERIALIZED (SELECT cluster, unnest(v) AS q, generate_subscripts(v, 1) AS i FROM
+           (SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS cluster FROM kept) WHERE cluster < 8)"""]
+    for r in range(rounds + 1):
+        sql.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, cluster, d FROM
+            (SELECT vec_id, cluster, sum((x.q - c.q) * (x.q - c.q)) AS d FROM x JOIN c{r} c ON x.i = c.i GROUP BY vec_id, cluster)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)""")
+        if r < rounds:
+            sql.append(f"""c{r + 1} AS MATERIALIZED (SELECT cluster, i, coalesce({floor_mean}, q) AS q FROM c{r} LEFT JOIN
+            (SELECT cluster, i, sum(q)::HUGEINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY cluster, i)
+            USING (cluster, i))""")
+    return f"""WITH {", ".join(sql)},
+        digests AS (SELECT cluster, sha256(string_agg(q::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+        SELECT vec_id, cluster::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN digests USING (cluster)"""
+
+
+ORACLE_SQL["op12_centroid_clustering"] = _centroid_sql()
+
+
+@_query
+def op13_token_alignment(spark, sf_dir):
+    """Links between the tokens of two tokenizers in all documents."""
+    return alignment.align(_documents(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from cirrus.llm import quality
 from cirrus.sources.tables import load
-from tests.llm.test_operators import brute_fingerprint, tiktoken_encoding, union_find
+from tests.llm.test_llm_operators import brute_fingerprint, tiktoken_encoding, union_find
 
 
 def test_registered():
