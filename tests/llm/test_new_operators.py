@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import struct
@@ -11,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+import sentencepiece
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -204,23 +207,33 @@ def aligner():
     return alignment.Aligner(*files)
 
 
+@functools.cache
+def libraries():
+    """Both tokenizers, applied to whole texts."""
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path(alignment.A_FILE))
+    tokenizer.encode_special_tokens = True
+    return tokenizer, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(alignment.B_FILE))
+
+
 def brute_groups(aligner, text):
     """Groups of a text, cut where both sides end."""
     if not text:
         return []
-    a = aligner.a.encode(" " + text, add_special_tokens=False).ids
-    b = aligner.b.encode(text)
+    tokenizer, model = libraries()
+    a = tokenizer.encode(" " + text, add_special_tokens=False).ids
+    b = model.encode(text)
     whole = b" " + text.encode()
-    if b"".join(aligner.a_bytes[i] for i in a) != whole or b"".join(aligner.b_bytes[i] for i in b) != whole:
+    a_bytes, b_bytes = aligner.a_bytes, aligner.b_bytes
+    if b"".join(a_bytes[i] for i in a) != whole or b"".join(b_bytes[i] for i in b) != whole:
         return []
     found, i, j, at_a, at_b, mine = [], 0, 0, 0, 0, ([], [])
     while i < len(a) or j < len(b):
         if at_a <= at_b:
-            at_a += len(aligner.a_bytes[a[i]])
+            at_a += len(a_bytes[a[i]])
             mine[0].append(a[i])
             i += 1
         else:
-            at_b += len(aligner.b_bytes[b[j]])
+            at_b += len(b_bytes[b[j]])
             mine[1].append(b[j])
             j += 1
         if at_a == at_b:
@@ -268,9 +281,7 @@ def test_align_in_small_steps(spark, aligner, monkeypatch):
     rows = [(i, (t or "") * 3 + " so a longer text goes on and on, it does not end early: " + (t or "")) for i, t in enumerate(TEXTS) if t != "x" * 5000]
     rng = np.random.default_rng(2)
     rows += [(100 + i, "".join(rng.choice(list("ab c,dé日🙂1\n"), size=300))) for i in range(20)]
-    parts, files = [], [alignment.Aligner.parts(aligner, t) for _, t in rows]
-    assert any(len(p) > 1 for p in files) and aligner.cuts
-    blocks = defaultdict(list)
+    assert any(len(aligner.parts(t)) > 1 for _, t in rows) and aligner.cuts
     held = {k: [] for k in ["ids", *alignment._DOC, "groups_sha256", "pairs", "many"]}
     for i, t in rows:
         for name, values in {"ids": [i], **aligner.align([t])}.items():
@@ -282,6 +293,19 @@ def test_align_in_small_steps(spark, aligner, monkeypatch):
         assert dict(zip(pairs.tolist(), many.tolist())) == want
 
 
+def test_ids_are_those_of_the_libraries(aligner, sf_small, spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()] + TEXTS
+    texts += ["a \n b", "a\n  b", "x  \t y ", "   ", "\n\n", "a'sb's 'Re", "\u3000全角\u3000", "a\u00a0b", "e\u0301a", "\u2028x"]
+    tokenizer, model = libraries()
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)}.{chr(c)} z" for c in range(1, 0x20000, 7) if not 0xD800 <= c < 0xE000]
+    for text in texts:
+        a, b = aligner.tokens(text)
+        if len(a):
+            assert a.tolist() == tokenizer.encode(" " + text, add_special_tokens=False).ids and b.tolist() == model.encode(text)
+        else:
+            assert brute_groups(aligner, text) == []
+
+
 def test_groups_of_random_cuts():
     rng = np.random.default_rng(3)
     for _ in range(300):
