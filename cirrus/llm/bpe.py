@@ -22,8 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Matches that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_500_000
+#: Bytes of matches and ids that a worker remembers, in two halves: when the younger
+#: is full, the older goes, but for matches met again meanwhile.
+REMEMBERED = 128 << 20
+#: What a remembered match costs besides its characters and ids.
+ENTRY = 220
+#: Characters whose matches wait for each other, to be merged together.
+WAITING = 1 << 21
 #: Matches up to so many bytes are merged many at a time, so many rows at once.
 WIDEST = 64
 ROWS = 20_000
@@ -95,7 +100,9 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.memory: dict[str, bytes] = {}      # match -> its packed ids
+        self.recent: dict[str, bytes] = {}      # match -> its packed ids
+        self.older: dict[str, bytes] = {}
+        self.held = 0                           # bytes of the younger half
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.base = max(ranks.values()) + 1
         pairs = {}
@@ -159,23 +166,29 @@ class Encoder:
         ends = (4 * live.sum(1).cumsum()).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _keep(self, matches: list[str], ids: list[bytes]) -> None:
+        self.recent.update(zip(matches, ids))
+        self.held += ENTRY * len(matches) + sum(map(len, matches)) + sum(map(len, ids))
+
     def learn(self, matches: set[str]) -> None:
         """Add the ids of matches to the memory."""
-        if len(self.memory) + len(matches) > REMEMBERED:
-            self.memory.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
+        done, ids = [], []
         for match in matches:
             piece = match.encode("utf-8")
             if (rank := self.ranks.get(piece)) is not None:
-                self.memory[match] = rank.to_bytes(4, "little")
+                done.append(match)
+                ids.append(rank.to_bytes(4, "little"))
             elif len(piece) > WIDEST:
-                self.memory[match] = b"".join(x.to_bytes(4, "little") for x in merge(piece, self.ranks))
+                done.append(match)
+                ids.append(b"".join(x.to_bytes(4, "little") for x in merge(piece, self.ranks)))
             else:
                 by_width.setdefault(max(8, 1 << (len(piece) - 1).bit_length()), []).append((match, piece))
+        self._keep(done, ids)
         for width, group in by_width.items():
             for at in range(0, len(group), ROWS):
                 part = group[at:at + ROWS]
-                self.memory.update(zip([m for m, _ in part], self._merge_rows([p for _, p in part], width)))
+                self._keep([m for m, _ in part], self._merge_rows([p for _, p in part], width))
 
     def encode(self, texts: Iterable[str | None], pattern) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
@@ -191,23 +204,27 @@ class Encoder:
                 waiting, held = [], 0
                 continue
             waiting.append(pattern.findall(text))
-            held += len(waiting[-1])
-            if held > 500_000:
+            held += len(text)
+            if held > WAITING:
                 yield from self._ids(waiting)
                 waiting, held = [], 0
         yield from self._ids(waiting)
 
     def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        if self.held > REMEMBERED // 2:
+            self.older, self.recent, self.held = self.recent, {}, 0
         fresh = set().union(*lists)
-        fresh.difference_update(self.memory)
-        if len(self.memory) + len(fresh) > REMEMBERED:      # it will be emptied
-            fresh = set().union(*lists)
+        fresh.difference_update(self.recent)
+        known = [m for m in fresh if m in self.older]
+        self._keep(known, [self.older[m] for m in known])
+        fresh.difference_update(known)
         self.learn(fresh)
-        look = self.memory.__getitem__
+        look = self.recent.__getitem__
         return [b"".join(map(look, matches)) for matches in lists]
 
 
 _WORKERS: dict[str, Encoder] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def _encoder(ranks, name: str) -> Encoder:
@@ -245,8 +262,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", rank_path: str | None = Non
     @F.pandas_udf("binary")
     def bpe_decode(packed: pd.Series) -> pd.Series:
         # ranks need not be dense, so the table is keyed by id
-        tokens = {rank: token for token, rank in ranks.value.items()}
-        look = tokens.__getitem__
+        if path not in _TOKENS:
+            _TOKENS[path] = {rank: token for token, rank in ranks.value.items()}
+        look = _TOKENS[path].__getitem__
         return pd.Series([None if p is None else b"".join(map(look, memoryview(p).cast("I"))) for p in packed],
                          dtype=object)
 

@@ -6,7 +6,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -534,7 +536,6 @@ def test_long_items_and_long_texts(spark, monkeypatch):
 # 10
 
 def tiktoken_encoding():
-    import public_tokenizers
     import tiktoken
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANK_FILE))
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -557,9 +558,20 @@ def test_bpe_is_the_librarys(spark, sf_small, monkeypatch):
             len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
 
 
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40_000)
+    monkeypatch.setattr(bpe, "WAITING", 2_000)
+    encoder, library = bpe.Encoder(tiktoken_encoding()[0]), tiktoken_encoding()[1]
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60)) + " the same again" for _ in range(300)]
+    most = 0
+    for text, ids in zip(texts, encoder.encode(texts, regex.compile(public_tokenizers.PATTERN))):
+        assert list(memoryview(ids).cast("I")) == library.encode_ordinary(text)
+        most = max(most, len(encoder.recent) + len(encoder.older))
+    assert most * bpe.ENTRY < 3 * 40_000 and " again" in encoder.recent
+
+
 def test_bpe_rows_and_single_matches_agree():
-    import public_tokenizers
-    import regex
     ranks, library = tiktoken_encoding()
     rng = random.Random(8)
     made = ["".join(rng.choice("abcdest\u00e9\u4e2d") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
