@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KB, _MB, _GB, _TB, _PB = (1024.0 ** i for i in range(1, 6))
@@ -238,3 +238,21 @@ def metadata_name(m: Column) -> Column:
 def to_json_text(*cols: Column | str, pretty: bool = False) -> Column:
     opts = {"pretty": "true"} if pretty else {}
     return F.to_json(F.struct(*cols), opts)
+
+
+def variant_fields(df: DataFrame, meta: str) -> DataFrame:
+    """``df`` with the fields of a VARIANT column ``meta`` in its place: ``kind`` of key k
+    (missing, null, number, text, object, other), ``k_number``, ``name`` (k as text, or
+    its own name), ``other_number`` and ``first_tag``; null where a field has another
+    type. A JSON null and a missing key are told apart."""
+    at = lambda path, kind: F.try_variant_get(F.col(meta), path, kind)
+    k = F.try_variant_get(F.col(meta), "$.k", "variant")
+    shape = F.schema_of_variant(k)
+    kind = (F.when(k.isNull(), "missing").when(F.is_variant_null(k), "null").when(shape == "BIGINT", "number")
+            .when(shape == "STRING", "text").when(shape.startswith("OBJECT"), "object").otherwise("other"))
+    other = F.schema_of_variant(at("$.other.k", "variant"))
+    return df.select(
+        *[c for c in df.columns if c != meta], kind.alias("kind"), F.when(shape == "BIGINT", at("$.k", "bigint")).alias("k_number"),
+        F.when(shape == "STRING", at("$.k", "string")).when(shape.startswith("OBJECT"), at("$.k.name", "string")).alias("name"),
+        F.when(other.startswith("DECIMAL") | (other == "DOUBLE"), at("$.other.k", "double")).alias("other_number"),
+        at("$.tags[0]", "string").alias("first_tag"))

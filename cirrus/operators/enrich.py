@@ -22,6 +22,17 @@ from cirrus.operators.joins import lookup
 MAX_LIST = 1_000_000
 
 
+def bounded(df: DataFrame, *owner: str, distinct: str | None = None, most: int | None = None) -> DataFrame:
+    """``df``, once no owner has more than ``most`` rows (with ``distinct``, distinct
+    values of that column): counted in an aggregate of its own, of numbers, which ends
+    before any list is begun; a longer list is an error that names the count."""
+    most = MAX_LIST if most is None else most
+    rows = df.select(*owner, distinct).distinct() if distinct else df
+    longest = F.coalesce(rows.groupBy(*owner).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar(), F.lit(0))
+    return df.where(F.when(longest <= most, True).otherwise(F.raise_error(
+        F.concat(F.lit(f"a list above {most} items: "), longest.cast("string"))).cast("boolean")))
+
+
 def collect_list(item: Column, distinct: bool = False, most: int = MAX_LIST) -> Column:
     """An owner's items as a list (an aggregate; partial lists are made map-side).
     Fails when there are more than ``most``; the count of items, a number, is summed
@@ -33,13 +44,15 @@ def collect_list(item: Column, distinct: bool = False, most: int = MAX_LIST) ->
 
 def ordered_text(df: DataFrame, owner: str, pos: str, item: str, sep: str) -> DataFrame:
     """One text per owner: items in position order joined by ``sep`` (column ``text``)."""
-    agg = df.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(item).alias("v")))).alias("_a"))
+    agg = bounded(df, owner).groupBy(owner).agg(
+        F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(item).alias("v")))).alias("_a"))
     return agg.select(owner, F.array_join(F.col("_a.v"), sep).alias("text"))
 
 
 def ordered_array(df: DataFrame, owner: str, pos: str, value: str, name: str) -> DataFrame:
     """Per owner, the array of ``value`` in position order."""
-    agg = df.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("_a"))
+    agg = bounded(df, owner).groupBy(owner).agg(
+        F.sort_array(collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("_a"))
     return agg.select(owner, F.col("_a.v").alias(name))
 
 
@@ -53,6 +66,7 @@ def expand_id_array(df: DataFrame, owner: str, ids: str, records: DataFrame, rec
     rec = F.when(F.col("_id").isNull(), F.lit(None)).otherwise(
         F.struct(F.col("_id").alias(record_key), *[F.col(c) for c in rec_cols]))
     # A record whose id is known but absent from ``records`` keeps its id and null fields.
+    # the arrays come from rows that hold them already, so their lengths are bounded
     agg = j.groupBy(owner).agg(F.sort_array(collect_list(F.struct(F.col("_pos").alias("p"), rec.alias("r")))).alias("_a"))
     return agg.select(owner, F.col("_a.r").alias(name))
 
@@ -142,3 +156,16 @@ def resolve_endpoint_typed(ep: DataFrame, service: str, region: str, endpoint_ty
     picked = ep.groupBy(service).agg(first.alias("_e"))
     urls = [F.col(f"_e.{endpoint_type}")] + ([F.col(f"_e.{fallback}")] if fallback else [])
     return picked.select(service, F.coalesce(*urls).alias("url"))
+
+
+def meter_units(samples: DataFrame) -> DataFrame:
+    """(meter, unit): the unit of the first sample (lowest ``event_id``) of every meter
+    and of its rate ``<name>.rate``, '' for a name that no sample has."""
+    # the first sample of each unit: two numbers, so the aggregate hashes
+    small = F.coalesce(F.col("value") < 100, F.lit(False))
+    first = samples.groupBy(F.col("event_type").alias("name")).agg(
+        F.min(F.when(small, F.col("event_id"))).alias("a"), F.min(F.when(~small, F.col("event_id"))).alias("b"))
+    unit = F.when(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a") < F.col("b"))), "count").otherwise("B")
+    asked = first.select(F.explode(F.array(F.col("name"), F.concat("name", F.lit(".rate")))).alias("meter")).distinct()
+    units = first.select(F.col("name").alias("meter"), unit.alias("unit"))
+    return lookup(asked, units, "meter").select("meter", F.coalesce("unit", F.lit("")).alias("unit"))

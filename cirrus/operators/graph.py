@@ -29,6 +29,23 @@ def listing_level(keys: DataFrame, key: str, depth: int = 1, delimiter: str = "/
         F.count(F.lit(1)).alias("n_keys"))
 
 
+def folder_totals(keys: DataFrame, key: str, size: str, delimiter: str = "/") -> DataFrame:
+    """(folder, depth, n_keys, n_bytes, n_direct) of every folder at every depth.
+
+    Keys are totalled by the folder they lie in first, map-side, so a folder with a
+    third of all keys is a row per task; only those totals, one for each folder that
+    holds keys itself, are carried up to all ancestors. Keys without a folder are left out."""
+    folder = F.substring(F.col(key), F.lit(1), F.length(F.col(key)) - F.length(F.substring_index(F.col(key), delimiter, -1)))
+    own = (keys.select(folder.alias("_f"), F.col(size).alias("_s")).where(F.col("_f") != "")
+           .groupBy("_f").agg(F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_s")))
+    parts = F.split(F.col("_f"), delimiter, -1)
+    up = own.select("_f", "_n", "_s", parts.alias("_p"), F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("_d"))
+    path = F.concat(F.array_join(F.slice("_p", F.lit(1), F.col("_d")), delimiter), F.lit(delimiter))
+    up = up.select(path.alias("folder"), F.col("_d").cast("long").alias("depth"), "_n", "_s",
+                   F.when(F.col("_d") == F.size("_p") - 1, F.col("_n")).otherwise(0).alias("_own"))
+    return up.groupBy("folder", "depth").agg(F.sum("_n").alias("n_keys"), F.sum("_s").alias("n_bytes"), F.sum("_own").alias("n_direct"))
+
+
 def dependency_edges(nodes: DataFrame, node_id: str, required_by: str) -> DataFrame:
     """(source, target) pairs from each node's ``required_by`` list; targets must
     be existing nodes; duplicate pairs removed."""

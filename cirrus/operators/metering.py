@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.operators.enrich import collect_list
+from cirrus.operators.enrich import bounded, collect_list
 
 STAT_NAMES = ("count", "min", "max", "sum", "avg", "duration_start", "duration_end")
 
@@ -87,4 +87,4 @@ def series_points(period_stats: DataFrame, key: str, attr: str = "avg") -> DataF
     pts = period_stats.select(key, F.struct(
         F.substring(F.date_format("duration_end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 1, 19).alias("x"),
         F.col(attr).cast("double").alias("y")).alias("pt"))
-    return pts.groupBy(key).agg(F.sort_array(collect_list(F.col("pt"))).alias("points"))
+    return bounded(pts, key).groupBy(key).agg(F.sort_array(collect_list(F.col("pt"))).alias("points"))

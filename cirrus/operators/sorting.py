@@ -68,3 +68,13 @@ def last_n(df: DataFrame, partition: Sequence[str], order: Sequence[Column], n:
     partial WindowGroupLimit before the shuffle."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def first_by_position(rows: DataFrame, owner: str, position: str, value: str, name: str) -> DataFrame:
+    """(owner, ``name``): of each owner the long ``value`` at the lowest (position, value).
+    Both are packed into a decimal of 38 digits, which holds any two such numbers (an
+    int and a long) and, unlike a struct, is a buffer that the aggregate can hash."""
+    wide, low = (F.lit(str(1 << bits)).cast("decimal(20,0)") for bits in (64, 63))
+    place = (F.col(position).cast("decimal(10,0)") * wide).cast("decimal(38,0)") + (F.col(value).cast("decimal(20,0)") + low)
+    best = rows.groupBy(owner).agg(F.min(place.cast("decimal(38,0)")).alias("_p"))
+    return best.select(owner, (F.pmod(F.col("_p"), wide) - low).cast("long").alias(name))

@@ -130,6 +130,27 @@ def stat_by_period(spark, sf_dir):
                              dt.datetime(2024, 1, 1))
 
 
+ODD_ORIGIN = "2024-01-02 03:17:25"
+
+
+@query("stat_by_period_rollup", section=S, sql=f"""
+WITH b AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '{ODD_ORIGIN}')) // 50000000000 AS bucket
+           FROM ({SAMPLES_SQL}) WHERE ts >= TIMESTAMP '{ODD_ORIGIN}')
+SELECT resource, meter, TIMESTAMP '{ODD_ORIGIN}' + to_seconds(bucket * 50000) AS period_start,
+       TIMESTAMP '{ODD_ORIGIN}' + to_seconds(bucket * 50000 + 50000) AS period_end,
+       CAST(50000 AS BIGINT) AS period, {STATS_SQL}
+FROM b GROUP BY resource, meter, bucket
+""")
+def stat_by_period_rollup(spark, sf_dir):
+    """Statistics per 50,000 seconds from an odd lower bound, answered from a pyramid of
+    minutes, hours and days; raw samples are read at the borders only."""
+    import datetime as dt
+    from cirrus.operators import rollup as R
+    from cirrus.session import scratch_dir
+    pyramid = R.build(samples(Tables(spark, sf_dir)), ["resource", "meter"], scratch_dir(spark, "pyramid"))
+    return R.stats_by_period(pyramid, 50_000, dt.datetime.fromisoformat(ODD_ORIGIN))
+
+
 @query("stat_selected_attr", section=S, sql=f"""
 SELECT resource, meter, round(sum(volume), 2) / count(*) AS avg FROM ({SAMPLES_SQL}) GROUP BY resource, meter
 """)
@@ -379,9 +400,9 @@ FROM lineitem GROUP BY l_orderkey
 """)
 def collect_distinct_ids(spark, sf_dir):
     """Distinct group ids over all ports of a server (parts over an order's lines)."""
-    from cirrus.operators.enrich import collect_list
+    from cirrus.operators.enrich import bounded, collect_list
     li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_partkey")
-    return li.groupBy("l_orderkey").agg(
+    return bounded(li, "l_orderkey", distinct="l_partkey").groupBy("l_orderkey").agg(
         F.array_join(F.sort_array(collect_list(F.col("l_partkey"), distinct=True)).cast("array<string>"), ",").alias("group_ids"))
 
 
@@ -402,9 +423,9 @@ def concat_lines(spark, sf_dir):
         F.lit("10."), (F.col("l_suppkey") % 256).cast("string"), F.lit("."), (F.col("l_partkey") % 256).cast("string"),
         F.lit("."), F.col("l_linenumber").cast("string")))
     line = F.concat(ip, F.lit(" node-"), F.col("l_linenumber").cast("string"))
-    from cirrus.operators.enrich import collect_list
+    from cirrus.operators.enrich import bounded, collect_list
     members = li.select("l_orderkey", line.alias("line")).where(F.col("line").isNotNull())
-    return members.groupBy("l_orderkey").agg(F.array_join(F.sort_array(collect_list(F.col("line"))), "\n").alias("hosts"))
+    return bounded(members, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.sort_array(collect_list(F.col("line"))), "\n").alias("hosts"))
 
 
 @query("all_services_up", section=S, sql="""

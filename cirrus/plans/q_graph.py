@@ -25,6 +25,19 @@ def folders_from_paths(spark, sf_dir):
     return G.listing_level(p, "key", depth=1)
 
 
+@query("folder_totals_all_depths", section=S, sql=f"""
+WITH k AS (SELECT string_split(regexp_extract(url, '{KEY_RE}', 1), '/') AS p, octet_length(encode(url)) AS n FROM pages),
+a AS (SELECT array_to_string(p[1:d], '/') || '/' AS folder, d AS depth, n, d = len(p) - 1 AS direct
+      FROM k, LATERAL (SELECT unnest(range(1, len(k.p))) AS d))
+SELECT folder, depth, count(*) AS n_keys, sum(n)::BIGINT AS n_bytes, count(*) FILTER (WHERE direct) AS n_direct
+FROM a GROUP BY folder, depth
+""")
+def folder_totals_all_depths(spark, sf_dir):
+    """Keys and bytes below every folder at every depth, in one pass up the path tree."""
+    p = Tables(spark, sf_dir).pages.select(F.regexp_extract("url", KEY_RE, 1).alias("key"), F.octet_length("url").cast("long").alias("n_bytes"))
+    return G.folder_totals(p, "key", "n_bytes")
+
+
 @query("edges_dependency", section=S, sql="""
 WITH n AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, conv_id, turn FROM conversations),
 e AS (SELECT n.id AS source, CAST(n.conv_id AS VARCHAR) || ':' || CAST(n.turn + d AS VARCHAR) AS target

@@ -465,13 +465,7 @@ SELECT r.meter, coalesce(f.unit, '') AS unit FROM req r LEFT JOIN first_unit f O
 """)
 def lookup_meter_unit(spark, sf_dir):
     """Unit of the first meter (lowest sample id) with the chosen name, '' when none."""
-    e = Tables(spark, sf_dir).events
-    # the unit rides in the lowest bit of the ordering number, so the buffer is one long
-    first = e.groupBy(F.col("event_type").alias("name")).agg(
-        F.min(F.col("event_id") * 2 + F.when(F.col("value") < 100, 0).otherwise(1)).alias("m"))
-    unit = F.when(F.col("m") % 2 == 0, "count").otherwise("B")
-    return first.select(F.inline(F.array(F.struct(F.col("name").alias("meter"), unit.alias("unit")),
-                                         F.struct(F.concat("name", F.lit(".rate")).alias("meter"), F.lit("").alias("unit")))))
+    return EN.meter_units(Tables(spark, sf_dir).events)
 
 
 @query("resolve_endpoint", section=S, sql="""

@@ -286,6 +286,40 @@ def nested_json_get(spark, sf_dir):
     return e.select("event_id", D.metadata_name(meta).alias("name"))
 
 
+VARIANT_META_SQL = """CASE event_id % 5 WHEN 0 THEN props
+    WHEN 1 THEN '{"k": "' || event_type || '", "tags": ["' || event_type || '", ' || user_id || ']}'
+    WHEN 2 THEN '{"k": null}'
+    WHEN 3 THEN '{"other": {"k": ' || user_id || '.5}}'
+    ELSE '{"k": {"name": "' || event_type || '"}, "other": {"k": true}}' END"""
+
+
+@query("variant_meta_get", section=S, sql=f"""
+WITH m AS (SELECT event_id, ({VARIANT_META_SQL})::JSON AS meta FROM events),
+t AS (SELECT event_id, meta, json_type(meta, '$.k') AS t, json_type(meta, '$.other.k') AS o FROM m)
+SELECT event_id,
+       CASE WHEN t IS NULL THEN 'missing' WHEN t = 'NULL' THEN 'null' WHEN t IN ('BIGINT', 'UBIGINT') THEN 'number'
+            WHEN t = 'VARCHAR' THEN 'text' WHEN t = 'OBJECT' THEN 'object' ELSE t END AS kind,
+       CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(meta, '$.k') AS BIGINT) END AS k_number,
+       CASE WHEN t = 'OBJECT' THEN json_extract_string(meta, '$.k.name') WHEN t = 'VARCHAR' THEN json_extract_string(meta, '$.k') END AS name,
+       CASE WHEN o = 'DOUBLE' THEN CAST(json_extract(meta, '$.other.k') AS DOUBLE) END AS other_number,
+       json_extract_string(meta, '$.tags[0]') AS first_tag
+FROM t
+""")
+def variant_meta_get(spark, sf_dir):
+    """Metadata without a declared schema as VARIANT: a key may hold a number, a text, an
+    object or null, or be missing, and each is told apart."""
+    e = Tables(spark, sf_dir).events
+    text, user = F.col("event_type"), F.col("user_id").cast("string")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    made = {1: F.concat(F.lit('{"k": '), q(text), F.lit(', "tags": ['), q(text), F.lit(", "), user, F.lit("]}")), 2: F.lit('{"k": null}'),
+            3: F.concat(F.lit('{"other": {"k": '), user, F.lit(".5}}")),
+            4: F.concat(F.lit('{"k": {"name": '), q(text), F.lit('}, "other": {"k": true}}'))}
+    meta = F.col("props")
+    for r, c in made.items():
+        meta = F.when(F.col("event_id") % 5 == r, c).otherwise(meta)
+    return D.variant_fields(e.select("event_id", F.try_parse_json(meta).alias("meta")), "meta")
+
+
 @query("to_json_text", section=S, sql="""
 SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS doc
 FROM customer

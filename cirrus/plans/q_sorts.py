@@ -131,8 +131,8 @@ def sort_array_field(spark, sf_dir):
     t = Tables(spark, sf_dir)
     j = lookup(t.lineitem.select("l_orderkey", "l_partkey"),
                t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size"), "l_partkey", how="inner")
-    from cirrus.operators.enrich import collect_list
-    nested = j.groupBy("l_orderkey").agg(collect_list(F.struct("p_size", "p_name")).alias("parts"))
+    from cirrus.operators.enrich import bounded, collect_list
+    nested = bounded(j, "l_orderkey").groupBy("l_orderkey").agg(collect_list(F.struct("p_size", "p_name")).alias("parts"))
     return nested.select("l_orderkey", F.array_join(SO.sort_array_by(F.col("parts"), ["p_size", "p_name"],
                                                                         struct_fields=["p_size", "p_name"])["p_name"],
                                                     ", ").alias("parts_by_size"))
@@ -165,10 +165,6 @@ def tail_n(spark, sf_dir):
     return SO.last_n(lines, ["conv_id"], [F.col("turn").desc(), F.col("line_no").desc()], 35)
 
 
-#: Above every network id, so that position and id fit one long.
-NETWORKS = 1 << 48
-
-
 @query("pick_main_edge", section=S, sql="""
 WITH m AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS net FROM lineitem GROUP BY l_orderkey)
 SELECT o.o_orderkey, coalesce(m.net, (SELECT min(p_partkey) FROM part)) AS main_network
@@ -180,9 +176,6 @@ def pick_main_edge(spark, sf_dir):
     network of the list."""
     t = Tables(spark, sf_dir)
     first_net = t.part.agg(F.min("p_partkey")).scalar()
-    # position and network as one number: the buffer is a long, so the aggregate hashes
-    place = F.col("l_linenumber").cast("bigint") * NETWORKS + F.col("l_partkey")
-    main = t.lineitem.groupBy("l_orderkey").agg(F.min(place).alias("p")).select(
-        "l_orderkey", (F.col("p") % NETWORKS).alias("net"))
+    main = SO.first_by_position(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey", "net")
     j = t.orders.select("o_orderkey").join(main, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return j.select("o_orderkey", F.coalesce("net", first_net).alias("main_network"))

@@ -18,6 +18,7 @@ QUEUE_SCHEMA = "job_id STRING, job_type STRING, conv_id BIGINT, turn BIGINT, tex
 #: Files per micro-batch. Batches stay bounded on a large backlog; the tests
 #: drive the same jobs one file per batch to exercise the merge across batches.
 FILES_PER_BATCH = 1000
+ALL_FILES = 2_000_000_000
 JOBS_PER_FILE = 100_000
 
 
@@ -40,7 +41,8 @@ FROM conversations
 def stream_job_queue(spark, sf_dir):
     """Conversation turns queued as JSON job objects (several files), drained by
     a checkpointed file stream that takes each file once, drops a job id that
-    was queued before, and routes every job to a folder per job type."""
+    was queued before (ids in the state store), and routes every job to a folder
+    per job type."""
     queue = scratch_dir(spark, "queue")
     c = Tables(spark, sf_dir).conversations
     jobs = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("job_id"),
@@ -72,6 +74,30 @@ def stream_latest_rows(spark, sf_dir):
         .select("user_id", "ts", "event_type", "value", "state")
 
 
+SILENT_S = 86400
+
+
+@query("stream_vanished_rows", section=S, sql=f"""
+WITH l AS (SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type,
+                  arg_max(value, (ts, event_id)) AS value
+           FROM events GROUP BY user_id)
+SELECT user_id, ts, event_type, value,
+       CASE WHEN epoch_ms(ts) + {SILENT_S * 1000} < epoch_ms((SELECT max(ts) FROM events)) THEN 'Terminated'
+            ELSE upper(substring(event_type, 1, 1)) || substring(event_type, 2) END AS state
+FROM l
+""")
+def stream_vanished_rows(spark, sf_dir):
+    """The newest row of each id, Terminated once the id has been silent for a day of
+    event time: a timer per id emits the change while the stream runs. The files
+    of a table come in no order of time, so all of them are one batch here."""
+    from cirrus.functions.display import capfirst
+    from cirrus.streaming import live
+    stream = _table_stream(spark, sf_dir, "events", max_files=ALL_FILES)
+    rows = live.keep_live(spark, stream, "user_id", "ts", "event_id", ["ts", "event_type", "value"], SILENT_S)
+    return rows.select("user_id", "ts", "event_type", "value",
+                       F.when(F.col("live"), capfirst(F.col("event_type"))).otherwise("Terminated").alias("state"))
+
+
 @query("stream_log_sync", section=S, sql="""
 SELECT unnest(string_split(text, chr(10))) AS value FROM documents
 """)

@@ -57,6 +57,23 @@ def udaf_summary_registry(spark, sf_dir):
         AG.summary_expr("spread", q).alias("qty_spread"), AG.summary_expr("count", q).alias("qty_count"))
 
 
+@query("udtf_ordered_program", section=S, sql="""
+WITH g AS (SELECT user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+l AS (SELECT user_id, session, max(epoch_us(ts)) - min(epoch_us(ts)) AS long FROM s GROUP BY user_id, session)
+SELECT user_id, count(*) AS samples, min(ts) AS first_sample, max(ts) AS last_sample, coalesce(max(gap), 0) AS longest_gap_us,
+       max(session)::BIGINT + 1 AS sessions, (SELECT max(long) FROM l WHERE l.user_id = s.user_id) AS longest_session_us
+FROM s GROUP BY user_id
+""")
+def udtf_ordered_program(spark, sf_dir):
+    """A user reducer that needs each resource's samples in order: gaps between
+    samples, sessions (an hour of silence ends one) and the longest of both. A hot
+    resource is split by time and its parts merged by the program."""
+    from cirrus.operators import programs as P
+    e = Tables(spark, sf_dir).events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return P.reduce_ordered(e, ["user_id"], ["us", "event_id"], P.Gaps("us", 3600))
+
+
 @query("udtf_external_program", section=S, sql="""
 SELECT lower(substring(line, 1, 1)) AS key, count(*) AS n_lines
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)

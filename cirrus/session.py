@@ -107,27 +107,28 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cirrus/{name}/{uuid.uuid4().hex}"
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path): whatever store the path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def dir_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, by Spark's own file system."""
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     return fs.exists(target)
 
 
 def make_dir(spark: SparkSession, path: str) -> str:
     """Create a folder (a stream source must exist before its first file)."""
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     fs.mkdirs(target)
     return path
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder once nothing reads it any more."""
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     fs.delete(target, True)
 
 

@@ -3,8 +3,8 @@
 Every stream checkpoints under the shared checkpoint root and writes through
 ``foreachBatch`` with an idempotent sink: a micro-batch writes (or replaces) its
 own ``batch=<id>`` folder, so a batch replayed after a failure overwrites what
-its first attempt left instead of duplicating it. Keyed state is kept as such a
-change log and folded on read with ``max_by(row, batch)``.
+its first attempt left instead of duplicating it. Current tables (latest rows, period
+statistics) are kept in a compacted log (``merge_log``) and folded on read.
 
 ``run_available_now`` drives a stream over everything currently in its source
 and stops: the batch twin of each stream is what it must equal.
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cirrus.session import dir_exists, remove_dir, scratch_dir
+from cirrus.streaming.merge_log import MergeLog
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -58,19 +59,32 @@ def job_queue_stream(spark: SparkSession, queue_dir: str, schema, max_files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(queue_dir)
 
 
-def route_jobs(out_dir: str, route: str, schema, dedupe_key: str | None = None) -> BatchFn:
-    """Write every micro-batch into ``out_dir/batch=<id>/<route>=<type>/``.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The id that a queued item's name ends in.
+UUID_END = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
-    With ``dedupe_key`` the first copy of a job id counts, however old its file and
-    however long ago: the batch loses the ids that earlier batches wrote (only their
-    id column is read, and no later batch, so a replayed batch comes out alike)."""
+
+def taken_once(stream: DataFrame, key: str, id_pattern: str | None = None) -> DataFrame:
+    """The first row of each ``key``, however long ago it came: a streaming dedupe whose
+    state, one key a job, lies in the state store, so a batch looks up its own keys
+    only. With ``id_pattern`` only items whose key it finds are taken, as in a queue
+    folder that also holds other objects; a null key is never one of them."""
+    wanted = stream.where(F.col(key).rlike(id_pattern)) if id_pattern else stream
+    return wanted.dropDuplicates([key])
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams started from here on in RocksDB, on disk with changelog
+    checkpoints, so that it may outgrow the executors' memory. A provider that the
+    session already names stays."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def route_jobs(out_dir: str, route: str) -> BatchFn:
+    """Write every micro-batch into ``out_dir/batch=<id>/<route>=<type>/``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if dedupe_key is not None:
-            batch = batch.dropDuplicates([dedupe_key])
-            if batch_id and dir_exists(spark, out_dir):
-                done = read_routed(spark, out_dir, schema).where(F.col("batch") < batch_id).select(dedupe_key).distinct()
-                batch = batch.join(done, dedupe_key, "left_anti")
         batch.write.mode("overwrite").partitionBy(route).parquet(f"{out_dir}/batch={batch_id}")
     return run
 
@@ -83,11 +97,16 @@ def read_routed(spark: SparkSession, out_dir: str, schema) -> DataFrame:
 
 
 def consume_job_queue(spark: SparkSession, queue_dir: str, schema, route: str, max_files: int = 1,
-                      dedupe_key: str | None = None) -> DataFrame:
-    """Drain the queue (available-now) and return every routed job."""
-    out = scratch_dir(spark, "queue_out")
-    ckpt = scratch_dir(spark, "queue_ckpt")
-    run_available_now(job_queue_stream(spark, queue_dir, schema, max_files), route_jobs(out, route, schema, dedupe_key), ckpt)
+                      dedupe_key: str | None = None, id_pattern: str | None = None, out_dir: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """Drain the queue (available-now) and return every routed job. With the folders of
+    an earlier run it goes on where that one stopped."""
+    out, ckpt = out_dir or scratch_dir(spark, "queue_out"), checkpoint or scratch_dir(spark, "queue_ckpt")
+    jobs = job_queue_stream(spark, queue_dir, schema, max_files)
+    if dedupe_key is not None:
+        use_rocksdb(spark)
+        jobs = taken_once(jobs, dedupe_key, id_pattern)
+    run_available_now(jobs, route_jobs(out, route), ckpt)
     return read_routed(spark, out, schema).drop("batch")
 
 
@@ -98,7 +117,8 @@ def change_log(out_dir: str) -> BatchFn:
 
     Writing costs O(batch), never O(table); a replayed batch overwrites its own
     folder, so the log stays exactly-once. Readers fold the log with
-    :func:`read_latest` (compaction is the same fold written back)."""
+    :func:`read_latest`; :class:`cirrus.streaming.merge_log.MergeLog` is the log for
+    many batches."""
     def run(updates: DataFrame, batch_id: int) -> None:
         updates.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     return run
@@ -122,11 +142,18 @@ def latest_rows_stream(stream: DataFrame, key: str, order: Sequence[str], cols:
 
 def keep_latest(spark: SparkSession, stream: DataFrame, key: str, order: Sequence[str],
                 cols: Sequence[str]) -> DataFrame:
-    """Keep the newest state per key while rows arrive; returns the merged table."""
-    state = scratch_dir(spark, "latest_state")
-    ckpt = scratch_dir(spark, "latest_ckpt")
-    run_available_now(latest_rows_stream(stream, key, order, cols), change_log(state), ckpt, output_mode="update")
-    return read_latest(spark, state, [key])
+    """Keep the newest state per key while rows arrive; returns the merged table. The
+    changed rows of the batches are folded in a compacted log."""
+    newest = latest_rows_stream(stream, key, order, cols)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        row = F.max_by(F.struct(*[F.col(c) for c in cols]), "_batch").alias("_row")
+        return rows.groupBy(key).agg(row, F.max("_batch").alias("_batch")).select(key, "_row.*", "_batch")
+
+    log = MergeLog(spark, scratch_dir(spark, "latest_state"), newest.schema.add("_batch", "long"), fold)
+    run_available_now(newest, lambda rows, i: log.append(rows.withColumn("_batch", F.lit(i).cast("long")), i),
+                      scratch_dir(spark, "latest_ckpt"), output_mode="update")
+    return log.read().drop("_batch")
 
 
 def mark_missing(recorded: DataFrame, key: str, latest: DataFrame, state: Column,
@@ -235,14 +262,14 @@ def merge_period_stats(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stats_current(spark: SparkSession, stream: DataFrame, ts: str, keys: Sequence[str], volume: str,
                   period_s: int = 86400, origin: dt.datetime | None = None) -> DataFrame:
     """Keep the statistics current while samples arrive, available-now: each
-    micro-batch logs its own partial statistics, which are merged on read. No sample
-    is too late, in whatever order the files come, and there is no state to grow."""
-    log, ckpt = scratch_dir(spark, "stats_log"), scratch_dir(spark, "stats_ckpt")
-    write = change_log(log)
-    run_available_now(stream, lambda batch, i: write(period_stats(batch, ts, keys, volume, period_s, origin), i), ckpt)
-    if not dir_exists(spark, log):
-        return merge_period_stats(period_stats(spark.createDataFrame([], stream.schema), ts, keys, volume, period_s, origin), keys)
-    return merge_period_stats(spark.read.parquet(log), keys)
+    micro-batch adds its own partial statistics to a compacted log, and they are merged on
+    read. No sample is too late, in whatever order the files come, and there is no state to grow."""
+    schema = period_stats(spark.createDataFrame([], stream.schema), ts, keys, volume, period_s, origin).schema
+    log = MergeLog(spark, scratch_dir(spark, "stats_log"), schema,
+                   lambda rows: merge_period_stats(rows, keys).select(schema.names))
+    run_available_now(stream, lambda batch, i: log.append(period_stats(batch, ts, keys, volume, period_s, origin), i),
+                      scratch_dir(spark, "stats_ckpt"))
+    return log.read()
 
 
 def rounded_stats(df: DataFrame) -> list[Column]:

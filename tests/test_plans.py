@@ -11,7 +11,7 @@ registry.load_all()
 QUERIES = {k: v for k, v in registry.QUERIES.items() if not k.startswith("stream_")}
 #: Queries that write and read back, check ids, or keep a fixed list: they run a job when built.
 WRITES = {"src_text", "src_object_listing", "sink_csv_report", "sink_project_csv", "sink_instance_csv", "sink_series_json",
-          "udtf_external_program", "lookup_unique", "gen_rows"}
+          "udtf_external_program", "lookup_unique", "gen_rows", "udtf_ordered_program", "stat_by_period_rollup"}
 PANDAS_KEYS = {"stream_map_reduce", "udtf_external_program"}   # user programs, per Arrow batch
 
 
