@@ -560,7 +560,7 @@ def test_bpe_is_the_librarys(spark, sf_small, monkeypatch):
 
 def test_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 40_000)
-    monkeypatch.setattr(bpe, "WAITING", 2_000)
+    monkeypatch.setattr(bpe, "WAITING", 200)
     encoder, library = bpe.Encoder(tiktoken_encoding()[0]), tiktoken_encoding()[1]
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60)) + " the same again" for _ in range(300)]
