@@ -504,6 +504,49 @@ def test_items_are_found_up_to_the_edit_rate(spark, sf_small):
     assert all(got.get((d, i), most + 1) <= most for d, (i, most) in planted.items())
 
 
+def test_leaks_equal_brute_force(spark):
+    """All documents against all items, by the exact distance to any stretch."""
+    rng = random.Random(31)
+    pool = [f"w{i}" for i in range(60)]
+    items = [(i, [rng.choice(pool) for _ in range(rng.randrange(3, 45))]) for i in range(30)]
+    docs = []
+    for d in range(240):
+        words = [rng.choice(pool) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(3)):
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(0, 2 + len(part) // 4)):
+                at = rng.randrange(len(part))
+                part[at:at + 1] = rng.choice([[], ["new"], [part[at], "new"], [rng.choice(pool)]])
+                part = part or ["new"]
+            words += part + [rng.choice(pool) for _ in range(rng.randrange(20))]
+        docs.append((d, words))
+    number = {w: i + 1 for i, w in enumerate([*pool, "new"])}
+    want = {}
+    for d, words in docs:
+        for i, item in items:
+            most = decontaminate.edits_of(len(item), decontaminate.EDIT_RATE)
+            distance, _ = decontaminate.edit_distance_inside([number[w] for w in item], [number[w] for w in words], most)
+            if distance <= most:
+                want[d, i] = distance
+    assert len(want) > 100 and sum(n > 0 for n in want.values()) > 30
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want
+
+
+def test_walks_reach_the_recall():
+    assert decontaminate.repetitions(0.2, [14, 30, 59], 0.99) < decontaminate.MOST_WALKS
+    assert decontaminate.repetitions(0.2, [14, 59], 0.5) <= decontaminate.repetitions(0.2, [14, 59], 0.99)
+    assert decontaminate.repetitions(0.0, [14], 0.99) >= 1
+    for n in (14, 59):      # other trials than those that chose the number
+        rng = np.random.default_rng(99)
+        ready = decontaminate.Items([(0, [b"%d" % i for i in range(n)])])
+        base = np.array(ready.items[0])
+        for kind in ("replace", "insert", "delete", "mixed"):
+            seen = [decontaminate.edited(base, int(0.2 * n), kind, rng, 1000) for _ in range(200)]
+            assert np.mean([len(ready.places(np.where(s >= 1000, 0, s))[0]) > 0 for s in seen]) >= 0.98
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     han = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"
     thai = "สวัสดีชาวโลกนี่คือข้อสอบ"
