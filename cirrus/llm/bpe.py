@@ -11,22 +11,26 @@ match costs n log n and never n squared.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Bytes of matches and ids that a worker remembers, in two halves: when the younger
-#: is full, the older goes, but for matches met again meanwhile.
-REMEMBERED = 128 << 20
-#: What a remembered match costs besides its characters and ids.
+#: Bytes of matches with their ids that a worker remembers.
+REMEMBERED = 160 << 20
+#: What an entry costs besides its characters and ids.
 ENTRY = 220
+#: Rows that leave a task together.
+SLICE = 256
 #: Characters whose matches wait for each other, to be merged together.
 WAITING = 1 << 21
 #: Matches up to so many bytes are merged many at a time, so many rows at once.
@@ -94,15 +98,69 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+@lru_cache(maxsize=8)
+def _latin_twin(pattern: str):
+    """The pattern for texts of the first 256 characters, with its classes spelt out, so
+    that the standard library's faster engine can match it; None if it holds others."""
+    def members(name: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c)))
+    space, classes = members(r"\s"), {r"\p{L}": members(r"\p{L}"), r"\p{N}": members(r"\p{N}")}
+    # inside brackets the members alone, elsewhere a class of their own
+    parts = regex.split(r"(\[[^\]]*\])", pattern)
+    for i, part in enumerate(parts):
+        for name, found in {r"\s": space, **classes}.items():
+            part = part.replace(name, found if i % 2 else f"[{found}]")
+        parts[i] = part if i % 2 else part.replace(r"\S", f"[^{space}]")
+    twin = "".join(parts)
+    return None if regex.search(r"\\[^x]", twin) else re.compile(twin)
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Memory:
+    """Packed ids of texts, in two halves: when the younger is full, the older goes, but
+    for texts met again meanwhile."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0                           # bytes of the younger half
+
+    def keep(self, texts: list[str], ids: list[bytes]) -> None:
+        self.recent.update(zip(texts, ids))
+        self.held += ENTRY * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+
+    def unknown(self, lists: list[list[str]]) -> set[str]:
+        """Texts of the lists that are not remembered; the others are in the younger half."""
+        if self.held > REMEMBERED // 2:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        fresh = set().union(*lists)
+        fresh.difference_update(self.recent)
+        known = [x for x in fresh if x in self.older]
+        self.keep(known, [self.older[x] for x in known])
+        fresh.difference_update(known)
+        return fresh
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        look = self.recent.__getitem__
+        return [b"".join(map(look, texts)) for texts in lists]
+
+
 class Encoder:
     """Encodes matches, the short ones many at a time: their segment trees are the
     rows of one array, and each step merges the least pair of every row."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.recent: dict[str, bytes] = {}      # match -> its packed ids
-        self.older: dict[str, bytes] = {}
-        self.held = 0                           # bytes of the younger half
+        self.matches = Memory()
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.base = max(ranks.values()) + 1
         pairs = {}
@@ -166,10 +224,6 @@ class Encoder:
         ends = (4 * live.sum(1).cumsum()).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _keep(self, matches: list[str], ids: list[bytes]) -> None:
-        self.recent.update(zip(matches, ids))
-        self.held += ENTRY * len(matches) + sum(map(len, matches)) + sum(map(len, ids))
-
     def learn(self, matches: set[str]) -> None:
         """Add the ids of matches to the memory."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
@@ -184,43 +238,36 @@ class Encoder:
                 ids.append(b"".join(x.to_bytes(4, "little") for x in merge(piece, self.ranks)))
             else:
                 by_width.setdefault(max(8, 1 << (len(piece) - 1).bit_length()), []).append((match, piece))
-        self._keep(done, ids)
+        self.matches.keep(done, ids)
         for width, group in by_width.items():
             for at in range(0, len(group), ROWS):
                 part = group[at:at + ROWS]
-                self._keep([m for m, _ in part], self._merge_rows([p for _, p in part], width))
+                self.matches.keep([m for m, _ in part], self._merge_rows([p for _, p in part], width))
 
     def encode(self, texts: Iterable[str | None], pattern) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
+        twin = _latin_twin(pattern.pattern)
         waiting: list[list[str]] = []
         held = 0
         for text in texts:
             text = text or ""
             if len(text) > LONG_TEXT:
-                yield from self._ids(waiting)
+                yield from self._match_ids(waiting)
                 found = pattern.finditer(text)
                 blocks = iter(lambda: [m.group() for m in islice(found, 200_000)], [])
-                yield b"".join(x for block in blocks for x in self._ids([block]))
+                yield b"".join(x for block in blocks for x in self._match_ids([block]))
                 waiting, held = [], 0
                 continue
-            waiting.append(pattern.findall(text))
+            waiting.append((twin if twin is not None and _is_latin(text) else pattern).findall(text))
             held += len(text)
             if held > WAITING:
-                yield from self._ids(waiting)
+                yield from self._match_ids(waiting)
                 waiting, held = [], 0
-        yield from self._ids(waiting)
+        yield from self._match_ids(waiting)
 
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
-        if self.held > REMEMBERED // 2:
-            self.older, self.recent, self.held = self.recent, {}, 0
-        fresh = set().union(*lists)
-        fresh.difference_update(self.recent)
-        known = [m for m in fresh if m in self.older]
-        self._keep(known, [self.older[m] for m in known])
-        fresh.difference_update(known)
-        self.learn(fresh)
-        look = self.recent.__getitem__
-        return [b"".join(map(look, matches)) for matches in lists]
+    def _match_ids(self, lists: list[list[str]]) -> list[bytes]:
+        self.learn(self.matches.unknown(lists))
+        return self.matches.joined(lists)
 
 
 _WORKERS: dict[str, Encoder] = {}
@@ -245,13 +292,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """(id, ids), a row for each row of ``docs``; ``ids`` is binary, each id a
     little-endian unsigned 32-bit integer. Null and empty texts have no ids; there
     are no special tokens; other columns are ignored."""
-    ranks, path = _ranks(docs.sparkSession, rank_path)
+    return _encoded(docs, id_col, text_col, rank_path, split, False)
 
-    @F.pandas_udf("binary")
-    def bpe_encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_encoder(ranks, path).encode(texts, regex.compile(split))), dtype=object)
 
-    return docs.select(F.col(id_col).alias(id_col), bpe_encode(F.col(text_col)).alias("ids"))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None,
+               split: str = public_tokenizers.PATTERN) -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one pass: (id, ids, decoded)."""
+    return _encoded(docs, id_col, text_col, rank_path, split, True)
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, rank_path: str | None, split: str, decoded: bool) -> DataFrame:
+    ranks, path = _ranks(docs.sparkSession, rank_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, pattern = _encoder(ranks, path), regex.compile(split)
+        for batch in batches:
+            # texts merged together, many rows at a time; they leave in small slices
+            for at in range(0, batch.num_rows, 4 * SLICE):
+                part = batch.slice(at, 4 * SLICE)
+                done = encoder.encode(part.column(1).to_pylist(), pattern)
+                for low in range(0, part.num_rows, SLICE):
+                    some = part.slice(low, SLICE)
+                    packed = list(islice(done, some.num_rows))
+                    columns = [some.column(0), pa.array(packed, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array(_decoded(packed, ranks, path), pa.binary()))
+                    yield pa.record_batch(columns, names=[id_col, "ids", "decoded"][:len(columns)])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
+        run, f"`{id_col}` {kind}, ids binary" + (", decoded binary" if decoded else ""))
+
+
+def _decoded(packed: list[bytes | None], ranks, path: str) -> list[bytes | None]:
+    # ranks need not be dense, so the table is keyed by id
+    if path not in _TOKENS:
+        _TOKENS[path] = {rank: token for token, rank in ranks.value.items()}
+    look = _TOKENS[path].__getitem__
+    return [None if p is None else b"".join(map(look, memoryview(p).cast("I"))) for p in packed]
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", rank_path: str | None = None) -> DataFrame:
@@ -259,13 +337,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", rank_path: str | None = Non
     ids stay null."""
     ranks, path = _ranks(encoded.sparkSession, rank_path)
 
-    @F.pandas_udf("binary")
-    def bpe_decode(packed: pd.Series) -> pd.Series:
-        # ranks need not be dense, so the table is keyed by id
-        if path not in _TOKENS:
-            _TOKENS[path] = {rank: token for token, rank in ranks.value.items()}
-        look = _TOKENS[path].__getitem__
-        return pd.Series([None if p is None else b"".join(map(look, memoryview(p).cast("I"))) for p in packed],
-                         dtype=object)
-
-    return encoded.withColumn("decoded", bpe_decode(F.col(ids_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.append_column("decoded", pa.array(_decoded(part.column(ids_col).to_pylist(), ranks, path), pa.binary()))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

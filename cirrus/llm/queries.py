@@ -117,7 +117,7 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @_query
 def op10_byte_level_bpe(spark, sf_dir):
     """Ids and round trip of every document under the 50k byte-level ranks."""
-    done = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
+    done = bpe.round_trip(_documents(spark, sf_dir))
     return done.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -610,8 +610,24 @@ def test_bpe_memory_is_bounded(monkeypatch):
     most = 0
     for text, ids in zip(texts, encoder.encode(texts, regex.compile(public_tokenizers.PATTERN))):
         assert list(memoryview(ids).cast("I")) == library.encode_ordinary(text)
-        most = max(most, len(encoder.recent) + len(encoder.older))
-    assert most * bpe.ENTRY < 3 * 40_000 and " again" in encoder.recent
+        most = max(most, len(encoder.matches.recent) + len(encoder.matches.older))
+    assert most * bpe.ENTRY < 3 * 40_000 and " again" in encoder.matches.recent
+
+
+def test_bpe_latin_texts_match_alike(spark, sf_small):
+    _, library = tiktoken_encoding()
+    pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(6)
+    encoder = bpe.Encoder(tiktoken_encoding()[0])
+    texts = ["".join(rng.choices(" \n\t\x1c\x85\u3000ab1.'s\u00e9", weights=[9, 2, 1, 1, 1, 1, 5, 5, 2, 2, 2, 2, 1], k=rng.randrange(30))) for _ in range(8000)]
+    texts += ["  x", " x", "x ", "x  ", "a  b", "a   b", "a\n b", "a \nb", "a\n \nb", " ", "  ", "", " \n", "\n "]
+    texts += ["".join(rng.choices([chr(c) for c in range(1, 256)], k=40)) for _ in range(3000)] + ["we'll I'LL\u0100 don't"]
+    for text, ids in zip(texts, encoder.encode(texts, pattern)):
+        assert list(memoryview(ids).cast("I")) == library.encode_ordinary(text), repr(text)
+        assert not bpe._is_latin(text) or bpe._latin_twin(pattern.pattern).findall(text) == pattern.findall(text)
+    assert bpe._latin_twin(r"\p{Lu}+|\d+|.") is None
+    docs = load(spark, sf_small, "documents")
+    both, apart = bpe.round_trip(docs), bpe.decode(bpe.encode(docs))
+    assert both.columns == apart.columns and both.exceptAll(apart).count() == 0 and both.count() == apart.count()
 
 
 def test_bpe_rows_and_single_matches_agree():
