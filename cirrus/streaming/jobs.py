@@ -150,7 +150,7 @@ def keep_latest(spark: SparkSession, stream: DataFrame, key: str, order: Sequenc
         row = F.max_by(F.struct(*[F.col(c) for c in cols]), "_batch").alias("_row")
         return rows.groupBy(key).agg(row, F.max("_batch").alias("_batch")).select(key, "_row.*", "_batch")
 
-    log = MergeLog(spark, scratch_dir(spark, "latest_state"), newest.schema.add("_batch", "long"), fold)
+    log = MergeLog(spark, scratch_dir(spark, "latest_state"), T.StructType([*newest.schema.fields, T.StructField("_batch", T.LongType())]), fold)
     run_available_now(newest, lambda rows, i: log.append(rows.withColumn("_batch", F.lit(i).cast("long")), i),
                       scratch_dir(spark, "latest_ckpt"), output_mode="update")
     return log.read().drop("_batch")

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cirrus.session import scratch_dir
@@ -72,7 +73,7 @@ def keep_live(spark: SparkSession, stream: DataFrame, key: str, ts: str, tie: st
         return (rows.groupBy(key).agg(F.max_by(F.struct(*held), "_batch").alias("_row"), F.max("_batch").alias("_batch"))
                 .select(key, "_row.*", "_batch"))
 
-    log = MergeLog(spark, log_dir or scratch_dir(spark, "live_log"), changes.schema.add("_batch", "long"), newest)
+    log = MergeLog(spark, log_dir or scratch_dir(spark, "live_log"), T.StructType([*changes.schema.fields, T.StructField("_batch", T.LongType())]), newest)
     run_available_now(changes, lambda rows, i: log.append(rows.withColumn("_batch", F.lit(i).cast("long")), i),
                       checkpoint or scratch_dir(spark, "live_ckpt"), output_mode="update")
     return log.read().drop("_batch")
