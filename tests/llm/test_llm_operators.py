@@ -220,6 +220,21 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, none).collect()} == {"allow"}
 
 
+def test_url_filter_of_long_urls_empty_tables_and_ties(spark):
+    schema = "host string, path string, verdict string"
+    rules = spark.createDataFrame([("example.com", "/a/b/", "block"), ("x.example.com", "/a/", "allow"), ("t.org", "/p", "allow"), ("t.org", "/p", "block"),
+                                   ("T.org", "/p", "allow"), ("org", "/p/q", "allow")], schema)
+    deep = "http://x.example.com/a/" + "b/" * 400_000
+    wide = "http://" + "x." * 100_000 + "example.com/a/b/c"
+    pages = spark.createDataFrame([(1, deep), (2, wide), (3, "http://t.org/pq"), (4, "http://t.org/p/q"), (5, None), (6, "x"), (1, "http://t.org/pq")],
+                                  "page_id long, url string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect() if r["page_id"] < 5)
+    assert got == [(1, "t.org/p", "block"), (1, "x.example.com/a/", "allow"), (2, "x.example.com/a/", "allow"), (3, "t.org/p", "block"),
+                   (4, "t.org/p", "block")]
+    assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 def test_url_filter_sql(spark, sf_small):
     import duckdb
     con = duckdb.connect()
