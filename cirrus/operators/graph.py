@@ -29,6 +29,20 @@ def listing_level(keys: DataFrame, key: str, depth: int = 1, delimiter: str = "/
         F.count(F.lit(1)).alias("n_keys"))
 
 
+def list_prefix(keys: DataFrame, key: str, size: str, prefix: str = "", delimiter: str = "/") -> DataFrame:
+    """What lies below any ``prefix`` up to the next ``delimiter``: (entry, kind, n_keys,
+    n_bytes). Keys that go on past the delimiter are one 'folder' entry that ends in
+    it, the others 'object's. The prefix need not end in the delimiter; it is a bound
+    that the scan can use. An empty delimiter lists every key."""
+    k = F.col(key)
+    below = keys.where(k.startswith(prefix)) if prefix else keys.where(k.isNotNull())
+    rest = F.substring(k, F.lit(len(prefix) + 1), F.length(k))
+    at = F.locate(delimiter, rest) if delimiter else F.lit(0)
+    entry = F.when(at > 0, F.substring(k, F.lit(1), at + (len(prefix) + len(delimiter) - 1))).otherwise(k)
+    return below.groupBy(entry.alias("entry"), F.when(at > 0, "folder").otherwise("object").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n_keys"), F.sum(size).alias("n_bytes"))
+
+
 def folder_totals(keys: DataFrame, key: str, size: str, delimiter: str = "/") -> DataFrame:
     """(folder, depth, n_keys, n_bytes, n_direct) of every folder at every depth.
 

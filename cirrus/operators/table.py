@@ -286,6 +286,33 @@ def page_after_marker(df: DataFrame, key: str, marker, page_size: int, api_limit
                 .drop("_rn", "_n"))
 
 
+def page_around_marker(df: DataFrame, keys: Sequence[str], marker: Sequence | None, page_size: int,
+                       backward: bool = False) -> DataFrame:
+    """A page in the order of several ``keys`` (together unique, without nulls) after the
+    row whose keys are ``marker``, or before it (``backward``; without a marker the last
+    page), in key order both ways. ``has_more`` tells whether rows go on in that
+    direction: one row more than the page is fetched, a top-k. The marker's first key is
+    a bound that the scan can use. The next page's marker is the last row's keys, the
+    previous page's the first row's."""
+    from pyspark.sql import Window
+    keys = list(keys)
+
+    def beyond(i: int) -> Column:
+        c, m = F.col(keys[i]), F.lit(marker[i])
+        past = c < m if backward else c > m
+        return past if i + 1 == len(keys) else past | ((c == m) & beyond(i + 1))
+
+    if marker is not None:
+        first = F.col(keys[0])
+        df = df.where((first <= F.lit(marker[0])) if backward else (first >= F.lit(marker[0]))).where(beyond(0))
+    order = [F.col(k).desc() if backward else F.col(k) for k in keys]
+    fetched = df.orderBy(*order).limit(page_size + 1)
+    # the windows run over those at most page_size + 1 rows
+    ranked = (fetched.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+              .withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > page_size))
+    return ranked.where(F.col("_rn") <= page_size).drop("_rn").orderBy(*keys)
+
+
 def summary_row(df: DataFrame, summations: Mapping[str, str]) -> DataFrame:
     """One row: per column its named summary over the non-null raw values of the
     whole (unfiltered) data; a column of nulls only gives null."""

@@ -25,6 +25,19 @@ def folders_from_paths(spark, sf_dir):
     return G.listing_level(p, "key", depth=1)
 
 
+@query("list_at_prefix", section=S, sql="""
+WITH k AS (SELECT substr(url, 13) AS rest, url, octet_length(encode(url)) AS n FROM pages WHERE starts_with(url, 'https://www.'))
+SELECT CASE WHEN instr(rest, '/') > 0 THEN substr(url, 1, 12 + instr(rest, '/')) ELSE url END AS entry,
+       CASE WHEN instr(rest, '/') > 0 THEN 'folder' ELSE 'object' END AS kind, count(*) AS n_keys, sum(n)::BIGINT AS n_bytes
+FROM k GROUP BY ALL
+""")
+def list_at_prefix(spark, sf_dir):
+    """Delimiter listing below a prefix that ends within a name: folders and objects with
+    their key counts and bytes."""
+    p = Tables(spark, sf_dir).pages.select("url", F.octet_length("url").cast("long").alias("n_bytes"))
+    return G.list_prefix(p, "url", "n_bytes", "https://www.")
+
+
 @query("folder_totals_all_depths", section=S, sql=f"""
 WITH k AS (SELECT string_split(regexp_extract(url, '{KEY_RE}', 1), '/') AS p, octet_length(encode(url)) AS n FROM pages),
 a AS (SELECT array_to_string(p[1:d], '/') || '/' AS folder, d AS depth, n, d = len(p) - 1 AS direct

@@ -151,6 +151,19 @@ def page_marker(spark, sf_dir):
     return TB.page_after_marker(o, "o_orderkey", 100, 20)
 
 
+@query("page_previous", section=S, sql="""
+WITH f AS (SELECT o_orderdate, o_orderkey, o_custkey FROM orders
+           WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-06-01 00:00:00', 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21),
+r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, count(*) OVER () > 20 AS has_more FROM f)
+SELECT o_orderdate, o_orderkey, o_custkey, has_more FROM r WHERE rn <= 20
+""")
+def page_previous(spark, sf_dir):
+    """The page before a marker in the order of two keys (date, then id)."""
+    import datetime as dt
+    o = Tables(spark, sf_dir).orders.select("o_orderdate", "o_orderkey", "o_custkey")
+    return TB.page_around_marker(o, ["o_orderdate", "o_orderkey"], [dt.datetime(1996, 6, 1), 1000], 20, backward=True)
+
+
 @query("tail_n", section=S, sql="""
 WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
                   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM conversations)

@@ -242,3 +242,31 @@ def test_variant_fields_of_odd_texts(spark):
     got = {r["id"]: tuple(r)[1:] for r in variant_fields(frame, "m").collect()}
     assert [got[i][0] for i in range(9)] == ["number", "null", "missing", "missing", "missing", "missing", "other", "object", "text"]
     assert got[0][1] == 5 and got[8][2] == "t" and got[8][4] == "7" and got[7][2] is None
+
+
+# --- paging and listings -----------------------------------------------------------------
+
+def test_pages_both_ways_make_up_the_full_sort(spark):
+    from cirrus.operators.table import page_around_marker
+    rows = [(i // 7 % 5, i) for i in range(83)]
+    frame = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    for backward in (False, True):
+        marker, pages = None, []
+        while True:
+            page = [(r["a"], r["b"], r["has_more"]) for r in page_around_marker(frame, ["a", "b"], marker, 20, backward).collect()]
+            pages.append([p[:2] for p in page])
+            if not page[0][2]:
+                break
+            marker = pages[-1][0 if backward else -1]
+        assert [x for p in (reversed(pages) if backward else pages) for x in p] == sorted(rows) and len(pages) == 5
+    assert page_around_marker(frame, ["a", "b"], (0, 0), 20, True).collect() == []
+
+
+def test_listing_at_any_prefix_and_delimiter(spark):
+    keys = ["a/b/c", "a/b/d", "a/x", "ab", "abc", "a", "", None, "b/a", "a//y", "a%b", "a/b::c"]
+    frame = spark.createDataFrame([(k, 1) for k in keys], "key string, n long")
+    got = lambda p, d: {(r["entry"], r["kind"], r["n_keys"]) for r in G.list_prefix(frame, "key", "n", p, d).collect()}
+    assert got("a", "/") == {("a/", "folder", 5), ("ab", "object", 1), ("abc", "object", 1), ("a", "object", 1), ("a%b", "object", 1)}
+    assert got("a/", "/") == {("a/b/", "folder", 2), ("a/x", "object", 1), ("a//", "folder", 1), ("a/b::c", "object", 1)}
+    assert got("a/b", "::") == {("a/b/c", "object", 1), ("a/b/d", "object", 1), ("a/b::", "folder", 1)}
+    assert sum(n for _, _, n in got("", "/")) == len(keys) - 1 and all(k == "object" for _, k, _ in got("", ""))
