@@ -2,15 +2,18 @@
 
 Every shortest run of lines that has enough words and that more than one document
 holds links its later holders to the first one, so a run held by a third of all
-documents makes as many pairs as documents and not their square. A longer passage is
+documents makes as many links as documents and not their square. A longer passage is
 covered by such runs, so each of its lines is met in a pair, however short the lines
-are and whoever holds them first one by one. Each pair is aligned by patience diff
-over the hashes of the lines they share: lines that are rare in both (they occur once)
-are matched along the longest increasing sequence and grown to blocks, and the
-stretches between them are aligned the same way. An alignment keeps the order and matches a line once;
-runs that stand in another order or more than once are then found by the hashes of
-their lines. Blocks and runs of enough words leave the later document; the first holder
-of a line never loses it.
+are and whoever holds them first one by one. A pair carries the runs that link it and
+their places in both documents, no whole line lists, so a document that quotes
+thousands of others is still sent once in all.
+
+Each pair is aligned by patience diff over its runs: runs that are rare in both (they
+occur once) are matched along the longest rising sequence and grown to blocks, and the
+stretches between them are aligned the same way. What an alignment matched is taken
+out, further copies of it with it, and the rest is aligned again, forwards or
+backwards, until nothing is left, so passages in another order go as well. The lines of aligned
+blocks leave the later document; the first holder of a run never loses it to that pair.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from cirrus.llm.storage import write_table
 MIN_WORDS = 8
 #: Documents or pairs whose lines are Python objects at once.
 _ROWS = 256
-_LINES = "array<struct<n:int,h:binary,w:int,at:int>>"
 
 
 def _once(lines: list, low: int, high: int) -> dict:
@@ -138,17 +140,33 @@ def shortest_runs(lines: list, min_words: int) -> list[tuple[int, int]]:
     return out
 
 
-def common_runs(later: list, first: list, min_words: int) -> list[tuple[int, int]]:
-    """(first, last index) of the runs of lines in ``later`` that ``first`` holds
-    anywhere, of ``min_words`` words or more; those that overlap are joined."""
-    key = lambda lines, i, j: tuple(x[1] for x in lines[i:j + 1])
-    known = {key(first, i, j) for i, j in shortest_runs(first, min_words)}
+def alignments(mine: list, other: list) -> Iterator[list[tuple[int, int]]]:
+    """The passes over a pair's runs (number, hash, first line, last line) and the other
+    side's (number, hash): each yields the line ranges of the runs that it
+    aligned and of their further copies.
+    A pass is aligned forwards, and backwards too if that leaves something; of any
+    order one of the two matches at least the square root of the runs left."""
+    while mine:
+        rest, blocks = mine, align(mine, other)
+        if sum(n for _, _, n in blocks) < len(mine):
+            back = align(mine[::-1], other)
+            if sum(n for _, _, n in back) > sum(n for _, _, n in blocks):
+                rest, blocks = mine[::-1], back
+        if not blocks:
+            return
+        taken = {rest[k][1] for i, _, n in blocks for k in range(i, i + n)}
+        yield [(x[2], x[3]) for x in mine if x[1] in taken]
+        mine = [x for x in mine if x[1] not in taken]
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of lines in order; those that overlap or touch are joined."""
     out: list[tuple[int, int]] = []
-    for i, j in sorted(x for x in shortest_runs(later, min_words) if key(later, *x) in known):
-        if out and i <= out[-1][1]:
-            out[-1] = out[-1][0], max(j, out[-1][1])
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            out.append((i, j))
+            out.append((a, b))
     return out
 
 
@@ -164,35 +182,46 @@ def _rows(part: pa.RecordBatch, of: list[int], *more: pa.Array) -> list[pa.Array
     return [part.column("id").take(at), part.column("v").take(at), *more]
 
 
-def _aligned(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _slices(batches):
         of, spans = [], []
-        for row, (mine, other) in enumerate(zip(part.column("mine").to_pylist(), part.column("other").to_pylist())):
-            mine = [(x["n"], x["h"], x["w"], x["at"]) for x in mine]
-            other = [(x["n"], x["h"], x["w"]) for x in other]
-            blocks = [(i, i + n - 1) for i, _, n in align(mine, other) if sum(x[2] for x in mine[i:i + n]) >= min_words]
-            gone = {k for i, j in blocks for k in range(i, j + 1)}
-            held = {x[1] for x in other}
-            if any(x[1] in held for k, x in enumerate(mine) if k not in gone):
-                blocks += [(i, j) for i, j in common_runs(mine, other, min_words) if not gone.issuperset(range(i, j + 1))]
-            if blocks:
+        for row, links in enumerate(part.column("links").to_pylist()):
+            mine = sorted((x["n"], link["k"], x["a"], x["b"]) for link in links for x in link["mine"])
+            other = sorted((n, link["k"]) for link in links for n in link["other"])
+            found = joined_spans([x for blocks in alignments(mine, other) for x in blocks])
+            if found:
                 of.append(row)
-                spans.append([{"a": mine[i][3], "b": mine[j][3]} for i, j in blocks])
+                spans.append([{"a": a, "b": b} for a, b in found])
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         yield pa.RecordBatch.from_arrays(_rows(part, of, pa.array(spans, kind)), names=["id", "v", "spans"])
 
 
+def runs_of(lines: list, min_words: int) -> dict[bytes, list[tuple[int, int, int]]]:
+    """The shortest runs of lines (number, hash, words, place) by a 128-bit hash: each
+    one's number in the document and the places of its first and last lines. Numbers
+    skip one where lines part, so that no block reaches over the gap."""
+    out: dict[bytes, list[tuple[int, int, int]]] = {}
+    n, end = 0, -1
+    for i, j in sorted(shortest_runs(lines, min_words)):
+        n += 1 + (end >= 0 and i > end and not all(_next(lines, x) for x in range(end, i)))
+        end = j
+        key = lines[i][1] if i == j else md5(b"".join(x[1] for x in lines[i:j + 1])).digest()
+        out.setdefault(key, []).append((n, lines[i][3], lines[j][3]))
+    return out
+
+
 def _runs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, v, k): a 128-bit hash of each of a document's shortest runs, once."""
+    """(id, v, k, mine): a document's shortest runs, a row for each hash."""
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
     for part in _slices(batches):
-        of, keys = [], []
+        of, keys, places = [], [], []
         for row, lines in enumerate(part.column("lines").to_pylist()):
-            lines = [(x["n"], x["h"], x["w"]) for x in lines]
-            mine = {lines[i][1] if i == j else md5(b"".join(x[1] for x in lines[i:j + 1])).digest()
-                    for i, j in shortest_runs(lines, min_words)}
+            mine = runs_of([(x["n"], x["h"], x["w"], x["at"]) for x in lines], min_words)
             of += [row] * len(mine)
             keys += mine
-        yield pa.RecordBatch.from_arrays(_rows(part, of, pa.array(keys, pa.binary())), names=["id", "v", "k"])
+            places += [[{"n": n, "a": a, "b": b} for n, a, b in x] for x in mine.values()]
+        yield pa.RecordBatch.from_arrays(_rows(part, of, pa.array(keys, pa.binary()), pa.array(places, kind)),
+                                         names=["id", "v", "k", "mine"])
 
 
 def _lines(text: Column) -> Column:
@@ -215,24 +244,24 @@ def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines, _ = write_table(lines, "lines")
     holder = F.struct("id", "v")
 
-    def holders(table: DataFrame, col: str) -> DataFrame:
-        # the first holder is the smallest (id, v); what one document alone holds is of no use
-        return (table.groupBy(col).agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
-                .where("first <> last").select(F.col(col).alias("same"), "first"))
-
-    shared = lines.join(holders(lines, "h"), F.reverse("h") == F.reverse("same")).drop("same", "first").distinct()
+    # what one document alone holds is of no use
+    held_twice = (lines.groupBy("h").agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
+                  .where("first <> last").select(F.col("h").alias("same")))
+    shared = lines.join(held_twice, F.reverse("h") == F.reverse("same")).drop("same").distinct()
     # a document's own lines, in one row: never more than its text
-    held = (shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "h", "w", "at"))).alias("lines")))
-    held, _ = write_table(held, "lines-by-document")
+    held = shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "h", "w", "at"))).alias("lines"))
     kind = lines.schema["id"].dataType.simpleString()
-    runs, _ = write_table(held.mapInArrow(lambda batches: _runs(min_words, batches), f"id {kind}, v long, k binary"), "runs")
-    pairs = (runs.join(holders(runs, "k"), F.reverse("k") == F.reverse("same")).where(F.struct("id", "v") > F.col("first"))
-             .select("id", "v", F.col("first.id").alias("fid"), F.col("first.v").alias("fv")).distinct())
-    first = held.select(F.col("id").alias("fid"), F.col("v").alias("fv"), F.col("lines").alias("other"))
-    joined = (pairs.join(first, ["fid", "fv"])
-              .join(held.withColumnRenamed("lines", "mine"), ["id", "v"]).select("id", "v", "mine", "other"))
-    found = joined.mapInArrow(lambda batches: _aligned(min_words, batches),
-                              f"id {kind}, v long, spans array<struct<a:int,b:int>>")
+    runs, _ = write_table(held.mapInArrow(lambda batches: _runs(min_words, batches),
+                                          f"id {kind}, v long, k binary, mine array<struct<n:int,a:int,b:int>>"), "runs")
+    # the first holder is the smallest (id, v); its places in the document come along
+    first = (runs.groupBy("k").agg(F.min(F.struct("id", "v", F.col("mine.n").alias("other"))).alias("first"), F.max(holder).alias("last"))
+             .where((F.col("first.id") != F.col("last.id")) | (F.col("first.v") != F.col("last.v")))
+             .select(F.col("k").alias("same"), "first"))
+    links = (runs.join(first, F.reverse("k") == F.reverse("same"))
+             .where(holder > F.struct(F.col("first.id"), F.col("first.v")))
+             .groupBy("id", "v", F.col("first.id").alias("fid"), F.col("first.v").alias("fv"))
+             .agg(F.collect_list(F.struct("k", "mine", F.col("first.other").alias("other"))).alias("links")))
+    found = links.select("id", "v", "links").mapInArrow(_aligned, f"id {kind}, v long, spans array<struct<a:int,b:int>>")
     return found.groupBy("id", "v").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 

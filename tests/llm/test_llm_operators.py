@@ -314,7 +314,10 @@ def test_line_dedup_moved_and_repeated_passages(spark):
         a, b = (rng.choices("abcdef", k=rng.randrange(12)) for _ in range(2))
         size = dict(zip("abcdef", (1, 1, 2, 3, 5, 8)))
         lines = [[(n, c, size[c]) for n, c in enumerate(t)] for t in (a, b)]
-        gone = {k for i, j in line_dedup.common_runs(lines[1], lines[0], 6) for k in range(i, j + 1)}
+        first, later = (line_dedup.runs_of([(n, c.encode(), w, n) for n, c, w in x], 6) for x in lines)
+        mine = sorted((n, k, i, j) for k, places in later.items() if k in first for n, i, j in places)
+        other = sorted((n, k) for k, places in first.items() if k in later for n, _, _ in places)
+        gone = {k for blocks in line_dedup.alignments(mine, other) for i, j in blocks for k in range(i, j + 1)}
         text = ["\n".join(" ".join([c] * size[c]) for c in t) for t in (a, b)]
         left = brute_line_dedup(text, 6)[1]
         assert left == "\n".join(" ".join([c] * size[c]) for k, c in enumerate(b) if k not in gone)
@@ -337,6 +340,25 @@ def test_line_dedup_passages_of_short_lines(spark):
     assert [shown(got[k]) for k in range(60)] == [shown(t) for t in want]
 
 
+def test_line_dedup_is_decided_by_its_alignments(spark, monkeypatch):
+    line = lambda k: f"line {k} has eight words in it here"
+    n = 3000
+    for order in (list(range(n))[::-1], random.Random(2).sample(range(n), n), [0] * n):
+        mine = [(i, line(k).encode(), i, i) for i, k in enumerate(order)]
+        passes = list(line_dedup.alignments(mine, [(k, line(k).encode()) for k in range(n)]))
+        assert {i for blocks in passes for a, b in blocks for i in range(a, b + 1)} == set(range(n))
+        assert len(passes) <= 2 * n ** 0.5
+    monkeypatch.setattr(line_dedup, "align", lambda *_: [])
+    assert not list(line_dedup.alignments([(0, b"x", 0, 0)], [(0, b"x")]))
+
+
+def test_line_dedup_page_that_quotes_many(spark):
+    line = lambda k: f"line {k} has eight words in it here"
+    texts = [f"own {k}\n{line(k)}" for k in range(300)] + ["\n".join(["own", *(line(k) for k in reversed(range(300))), "end"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_shared(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(301)] == [*texts[:300], "own\nend"]
+
+
 def test_align_grows_blocks():
     lines = lambda s: [(i, c) for i, c in enumerate(s)]
     assert line_dedup.align(lines("abcxdef"), lines("zabcydef")) == [(0, 1, 3), (4, 5, 3)]
