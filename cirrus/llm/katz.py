@@ -13,8 +13,10 @@ Training and scoring share one pass over the corpus' bigrams:
    them open (it reports how many tokens have a bigram seen 1 to 5 times); the
    ``parts`` table, partitioned by kind, is finished by native joins and sums.
 
-Per token the model is: log p(w | v) = log(d_r * r / c(v)) if the bigram was seen r
-times, else log a(v) + log p(w); p(w) is discounted the same way, and the mass that
+Per token the model is: log p(w | v) = log(d_r * r / (c(v) + 1)) if the bigram was seen r
+times, else log a(v) + log p(w). Every context has one event more than was seen, so that
+something is left to back off with where all its counts are above K too. p(w) is
+discounted the same way, and the mass that
 its discounts free goes to one unknown word. a(v) = (1 - sum of the seen p(w | v)) /
 (1 - sum of their p(w)), so every context's probabilities sum to one.
 """
@@ -42,9 +44,6 @@ CHUNK_TOKENS = 4 << 20
 BUCKET_TOKENS = 3 << 20
 #: Tokens of a chunk that are worked on at a time.
 SLICE_TOKENS = 1 << 20
-#: Contexts with so many training tokens get one more (unseen) event, as do contexts
-#: whose bigrams all have counts above K: else nothing were left to back off with.
-DENSE = 1 << 20
 END = ""
 
 
@@ -239,8 +238,7 @@ def _bucket(uni: Unigrams, heavy: int, pdf: pd.DataFrame) -> pd.DataFrame:
         p1 = uni.p(cw[at])
         seen = r > 0
         m = [np.bincount(ctx[r == k], minlength=len(heads)) for k in range(1, K + 1)]
-        extra = (cv[heads] >= DENSE) | (cv[heads] >= heavy) | (sum(m) == 0)
-        total = cv[heads] + extra
+        total = cv[heads] + 1
         rt, ct = r[of], ctx[of]
         with np.errstate(divide="ignore"):
             logs = n * np.where(rt > 0, np.log10(np.maximum(rt, 1)) - np.log10(np.maximum(total[ct], 1)), np.log10(p1)[of])
