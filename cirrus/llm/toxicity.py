@@ -23,8 +23,6 @@ from cirrus.llm.storage import write_table
 
 #: Labelled rows that are learned from (those of least hash).
 SAMPLE_ROWS = 40_000
-#: Weighted tokens at most (those of largest z): the model's size.
-MAX_TERMS = 50_000
 #: Total of the Dirichlet prior, per token of the sample; it is spread like the sample's tokens.
 PRIOR = 0.1
 #: Tokens count only from so many standard errors, less one.
@@ -139,8 +137,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
-          text_col: str = "text", folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS,
-          max_terms: int = MAX_TERMS) -> ToxicityModel:
+          text_col: str = "text", folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from labelled documents outside the held-out fold, at most
     ``sample_rows``: weights from all of them; weights from one half of them (by hash)
     are calibrated on the other. Null labels and null ids are left out; of several labels for one id the
@@ -165,11 +162,15 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def lexicon(part: str) -> tuple[dict[str, float], float]:
         y1, y0 = F.col(f"{part}1"), F.col(f"{part}0")
         n1, n0 = (float(x or 0) for x in seen.agg(F.sum(y1), F.sum(y0)).first())
-        # tokens seen once say nothing at LEAST_Z; of the rest the most uneven ones
-        uneven = F.abs(y1 / max(n1, 1.0) - y0 / max(n0, 1.0)) / F.sqrt(y1 + y0)
-        counts = (seen.where(y1 + y0 > 1).select("token", y1.alias("y1"), y0.alias("y0"), uneven.alias("u"))
-                  .orderBy(F.col("u").desc(), "token").limit(max_terms).toPandas())
-        return weigh(counts, n1, n0) if n1 and n0 else ({}, 1.0)
+        if not n1 or not n0:
+            return {}, 1.0
+        # the z of weigh(), a hair wider so that rounding loses none: every token that has a
+        # weight, and no other, reaches the driver
+        prior, total = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
+        a1, a0 = y1 + prior, y0 + prior
+        delta = F.log(a1 / (n1 + total - a1)) - F.log(a0 / (n0 + total - a0))
+        wide = F.when(y1 + y0 > 0, F.abs(delta) >= (LEAST_Z - 1e-6) * F.sqrt(1 / a1 + 1 / a0))
+        return weigh(seen.where(wide).select("token", y1.alias("y1"), y0.alias("y0")).orderBy("token").toPandas(), n1, n0)
 
     weights, rate = lexicon("half")
     draft = ToxicityModel(weights, rate, 0.0)
@@ -210,10 +211,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     has its first token, one past its last, its score and the number of such
     passages that clean prose of that length would have. Null and empty texts have
     no passage; other columns are ignored."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)     # the significant tokens of a bounded sample
+
     @F.pandas_udf(f"struct<score:double,passages:{PASSAGES}>")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = [model.passages(t) for t in texts]
-        return pd.DataFrame({"score": [model.probability(e) for _, e in rows],
+        rows = [shared.value.passages(t) for t in texts]
+        return pd.DataFrame({"score": [shared.value.probability(e) for _, e in rows],
                              "passages": [[{"start": a, "end": b, "score": s, "expected": x} for a, b, s, x in found]
                                           for found, _ in rows]})
 
