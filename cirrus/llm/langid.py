@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.llm.folds import is_fold
@@ -22,8 +22,10 @@ from cirrus.llm.folds import is_fold
 BUCKET_BITS = 15
 DIMENSIONS = 16
 ORDERS = (3, 4)
-#: Labelled rows that are learned from (those of least hash); a fifth of them calibrates.
+#: Labelled rows that are learned from (those of least hash), and of each language at
+#: least (or all that it has); a fifth of them calibrates.
 SAMPLE_ROWS = 6_000
+LANGUAGE_ROWS = 200
 EPOCHS = 5
 LEARNING_RATE = 0.5
 #: Share of errors that accepted predictions may have on the calibration rows.
@@ -148,9 +150,11 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 1) -> LanguageModel:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+          folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS,
+          language_rows: int = LANGUAGE_ROWS) -> LanguageModel:
     """Train on at most ``sample_rows`` documents outside the held-out fold that
-    have a language and a letter; each is gathered as its distinct subword buckets
+    have a language and a letter, and besides on the first ``language_rows`` (by hash) of
+    each language, so that a rare one is learned too; each is gathered as its distinct subword buckets
     and their counts (six bytes each, at most 2 ** BUCKET_BITS of them), however long it is."""
     @F.pandas_udf("struct<b:binary,c:binary>")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -165,11 +169,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     keyed = usable.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     # the hash that sample_rows rows stay below decides, so that no text meets in one task
     order = F.xxhash64("key", "lang", "t")
-    level = keyed.select(order.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    hashed = keyed.select("lang", order.alias("h")).distinct()
+    level = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if level is None:
         return train([])
-    picked = (keyed.where(order <= level).select(order.alias("h"), "lang", features("t").alias("f"))
-              .dropDuplicates(["h"]).orderBy("h").limit(sample_rows).collect())
+    # of each language the same; a row for each class of the model: a proven bound for the broadcast
+    levels = (hashed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+              .where(F.col("n") <= language_rows).groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("least")))
+    picked = (keyed.join(F.broadcast(levels), F.col("lang") == F.col("of"))
+              .where((order <= level) | (order <= F.col("least"))).select(order.alias("h"), "lang", features("t").alias("f"))
+              .dropDuplicates(["h"]).orderBy("h").collect())
     return train([(r["lang"], bytes(r["f"]["b"]), bytes(r["f"]["c"])) for r in picked])
 
 

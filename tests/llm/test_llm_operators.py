@@ -375,7 +375,7 @@ def test_align_grows_blocks():
 
 # 6
 
-def brute_katz(texts, dense):
+def brute_katz(texts):
     tokens = {i: [*((t or "").encode().lower().split()), b""] for i, t in texts.items()}
     train = [i for i in texts if crc(i) % 7 != 2]
     uni, big = Counter(), Counter()
@@ -397,7 +397,7 @@ def brute_katz(texts, dense):
         if v not in after:
             return p1(w)
         f = after[v]
-        n = uni[v] + (uni[v] >= dense or all(r > 5 for r in f.values()))
+        n = uni[v] + 1
         if w in f:
             return cut(d2, f[w]) * f[w] / n
         return (1 - sum(cut(d2, r) * r for r in f.values()) / n) / (1 - sum(p1(x) for x in f)) * p1(w)
@@ -416,7 +416,7 @@ def brute_katz(texts, dense):
 def test_katz(spark, sf_small, chunk, bucket):
     docs = load(spark, sf_small, "documents").where("doc_id < 90")
     docs = docs.union(spark.createDataFrame([(5001, None, None, None, None), (5002, "", "en", "s", 0), (5003, "Zzz of the", "", "", 1)], docs.schema))
-    want = brute_katz({r["doc_id"]: r["text"] for r in docs.collect()}, min(katz.DENSE, bucket))
+    want = brute_katz({r["doc_id"]: r["text"] for r in docs.collect()})
     got = katz.score(docs.repartition(3), chunk_tokens=chunk, bucket_tokens=bucket).collect()
     assert len(got) == len(want)
     for r in got:
@@ -461,6 +461,27 @@ def test_toxicity_without_labels(spark):
     assert [(r["score"], r["passages"]) for r in toxicity.score(docs, model).collect()] == [(0.5, [])] * 3
 
 
+def test_toxicity_keeps_every_significant_token(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, k=30) + (rng.choices(words[:300], k=20) if k % 5 == 0 else [])) for k in range(600)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(600)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, folds=5, held_out=7)       # no fold is held out
+    seen = {}
+    for k, t in enumerate(texts):
+        for w in t.split():
+            seen.setdefault(w, [0, 0])[k % 5 == 0] += 1
+    n0, n1 = (sum(x[i] for x in seen.values()) for i in (0, 1))
+    want = set()
+    for w, (y0, y1) in seen.items():
+        a0, a1, total = (y0 + toxicity.PRIOR * (y0 + y1), y1 + toxicity.PRIOR * (y0 + y1), toxicity.PRIOR * (n0 + n1))
+        z = (math.log(a1 / (n1 + total - a1)) - math.log(a0 / (n0 + total - a0))) / math.sqrt(1 / a0 + 1 / a1)
+        if abs(z) >= toxicity.LEAST_Z:
+            want.add(w)
+    assert set(model.weights) == want and len(want) > 200
+
+
 # 8
 
 def test_language_in_held_out_rows(spark, sf_small):
@@ -478,6 +499,17 @@ def test_language_of_texts_without_letters(spark):
     assert langid.predict(docs, langid.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark, sf_small):
+    docs = load(spark, sf_small, "documents")
+    own = "qaxu zolti vrenka mubosh tilqar evnosh drabu kelzim posqua".split()
+    rare = [(10 ** 7 + k, " ".join(own[k * j % 9] for j in range(1, 40)), "qx", "s", 1) for k in range(1, 41)]
+    both = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    model = langid.learn(both, sample_rows=60, language_rows=30)
+    assert "qx" in model.languages
+    got = langid.predict(both.where("doc_id > 10000000"), model).collect()
+    assert [r["lang_pred"] for r in got] == ["qx"] * 40
+
+
 # 9
 
 def test_edit_distance_inside():
