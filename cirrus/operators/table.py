@@ -12,8 +12,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnSource = str | Column | Callable[[DataFrame], Column]
 
@@ -248,6 +249,23 @@ def lookup_unique(df: DataFrame, id_column: str, value: str) -> DataFrame:
     return hit
 
 
+def lookup_points(df: DataFrame, id_column: str, values: Sequence) -> DataFrame:
+    """Rows of some ids, one for each id at most: a ValueError in the task if an id has
+    several rows. The given values take the column's type, not the column theirs, so the
+    look-up reaches the scan (text that is no such value, as an id, matches nothing).
+    Absent ids have no row."""
+    kind = df.schema[id_column].dataType
+    if isinstance(kind, T.IntegralType):    # a null in the list would keep the scan from skipping anything
+        whole = [int(v) for v in values if re.fullmatch(r"\s*[+-]?[0-9]+\s*", str(v))]
+        values = [v for v in whole if v.bit_length() < 64]
+    wanted = [F.lit(v).cast(kind) if not isinstance(kind, T.IntegralType) else F.lit(v) for v in values]
+    found = df.where(F.col(id_column).isin(*wanted)) if wanted else df.limit(0)
+    # few rows: those asked for
+    n = F.count(F.lit(1)).over(Window.partitionBy(id_column))
+    several = F.raise_error(F.concat(F.lit(f"several rows for {id_column} "), F.col(id_column).cast("string")))
+    return found.withColumn("_n", n).where(F.when(F.col("_n") > 1, several.cast("boolean")).otherwise(True)).drop("_n")
+
+
 def extract_named_keys(df: DataFrame, column: str, pattern: str, id_name: str = "key_id") -> DataFrame:
     """Keep keys matching ``pattern`` (group 1 = the id) and extract the id."""
     ext = F.regexp_extract(F.col(column), pattern, 1)

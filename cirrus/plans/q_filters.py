@@ -8,9 +8,12 @@ from cirrus.functions import display as D
 from cirrus.functions import status as ST
 from cirrus.operators import quality as Q
 from cirrus.operators import table as TB
+from cirrus.operators import text_index as TI
 from cirrus.operators import usage as U
 from cirrus.plans import views as V
 from cirrus.plans.registry import query
+from cirrus.session import scratch_dir
+from cirrus.sources.files import save_clustered
 from cirrus.sources.tables import Tables
 
 S = "2.2"
@@ -160,6 +163,29 @@ def filter_contains_any(spark, sf_dir):
     return TB.filter_contains_any(p, ["p_name", "p_type"], "LA")
 
 
+@query("filter_contains_indexed", section=S, sql="""
+SELECT p_partkey, p_name, p_type FROM part
+WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'econ')
+   OR contains(lower(p_name), 'econ') OR contains(lower(p_type), 'ring')
+""")
+def filter_contains_indexed(spark, sf_dir):
+    """Substring filter over two columns by trigram postings: only groups of rows that hold
+    all trigrams of the term are scanned."""
+    parts = Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_type")
+    index = TI.build(parts, ["p_name", "p_type"], ["p_type", "p_name", "p_partkey"], scratch_dir(spark, "grams"), groups=32)
+    return index.contains_any(["p_name", "p_type"], "RING", "Econ")
+
+
+@query("filter_wildcard_indexed", section=S, sql="""
+SELECT page_id, url FROM pages WHERE lower(url) LIKE '%example%/en/%html%' ESCAPE '\\'
+""")
+def filter_wildcard_indexed(spark, sf_dir):
+    """The ordered wildcard by trigram postings of the URLs, kept in their order."""
+    pages = Tables(spark, sf_dir).pages.select("page_id", "url")
+    index = TI.build(pages, ["url"], ["url", "page_id"], scratch_dir(spark, "grams"), groups=32)
+    return index.wildcard("url", "Example*/EN/*html  ignored-second-term")
+
+
 @query("filter_regex_row", section=S, sql="""
 SELECT s_suppkey, s_name, s_acctbal FROM supplier
 WHERE regexp_matches(s_name || CAST(s_nationkey AS VARCHAR) || CAST(s_acctbal AS VARCHAR),
@@ -283,6 +309,17 @@ def lookup_unique(spark, sf_dir):
     return TB.lookup_unique(Tables(spark, sf_dir).orders, "o_orderkey", "42")
 
 
+@query("lookup_clustered", section=S, sql="""
+SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderkey IN (42, 7, 1207, 2000000000)
+""")
+def lookup_clustered(spark, sf_dir):
+    """Rows of some ids from a table laid out by date: row groups without one are skipped
+    by their bloom filters."""
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    laid = save_clustered(orders, scratch_dir(spark, "clustered"), ["o_orderdate", "o_orderkey"], ["o_orderkey"])
+    return TB.lookup_points(laid, "o_orderkey", ["42", "7", "1207", "2000000000", "not an id"])
+
+
 KEY_ID_RE = r"/(\d+)(?:\.html|/)?(?:[?#].*)?$"
 
 
