@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from cirrus.functions import display as D
 from cirrus.operators import jobs as J
+from cirrus.operators import page_index as PI
 from cirrus.operators import sorting as SO
 from cirrus.operators import table as TB
 from cirrus.plans import views as V
 from cirrus.plans.registry import query
+from cirrus.session import scratch_dir
 from cirrus.sources.tables import Tables
 
 S = "2.5"
@@ -164,6 +166,31 @@ def page_previous(spark, sf_dir):
     return TB.page_around_marker(o, ["o_orderdate", "o_orderkey"], [dt.datetime(1996, 6, 1), 1000], 20, backward=True)
 
 
+@query("page_indexed", section=S, sql="""
+WITH r AS (SELECT o_orderdate, o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders)
+SELECT * FROM r WHERE position BETWEEN 50 * 20 AND 51 * 20 - 1
+""")
+def page_indexed(spark, sf_dir):
+    """The 51st page in the order of two keys, by a sparse index of key ranges."""
+    orders = Tables(spark, sf_dir).orders.select("o_orderdate", "o_orderkey", "o_custkey")
+    index = PI.build(orders, ["o_orderdate", "o_orderkey"], scratch_dir(spark, "pages"), ranges=32)
+    return index.numbered(50, 20)
+
+
+@query("page_indexed_previous", section=S, sql="""
+WITH f AS (SELECT o_orderdate, o_orderkey, o_custkey FROM orders
+           WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-06-01 00:00:00', 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21),
+r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, count(*) OVER () > 20 AS has_more FROM f)
+SELECT o_orderdate, o_orderkey, o_custkey, has_more FROM r WHERE rn <= 20
+""")
+def page_indexed_previous(spark, sf_dir):
+    """The page before a marker, by the same index."""
+    import datetime as dt
+    orders = Tables(spark, sf_dir).orders.select("o_orderdate", "o_orderkey", "o_custkey")
+    index = PI.build(orders, ["o_orderdate", "o_orderkey"], scratch_dir(spark, "pages"), ranges=32)
+    return index.around([dt.datetime(1996, 6, 1), 1000], 20, backward=True)
+
+
 @query("tail_n", section=S, sql="""
 WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
                   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM conversations)

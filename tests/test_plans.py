@@ -12,7 +12,7 @@ QUERIES = {k: v for k, v in registry.QUERIES.items() if not k.startswith("stream
 #: Queries that write and read back, check ids, or keep a fixed list: they run a job when built.
 WRITES = {"src_text", "src_object_listing", "sink_csv_report", "sink_project_csv", "sink_instance_csv", "sink_series_json",
           "udtf_external_program", "lookup_unique", "gen_rows", "udtf_ordered_program", "stat_by_period_rollup",
-          "filter_contains_indexed", "filter_wildcard_indexed", "lookup_clustered"}
+          "filter_contains_indexed", "filter_wildcard_indexed", "lookup_clustered", "page_indexed", "page_indexed_previous"}
 PANDAS_KEYS = {"stream_map_reduce", "udtf_external_program"}   # user programs, per Arrow batch
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cirrus.operators import page_index as PI
 from cirrus.operators import table as TB
 from cirrus.operators import text_index as TI
 from cirrus.session import scratch_dir
@@ -78,3 +79,31 @@ def test_point_lookups_skip_row_groups(spark):
     assert TB.lookup_points(laid, "key", []).collect() == []
     with pytest.raises(Exception, match="several rows for day"):
         TB.lookup_points(laid, "day", [5]).collect()
+
+
+def test_indexed_pages_make_up_the_full_sort(spark):
+    rows = [(k // 90, k, f"v{k}") for k in range(700)]
+    frame = spark.createDataFrame(random.Random(1).sample(rows, 700), "a long, b long, v string").repartition(5)
+    index = PI.build(frame, ["a", "b"], scratch_dir(spark, "pages"), ranges=8)
+    for backward in (False, True):
+        marker, pages = None, []
+        while True:
+            page = [tuple(r) for r in index.around(marker, 50, backward).collect()]
+            pages.append([p[:3] for p in page])
+            if not page[0][3]:
+                break
+            marker = pages[-1][0 if backward else -1][:2]
+        assert [x for p in (reversed(pages) if backward else pages) for x in p] == rows and len(pages) == 14
+    assert [tuple(r)[:3] for n in range(15) for r in index.numbered(n, 50).collect()] == rows
+    assert index.around((0, 0), 50, True).collect() == [] and index.around((99, 0), 50).collect() == []
+    # a page longer than any range takes several
+    assert [tuple(r)[:3] for r in index.around((0, 5), 400).collect()] == rows[6:406]
+
+
+def test_a_deep_page_reads_two_ranges(spark):
+    frame = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    index = PI.build(frame, ["id"], scratch_dir(spark, "pages"), ranges=16)
+    for df in (index.around([15_123], 50), index.around([15_123], 50, True), index.numbered(300, 50)):
+        rows, files = scan_metric(df, "numFiles")
+        assert len(rows) == 50 and 1 <= files <= 2
+    assert PI.build(frame.limit(0), ["id"], scratch_dir(spark, "pages"), ranges=4).around(None, 5).collect() == []
