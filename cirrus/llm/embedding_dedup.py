@@ -1,151 +1,256 @@
 """Near-duplicate vectors by randomised-rotation binary codes (RaBitQ).
 
-A unit vector is turned by a seeded random rotation and stored as the signs of its
-coordinates together with a correction factor, the inner product of the vector and
-its code. The inner product of a code and another (full) vector, divided by the
-code's factor, is an unbiased estimate of the two vectors' cosine, with an error of
-about sqrt((1 - factor ** 2) / factor ** 2 / (d - 1)). Only pairs whose upper confidence
-bound reaches the threshold are recomputed exactly, in double precision, and only
-the exact cosine makes a link.
-
-Candidates are vectors of one label that agree in a band of code bits; a pair is
-counted in the first band in which it agrees. Equal vectors are compared once.
-Large buckets are compared in pairs of tiles, so no task holds an unbounded group.
+A unit vector is turned by seeded random rotations. Its code is the signs of the turned
+coordinates, with a correction factor a rotation, the inner product of the vector and
+its code. The inner product of a code and another vector, divided by the code's factor,
+is an unbiased estimate of the two vectors' cosine, with an error of about
+sqrt((1 - factor ** 2) / factor ** 2 / (d - 1)). The other vector takes part as a
+query of four bits a coordinate, whose rounding adds to the error. The estimate of a
+pair is the mean over its rotations and both directions.
+
+1. Candidates are vectors of one label that agree in a band of code bits. Bits grow with
+   the logarithm of the largest label's rows, so that chance buckets stay small at any
+   size; bands grow with the bits, so that a pair at the threshold is missed in all of them
+   with probability ``MISS``. A pair counts in the first band in which it agrees.
+2. Only codes, factors and queries travel to the buckets. A row stays in a bucket if the
+   upper confidence bound of some pair of it reaches the threshold; never pairs are written.
+3. Vectors travel to the buckets where they stayed. Their cosines are computed
+   exactly, in double precision, and only those make links.
+
+Equal vectors are compared once. Large buckets are compared in pairs of tiles, so no task
+holds an unbounded group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cirrus.llm.components import connected_components
-from cirrus.llm.storage import write_table
+from cirrus.llm.storage import drop_table, write_table
 
 THRESHOLD = 0.98
-#: A sign differs with probability arccos(0.98) / pi = 0.064, so a pair at the
-#: threshold agrees in one of the bands with probability 0.9997, a closer one more likely.
-BANDS, BAND_BITS = 16, 14
+#: A pair at the threshold agrees in no band with this probability, a closer one less likely.
+MISS = 3e-4
+#: Band bits beyond log2 of the rows of the largest label: a row meets 1/16 others by chance.
+SPARE_BITS = 4
 #: Half-width of the confidence bound, in standard errors of the estimate.
 CONFIDENCE = 4.0
-TILE = 512
+TILE = 2048
+#: Rows of a tile that are compared at a time.
+STRIPE = 256
+#: Largest absolute value of a query's coordinates (four bits).
+LEVELS = 7
 _SEED = 977
 
 
-@lru_cache(maxsize=64)
+def shape(most: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+    """(bits, bands) for ``most`` rows of one label. A sign of two vectors at the
+    threshold differs with probability arccos(threshold) / pi."""
+    bits = min(62, ceil(log2(max(most, 2))) + SPARE_BITS)
+    agree = (1 - acos(min(max(threshold, -1.0), 1.0)) / pi) ** bits
+    return bits, max(1, ceil(log(miss) / log1p(-min(agree, 1 - 1e-12))))
+
+
+@lru_cache(maxsize=256)
 def rotation(dim: int, number: int) -> np.ndarray:
     """A random orthogonal matrix, the same in every process."""
     q, r = np.linalg.qr(np.random.default_rng((_SEED, dim, number)).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def unit(vector) -> np.ndarray | None:
-    """The vector at length one in double precision; None if it is null, empty, zero or
-    has a component that is null or not finite."""
-    if vector is None or len(vector) == 0:
-        return None
-    x = np.array([np.nan if c is None else c for c in vector], dtype=np.float64)
-    if not np.isfinite(x).all():
-        return None
-    x = x / (np.abs(x).max() or 1.0)        # so that no square overflows or vanishes
-    norm = np.sqrt(x @ x)
-    return x / norm if norm > 0 else None
-
-
-def encode(x: np.ndarray) -> tuple[bytes, float, list[int]]:
-    """(signs, factor, band values) of a unit vector; further rotations give the
-    bits of the bands where the vector has too few."""
-    dim = len(x)
-    turned = [rotation(dim, k) @ x for k in range(ceil(BANDS * BAND_BITS / dim))]
-    bits = np.concatenate([t >= 0 for t in turned])[:BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
-    factor = float(np.abs(turned[0]).sum() / np.sqrt(dim))
-    return np.packbits(turned[0] >= 0).tobytes(), factor, (bits @ (1 << np.arange(BAND_BITS))).tolist()
-
-
-def _units(rows: list) -> np.ndarray:
-    """The unit vectors of rows, in double precision, from their packed components."""
-    x = np.array([np.frombuffer(r["raw"], dtype=f"<f{len(r['raw']) // r['dim']}") for r in rows], dtype=np.float64)
+def rotations(dim: int, bits: int, bands: int) -> int:
+    """How many rotations give the signs of all bands."""
+    return ceil(bits * bands / dim)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision; no square overflows or vanishes."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _encoded(width: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for label, vector, least, n in zip(batch["label"], batch["vector"], batch["least"], batch["n"]):
-            x = unit(vector)
-            if x is not None:
-                code, factor, bands = encode(x)
-                rows.append((int(least), int(n), int(label), len(x), np.asarray(vector, dtype=f"<f{width}").tobytes(), code, factor, bands))
-        yield pd.DataFrame(rows, columns=["least", "n", "label", "dim", "raw", "code", "factor", "bands"])
-
-
-def _compare(rows: list, others: list | None, band: int, threshold: float):
-    """(links counted per row, per other row, spanning pairs) of one bucket or pair of
-    tiles. ``rows`` have (least, n, dim, raw, code, factor, bands)."""
-    right = rows if others is None else others
-    x = _units(rows)
-    y = x if others is None else _units(right)
+def encode(x: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signs as 0 and 1, factors, queries, steps) of unit rows: signs and factors of
+    every rotation, the query of the first one as whole steps."""
     dim = x.shape[1]
-    signs = np.array([np.unpackbits(np.frombuffer(r["code"], dtype=np.uint8), count=dim) for r in rows]) * 2.0 - 1
-    factor = np.array([r["factor"] for r in rows])
-    estimate = (signs @ (y @ rotation(dim, 0).T).T) / np.sqrt(dim) / factor[:, None]
-    error = np.sqrt(np.maximum(0, 1 - factor ** 2) / factor ** 2 / max(1, dim - 1))
-    likely = estimate + CONFIDENCE * error[:, None] >= threshold
-    if others is None:
-        likely = np.triu(likely, 1)
-    i, j = np.nonzero(likely)
-    if band and len(i):
-        a, b = np.array([r["bands"] for r in rows]), np.array([r["bands"] for r in right])
-        new = np.ones(len(i), dtype=bool)
-        for k in range(band):
-            new &= a[i, k] != b[j, k]
-        i, j = i[new], j[new]
-    ok = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 100_000):
-        s = slice(at, at + 100_000)
-        ok[s] = np.einsum("ij,ij->i", x[i[s]], y[j[s]]) >= threshold
-    i, j = i[ok], j[ok]
-    n, m = np.array([r["n"] for r in rows]), np.array([r["n"] for r in right])
-    left_links = np.bincount(i, m[j], len(rows)).astype(np.int64)
-    right_links = np.bincount(j, n[i], len(right)).astype(np.int64)
-    # labels go to the least over each link until none changes
-    shift = 0 if others is None else len(rows)
-    name = np.arange(len(rows) + (0 if others is None else len(right)))
+    turned = [x @ rotation(dim, k).T for k in range(rotations(dim, bits, bands))]
+    signs = np.concatenate([t >= 0 for t in turned], 1).astype(np.uint8)
+    factors = np.stack([np.abs(t).sum(1) for t in turned], 1) / np.sqrt(dim)
+    steps = np.abs(turned[0]).max(1) / LEVELS
+    return signs, factors, np.rint(turned[0] / steps[:, None]).astype(np.int8), steps
+
+
+def band_values(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    return signs[:, :bits * bands].reshape(-1, bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def one_way(signs: np.ndarray, factors: np.ndarray, queries: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosine, standard error) of each row's code with each query."""
+    dim, n = queries.shape[1], factors.shape[1]
+    asked = (queries * steps[:, None]) @ rotation(dim, 0)
+    estimate = np.zeros((len(signs), len(queries)))
+    for k in range(n):
+        code = signs[:, k * dim:(k + 1) * dim] * 2.0 - 1
+        estimate += (code @ (asked @ rotation(dim, k).T).T) / (np.sqrt(dim) * n * factors[:, k:k + 1])
+    error = (np.maximum(0, 1 - factors ** 2) / factors ** 2 / max(1, dim - 1)).sum(1) / n ** 2
+    rounding = np.outer((1 / factors ** 2).mean(1) / n, steps ** 2 / 12)
+    # rounding errors of one query are shared by its rotations
+    return estimate, np.sqrt(error[:, None] + rounding * n)
+
+
+def _encoded(bits: int, bands: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("vector")).to_numpy()
+        for dim in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == dim))
+            raw = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(f"<f{width}")
+            signs, factors, queries, steps = encode(units(raw), bits, bands)
+            nibbles = (np.pad(queries, ((0, 0), (0, dim % 2))) + 8).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({
+                "least": part.column("least"), "n": part.column("n"), "label": part.column("label"),
+                "dim": pa.array([dim] * part.num_rows, pa.int32()), "raw": [r.tobytes() for r in raw],
+                "code": [r.tobytes() for r in np.packbits(signs, axis=1)],
+                "factors": [r.tobytes() for r in factors.astype("<f4")],
+                "query": [r.tobytes() for r in (nibbles[:, ::2] << 4 | nibbles[:, 1::2])],
+                "step": pa.array(steps.astype(np.float32)),
+                "bands": pa.array(band_values(signs, bits, bands).tolist(), pa.list_(pa.int64()))})
+
+
+def _packed(rows: pa.StructArray, name: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.field(name).to_pylist()), dtype=dtype).reshape(len(rows), -1)
+
+
+def _codes(rows: pa.StructArray, dim: int, bits: int, bands: int) -> tuple:
+    signs = np.unpackbits(_packed(rows, "code", "u1"), axis=1, count=dim * rotations(dim, bits, bands))
+    nibbles = _packed(rows, "query", "u1")
+    query = np.stack([nibbles >> 4, nibbles & 15], 2).reshape(len(rows), -1)[:, :dim].astype(np.int8) - 8
+    return signs, _packed(rows, "factors", "<f4").astype(np.float64), query, rows.field("step").to_numpy().astype(np.float64)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]):
+    """(band, dim, rows, others or None) of each bucket or pair of tiles."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            one = batch.slice(at, 1)
+            rows, others = one.column("rows").flatten(), one.column("others").flatten()
+            yield batch, at, one.column("band")[0].as_py(), one.column("dim")[0].as_py(), rows, others if len(others) else None
+
+
+def _first(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs agree in ``band`` and in none before it."""
+    new = a[:, None, band] == b[None, :, band]
+    for k in range(band):
+        new &= a[:, None, k] != b[None, :, k]
+    return new
+
+
+def _staying(bits: int, bands: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket of which some pair may reach the threshold."""
+    for batch, at, band, dim, rows, others in _buckets(batches):
+        x = _codes(rows, dim, bits, bands)
+        y = x if others is None else _codes(others, dim, bits, bands)
+        a, b = band_values(x[0], bits, bands), band_values(y[0], bits, bands)
+        left, right = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+        for start in range(0, len(a), STRIPE):
+            s = slice(start, start + STRIPE)
+            there, error = one_way(x[0][s], x[1][s], y[2], y[3])
+            back, error_back = one_way(y[0], y[1], x[2][s], x[3][s])
+            likely = (there + back.T) / 2 + CONFIDENCE * (error + error_back.T) / 2 >= threshold
+            likely &= _first(a[s], b, band)
+            if others is None:
+                likely &= np.arange(len(b)) > np.arange(len(a))[s, None]
+            left[s] |= likely.any(1)
+            right |= likely.any(0)
+        least = [rows.field("least").filter(pa.array(left | right if others is None else left))]
+        least += [] if others is None else [others.field("least").filter(pa.array(right))]
+        least = pa.concat_arrays(least)
+        if len(least):
+            key = {c: pa.array([batch.column(c)[at].as_py()] * len(least), batch.schema.field(c).type)
+                   for c in ("key", "band", "label", "dim")}
+            yield pa.RecordBatch.from_pydict({**key, "least": least})
+
+
+def _linked(bits: int, bands: int, width: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vector, links, other) by exact cosines: counts, and spanning pairs where
+    other is not null."""
+    for _, _, band, dim, rows, others in _buckets(batches):
+        x = units(_packed(rows, "raw", f"<f{width}"))
+        y = x if others is None else units(_packed(others, "raw", f"<f{width}"))
+        a = band_values(encode(x, bits, bands)[0], bits, bands)
+        b = a if others is None else band_values(encode(y, bits, bands)[0], bits, bands)
+        ids, n = rows.field("least").to_numpy(), rows.field("n").to_numpy()
+        ids_y, m = (ids, n) if others is None else (others.field("least").to_numpy(), others.field("n").to_numpy())
+        left, right, found = np.zeros(len(ids), np.int64), np.zeros(len(ids_y), np.int64), []
+        for start in range(0, len(a), STRIPE):
+            s = slice(start, start + STRIPE)
+            # the product finds pairs near the threshold, the sum of each decides
+            near = (x[s] @ y.T >= threshold - 1e-9) & _first(a[s], b, band)
+            if others is None:
+                near &= np.arange(len(b)) > np.arange(len(a))[s, None]
+            i, j = np.nonzero(near)
+            i += start
+            ok = np.concatenate([np.einsum("ij,ij->i", x[i[p:p + 50_000]], y[j[p:p + 50_000]]) >= threshold
+                                 for p in range(0, len(i), 50_000)] or [np.zeros(0, dtype=bool)])
+            i, j = i[ok], j[ok]
+            left += np.bincount(i, m[j], len(ids)).astype(np.int64)
+            right += np.bincount(j, n[i], len(ids_y)).astype(np.int64)
+            found.append(_forest(i, j if others is None else j + len(ids), len(ids) + (0 if others is None else len(ids_y))))
+        everyone = ids if others is None else np.concatenate([ids, ids_y])
+        size = len(everyone)
+        pairs = _forest(*np.concatenate(found, 1), size)
+        links = left + right if others is None else np.concatenate([left, right])
+        some = np.nonzero(links)[0]
+        yield pa.RecordBatch.from_pydict({
+            "vector": pa.array(np.concatenate([everyone[some], everyone[pairs[0]]])),
+            "links": pa.array(np.concatenate([links[some], np.zeros(pairs.shape[1], np.int64)])),
+            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(everyone[pairs[1]])])})
+
+
+def _forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """At most ``size`` pairs with the same components: each row with the least of its own."""
+    name = np.arange(size)
     while len(i):
-        least = np.minimum(name[i], name[j + shift])
         before = name.copy()
-        np.minimum.at(name, i, least)
-        np.minimum.at(name, j + shift, least)
+        least = np.minimum(name[i], name[j])
+        np.minimum.at(name, name[i], least)
+        np.minimum.at(name, name[j], least)
         name = name[name]
-        if (name == before).all():
+        if (name == before).all() and (name[i] == name[j]).all():
             break
-    return left_links, right_links, [(k, int(v)) for k, v in enumerate(name.tolist()) if k != v]
+    moved = np.nonzero(name != np.arange(size))[0]
+    return np.stack([moved, name[moved]])
 
 
-def _found(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (vector, links, other): counts, and a pair where other is not null."""
-    for batch in batches:
-        out = []
-        for band, rows, others in zip(batch["band"], batch["rows"], batch["others"]):
-            rows, others = list(rows), None if others is None else list(others)
-            left, right, pairs = _compare(rows, others, int(band), threshold)
-            everyone = [r["least"] for r in rows]
-            out += [(v, int(c), None) for v, c in zip(everyone, left) if c]
-            out += [(r["least"], int(c), None) for r, c in zip(rows if others is None else others, right) if c]
-            everyone += [] if others is None else [r["least"] for r in others]
-            out += [(everyone[a], 0, everyone[b]) for a, b in pairs]
-        yield pd.DataFrame(out, columns=["vector", "links", "other"]).astype({"other": "Int64"})
+def _meet(rows: DataFrame, by: list[str], row: list[str], tile: int) -> DataFrame:
+    """(by, rows, others) of the buckets of two rows or more, which have a column size;
+    those above ``tile`` rows as pairs of tiles."""
+    packed, keys = F.struct(*row), [F.col(c) for c in by]
+    small = (rows.where((F.col("size") > 1) & (F.col("size") <= tile)).groupBy(*keys)
+             .agg(F.collect_list(packed).alias("rows")))
+    small = small.select(*by, "rows", F.slice("rows", 1, 0).alias("others"))
+    tiled = (rows.where(F.col("size") > tile).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+             .withColumn("tile", F.pmod(F.xxhash64("least"), F.col("tiles")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    large = (tiled.groupBy(*keys, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+             .agg(F.collect_list(F.when(F.col("tile") <= F.col("other"), packed)).alias("rows"),
+                  F.collect_list(F.when(F.col("tile") > F.col("other"), packed)).alias("others"))
+             .where((F.size("rows") > 0) & ((F.col("i") == F.col("j")) | (F.size("others") > 0))))
+    return small.unionByName(large.select(*by, "rows", "others"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-                    label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+                    label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE,
+                    miss: float = MISS) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of ``vectors``.
 
     Vectors link if their labels are equal (and not null), they have as many
@@ -154,35 +259,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows with a null id (their component is null, they are not kept). Repeated rows
     are vectors of their own that link with each other.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
                           F.col(vector_col).alias("vector"))
     usable = rows.where("id is not null and label is not null and size(vector) > 0 and not exists(vector, "
                         "x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(vector, x -> x <> 0)")
     groups, _ = write_table(usable.groupBy("label", "vector").agg(F.min("id").alias("least"),
                                                                   F.count(F.lit(1)).alias("n")), "distinct-vectors")
+    most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, bands = shape(most, threshold, miss)
     # components travel as they came: four bytes for floats, eight for doubles
     width = 4 if isinstance(rows.schema["vector"].dataType.elementType, T.FloatType) else 8
-    coded, _ = write_table(groups.mapInPandas(
-        lambda batches: _encoded(width, batches), "least long, n long, label long, dim int, raw binary, code binary, factor double, bands array<int>"),
-        "codes")
-    by = ["label", "dim", "band", "value"]
-    banded = coded.select("*", F.posexplode("bands").alias("band", "value"))
-    sizes, _ = write_table(banded.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
-    row = F.struct("least", "n", "dim", "raw", "code", "factor", "bands")
-    met = banded.join(sizes, by)
-    small = (met.where(F.col("size") <= tile).groupBy(*by).agg(F.collect_list(row).alias("rows"))
-             .select("band", "rows", F.lit(None).cast("array<" + "struct<least:long,n:long,dim:int,raw:binary,code:binary,"
-                                                      "factor:double,bands:array<int>>>").alias("others")))
-    tiled = (met.where(F.col("size") > tile).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-             .withColumn("tile", F.pmod(F.xxhash64("least"), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    large = (tiled.groupBy(*by, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-             .agg(F.collect_list(F.when(F.col("tile") <= F.col("other"), row)).alias("rows"),
-                  F.collect_list(F.when(F.col("tile") > F.col("other"), row)).alias("others"))
-             .where((F.size("rows") > 0) & ((F.col("i") == F.col("j")) | (F.size("others") > 0)))
-             .select("band", "rows", F.when(F.col("i") < F.col("j"), F.col("others")).alias("others")))
-    found, _ = write_table(small.unionByName(large).mapInPandas(
-        lambda batches: _found(threshold, batches), "vector long, links long, other long"), "vector-links")
+    coded, codes_path = write_table(groups.mapInArrow(
+        lambda batches: _encoded(bits, bands, width, batches), "least long, n long, label long, dim int, raw binary, code binary, "
+        "factors binary, query binary, step float, bands array<long>"), "codes")
+    # who meets whom is settled by hashed keys; codes go only where a row is not alone
+    light = (coded.select("least", "label", "dim", F.posexplode("bands").alias("band", "value"))
+             .select("least", "band", F.xxhash64("label", "dim", "band", "value").alias("key")))
+    sizes = light.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    by, code = ["key", "band", "label", "dim"], ["least", "code", "factors", "query", "step"]
+    met = light.join(sizes, "key").join(coded.select("label", "dim", *code), "least")
+    staying, staying_path = write_table(_meet(met, by, code, tile).mapInArrow(
+        lambda batches: _staying(bits, bands, threshold, batches), "key long, band int, label long, dim int, least long")
+        .distinct(), "staying")
+    left = staying.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    again = staying.join(left, by).join(coded.select("least", "n", "raw"), "least")
+    found, _ = write_table(_meet(again, by, ["least", "n", "raw"], tile).mapInArrow(
+        lambda batches: _linked(bits, bands, width, threshold, batches), "vector long, links long, other long"), "vector-links")
+    drop_table(spark, staying_path)
+    drop_table(spark, codes_path)
     counts = found.groupBy("vector").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null"), "vector", "other")
     judged = (groups.join(counts, groups["least"] == counts["vector"], "left").drop(counts["vector"])

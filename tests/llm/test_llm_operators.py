@@ -180,15 +180,36 @@ def test_embeddings_against_all_pairs(spark):
                 assert r["n_links"] == by_id.get(r["vec_id"], 0)
 
 
-def test_code_estimate_is_unbiased():
+@pytest.mark.parametrize("bits,bands", [(14, 4), (20, 26)])
+def test_code_estimate_is_unbiased_and_bounded(bits, bands):
     rng = np.random.default_rng(4)
-    errors = []
-    for _ in range(400):
-        x, y = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 64)))
-        code, factor, _ = embedding_dedup.encode(x)
-        signs = np.unpackbits(np.frombuffer(code, np.uint8)) * 2.0 - 1
-        errors.append(signs @ (embedding_dedup.rotation(64, 0) @ y) / 8 / factor - x @ y)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.13
+    x = embedding_dedup.units(rng.normal(size=(300, 64)))
+    y = embedding_dedup.units(x + rng.normal(size=x.shape) * rng.choice([0.02, 0.1, 1.0], size=(300, 1)))
+    a, b = embedding_dedup.encode(x, bits, bands), embedding_dedup.encode(y, bits, bands)
+    estimate, error = embedding_dedup.one_way(a[0], a[1], b[2], b[3])
+    off = estimate - x @ y.T
+    assert abs(off.mean()) < 0.005 and abs(np.diag(off).mean()) < 0.03
+    assert (np.abs(off) <= embedding_dedup.CONFIDENCE * error).mean() > 0.999
+    assert np.sqrt((off ** 2).mean()) < 1.1 * np.sqrt((error ** 2).mean())
+
+
+def test_bits_grow_with_rows_and_bands_hold_the_recall():
+    small, large = embedding_dedup.shape(1_000), embedding_dedup.shape(1_000_000_000)
+    assert large[0] - small[0] == 20 and large[1] > small[1]
+    rng = np.random.default_rng(5)
+    x = embedding_dedup.units(rng.normal(size=(4000, 64)))
+    z = rng.normal(size=x.shape)
+    z = embedding_dedup.units(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * z                       # pairs at the threshold itself
+    for rows in (1_000, 10_000_000):
+        bits, bands = embedding_dedup.shape(rows)
+        a, b = (embedding_dedup.band_values(embedding_dedup.encode(v, bits, bands)[0], bits, bands) for v in (x, y))
+        assert (a == b).any(1).mean() > 0.995
+
+
+def test_embeddings_empty_table(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.near_duplicates(df).collect() == []
 
 
 # 4
