@@ -24,7 +24,7 @@ holds an unbounded group.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
@@ -94,18 +94,26 @@ def band_values(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return signs[:, :bits * bands].reshape(-1, bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def one_way(signs: np.ndarray, factors: np.ndarray, queries: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated cosine, standard error) of each row's code with each query."""
+@lru_cache(maxsize=64)
+def _turns(dim: int, n: int) -> np.ndarray:
+    """From the coordinates of the first rotation to those of the first ``n``, side by side."""
+    return np.concatenate([rotation(dim, 0) @ rotation(dim, k).T for k in range(n)], 1)
+
+
+def prepare(signs: np.ndarray, factors: np.ndarray, queries: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What :func:`encode` gave, in the form that :func:`one_way` compares: codes divided by
+    their factors, queries turned by every rotation, and the rows' shares of the error."""
     dim, n = queries.shape[1], factors.shape[1]
-    asked = (queries * steps[:, None]) @ rotation(dim, 0)
-    estimate = np.zeros((len(signs), len(queries)))
-    for k in range(n):
-        code = signs[:, k * dim:(k + 1) * dim] * 2.0 - 1
-        estimate += (code @ (asked @ rotation(dim, k).T).T) / (np.sqrt(dim) * n * factors[:, k:k + 1])
+    code = (signs * 2.0 - 1) * np.repeat(1 / (np.sqrt(dim) * n * factors), dim, axis=1)
+    asked = (queries * steps[:, None]) @ _turns(dim, n)
     error = (np.maximum(0, 1 - factors ** 2) / factors ** 2 / max(1, dim - 1)).sum(1) / n ** 2
-    rounding = np.outer((1 / factors ** 2).mean(1) / n, steps ** 2 / 12)
     # rounding errors of one query are shared by its rotations
-    return estimate, np.sqrt(error[:, None] + rounding * n)
+    return code, asked, error, (1 / factors ** 2).mean(1), steps ** 2 / 12
+
+
+def one_way(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosine, standard error) of each code of ``x`` with each query of ``y``."""
+    return x[0] @ y[1].T, np.sqrt(x[2][:, None] + np.outer(x[3], y[4]))
 
 
 def _encoded(bits: int, bands: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +138,41 @@ def _packed(rows: pa.StructArray, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows.field(name).to_pylist()), dtype=dtype).reshape(len(rows), -1)
 
 
-def _codes(rows: pa.StructArray, dim: int, bits: int, bands: int) -> tuple:
+def _codes(bits: int, bands: int, rows: pa.StructArray, dim: int) -> tuple[np.ndarray, ...]:
+    """(ids, band values, prepared codes) of rows."""
     signs = np.unpackbits(_packed(rows, "code", "u1"), axis=1, count=dim * rotations(dim, bits, bands))
     nibbles = _packed(rows, "query", "u1")
     query = np.stack([nibbles >> 4, nibbles & 15], 2).reshape(len(rows), -1)[:, :dim].astype(np.int8) - 8
-    return signs, _packed(rows, "factors", "<f4").astype(np.float64), query, rows.field("step").to_numpy().astype(np.float64)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]):
-    """(band, dim, rows, others or None) of each bucket or pair of tiles."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            one = batch.slice(at, 1)
-            rows, others = one.column("rows").flatten(), one.column("others").flatten()
-            yield batch, at, one.column("band")[0].as_py(), one.column("dim")[0].as_py(), rows, others if len(others) else None
+    return (rows.field("least").to_numpy(), band_values(signs, bits, bands),
+            *prepare(signs, _packed(rows, "factors", "<f4").astype(np.float64), query, rows.field("step").to_numpy().astype(np.float64)))
+
+
+def _vectors(bits: int, bands: int, width: int, rows: pa.StructArray, dim: int) -> tuple[np.ndarray, ...]:
+    """(ids, band values, copies, unit vectors) of rows."""
+    x = units(_packed(rows, "raw", f"<f{width}"))
+    return rows.field("least").to_numpy(), band_values(encode(x, bits, bands)[0], bits, bands), rows.field("n").to_numpy(), x
+
+
+def _buckets(batch: pa.RecordBatch, read):
+    """(place in the batch, band, rows, others or None) of each bucket or pair of tiles; small
+    buckets that follow each other are read together."""
+    dims, band = batch.column("dim").to_numpy(), batch.column("band").to_numpy()
+    left, right = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("rows", "others"))
+    start = 0
+    while start < len(dims):
+        stop, total = start + 1, left[start] + right[start]
+        while stop < len(dims) and dims[stop] == dims[start] and total + left[stop] + right[stop] <= TILE:
+            total += left[stop] + right[stop]
+            stop += 1
+        part = batch.slice(start, stop - start)
+        rows, others = part.column("rows").flatten(), part.column("others").flatten()
+        x, y = read(rows, int(dims[start])), read(others, int(dims[start])) if len(others) else None
+        i = j = 0
+        for at in range(start, stop):
+            mine = tuple(v[i:i + left[at]] for v in x)
+            yield at, int(band[at]), mine, tuple(v[j:j + right[at]] for v in y) if right[at] else None
+            i, j = i + left[at], j + right[at]
+        start = stop
 
 
 def _first(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
@@ -156,64 +185,58 @@ def _first(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
 
 def _staying(bits: int, bands: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each bucket of which some pair may reach the threshold."""
-    for batch, at, band, dim, rows, others in _buckets(batches):
-        x = _codes(rows, dim, bits, bands)
-        y = x if others is None else _codes(others, dim, bits, bands)
-        a, b = band_values(x[0], bits, bands), band_values(y[0], bits, bands)
-        left, right = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-        for start in range(0, len(a), STRIPE):
-            s = slice(start, start + STRIPE)
-            there, error = one_way(x[0][s], x[1][s], y[2], y[3])
-            back, error_back = one_way(y[0], y[1], x[2][s], x[3][s])
-            likely = (there + back.T) / 2 + CONFIDENCE * (error + error_back.T) / 2 >= threshold
-            likely &= _first(a[s], b, band)
-            if others is None:
-                likely &= np.arange(len(b)) > np.arange(len(a))[s, None]
-            left[s] |= likely.any(1)
-            right |= likely.any(0)
-        least = [rows.field("least").filter(pa.array(left | right if others is None else left))]
-        least += [] if others is None else [others.field("least").filter(pa.array(right))]
-        least = pa.concat_arrays(least)
-        if len(least):
-            key = {c: pa.array([batch.column(c)[at].as_py()] * len(least), batch.schema.field(c).type)
-                   for c in ("key", "band", "label", "dim")}
-            yield pa.RecordBatch.from_pydict({**key, "least": least})
+    for batch in batches:
+        places, ids = [], []
+        for at, band, x, others in _buckets(batch, partial(_codes, bits, bands)):
+            y = others or x
+            left, right = np.zeros(len(x[0]), dtype=bool), np.zeros(len(y[0]), dtype=bool)
+            for start in range(0, len(left), STRIPE):
+                s = tuple(v[start:start + STRIPE] for v in x)
+                there, error = one_way(s[2:], y[2:])
+                back, error_back = one_way(y[2:], s[2:])
+                likely = (there + back.T) / 2 + CONFIDENCE * (error + error_back.T) / 2 >= threshold
+                if others is None:
+                    likely = np.triu(likely, start + 1)
+                if likely.any():
+                    likely &= _first(s[1], y[1], band)
+                left[start:start + STRIPE] |= likely.any(1)
+                right |= likely.any(0)
+            stay = [x[0][left | right]] if others is None else [x[0][left], y[0][right]]
+            ids += stay
+            places += [np.full(len(part), at) for part in stay]
+        if places:
+            key = batch.select(["key", "band", "label", "dim"]).take(pa.array(np.concatenate(places)))
+            yield pa.RecordBatch.from_arrays([*key.columns, pa.array(np.concatenate(ids))], names=[*key.schema.names, "least"])
 
 
 def _linked(bits: int, bands: int, width: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (vector, links, other) by exact cosines: counts, and spanning pairs where
     other is not null."""
-    for _, _, band, dim, rows, others in _buckets(batches):
-        x = units(_packed(rows, "raw", f"<f{width}"))
-        y = x if others is None else units(_packed(others, "raw", f"<f{width}"))
-        a = band_values(encode(x, bits, bands)[0], bits, bands)
-        b = a if others is None else band_values(encode(y, bits, bands)[0], bits, bands)
-        ids, n = rows.field("least").to_numpy(), rows.field("n").to_numpy()
-        ids_y, m = (ids, n) if others is None else (others.field("least").to_numpy(), others.field("n").to_numpy())
-        left, right, found = np.zeros(len(ids), np.int64), np.zeros(len(ids_y), np.int64), []
-        for start in range(0, len(a), STRIPE):
-            s = slice(start, start + STRIPE)
-            # the product finds pairs near the threshold, the sum of each decides
-            near = (x[s] @ y.T >= threshold - 1e-9) & _first(a[s], b, band)
-            if others is None:
-                near &= np.arange(len(b)) > np.arange(len(a))[s, None]
-            i, j = np.nonzero(near)
-            i += start
-            ok = np.concatenate([np.einsum("ij,ij->i", x[i[p:p + 50_000]], y[j[p:p + 50_000]]) >= threshold
-                                 for p in range(0, len(i), 50_000)] or [np.zeros(0, dtype=bool)])
-            i, j = i[ok], j[ok]
-            left += np.bincount(i, m[j], len(ids)).astype(np.int64)
-            right += np.bincount(j, n[i], len(ids_y)).astype(np.int64)
-            found.append(_forest(i, j if others is None else j + len(ids), len(ids) + (0 if others is None else len(ids_y))))
-        everyone = ids if others is None else np.concatenate([ids, ids_y])
-        size = len(everyone)
-        pairs = _forest(*np.concatenate(found, 1), size)
-        links = left + right if others is None else np.concatenate([left, right])
-        some = np.nonzero(links)[0]
-        yield pa.RecordBatch.from_pydict({
-            "vector": pa.array(np.concatenate([everyone[some], everyone[pairs[0]]])),
-            "links": pa.array(np.concatenate([links[some], np.zeros(pairs.shape[1], np.int64)])),
-            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(everyone[pairs[1]])])})
+    for batch in batches:
+        for _, band, x, others in _buckets(batch, partial(_vectors, bits, bands, width)):
+            y = others or x
+            shift = 0 if others is None else len(x[0])
+            left, right, found = np.zeros(len(x[0]), np.int64), np.zeros(len(y[0]), np.int64), []
+            for start in range(0, len(left), STRIPE):
+                s = slice(start, start + STRIPE)
+                # the product finds pairs near the threshold, the sum of each decides
+                near = (x[3][s] @ y[3].T >= threshold - 1e-9) & _first(x[1][s], y[1], band)
+                i, j = np.nonzero(np.triu(near, start + 1) if others is None else near)
+                i += start
+                ok = np.concatenate([np.einsum("ij,ij->i", x[3][i[p:p + 50_000]], y[3][j[p:p + 50_000]]) >= threshold
+                                     for p in range(0, len(i), 50_000)] or [np.zeros(0, dtype=bool)])
+                i, j = i[ok], j[ok]
+                left += np.bincount(i, y[2][j], len(left)).astype(np.int64)
+                right += np.bincount(j, x[2][i], len(right)).astype(np.int64)
+                found.append(_forest(i, j + shift, shift + len(right)))
+            everyone = x[0] if others is None else np.concatenate([x[0], y[0]])
+            links = left + right if others is None else np.concatenate([left, right])
+            pairs, some = _forest(*np.concatenate(found, 1), len(everyone)), np.nonzero(links)[0]
+            if len(some):
+                yield pa.RecordBatch.from_pydict({
+                    "vector": pa.array(np.concatenate([everyone[some], everyone[pairs[0]]])),
+                    "links": pa.array(np.concatenate([links[some], np.zeros(pairs.shape[1], np.int64)])),
+                    "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(everyone[pairs[1]])])})
 
 
 def _forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:

@@ -186,7 +186,7 @@ def test_code_estimate_is_unbiased_and_bounded(bits, bands):
     x = embedding_dedup.units(rng.normal(size=(300, 64)))
     y = embedding_dedup.units(x + rng.normal(size=x.shape) * rng.choice([0.02, 0.1, 1.0], size=(300, 1)))
     a, b = embedding_dedup.encode(x, bits, bands), embedding_dedup.encode(y, bits, bands)
-    estimate, error = embedding_dedup.one_way(a[0], a[1], b[2], b[3])
+    estimate, error = embedding_dedup.one_way(embedding_dedup.prepare(*a), embedding_dedup.prepare(*b))
     off = estimate - x @ y.T
     assert abs(off.mean()) < 0.005 and abs(np.diag(off).mean()) < 0.03
     assert (np.abs(off) <= embedding_dedup.CONFIDENCE * error).mean() > 0.999
