@@ -111,6 +111,22 @@ def stream_log_sync(spark, sf_dir):
     return SJ.sync_logs(spark, logs + "/*", max_files=FILES_PER_BATCH).select("value")
 
 
+@query("log_sync_appended", section=S, sql="""
+SELECT unnest(string_split(text, chr(10))) AS value FROM documents
+""")
+def log_sync_appended(spark, sf_dir):
+    """Log files (documents written as text, one folder per source) synced by byte ranges:
+    executors seek to what is new, a hot source's files in blocks. A second round finds
+    nothing more to read."""
+    from cirrus.sources.files import write_partitioned
+    logs, dest, manifest = (scratch_dir(spark, name) for name in ("grown_logs", "grown_dest", "grown_manifest"))
+    write_partitioned(Tables(spark, sf_dir).documents.where("text is not null").select("source", F.col("text").alias("value")),
+                      logs, "source", fmt="text")
+    for round_no in range(2):
+        SJ.sync_appended(spark, logs, dest, manifest, round_no)
+    return SJ.read_appended(spark, dest, manifest).select("value")
+
+
 @query("stream_period_stats", section=S, sql=f"""
 WITH b AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '{PERIOD_ORIGIN}')) // 86400000000 AS bucket FROM events)
 SELECT user_id AS resource, event_type AS meter,

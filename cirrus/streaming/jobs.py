@@ -231,6 +231,56 @@ def read_synced(spark: SparkSession, dest_dir: str, manifest_dir: str) -> DataFr
     return spark.read.parquet(dest_dir).join(last, ["name", "run"], "left_semi").select("name", "value")
 
 
+# --- logs that grow at their end --------------------------------------------------------------
+
+_TAKEN = "path string, taken long, began long"
+
+
+def sync_appended(spark: SparkSession, src_dir: str, dest_dir: str, manifest_dir: str, run_id: int,
+                  glob: str | None = None) -> DataFrame:
+    """One round that copies only what files have gained: the manifest holds, per file, the
+    bytes taken so far; executors seek there and read the complete lines that follow
+    into ``dest_dir/run=<id>``. A line without its line feed waits for a later round. A
+    file shorter than what was taken of it has begun anew and is read from its start.
+    Returns (path, taken, began) of the files read.
+
+    The work list is written before lines are copied, and the manifest gains the round
+    after them, so rerunning a round that died replaces what it left. No path and no line
+    passes through the driver."""
+    from cirrus.sources.log_files import list_files, read_lines
+    files, taken, fresh = list_files(spark, src_dir, glob), F.col("taken"), F.lit(run_id).cast("long")
+    if dir_exists(spark, manifest_dir):
+        known = _last_taken(spark, manifest_dir, F.col("run") != run_id)
+    else:
+        known = spark.createDataFrame([], _TAKEN)
+    anew = taken.isNull() | (F.col("bytes") < taken)
+    pending = f"{manifest_dir.rstrip('/')}_pending/run={run_id}"
+    (files.join(known, "path", "left")
+     .select("path", F.when(anew, 0).otherwise(taken).cast("long").alias("first"), F.col("bytes").alias("last"),
+             F.when(anew, fresh).otherwise(F.col("began")).alias("began"))
+     .where(F.col("last") > F.col("first")).write.mode("overwrite").parquet(pending))
+    work, out = spark.read.parquet(pending), f"{dest_dir}/run={run_id}"
+    read_lines(work).write.mode("overwrite").parquet(out)
+    ends = spark.read.parquet(out).groupBy("path").agg(F.max("end").alias("end"))
+    (work.join(ends, "path", "left").select("path", F.coalesce("end", "first").alias("taken"), "began")
+     .write.mode("overwrite").parquet(f"{manifest_dir}/run={run_id}"))
+    return spark.read.parquet(f"{manifest_dir}/run={run_id}")
+
+
+def _last_taken(spark: SparkSession, manifest_dir: str, wanted: Column) -> DataFrame:
+    rounds = spark.read.schema(_TAKEN + ", run long").parquet(manifest_dir).where(wanted)
+    return rounds.groupBy("path").agg(F.max_by(F.struct("taken", "began"), "run").alias("_last")).select("path", "_last.*")
+
+
+def read_appended(spark: SparkSession, dest_dir: str, manifest_dir: str) -> DataFrame:
+    """(path, start, value): the lines of each file, since it last began, of finished rounds."""
+    rounds = spark.read.schema(_TAKEN + ", run long").parquet(manifest_dir).select("path", "run")
+    began = _last_taken(spark, manifest_dir, F.lit(True)).select("path", "began")
+    lines = spark.read.schema("path string, start long, end long, value string, run long").parquet(dest_dir)
+    return (lines.join(rounds, ["path", "run"], "left_semi").join(began, "path").where("run >= began")
+            .select("path", "start", "value"))
+
+
 # --- period statistics ----------------------------------------------------------------------
 
 def period_window(ts: str, period_s: int, origin: dt.datetime | None = None) -> Column:
