@@ -2,16 +2,19 @@
 row generation.
 
 All of them keep the heavy work distributed: tokens are counted with a partial
-(map-side) aggregate, user mappers run per Arrow batch in ``mapInPandas`` and
-combine locally before the shuffle, and the total-order sort range-partitions on
-(key, tiebreak) so that a key holding a third of the rows still spreads over
-several partitions.
+(map-side) aggregate, user mappers run over pieces of Arrow batches in
+``mapInPandas`` and combine locally before the shuffle, and the total-order sort
+range-partitions on (key, tiebreak) so that a key holding a third of the rows still
+spreads over several partitions.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,25 +51,44 @@ def word_count(df: DataFrame, text_col: str, delims: str = TOKENIZER_DELIMS) ->
 #: Parts into which a key's partial values are dealt before a user's reducer.
 SPREAD = 64
 
+#: Bytes of a batch that a mapper gets at a time. A batch has up to 10,000 rows, whole
+#: texts maybe, and a mapper makes many times the bytes it is given.
+PIECE_BYTES = 2 << 20
+
 Mapper = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def pieces(pdf: pd.DataFrame, most: int = PIECE_BYTES) -> Iterator[pd.DataFrame]:
+    """All rows of ``pdf`` in order, cut where the values (as pandas' deep memory usage
+    counts them) pass a multiple of ``most``: a piece has less than that and one row."""
+    size = np.zeros(len(pdf), dtype=np.int64)
+    for _, column in pdf.items():
+        fixed = isinstance(column.dtype, np.dtype) and column.dtype != object
+        size += column.dtype.itemsize if fixed else [sys.getsizeof(x) for x in column]
+    nth = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(nth)) + 1), len(pdf)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield pdf.iloc[a:b].reset_index(drop=True)
+
+
 def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value: str,
                reduce: str | Callable[[pd.Series], object] = "sum") -> DataFrame:
     """Run a user mapper over Arrow batches, combine its (key, value) output
-    inside each batch, then reduce per key with a Spark aggregate.
+    inside each piece of a batch, then reduce per key with a Spark aggregate.
 
     The mapper is plain pandas (DataFrame in, DataFrame with ``key``/``value`` out),
-    the stand-in for an external mapper program. The reducer must be associative so
+    the stand-in for an external mapper program. It is called for each of a batch's
+    :func:`pieces`, so that its memory goes by the bytes of a piece and not by the rows
+    of a batch. The reducer must be associative so
     it can run map-side as a combiner: ``sum``, ``min``, ``max`` and ``count`` end in a
     Spark hash aggregate, so no key's values are ever gathered in one place; a
     program of the user's own (values of one key in, one value out) first combines
-    each batch, then each of SPREAD parts of a key's partial values, then those. A null key is a key like any other.
+    each piece, then each of SPREAD parts of a key's partial values, then those. A null key is a key like any other.
     """
     combine = reduce if callable(reduce) else {"sum": "sum", "min": "min", "max": "max", "count": "sum"}[reduce]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in chain.from_iterable(map(pieces, batches)):     # holds no batch while the next one is read
             out = mapper(pdf)
             if reduce == "count":
                 out = out.assign(**{value: 1})
@@ -88,9 +110,8 @@ def map_reduce(df: DataFrame, mapper: Mapper, out_schema: str, key: str, value:
 def awk_word_mapper(text_col: str) -> Mapper:
     """Mapper splitting each line on blanks and emitting (word, 1)."""
     def mapper(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf[text_col].fillna("").str.split(r"[ \t\n]+", regex=True).explode()
-        words = words[words.notna() & (words != "")]
-        return pd.DataFrame({"word": words.astype(str).values, "count": 1})
+        texts = pdf[text_col].dropna().str.replace("\t", " ", regex=False).str.replace("\n", " ", regex=False)
+        return pd.DataFrame({"word": [w for text in texts for w in text.split(" ") if w], "count": 1})
     return mapper
 
 

@@ -465,8 +465,8 @@ SELECT word, count(*) AS count FROM (
 WHERE word <> '' GROUP BY word
 """)
 def stream_map_reduce(spark, sf_dir):
-    """A user mapper (pandas, per Arrow batch) splits lines on blanks and emits
-    (word, 1); counts are combined per batch, then summed per word by Spark."""
+    """A user mapper (pandas, per piece of an Arrow batch) splits lines on blanks and
+    emits (word, 1); counts are combined per piece, then summed per word by Spark."""
     from cirrus.operators import jobs as J
     d = Tables(spark, sf_dir).documents.select("text")
     return J.map_reduce(d, J.awk_word_mapper("text"), "word string, count long", "word", "count", "sum")

@@ -234,6 +234,25 @@ def test_map_reduce_combines(spark):
     assert got == {"a": 3, "b": 1, "c": 1}
 
 
+def test_mapper_gets_bounded_pieces(spark):
+    import pandas as pd
+    df = spark.range(0, 400, 1, 8).selectExpr("id", "if(id % 7 = 0, null, repeat(concat('w', id % 3, repeat('x', 45), '\\n \\t'), 3000)) as text")
+
+    def mapper(pdf):
+        assert list(pdf.index) == list(range(len(pdf)))
+        return pd.DataFrame({"k": ["bytes", *pdf["id"].astype(str)], "n": [pdf["text"].dropna().str.len().sum(), *[0] * len(pdf)]})
+
+    got = {r["k"]: r["n"] for r in J.map_reduce(df, mapper, "k string, n long", "k", "n", "max").collect()}
+    assert 0 < got.pop("bytes") <= (2 << 20) + 150_000      # a batch has 50 rows of 150,000 bytes
+    assert sorted(map(int, got)) == list(range(400))            # no row is lost between pieces
+    out = J.map_reduce(df, J.awk_word_mapper("text"), "word string, count long", "word", "count")
+    want = {f"w{k}{'x' * 45}": 3000 * sum(1 for i in range(400) if i % 7 and i % 3 == k) for k in range(3)}
+    assert {r["word"]: r["count"] for r in out.collect()} == want
+    every = J.map_reduce(df, lambda pdf: pd.DataFrame({"k": pdf["id"] % 3, "n": pdf["id"]}), "k long, n long", "k", "n",
+                         reduce=lambda values: int(values.sum()))
+    assert {r["k"]: r["n"] for r in every.collect()} == {k: sum(range(k, 400, 3)) for k in range(3)}
+
+
 def test_word_count_tokenizer(spark):
     df = spark.createDataFrame([(" x\ty\r\nx ",)], "text string")
     assert {r["word"]: r["count"] for r in J.word_count(df, "text").collect()} == {"x": 2, "y": 1}
