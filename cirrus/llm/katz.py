@@ -1,17 +1,19 @@
 """Katz bigram model: Good-Turing discounts, exactly normalised backoff weights.
 
-Training and scoring share one pass over the corpus' bigrams:
-
-1. ``chunks``: texts as local word numbers, a few million tokens a row, written once.
+1. ``chunks``: texts as local word numbers, a few million tokens a row.
 2. ``unigrams``: counts by word, brought back to each chunk as the global numbers
-   and the training counts of its own words (by the word, then by the chunk).
-3. Bigrams travel once, packed in blocks per chunk and context bucket, with both
-   words' counts. A bucket holds every occurrence of its contexts' bigrams, in
-   training and in scored documents, so it counts them, sums what each
-   context's backoff weight needs, and adds up each document's logarithms.
-4. Discounts depend on the counts of counts of the whole corpus, so a bucket leaves
-   them open (it reports how many tokens have a bigram seen 1 to 5 times); the
-   ``parts`` table, partitioned by kind, is finished by native joins and sums.
+   and the training counts of its own words (by the word, then by the chunk). Both are
+   written as one table, ``numbered``, and dropped.
+3. Chunks are worked on in slices of whole documents. A slice sends each of its distinct
+   bigrams once, with how often its training documents hold it and both words' counts,
+   packed in a block per context bucket. A bucket holds every block with its contexts'
+   bigrams, so it adds up their counts and sums what each context's backoff weight needs.
+4. A bucket answers each block with the corpus' counts of its bigrams, in the block's
+   order. A chunk's slices are cut again and lay the answers out over their tokens, so a
+   document's logarithms are added up in one place, however many buckets there are.
+5. Discounts depend on the counts of counts of the whole corpus, which the buckets
+   report; they are known when the answers are read. Backoff weights are made of what the
+   buckets report about contexts and joined to the tokens that back off.
 
 Per token the model is: log p(w | v) = log(d_r * r / (c(v) + 1)) if the bigram was seen r
 times, else log a(v) + log p(w). Every context has one event more than was seen, so that
@@ -34,23 +36,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.llm.folds import is_fold
-from cirrus.llm.storage import free_shuffles, write_table
+from cirrus.llm.storage import drop_table, free_shuffles, write_table
 
 #: Counts up to so many are discounted.
 K = 5
-#: Tokens of a chunk and (about) of a bucket. A context with more tokens than a bucket
-#: is spread by its second word, a pair of two such words by document.
+#: Tokens of a chunk and (about) of a bucket. A context with more than a LIGHT-th of a
+#: bucket's tokens is spread by its second word, so that buckets are of about one size.
 CHUNK_TOKENS = 4 << 20
-BUCKET_TOKENS = 3 << 20
+BUCKET_TOKENS = 2 << 20
+LIGHT = 8
 #: Tokens of a chunk that are worked on at a time.
 SLICE_TOKENS = 1 << 20
 END = ""
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
+def _pack(columns: list[np.ndarray], squeeze: zstandard.ZstdCompressor) -> bytes:
     """Columns of longs, bytes of one place together, compressed."""
     table = np.stack(columns).astype("<i8")
-    return zstandard.compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    return squeeze.compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(blob: bytes, columns: int) -> np.ndarray:
@@ -124,139 +127,142 @@ def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
 
 
-def _blocks(buckets: int, heavy: int, total: int, types: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of (v, w, row, tokens, held, c(v), c(w)); those of pairs of heavy words
-    are marked hot. One block more has each row's base score. A chunk is worked on in
-    slices of whole documents."""
+class _Slice:
+    """Whole documents of a chunk: of each token its document (``row``) and its bigram
+    (``of``); of each distinct bigram its local words and their training counts.
+    ``order`` has the bigrams that travel by bucket (``bucket``): all but those of a
+    context that training has not seen. It is the same whenever a chunk is cut."""
+
+    def __init__(self, buckets: int, heavy: int, row: np.ndarray, tokens: np.ndarray, number: np.ndarray, count: np.ndarray):
+        before = np.empty_like(tokens)
+        first = np.r_[True, row[1:] != row[:-1]]
+        before[1:] = tokens[:-1]
+        before[first] = 0                           # each document starts after an end
+        pair, self.of = np.unique(before.astype(np.int64) * len(number) + tokens, return_inverse=True)
+        self.row, self.tokens = row, tokens
+        self.v, self.w = np.divmod(pair, len(number))
+        self.cv, self.cw = count[self.v], count[self.w]
+        gv = number[self.v]
+        place = _spread(gv, np.where(self.cv >= heavy, number[self.w], 0)) % np.uint64(buckets)
+        place = place.astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        order = np.argsort(place, kind="stable")
+        self.order = order[self.cv[order] > 0]
+        self.bucket = place[self.order]
+
+
+def _slices(buckets: int, heavy: int, r) -> Iterator[tuple[int, int, _Slice]]:
+    """(first document, documents, slice) of a chunk's row."""
+    tokens = np.frombuffer(zstandard.decompress(r.tokens), dtype="<i4")
+    lengths = np.asarray(r.lengths, dtype=np.int64)
+    number, count = np.asarray(r.numbers, dtype=np.int64), np.asarray(r.counts, dtype=np.int64)
+    ends = lengths.cumsum()
+    a = 0
+    while a < len(lengths):
+        start = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
+        row = np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b])
+        yield a, b - a, _Slice(buckets, heavy, row, tokens[start:int(ends[b - 1])], number, count)
+        a = b
+
+
+def _blocks(buckets: int, heavy: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of (v, w, n, c(v), c(w)), n as training has it."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for r in batch.itertuples(index=False):
-            tokens = np.frombuffer(zstandard.decompress(r.tokens), dtype="<i4")
-            lengths, held = np.asarray(r.lengths, dtype=np.int64), np.asarray(r.held, dtype=np.int64)
-            number, count = np.asarray(r.numbers, dtype=np.int64), np.asarray(r.counts, dtype=np.int64)
-            ends = lengths.cumsum()
-            a = 0
-            while a < len(lengths):
-                start = int(ends[a - 1]) if a else 0
-                b = max(a + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
-                yield _slice(buckets, heavy, total, types, r.chunk + a, tokens[start:int(ends[b - 1])], lengths[a:b],
-                             held[a:b], number, count)
-                a = b
-
-
-def _slice(buckets, heavy, total, types, base, tokens, lengths, held, number, count) -> pd.DataFrame:
-    rows = len(lengths)
-    row = np.repeat(np.arange(rows, dtype=np.int32), lengths)
-    known = np.bincount(row[count[tokens] > 0], minlength=rows)
-    logs = np.bincount(row, np.log10((count + 1) / (total + types + 1))[tokens], rows)
-    stats = pd.DataFrame({"bucket": [base % buckets], "chunk": [base], "kind": [2], "blob": [
-        zstandard.compress(np.concatenate([lengths, known]).astype("<i8").tobytes() + logs.astype("<f8").tobytes())]})
-    before = np.empty_like(tokens)
-    before[0], before[1:] = 0, tokens[:-1]      # each document starts after an end
-    if rows * len(number) ** 2 < 1 << 62:
-        pair, n = np.unique((row.astype(np.int64) * len(number) + before) * len(number) + tokens, return_counts=True)
-        pair, w = np.divmod(pair, len(number))
-    else:
-        (pair, w), n = _unique3(row, before, tokens, len(number))
-    row, v = np.divmod(pair, len(number))
-    gv, gw, cv, cw = number[v], number[w], count[v], count[w]
-    del pair, v, w
-    hot = (cv >= heavy) & (cw >= heavy)
-    place = np.where(cv >= heavy, _spread(gv, gw), _spread(gv, np.zeros_like(gv)))
-    if hot.any():
-        place = np.where(hot, _spread(gv + base, gw + row), place)
-    key = (place % np.uint64(buckets)).astype(np.int64) * 2 + hot
-    order = np.lexsort((gw, gv, key))
-    key = key[order]
-    columns = [c[order] for c in (gv, gw, row + base, n, held[row], cv, cw)]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    ends = np.r_[starts[1:], len(key)]
-    return pd.concat([stats, pd.DataFrame({
-        "bucket": key[starts] // 2, "chunk": base, "kind": key[starts] % 2,
-        "blob": [_pack([c[a:b] for c in columns]) for a, b in zip(starts, ends)]})], ignore_index=True)
-
-
-def _unique3(row, before, tokens, size):
-    """As the packed key, where that would not fit in a long."""
-    order = np.lexsort((tokens, before, row))
-    a, b, c = row[order], before[order], tokens[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-    at = np.flatnonzero(new)
-    return np.stack([a[at] * size + b[at], c[at].astype(np.int64)]), np.diff(np.r_[at, len(a)])
-
-
-#: A row of the parts table. kind 0: a row's logarithms (x) and its tokens by the count
-#: of their bigram (m1..m5). 1: of context v, its count n, the p(w) of its bigrams (x)
-#: and how many of them were seen 1 to 5 times. 2: n tokens of a row back off from v.
-#: 3: how many bigrams (n) were seen v times. 4: a posting of a hot bigram (m1: held,
-#: m2, m3: the words' counts). 5: tokens (n), known tokens (m1) and base score (x) of a row.
-PARTS = "kind int, v long, w long, row long, n long, x double, m1 long, m2 long, m3 long, m4 long, m5 long"
-_COLUMNS = [c.split()[0] for c in PARTS.split(", ")]
-
-
-def _part(kind: int, size: int, **columns) -> pd.DataFrame:
-    out = pd.DataFrame({c: columns.get(c, 0) for c in _COLUMNS if c != "kind"}, index=range(size))
-    out.insert(0, "kind", kind)
-    out["x"] = out["x"].astype(float)
+            number, held = np.asarray(r.numbers, dtype=np.int64), np.asarray(r.held, dtype=bool)
+            for a, _, s in _slices(buckets, heavy, r):
+                n = np.bincount(s.of, ~held[a + s.row], len(s.v)).astype(np.int64)
+                starts = np.flatnonzero(np.r_[len(s.order) > 0, s.bucket[1:] != s.bucket[:-1]])
+                blobs = []
+                for i, j in zip(starts, [*starts[1:], len(s.order)]):
+                    at = s.order[i:j]
+                    blobs.append(_pack([number[s.v[at]], number[s.w[at]], n[at], s.cv[at], s.cw[at]], squeeze))
+                yield pd.DataFrame({"bucket": s.bucket[starts].astype(np.int64), "chunk": r.chunk, "start": a, "blob": blobs})
+
+
+#: A row of the buckets' table. kind 0: the answer to a block. 1: of context v, its count
+#: w, the same and one (n), the p(w) of its bigrams (x) and how many of them were seen 1
+#: to 5 times (m1..m5). 2: how many bigrams (n) were seen v times.
+FOUND = ("kind int, chunk long, start long, bucket long, blob binary, v long, w long, n long, x double, "
+         "m1 long, m2 long, m3 long, m4 long, m5 long")
+
+
+def _found(kind: int, size: int, **columns) -> pd.DataFrame:
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    out = pd.DataFrame({c: columns.get(c, None if c == "blob" else 0) for c in names}, index=range(size))
+    out["kind"], out["x"] = kind, out["x"].astype(float)
     return out
 
 
-def _sorted(blobs: list[bytes]) -> list[np.ndarray]:
-    """The seven columns of all blocks, ordered by v and w; unpacked one by one."""
-    sizes = [len(_unpack(b, 7)[0]) for b in blobs]
-    table = np.empty((7, sum(sizes)), dtype=np.int64)
-    at = 0
-    for blob, size in zip(blobs, sizes):
-        table[:, at:at + size] = _unpack(blob, 7)
-        at += size
-    order = np.lexsort((table[1], table[0]))
-    for k in range(7):
-        table[k] = table[k][order]
-    return list(table)
-
-
 def _bucket(uni: Unigrams, heavy: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    blobs = pdf["blob"].tolist()
+    sizes = [len(_unpack(b, 5)[0]) for b in blobs]
+    ends = np.cumsum(sizes)
+    table = np.empty((5, ends[-1]), dtype=np.int64)
+    for blob, size, end in zip(blobs, sizes, ends):     # unpacked one by one
+        table[:, end - size:end] = _unpack(blob, 5)
+    v, w, n, cv, cw = table
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    at = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+    r = np.add.reduceat(n[order], at)
+    heads = order[at]
+    v, cv, cw = v[at], cv[heads], cw[heads]
+    reply = np.empty(len(order), dtype=np.int64)
+    reply[order] = np.repeat(r, np.diff(np.r_[at, len(order)]))
+    del table, n, w, order, heads
+    squeeze = zstandard.ZstdCompressor(level=3)
+    out = [_found(0, len(blobs), chunk=pdf["chunk"].to_numpy(), start=pdf["start"].to_numpy(), bucket=pdf["bucket"].to_numpy(),
+                  blob=[_pack([reply[end - size:end]], squeeze) for size, end in zip(sizes, ends)])]
+    context = np.r_[True, v[1:] != v[:-1]]
+    ctx = np.cumsum(context) - 1                        # a bigram's context
+    v, cv = v[context], cv[context]
+    m = [np.bincount(ctx[r == k], minlength=len(v)) for k in range(1, K + 1)]
+    needed = cv >= heavy
+    needed[ctx[r == 0]] = True
+    seen = r > 0
+    share = np.bincount(ctx[seen], uni.p(cw[seen]), len(v))
+    some = np.flatnonzero(needed)
+    out.append(_found(1, len(some), v=v[some], n=cv[some] + 1, x=share[some], w=cv[some],
+                      **{f"m{k}": m[k - 1][some] for k in range(1, K + 1)}))
+    counts = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[:K + 2]
+    out.append(_found(2, K + 1, v=np.arange(1, K + 2), n=counts[1:]))
+    return pd.concat(out, ignore_index=True)
+
+
+#: A row of the logs table. kind 0: n tokens of a row, how many of them are known, their
+#: base score and their logarithms (x) without the backoff weights. 1: n tokens of a row
+#: back off from v.
+LOGS = "kind int, row long, v long, n long, known long, base double, x double"
+
+
+def _logs(uni: Unigrams, d2: list[float], buckets: int, heavy: int, total: int, types: int, chunk: pd.DataFrame,
+          answers: pd.DataFrame) -> pd.DataFrame:
+    """The answers to a chunk's blocks, laid out over its tokens."""
     out = []
-    for r in pdf[pdf["kind"] == 2].itertuples():
-        data = zstandard.decompress(r.blob)
-        rows = len(data) // 24
-        n, known = np.frombuffer(data, "<i8", 2 * rows).reshape(2, rows)
-        out.append(_part(5, rows, row=r.chunk + np.arange(rows), n=n, m1=known, x=np.frombuffer(data, "<f8", rows, 16 * rows)))
-    hot = [_unpack(b, 7) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
-    if hot:
-        v, w, row, n, held, cv, cw = np.concatenate(hot, axis=1)
-        out.append(_part(4, len(v), v=v, w=w, row=row, n=n, m1=held, m2=cv, m3=cw))
-    blobs = pdf.loc[pdf["kind"] == 0, "blob"].tolist()
-    if blobs:
-        v, w, row, n, held, cv, cw = _sorted(blobs)
-        first = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
-        of = np.cumsum(first) - 1                       # a token's bigram
-        at = np.flatnonzero(first)
-        r = np.bincount(of, n * (1 - held), len(at)).astype(np.int64)
-        context = np.r_[True, v[at][1:] != v[at][:-1]]
-        ctx = np.cumsum(context) - 1                    # a bigram's context
-        heads = at[context]
-        p1 = uni.p(cw[at])
-        seen = r > 0
-        m = [np.bincount(ctx[r == k], minlength=len(heads)) for k in range(1, K + 1)]
-        total = cv[heads] + 1
-        rt, ct = r[of], ctx[of]
-        with np.errstate(divide="ignore"):
-            logs = n * np.where(rt > 0, np.log10(np.maximum(rt, 1)) - np.log10(np.maximum(total[ct], 1)), np.log10(p1)[of])
-        rows, back = np.unique(row, return_inverse=True)
-        out.append(_part(0, len(rows), row=rows, x=np.bincount(back, logs), **{
-            f"m{k}": np.bincount(back, n * (rt == k)).astype(np.int64) for k in range(1, K + 1)}))
-        backs = (rt == 0) & (cv > 0)
-        needed = np.zeros(len(heads), dtype=bool)
-        needed[ct[backs]] = True
-        needed |= cv[heads] >= heavy
-        share = np.bincount(ctx[seen], p1[seen], len(heads))
-        some = np.flatnonzero(needed)
-        out.append(_part(1, len(some), v=v[heads][some], n=total[some], x=share[some], w=cv[heads][some],
-                         **{f"m{k}": m[k - 1][some] for k in range(1, K + 1)}))
-        out.append(_part(2, int(backs.sum()), v=v[backs], row=row[backs], n=n[backs]))
-        counts = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[:K + 2]
-        out.append(_part(3, K + 1, v=np.arange(1, K + 2), n=counts[1:]))
-    return pd.concat(out, ignore_index=True) if out else _part(0, 0)
+    log_d = np.log10(np.array([1.0, *d2, 1.0]))
+    answers = answers.sort_values(["start", "bucket"])
+    of_start = dict(list(answers.groupby("start")["blob"]))
+    for c in chunk.itertuples(index=False):
+        number, count = np.asarray(c.numbers, dtype=np.int64), np.asarray(c.counts, dtype=np.int64)
+        for a, rows, s in _slices(buckets, heavy, c):
+            r = np.zeros(len(s.v), dtype=np.int64)
+            if len(s.order):
+                r[s.order] = np.concatenate([_unpack(b, 1)[0] for b in of_start[a]])
+            p = np.where(r > 0, np.log10(np.maximum(r, 1)) - np.log10(s.cv + 1) + log_d[np.minimum(r, K + 1)],
+                         np.log10(uni.p(s.cw)))
+            of_word = count[s.tokens]
+            base = np.log10((of_word + 1) / (total + types + 1))
+            out.append(pd.DataFrame({
+                "kind": 0, "row": c.chunk + a + np.arange(rows), "v": 0, "n": np.bincount(s.row, minlength=rows),
+                "known": np.bincount(s.row[of_word > 0], minlength=rows), "base": np.bincount(s.row, base, rows),
+                "x": np.bincount(s.row, p[s.of], rows)}))
+            backs = ((r == 0) & (s.cv > 0))[s.of]
+            key, n = np.unique(s.row[backs].astype(np.int64) * len(number) + s.v[s.of[backs]], return_counts=True)
+            row, v = np.divmod(key, len(number))
+            out.append(pd.DataFrame({"kind": 1, "row": c.chunk + a + row, "v": number[v], "n": n, "known": 0, "base": 0.0, "x": 0.0}))
+    return pd.concat(out, ignore_index=True)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2,
@@ -272,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), is_fold(id_col, folds, held_out).alias("held"))
     kind = keyed.schema["id"].dataType.simpleString()
-    chunks, _ = write_table(keyed.mapInPandas(
+    chunks, chunks_path = write_table(keyed.mapInPandas(
         lambda b: _chunks(chunk_tokens, b), f"chunk long, ids array<{kind}>, held array<boolean>, lengths array<int>, "
         "tokens binary, words array<string>, train array<long>"), "katz-chunks")
     # a word's rows are one per chunk; its number is that of one of them. Within a
@@ -282,7 +288,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     of_word = Window.partitionBy("word")
     counted = words.select("chunk", "id", F.sum("train").over(of_word).alias("c"), F.min("id").over(of_word).alias("number"))
     # back to the chunks: the words of a chunk are no more than its tokens
-    unigrams, _ = write_table(counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("id", "number", "c"))).alias("z"))
+    unigrams, unigrams_path = write_table(counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("id", "number", "c"))).alias("z"))
         .select("chunk", F.col("z.number").alias("numbers"), F.col("z.c").alias("counts"),
                 F.transform("z", lambda x: F.when(x["id"] == x["number"], x["c"])).alias("own")), "katz-unigrams")
     free_shuffles(docs.sparkSession)
@@ -291,53 +297,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     uni = Unigrams({r["c"]: r["n"] for r in known.where(F.col("c") <= K + 1).groupBy("c").agg(
         F.count(F.lit(1)).alias("n")).collect()}, int(total))
     tokens = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets, heavy = max(1, ceil(tokens / bucket_tokens)), bucket_tokens
-    numbered = unigrams.select(F.col("chunk").alias("c"), "numbers", "counts")
-    blocks = (chunks.select("chunk", "held", "lengths", "tokens").join(numbered, F.col("chunk") == F.col("c")).drop("c")
-              .mapInPandas(lambda b: _blocks(buckets, heavy, int(total), int(types), b),
-                           "bucket long, chunk long, kind int, blob binary"))
-    parts, _ = write_table(blocks.groupBy("bucket").applyInPandas(lambda pdf: _bucket(uni, heavy, pdf), PARTS), "katz-parts",
+    buckets, heavy = max(1, ceil(tokens / bucket_tokens)), max(1, bucket_tokens // LIGHT)
+    own = unigrams.select(F.col("chunk").alias("c"), "numbers", "counts")
+    numbered, _ = write_table(chunks.drop("words", "train").join(own, F.col("chunk") == F.col("c")).drop("c"), "katz-numbered")
+    for path in (chunks_path, unigrams_path):
+        drop_table(docs.sparkSession, path)
+    free_shuffles(docs.sparkSession)
+    cut = numbered.select("chunk", "held", "lengths", "tokens", "numbers", "counts")
+    blocks = cut.mapInPandas(lambda b: _blocks(buckets, heavy, b), "bucket long, chunk long, start long, blob binary")
+    found, _ = write_table(blocks.groupBy("bucket").applyInPandas(lambda pdf: _bucket(uni, heavy, pdf), FOUND), "katz-buckets",
                            by="kind")
     free_shuffles(docs.sparkSession)
 
-    of = lambda k: parts.where(F.col("kind") == k)
-    sums = [F.sum(f"m{k}").alias(f"m{k}") for k in range(1, K + 1)]
-    # hot bigrams: counted by (v, w), then as in a bucket
-    r = F.col("r")
-    hot = of(4).groupBy("v", "w").agg(F.sum(F.col("n") * (1 - F.col("m1"))).alias("r"), F.max("m2").alias("cv"), F.max("m3").alias("cw"))
-    factor = F.when(F.col("cw") > K, 1.0)
-    for k, d in enumerate(uni.d, 1):
-        factor = factor.when(F.col("cw") == k, d)
-    hot, _ = write_table(hot.withColumn("p", factor * F.col("cw") / uni.total), "katz-hot")
-    by_count = [F.when(r == k, F.lit(1)).otherwise(0).cast("long") for k in range(1, K + 1)]
-    hot_rows = (of(4).select(F.col("v").alias("hv"), F.col("w").alias("hw"), "row", "n")
-                .join(hot, (F.col("hv") == F.col("v")) & (F.col("hw") == F.col("w"))))
-    hot_sums = hot_rows.select("row", (F.col("n") * F.when(r > 0, F.log10(F.greatest(r, F.lit(1))) - F.log10(F.col("cv") + 1))
-                                       .otherwise(F.log10("p"))).alias("x"),
-                               *[(F.col("n") * c).alias(f"m{k}") for k, c in enumerate(by_count, 1)])
-    hot_contexts = hot.where("r > 0").select("v", (F.col("cv") + 1).alias("n"), F.col("p").alias("x"), F.col("cv").alias("w"),
-                                             *[c.alias(f"m{k}") for k, c in enumerate(by_count, 1)])
-    hot_backs = hot_rows.where("r = 0").select("v", "row", "n")
-    of_count = (of(3).select("v", "n").unionByName(hot.where(r.between(1, K + 1)).select(r.alias("v"), F.lit(1).cast("long").alias("n")))
-                .groupBy("v").agg(F.sum("n").alias("n")).collect())
-    d2 = discounts({x["v"]: x["n"] for x in of_count})
-
-    names = ["v", "n", "x", "w", *[f"m{k}" for k in range(1, K + 1)]]
-    contexts = of(1).select(*names).unionByName(hot_contexts.select(*names)).groupBy("v").agg(
-        F.max("n").alias("n"), F.max("w").alias("c"), F.sum("x").alias("x"), *sums)
+    d2 = discounts({x["v"]: x["n"] for x in found.where("kind = 2").groupBy("v").agg(F.sum("n").alias("n")).collect()})
+    answers = found.where("kind = 0").select("chunk", "start", "bucket", "blob")
+    size = (int(total), int(types))
+    logs, _ = write_table(cut.drop("held").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda chunk, of: _logs(uni, d2, buckets, heavy, *size, chunk, of), LOGS), "katz-logs", by="kind")
+    free_shuffles(docs.sparkSession)
+
+    # a heavy context is in several buckets
+    contexts = found.where("kind = 1").groupBy("v").agg(
+        F.max("n").alias("n"), F.max("w").alias("c"), F.sum("x").alias("x"), *[F.sum(f"m{k}").alias(f"m{k}") for k in range(1, K + 1)])
     freed = sum((F.col(f"m{k}") * (k * (1 - d)) for k, d in enumerate(d2, 1)), F.lit(0.0))
     weights = contexts.select(F.col("v").alias("context"), F.log10(
         (F.col("n") - F.col("c") + freed) / F.col("n") / (1 - F.col("x"))).alias("weight"))
-    backs = (of(2).select("v", "row", "n").unionByName(hot_backs).join(weights, F.col("v") == F.col("context"))
-             .select("row", (F.col("n") * F.col("weight")).alias("x")))
-    seen = of(0).select("row", "x", *[f"m{k}" for k in range(1, K + 1)]).unionByName(hot_sums)
-    logs = seen.select("row", (F.col("x") + sum((F.col(f"m{k}") * float(np.log10(d)) for k, d in enumerate(d2, 1)),
-                                                F.lit(0.0))).alias("x")).unionByName(backs)
-    scored = logs.groupBy("row").agg(F.sum("x").alias("score"))
-    rows = chunks.select("chunk", "held", F.posexplode("ids").alias("at", id_col)).select(
+    backs = (logs.where("kind = 1").select("v", F.col("row").alias("r"), "n").join(weights, F.col("v") == F.col("context"))
+             .groupBy("r").agg(F.sum(F.col("n") * F.col("weight")).alias("off")))
+    rows = numbered.select("chunk", "held", F.posexplode("ids").alias("at", id_col)).select(
         (F.col("chunk") + F.col("at")).alias("r"), id_col, F.element_at("held", F.col("at") + 1).alias("held_out"))
-    return (rows.join(of(5).select(F.col("row").alias("r"), F.col("n").alias("n_tokens"), F.col("m1").alias("n_known"),
-                                   F.col("x").alias("base_score")), "r")
-            .join(scored.withColumnRenamed("row", "r"), "r")
+    scored = logs.where("kind = 0").select(F.col("row").alias("r"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+                                           F.col("base").alias("base_score"), F.col("x").alias("score"))
+    return (rows.join(scored, "r").join(backs, "r", "left")
             .select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
-                    "base_score", "score"))
+                    "base_score", (F.col("score") + F.coalesce("off", F.lit(0.0))).alias("score")))

@@ -3,17 +3,21 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from cirrus.llm import (bpe, components, decontaminate, embedding_dedup, katz, langid, line_dedup, quality, queries,
                         simhash, toxicity, url_filter)
+from cirrus.llm.storage import write_table
 from cirrus.sources.tables import load
 
 
@@ -454,6 +458,45 @@ def test_katz_without_training_rows(spark):
     assert katz.score(df.limit(0)).count() == 0
 
 
+def test_katz_writes_no_row_for_each_document_and_bucket(spark, monkeypatch):
+    """What goes back to the documents must not grow with the number of buckets."""
+    text = " ".join(f"w{i * i % 101}" for i in range(300))
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").repartition(2)
+    written = []
+
+    def write(df, name, by=None):
+        out = write_table(df, name, by)
+        written.append((name, out[0].count()))
+        return out
+
+    monkeypatch.setattr(katz, "write_table", write)
+    wide, narrow = (katz.score(docs, bucket_tokens=b).orderBy("doc_id").collect() for b in (1 << 20, 1000))
+    assert max(n for _, n in written) < 300 * 4 and len(narrow) == 300
+    for a, b in zip(wide, narrow, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a["score"], b["score"], rel_tol=1e-9)
+
+
+def test_katz_bucket_memory():
+    """A bucket's worker holds some columns of its bigrams, not rows of documents."""
+    rng, size = np.random.default_rng(6), 300_000
+    tokens = rng.integers(1, 3000, size).astype("<i4")
+    count = np.bincount(tokens, minlength=3000)
+    chunk = pd.DataFrame({"chunk": [0], "held": [np.zeros(size // 100, dtype=bool)], "lengths": [np.full(size // 100, 100)],
+                          "tokens": [zstandard.compress(tokens.tobytes())], "numbers": [np.arange(3000) << 20], "counts": [count]})
+    blocks = pd.concat(katz._blocks(1, 1 << 40, iter([chunk])))
+    uni = katz.Unigrams({}, size)
+    katz._bucket(uni, 1 << 40, blocks)
+    tracemalloc.start()
+    try:
+        found = katz._bucket(uni, 1 << 40, blocks)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    r = katz._unpack(found.loc[found["kind"] == 0, "blob"].iloc[0], 1)[0]
+    assert r.sum() == size - size // 100 and found.loc[found["kind"] == 2, "n"].sum() == (r <= 6).sum()
+    assert peak < 150 * len(r)
+
+
 # 7
 
 def test_segments_are_the_maximal_ones():
