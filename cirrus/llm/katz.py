@@ -25,11 +25,13 @@ its discounts free goes to one unknown word. a(v) = (1 - sum of the seen p(w | v
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,10 +44,10 @@ from cirrus.llm.storage import drop_table, free_shuffles, write_table
 K = 5
 #: Tokens of a chunk and (about) of a bucket. A context with more than a LIGHT-th of a
 #: bucket's tokens is spread by its second word, so that buckets are of about one size.
-CHUNK_TOKENS = 4 << 20
+CHUNK_TOKENS = 2 << 20
 BUCKET_TOKENS = 2 << 20
 LIGHT = 8
-#: Tokens of a chunk that are worked on at a time.
+#: Tokens (about) of a chunk that are worked on at a time.
 SLICE_TOKENS = 1 << 20
 END = ""
 
@@ -61,6 +63,13 @@ def _unpack(blob: bytes, columns: int) -> np.ndarray:
     return np.ascontiguousarray(data.T).view("<i8").reshape(columns, -1)
 
 
+def _release() -> None:
+    """Give the system back what a worker has freed; it lives on, idle, through later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _chunks(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     number = TaskContext.get().partitionId() << 36
     local: dict[bytes, int] = {b"": 0}
@@ -91,8 +100,10 @@ def _chunks(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             total += len(words)
             if total >= size:
                 yield done()
+                _release()
     if ids:
         yield done()
+    _release()
 
 
 def discounts(of_count: dict[int, int]) -> list[float]:
@@ -156,12 +167,11 @@ def _slices(buckets: int, heavy: int, r) -> Iterator[tuple[int, int, _Slice]]:
     lengths = np.asarray(r.lengths, dtype=np.int64)
     number, count = np.asarray(r.numbers, dtype=np.int64), np.asarray(r.counts, dtype=np.int64)
     ends = lengths.cumsum()
+    parts = max(1, round(len(tokens) / SLICE_TOKENS))
     a = 0
-    while a < len(lengths):
-        start = int(ends[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
+    for b in np.unique(np.searchsorted(ends, len(tokens) * np.arange(1, parts + 1) // parts) + 1).tolist():
         row = np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b])
-        yield a, b - a, _Slice(buckets, heavy, row, tokens[start:int(ends[b - 1])], number, count)
+        yield a, b - a, _Slice(buckets, heavy, row, tokens[int(ends[a - 1]) if a else 0:int(ends[b - 1])], number, count)
         a = b
 
 
@@ -179,6 +189,7 @@ def _blocks(buckets: int, heavy: int, batches: Iterator[pd.DataFrame]) -> Iterat
                     at = s.order[i:j]
                     blobs.append(_pack([number[s.v[at]], number[s.w[at]], n[at], s.cv[at], s.cw[at]], squeeze))
                 yield pd.DataFrame({"bucket": s.bucket[starts].astype(np.int64), "chunk": r.chunk, "start": a, "blob": blobs})
+            _release()
 
 
 #: A row of the buckets' table. kind 0: the answer to a block. 1: of context v, its count
@@ -228,6 +239,8 @@ def _bucket(uni: Unigrams, heavy: int, pdf: pd.DataFrame) -> pd.DataFrame:
                       **{f"m{k}": m[k - 1][some] for k in range(1, K + 1)}))
     counts = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[:K + 2]
     out.append(_found(2, K + 1, v=np.arange(1, K + 2), n=counts[1:]))
+    del v, cv, cw, r, reply, at, ctx, context, seen
+    _release()
     return pd.concat(out, ignore_index=True)
 
 
@@ -262,6 +275,7 @@ def _logs(uni: Unigrams, d2: list[float], buckets: int, heavy: int, total: int,
             key, n = np.unique(s.row[backs].astype(np.int64) * len(number) + s.v[s.of[backs]], return_counts=True)
             row, v = np.divmod(key, len(number))
             out.append(pd.DataFrame({"kind": 1, "row": c.chunk + a + row, "v": number[v], "n": n, "known": 0, "base": 0.0, "x": 0.0}))
+        _release()
     return pd.concat(out, ignore_index=True)
 
 
